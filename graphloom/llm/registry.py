@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontaminate as _decontaminate
 from . import mix as _mix
 from . import shard as _shard
 from .workspace import Workspace
@@ -20,16 +22,22 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix.mix(_docs(spark, sf_dir), Workspace(spark, "op6")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find windows of 10 words of all benchmark items in all documents."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    out = _decontaminate.decontaminate(_docs(spark, sf_dir), items, Workspace(spark, "op8"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all documents into shards 0 to 23 under the law `rows`."""
-    from pyspark.sql import functions as F
-
     out = _shard.shard(_docs(spark, sf_dir), Workspace(spark, "op10"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_entropy_mix": op6_entropy_mix,
+    "op8_positional_index": op8_positional_index,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
