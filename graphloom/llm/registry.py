@@ -4,19 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import mix as _mix
+from . import quality as _quality
 from . import shard as _shard
+from . import toxicity as _toxicity
 from .workspace import Workspace
 
+#: Mean log ratio per feature that a document needs. Trusted text is about 0 or above; symbols, tables and repeats are at -0.2 and less.
+QUALITY = -0.12
+
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, mod n."""
+    return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
+
+
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents for toxicity, learning from labels whose remainder mod 5 is not 0."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    docs = _docs(spark, sf_dir)
+    model = _toxicity.fit(_toxicity.sample(docs, labels, train=_remainder(5) != 0))
+    out = _toxicity.score(docs, model)
+    return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "n_above")
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; sources weigh 3, 1, 2, repeating, and share 150% of all words, each at most twice its own."""
     return _mix.mix(_docs(spark, sf_dir), Workspace(spark, "op6")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -29,6 +48,13 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("long").alias("n_near_items"))
 
 
+def op9_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate all documents; the trusted target is the documents whose label has quality 1."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    out = _quality.assess(_docs(spark, sf_dir), trusted, Workspace(spark, "op9"), threshold=QUALITY)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Put all documents into shards 0 to 23 under the law `rows`."""
     out = _shard.shard(_docs(spark, sf_dir), Workspace(spark, "op10"), shards=24)
@@ -36,8 +62,10 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_compression_toxicity": op3_compression_toxicity,
     "op6_entropy_mix": op6_entropy_mix,
     "op8_positional_index": op8_positional_index,
+    "op9_likelihood_ratio": op9_likelihood_ratio,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
