@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
 from . import mix as _mix
+from . import near as _near
 from . import quality as _quality
 from . import shard as _shard
 from . import toxicity as _toxicity
@@ -41,6 +42,11 @@ def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix.mix(_docs(spark, sf_dir), Workspace(spark, "op6")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of all documents, for word 5-grams and a similarity of 0.8."""
+    return _near.join(_docs(spark, sf_dir), Workspace(spark, "op7")).select("doc_id", "class_id", "class_size", "n_links", "keep")
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Find windows of 10 words of all benchmark items in all documents."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -64,6 +70,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_toxicity": op3_compression_toxicity,
     "op6_entropy_mix": op6_entropy_mix,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_positional_index": op8_positional_index,
     "op9_likelihood_ratio": op9_likelihood_ratio,
     "op10_feistel_shards": op10_feistel_shards,
