@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import langid as _langid
 from . import mix as _mix
 from . import near as _near
 from . import quality as _quality
@@ -37,6 +38,14 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "n_above")
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents, learning from those whose remainder mod 5 is not 0."""
+    docs = _docs(spark, sf_dir)
+    model = _langid.fit(_langid.sample(docs.select("doc_id", "text", "lang"), train=_remainder(5) != 0))
+    out = _langid.label(docs, model, pass_on=["doc_id"])
+    return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op6_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents; sources weigh 3, 1, 2, repeating, and share 150% of all words, each at most twice its own."""
     return _mix.mix(_docs(spark, sf_dir), Workspace(spark, "op6")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -69,6 +78,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_toxicity": op3_compression_toxicity,
+    "op5_crf_language": op5_crf_language,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_positional_index": op8_positional_index,
