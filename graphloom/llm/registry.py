@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as _decontaminate
+from . import katz as _katz
 from . import langid as _langid
 from . import mix as _mix
 from . import near as _near
@@ -29,6 +30,11 @@ def _remainder(n: int) -> Column:
     return F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % n
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents, learning from those whose remainder mod 7 is not 2."""
+    return _katz.score(_docs(spark, sf_dir), Workspace(spark, "op1"), _remainder(7) == 2)
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents for toxicity, learning from labels whose remainder mod 5 is not 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -77,6 +83,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_backoff": op1_katz_backoff,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op5_crf_language": op5_crf_language,
     "op6_entropy_mix": op6_entropy_mix,
