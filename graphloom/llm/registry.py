@@ -14,6 +14,7 @@ from . import mix as _mix
 from . import near as _near
 from . import quality as _quality
 from . import shard as _shard
+from . import tokenids as _tokenids
 from . import toxicity as _toxicity
 from .workspace import Workspace
 
@@ -44,6 +45,19 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows", "n_above")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of the public tokenizer that op4 and the pipeline write ids of."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents as range-coded files and read them back."""
+    ws = Workspace(spark, "op4")
+    return _tokenids.read(_tokenids.write(_docs(spark, sf_dir), ws, tokenizer_path()), ws)
+
+
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predict the language of all documents, learning from those whose remainder mod 5 is not 0."""
     docs = _docs(spark, sf_dir)
@@ -85,6 +99,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op3_compression_toxicity": op3_compression_toxicity,
+    "op4_range_coded_ids": op4_range_coded_ids,
     "op5_crf_language": op5_crf_language,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_ngram_jaccard": op7_ngram_jaccard,
