@@ -25,6 +25,8 @@ from .workspace import Workspace
 #: Features; the counts of one table are this many numbers, whatever its size.
 SIZE = 1 << 16
 NGRAM = 4
+#: Trusted documents that the target multinomial is fitted on, at most.
+TRUSTED = 20_000
 SYMBOLS = b"#*$%&|<>"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -172,8 +174,13 @@ def rate(docs: DataFrame, log_ratio: np.ndarray, *, keys: list[str] | None = Non
     return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def assess(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, threshold: float = -0.5, size: int = SIZE) -> DataFrame:
-    """Fit on all of docs, with the rows whose doc_id is in trusted(doc_id) as the target, and rate all of docs."""
-    ids = trusted.select(F.col("doc_id").alias("_id")).where(F.col("_id").isNotNull()).distinct().withColumn("trusted", F.lit(True))
+def assess(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, threshold: float = -0.5, size: int = SIZE, most: int = TRUSTED) -> DataFrame:
+    """Fit on all of docs, with rows whose doc_id is in trusted(doc_id) as the target, and rate all of docs.
+
+    Of the trusted ids, at most `most` are used, by their hash; they are sent to
+    the executors, so that no text is shuffled. Raw counts cover every document.
+    """
+    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("trusted")))  # `most` rows
     marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left")
     return rate(docs, fit(docs.sparkSession, count_features(marked, size), size), threshold=threshold, size=size)
