@@ -1,13 +1,98 @@
-"""Corpus pipeline."""
+"""From documents to token ids: language, near copies, benchmark leaks, source weights, ids.
+
+Each stage reads what its predecessor kept, as a table, and all but the last
+return the columns of documents. Stages name a document by doc_id and the MD5 of
+its text, so decisions are joined back without shuffling more than the text, and
+equal rows share a decision.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import decontaminate as _decontaminate
+from graphloom.llm import langid, mix, near, tokenids
+from graphloom.llm.registry import tokenizer_path
+from graphloom.llm.workspace import Workspace
+
+#: Least mean probability of its language that a document needs; clean text is above 0.9.
+LANGUAGE = 0.5
+KEY = ["doc_id", "md5"]
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is recognised: not `und`, and with a score of LANGUAGE at least."""
+    model = langid.fit(langid.sample(docs.select("doc_id", "text", "lang")))
+    out = langid.label(docs, model, pass_on=docs.columns)
+    return out.where((F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= LANGUAGE)).select(*docs.columns)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near copies, the one of the least doc_id."""
+    found = near.join(docs, Workspace(spark, "stage-near"))
+    # of equal rows each is in the class; one of them is kept
+    kept = found.groupBy(*KEY).agg(F.max("keep").alias("keep"), F.count(F.lit(1)).alias("rows"), F.first("class_size").alias("class_size")).where("keep")
+    single = (F.col("class_size") == 1).alias("alone")
+    return by_key(docs, kept.select(*KEY, F.when(single, F.col("rows")).otherwise(F.lit(1)).cast("long").alias("copies"), "rows"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents in which any window of a benchmark item occurs."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.select("doc_id", near.text_md5(), "text")
+    hit = _decontaminate.decontaminate(keyed, items, Workspace(spark, "stage-leaks"), keys=KEY, reach=None).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5")).distinct()
+    out = docs.withColumn("md5", near.text_md5())
+    return out.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("md5") == F.col("_md5")), "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat or drop documents so that sources come near their targets."""
+    keyed = docs.withColumn("md5", near.text_md5())
+    out = mix.mix(keyed, Workspace(spark, "stage-mix"), keys=KEY)
+    return by_key(docs, out.groupBy(*KEY).agg(F.sum("copies").cast("long").alias("copies"), F.count(F.lit(1)).alias("rows")))
+
+
+def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Write the ids of all documents as range-coded files; (doc_id, start, n_tokens, ids_crc32) read back from them."""
+    ws = Workspace(spark, "stage-ids")
+    return tokenids.read(tokenids.write(docs, ws, tokenizer_path()), ws)
+
+
+def by_key(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """docs with `copies` rows for each key in all; decisions(doc_id, md5, copies, rows), where rows is how many rows of docs have the key.
+
+    Rows of a key that occurs once, as nearly all do, are repeated as they are;
+    of others, equal in doc_id and text, one is taken first.
+    """
+    some = decisions.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("md5").alias("_md5"), F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
+    out = docs.withColumn("_key", near.text_md5())
+    out = out.join(some, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_md5")))
+    repeat = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
+    as_is = out.where("_copies = _rows")
+    once = out.where("_copies <> _rows and _rows = 1").withColumn("_n", repeat)
+    many = out.where("_copies <> _rows and _rows > 1").dropDuplicates(["_id", "_md5"]).withColumn("_n", repeat)
+    return as_is.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(many.select(*docs.columns))
+
+
+STAGES = [
+    ("language", keep_language),
+    ("near copies", keep_one_of_near),
+    ("benchmark leaks", drop_leaks),
+    ("source weights", mix_sources),
+    ("token ids", write_ids),
+]
 
-STAGES: list = []
+#: Hashing and coding stages can't be expressed in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to documents; each result is written and read again as the next one's docs."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = ws.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k > 1:
+            ws.drop(f"stage{k - 2}")
+    return docs

@@ -81,23 +81,23 @@ def dual(mass: Column, target: Column, steps: int = STEPS) -> Column:
     return F.when((mass > 0) & (target > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
 
 
-def mix(docs: DataFrame, ws: Workspace, *, weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, rate, copies) for every row of docs.
+def mix(docs: DataFrame, ws: Workspace, *, keys: Sequence[str] = ("doc_id",), weights: Sequence[float] = (3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """(keys, size, source_size, target, taken, source, rate, copies) for every row of docs.
 
-    Reads doc_id, text and source. Within a source, documents ranked by size are
+    Reads keys (which name a row), text and source. Within a source, documents ranked by size are
     rounded systematically: the document of rank k gets floor(r (k+1) + 1/2) -
     floor(r k + 1/2) copies, so any run of documents has within one copy of its
     share, and the source's words come within about one document of the target.
-    Nobody gets more than ceil(r) copies. Ranks are global ranks in (size, doc_id),
+    Nobody gets more than ceil(r) copies. Ranks are global ranks in (size, keys),
     so reruns agree; a hot source spans many partitions.
 
     Null or empty texts have size 0; null sources are one source, the last; equal
     rows get copies each on their own; an empty table gives an empty result.
     Other columns of docs are not read.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows, _ = ranked(ws, rows, ["size", "doc_id"], "source", "mix_ranks")
-    rows = rows.select("doc_id", "source", "size", "rank")
+    rows = docs.select(*keys, F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows, _ = ranked(ws, rows, ["size", *keys], "source", "mix_ranks")
+    rows = rows.select(*keys, "source", "size", "rank")
     sums = ws.read("mix_ranks", "source string, size long").groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sums, weights, share, cap).withColumn("lam", dual(F.col("source_size").cast("double"), F.col("target")))
     # nine digits, so that the last bits of exp() decide nothing
@@ -108,4 +108,4 @@ def mix(docs: DataFrame, ws: Workspace, *, weights: Sequence[float] = (3.0, 1.0,
     upto = lambda k: F.floor(F.col("rate") * k + 0.5)
     copies = F.least(F.lit(int(cap)), upto(F.col("rank") + 1) - upto(F.col("rank"))).cast("long")
     out = out.withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")
+    return out.select(*keys, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "rate", "copies")

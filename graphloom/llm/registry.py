@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate as _decontaminate
 from . import katz as _katz
 from . import langid as _langid
+from . import licenses as _licenses
 from . import mix as _mix
 from . import near as _near
 from . import quality as _quality
@@ -36,6 +37,11 @@ def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _katz.score(_docs(spark, sf_dir), Workspace(spark, "op1"), _remainder(7) == 2)
 
 
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best match of each license template in all documents."""
+    return _licenses.scan(_docs(spark, sf_dir), Workspace(spark, "op2"))
+
+
 def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score all documents for toxicity, learning from labels whose remainder mod 5 is not 0."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -98,6 +104,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
+    "op2_license_windows": op2_license_windows,
     "op3_compression_toxicity": op3_compression_toxicity,
     "op4_range_coded_ids": op4_range_coded_ids,
     "op5_crf_language": op5_crf_language,
