@@ -17,6 +17,8 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def dedup(edges: DataFrame, order: str = "ord") -> DataFrame:
     """One edge for each (source, target, kind): the one of the least `order`. An aggregate of structs, so that tasks reduce before the shuffle."""
     rest = [c for c in edges.columns if c not in ("source", "target", "kind", order)]
+    if not rest:  # numbers alone stay in hash aggregates
+        return edges.groupBy("source", "target", "kind").agg(F.min(order).alias(order))
     first = edges.groupBy("source", "target", "kind").agg(F.min(F.struct(order, *rest)).alias("_f"))
     return first.select("source", "target", "kind", *[F.col(f"_f.{c}").alias(c) for c in [order, *rest]])
 
@@ -37,11 +39,12 @@ def coupling(edges: DataFrame, functions: DataFrame, group: str, inside_too: boo
     """
     a = functions.select(F.col("id").alias("source"), F.col("grp").alias("s_grp"), F.col("cls").alias("s_cls"))
     b = functions.select(F.col("id").alias("target"), F.col("grp").alias("t_grp"), F.col("cls").alias("t_cls"))
-    pairs = edges.join(a, "source").join(b, "target").select("s_grp", "s_cls", "t_grp", "t_cls").distinct()
-    pairs = pairs.where("s_grp <> t_grp" if not inside_too else "s_cls <> t_cls")
-    out = pairs.groupBy(F.col("s_grp").alias(group)).agg(F.countDistinct("t_cls").alias("ce"))
-    into = pairs.groupBy(F.col("t_grp").alias(group)).agg(F.countDistinct("s_cls").alias("ca"))
-    every = functions.select(F.col("grp").alias(group)).distinct().join(into, group, "left").join(out, group, "left")
+    pairs = edges.join(a, "source").join(b, "target").where("s_grp <> t_grp" if not inside_too else "s_cls <> t_cls")
+    # each call counts at both of its ends; both counts come from one pass and one table of distinct (group, end, class)
+    ends = F.array(F.struct(F.col("s_grp").alias("g"), F.lit(1).alias("out"), F.col("t_cls").alias("cls")), F.struct(F.col("t_grp").alias("g"), F.lit(0).alias("out"), F.col("s_cls").alias("cls")))
+    seen = pairs.select(F.explode(ends).alias("e")).select("e.g", "e.out", "e.cls").distinct()
+    counts = seen.groupBy(F.col("g").alias(group)).agg(F.sum("out").alias("ce"), (F.count(F.lit(1)) - F.sum("out")).alias("ca"))
+    every = functions.select(F.col("grp").alias(group)).distinct().join(counts, group, "left")
     ca, ce = F.coalesce("ca", F.lit(0)).cast("long"), F.coalesce("ce", F.lit(0)).cast("long")
     return every.select(group, ca.alias("ca"), ce.alias("ce")).withColumn("instability", F.when(F.col("ca") + F.col("ce") == 0, F.lit(0.0)).otherwise(round2(F.col("ce") / (F.col("ca") + F.col("ce")))))
 
