@@ -56,13 +56,16 @@ class Models:
         states = lanes * (TOP + 1) ** 2
         self.right = np.concatenate([np.full(states, 2, np.uint64), np.ones(2 * states, np.uint64)])
         self.some = states
-        self.seen = np.zeros((lanes, vocabulary), np.uint16)
+        # weights of ids; the first id of each block has the block's distance added, so that sums are set apart
+        self.weight = np.ones((lanes, vocabulary), np.int32)
         self.new: list[tuple[np.ndarray, np.ndarray]] = []
         # a row for each block; rows are set apart by 2^TOTAL, so the whole is sorted
         self.upto = np.empty((lanes, vocabulary + 1), np.int32)
         self.flat = self.upto.reshape(-1)
         self.base2, self.base1 = np.arange(lanes) << SLOTS2, np.arange(lanes) << SLOTS1
         self.base0, self.apart = np.arange(lanes) * (vocabulary + 1), np.arange(lanes, dtype=np.int32) << TOTAL
+        self.weight[:, 0] += self.apart
+        self.upto[:, 0] = self.apart
         self.states = np.arange(lanes) * (TOP + 1) ** 2
         self.last, self.key2 = np.zeros(lanes, np.int64), self.base2.copy()
         self.key1 = self.base1.copy()
@@ -71,15 +74,9 @@ class Models:
     def refresh(self) -> None:
         """Bring order 0 up to date."""
         for lane, x in self.new:
-            np.add.at(self.seen, (lane, x), 1)
+            self.weight[lane, x] += SEEN  # a block has one id in each step
         self.new = []
-        for i in range(0, self.n, 32):
-            part = self.seen[i : i + 32].astype(np.int32)
-            part *= SEEN
-            part += 1
-            self.upto[i : i + 32, 0] = self.apart[i : i + 32]
-            np.cumsum(part, axis=1, out=self.upto[i : i + 32, 1:])
-            self.upto[i : i + 32, 1:] += self.apart[i : i + 32, None]
+        np.cumsum(self.weight, axis=1, out=self.upto[:, 1:])
         self.total0 = (self.upto[:, -1] - self.apart).astype(np.uint64)
 
     def predict(self, n: int) -> None:
