@@ -24,8 +24,8 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block, blocks coded in step, and ids between two updates of order 0.
-BLOCK, LANES, STEP = 16384, 384, 512
+#: Ids of a block at most and at least, blocks coded in step, and ids between two updates of order 0.
+BLOCK, LEAST, LANES, STEP = 16384, 1024, 384, 512
 #: log2 of the slots of order 2 and order 1.
 SLOTS2, SLOTS1 = 14, 13
 #: Weight of a seen id against one that wasn't, in order 0; a block's weights sum up to less than 2^TOTAL.
@@ -233,7 +233,9 @@ def write_file(lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     each block u32 ids, words and crc32 of its ids as little-endian u32; u32 crc32
     of all before; then the blocks' words.
     """
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
+    # a smaller file has shorter blocks rather than fewer: steps cost as much for few blocks as for many
+    size = min(BLOCK, max(LEAST, -(-len(ids) // (LANES * LEAST)) * LEAST))
+    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
     coded: list[np.ndarray] = []
     for i in range(0, len(blocks), LANES):
         coded += encode_group(blocks[i : i + LANES], vocabulary)

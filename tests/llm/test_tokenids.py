@@ -25,6 +25,7 @@ def test_any_ids_round_trip(ids, repeats):
 
 def test_many_blocks(monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 64)
+    monkeypatch.setattr(R, "LEAST", 64)
     monkeypatch.setattr(R, "LANES", 5)
     monkeypatch.setattr(R, "STEP", 16)
     rng = np.random.default_rng(1)
