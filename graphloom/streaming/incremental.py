@@ -1,6 +1,6 @@
 """Incremental analysis: new source files are parsed as they come.
 
-An extension: the reference analyses whole repositories only. A file stream of
+An extension to the analysis of whole repositories. A file stream of
 (service, path, language, text) JSON rows is parsed in micro-batches and appended to a
 node table; the checkpoint remembers which files were read.
 """
