@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 
 #: Ids of a block at most and at least, blocks coded in step, and ids between two updates of order 0.
-BLOCK, LEAST, LANES, STEP = 16384, 1024, 384, 512
+BLOCK, LEAST, LANES, STEP = 16384, 1024, 256, 512
 #: log2 of the slots of order 2 and order 1.
 SLOTS2, SLOTS1 = 14, 13
 #: Weight of a seen id against one that wasn't, in order 0; a block's weights sum up to less than 2^TOTAL.
