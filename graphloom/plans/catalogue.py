@@ -439,16 +439,25 @@ def eco_delete(spark, d):
 STEPS = "g AS (SELECT DISTINCT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS target FROM lineitem WHERE l_quantity > 49), e AS (SELECT source, target FROM g WHERE target IS NOT NULL AND source <> target)"
 
 
-def supplier_steps(spark, d):
+#: The same over every line.
+EVERY_STEP = STEPS.replace(" WHERE l_quantity > 49", "")
+
+
+def supplier_steps(lines: DataFrame) -> DataFrame:
+    """An edge from a line's supplier to that of the order's next line, among the lines given."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
-    return table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("source"), F.lead("l_suppkey").over(w).alias("target")).where("target is not null and source <> target").distinct()
+    return lines.select(F.col("l_suppkey").alias("source"), F.lead("l_suppkey").over(w).alias("target")).where("target is not null and source <> target").distinct()
+
+
+def large_lines(spark, d):
+    return table(spark, d, "lineitem").where("l_quantity > 49")
 
 
 @query(f"WITH RECURSIVE {STEPS}, r(root, node) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey <= 20 UNION SELECT r.root, e.target FROM r JOIN e ON r.node = e.source) SELECT root, bool_or(s_acctbal < 0) AS can_throw, count(*) AS reached, count(DISTINCT s_nationkey) FILTER (s_acctbal < 0) AS statuses FROM r JOIN supplier ON node = s_suppkey GROUP BY 1")
 def reach_can_throw(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     folder = Saved(spark)
-    near = closure.reach(s.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id")), folder.save(supplier_steps(spark, d), "edges"), folder.save)
+    near = closure.reach(s.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id")), folder.save(supplier_steps(large_lines(spark, d)), "edges"), folder.save)
     bad = F.col("s_acctbal") < 0
     return near.join(s, F.col("node") == F.col("s_suppkey")).groupBy("root").agg(F.bool_or(bad).alias("can_throw"), F.count(F.lit(1)).alias("reached"), F.countDistinct(F.when(bad, F.col("s_nationkey"))).alias("statuses"))
 
@@ -456,11 +465,44 @@ def reach_can_throw(spark, d):
 @query(f"WITH {STEPS}, a AS (SELECT source AS root, target AS node FROM e), b AS (SELECT DISTINCT a.root, e.target AS node FROM a JOIN e ON a.node = e.source WHERE e.target <> a.root AND (a.root, e.target) NOT IN (SELECT root, node FROM a)), u AS (SELECT root, node, 1 AS depth FROM a UNION ALL SELECT root, node, 2 FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS line FROM u) SELECT root, node, depth, CAST(line AS INTEGER) AS line FROM k WHERE line <= 30")
 def flow_summary(spark, d):
     folder = Saved(spark)
-    e = folder.save(supplier_steps(spark, d), "edges")
+    e = folder.save(supplier_steps(large_lines(spark, d)), "edges")
     near = closure.reach(e.select(F.col("source").alias("id")).distinct(), e, folder.save, most=2).where("depth > 0")
     return resolve.top(near, "root", ["depth", "node"], 30).select("root", "node", "depth", F.col("rank").alias("line"))
 
 
+@query(ORACLES["reach_can_throw"].replace(STEPS, EVERY_STEP).replace(" WHERE s_suppkey <= 20", ""))
+def reach_can_throw_all(spark, d):
+    """reach_can_throw from every supplier, over the steps of every line."""
+    return reached(table(spark, d, "supplier"), supplier_steps(table(spark, d, "lineitem")), Saved(spark).save)
+
+
+def reached(s: DataFrame, steps: DataFrame, save) -> DataFrame:
+    """(root, can_throw, reached, statuses) of every supplier."""
+    steps, bad = save(steps, "edges"), F.col("s_acctbal") < 0
+    knot, between = closure.contract(steps, save)
+    s = s.join(knot, F.col("s_suppkey") == F.col("node"), "left").select("s_suppkey", F.coalesce("part", "s_suppkey").alias("part"), bad.alias("bad"), F.when(bad, F.col("s_nationkey")).alias("status"))
+    s = save(s, "suppliers")
+    near = closure.reach(s.select(F.col("part").alias("id")).distinct(), between, save)
+    facts = s.groupBy("part", "bad", "status").agg(F.count(F.lit(1)).alias("n"))
+    found = near.join(facts, F.col("node") == F.col("part")).groupBy("root").agg(F.bool_or("bad").alias("can_throw"), F.sum("n").alias("reached"), F.countDistinct("status").alias("statuses"))
+    return s.join(found, F.col("part") == F.col("root")).select(F.col("s_suppkey").alias("root"), "can_throw", "reached", "statuses")
+
+
+@query(ORACLES["flow_summary"].replace(STEPS, EVERY_STEP))
+def flow_summary_all(spark, d):
+    """flow_summary over the steps of every line."""
+    folder = Saved(spark)
+    return summary(folder.save(supplier_steps(table(spark, d, "lineitem")), "edges"), folder.save)
+
+
+def summary(e: DataFrame, save, lines: int = 30) -> DataFrame:
+    """The first `lines` nodes of each root by depth, up to 2; depth 2 counts only for roots with fewer nodes at depth 1, so only these are followed."""
+    few = e.groupBy(F.col("source").alias("id")).count().where(F.col("count") < lines).select("id")
+    far = closure.reach(few, e, save, most=2).where("depth = 2")
+    near = e.select(F.col("source").alias("root"), F.col("target").alias("node"), F.lit(1).alias("depth")).unionByName(far)
+    return resolve.top(near, "root", ["depth", "node"], lines).select("root", "node", "depth", F.col("rank").alias("line"))
+
+
 @query(f"WITH {TIMED}, k AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS rn FROM timed) SELECT user_id, event_type, event_id FROM k WHERE rn = 1")
 def responses_first(spark, d):
     best = timed(spark, d).groupBy("user_id", "event_type").agg(F.min(F.struct("t", "event_id")).alias("b"))
