@@ -389,8 +389,12 @@ def json_shape(spark, d):
 CANDIDATES = "p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS service, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/[0-9]+', '/:param', 'g') AS path, page_id % 3 AS n_params, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, html FROM pages), found AS (SELECT c.page_id AS call_id, e.page_id AS endpoint_id, least(100, 60 + CASE WHEN c.n_params = e.n_params THEN 20 ELSE 0 END + CASE WHEN contains(c.html, e.service) THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM p c JOIN p e ON c.method = e.method AND c.path = e.path AND c.service <> e.service WHERE c.page_id % 5 = 0 AND e.page_id % 5 <> 0)"
 
 
+def pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1).alias("service"), F.regexp_replace(X.url_path(F.col("url")), "/[0-9]+", "/:param").alias("path"), (F.col("page_id") % 3).alias("n_params"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST").alias("method"), "html")
+
+
 def page_calls(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1).alias("service"), F.regexp_replace(X.url_path(F.col("url")), "/[0-9]+", "/:param").alias("path"), (F.col("page_id") % 3).alias("n_params"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST").alias("method"), "html")
+    p = pages(spark, d)
     calls = p.where("page_id % 5 = 0").withColumnRenamed("page_id", "call_id")
     return calls, resolve.candidates(calls, p.where("page_id % 5 <> 0").withColumnRenamed("page_id", "id"), F.col("html").contains(F.col("target_service")))
 
@@ -406,6 +410,22 @@ def resolve_status(spark, d):
     return resolve.status(calls, found, 0.8)
 
 
+#: Every page is a call, and an endpoint for the pages of other hosts.
+EVERY_CANDIDATE = CANDIDATES.replace(" WHERE c.page_id % 5 = 0 AND e.page_id % 5 <> 0", "")
+
+
+@query(ORACLES["resolve_candidates"].replace(CANDIDATES, EVERY_CANDIDATE))
+def resolve_candidates_all(spark, d):
+    """resolve_candidates between all pages: as many rows as there are pairs."""
+    return resolve.all_candidates(pages(spark, d)).select("call_id", "endpoint_id", "confidence")
+
+
+@query(ORACLES["resolve_status"].replace(CANDIDATES, EVERY_CANDIDATE).replace(" WHERE p.page_id % 5 = 0", ""))
+def resolve_status_all(spark, d):
+    """resolve_status of all pages, without listing pairs."""
+    return resolve.all_status(pages(spark, d), 0.8)
+
+
 @query("SELECT d.doc_id AS call_id, CASE WHEN l.toxic = 1 THEN 'unresolvable' WHEN l.quality = 1 THEN 'resolved' WHEN l.quality = 0 THEN 'skipped' ELSE 'pending_review' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def apply_decisions(spark, d):
     s = F.when(F.col("toxic") == 1, "unresolvable").when(F.col("quality") == 1, "resolved").when(F.col("quality") == 0, "skipped").otherwise("pending_review")
