@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,8 @@ from .workspace import Workspace
 #: Features; the counts of one table are this many numbers, whatever its size.
 SIZE = 1 << 16
 NGRAM = 4
-#: Trusted documents that the target multinomial is fitted on, at most.
-TRUSTED = 20_000
+#: Trusted ids that are sent to executors at a time, about; 8 bytes each.
+BLOCK = 4_000_000
 SYMBOLS = b"#*$%&|<>"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -53,33 +53,61 @@ def features(texts: pa.Array, size: int = SIZE, n: int = NGRAM) -> tuple[np.ndar
     return h[whole].astype(np.int64), doc[:m][whole]
 
 
-def count_features(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """(feature, raw, target): how often each feature occurs in all of docs, and where `trusted` is true.
+def count_features(docs: DataFrame, ids: np.ndarray, size: int = SIZE) -> DataFrame:
+    """(feature, raw, target): how often each feature occurs in all of docs(text, id_hash), and where id_hash is among the sorted ids.
 
     A task adds up its share before the shuffle and sends at most `size` rows.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(ids)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        known = sent.value
         for batch in batches:
             for part in slices(batch):
                 f, doc = features(part.column("text"), size)
                 raw += np.bincount(f, minlength=size)
-                trusted = np.asarray(part.column("trusted").fill_null(False).to_numpy(zero_copy_only=False), bool)
-                target += np.bincount(f[trusted[doc]], minlength=size)
+                if len(known):
+                    h = part.column("id_hash")
+                    has = np.asarray(h.is_valid().to_numpy(zero_copy_only=False), bool)
+                    h = h.fill_null(0).to_numpy(zero_copy_only=False)
+                    trusted = has & (known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h)
+                    target += np.bincount(f[trusted[doc]], minlength=size)
         at = np.flatnonzero(raw)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["feature", "raw", "target"])
 
-    out = docs.select("text", "trusted").mapInArrow(count, "feature int, raw long, target long")
+    out = docs.select("text", "id_hash").mapInArrow(count, "feature int, raw long, target long")
     return out.groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def fit(spark: SparkSession, counts: DataFrame, size: int = SIZE) -> np.ndarray:
-    """log(p_target / p_raw) of each feature; `size` numbers come to the driver. Both are smoothed by `size` features dealt as in the raw corpus: without target text every ratio is 0."""
+def count_all(docs: DataFrame, trusted: DataFrame, ws: Workspace, size: int = SIZE, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each feature over all of docs, and over all rows whose doc_id is in trusted(doc_id); `size` numbers a block come to the driver.
+
+    Trusted ids are sent to the executors in blocks of about `block`, so that no
+    text is shuffled. The first block is counted together with all of docs, the
+    others on the rows of their block. An id is known by its 64-bit hash, which
+    is one to one for whole numbers.
+    """
+    h = F.xxhash64(F.col("doc_id"))  # of one type on both sides
+    ids = trusted.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")).where("doc_id is not null")
+    ids = ws.write(ids.select(h.alias("id_hash")).distinct(), "trusted")
+    blocks = max(1, -(-ids.count() // block))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.when(F.col("doc_id").isNotNull(), h).alias("id_hash"))
     raw, target = np.zeros(size), np.zeros(size)
-    for r in counts.collect():  # at most `size` rows
-        raw[r.feature], target[r.feature] = r.raw, r.target
+    for k in range(blocks):
+        mine = F.pmod("id_hash", F.lit(blocks)) == k
+        known = np.sort(ids.where(mine).toArrow().column("id_hash").to_numpy())  # about `block` numbers
+        for r in count_features(rows.where(mine) if k else rows, known, size).collect():  # at most `size` rows
+            if k == 0:
+                raw[r.feature] = r.raw
+            target[r.feature] += r.target
+    return raw, target
+
+
+def fit(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log(p_target / p_raw) of each feature. Both are smoothed by as many features dealt as in the raw corpus: without target text every ratio is 0."""
+    size = len(raw)
     p = (raw + 1) / (raw.sum() + size)
     q = (target + size * p) / (target.sum() + size)
     return np.log(q) - np.log(p)
@@ -174,13 +202,6 @@ def rate(docs: DataFrame, log_ratio: np.ndarray, *, keys: list[str] | None = Non
     return docs.select(*keys, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def assess(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, threshold: float = -0.5, size: int = SIZE, most: int = TRUSTED) -> DataFrame:
-    """Fit on all of docs, with rows whose doc_id is in trusted(doc_id) as the target, and rate all of docs.
-
-    Of the trusted ids, at most `most` are used, by their hash; they are sent to
-    the executors, so that no text is shuffled. Raw counts cover every document.
-    """
-    ids = trusted.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("trusted")))  # `most` rows
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, F.col("doc_id") == F.col("_id"), "left")
-    return rate(docs, fit(docs.sparkSession, count_features(marked, size), size), threshold=threshold, size=size)
+def assess(docs: DataFrame, trusted: DataFrame, ws: Workspace, *, threshold: float = -0.5, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+    """Fit on all of docs, with all rows whose doc_id is in trusted(doc_id) as the target, and rate all of docs."""
+    return rate(docs, fit(*count_all(docs, trusted, ws, size, block)), threshold=threshold, size=size)

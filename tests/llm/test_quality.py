@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from graphloom.llm import quality as Q
 from graphloom.llm.workspace import Workspace
 
@@ -60,3 +62,17 @@ def test_held_out_labels(spark):
     junk = [out[i] for i, q in labels.items() if q == 0]
     assert sum(r.kept or r.base_failed for r in good) >= 0.98 * len(good)
     assert sum(r.kept for r in junk) <= 0.12 * len(junk)
+
+
+def test_every_trusted_document_counts(spark):
+    # more than were once sent to executors; the last ones alone have their words
+    rows = [(i, f"good text {i % 50}" if i < 20_000 else f"late words {i} zq") for i in range(21_000)] + [(30_000 + i, f"noise ## {i}") for i in range(500)] + [(None, "good text x"), (20_500, "again qz"), (20_500, None)]
+    f, doc = Q.features(pa.array([t for _, t in rows], pa.string()), 4096)
+    ok = np.array([i is not None and i < 21_000 for i, _ in rows])
+    ratio = Q.fit(np.bincount(f, minlength=4096).astype(float), np.bincount(f[ok[doc]], minlength=4096).astype(float))
+    n = np.bincount(doc, minlength=len(rows))
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], np.round(np.bincount(doc, weights=ratio[f], minlength=len(rows)) / np.maximum(1, n), 9)))
+    for block in (Q.BLOCK, 4_000):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in rate(spark, rows, range(21_000), size=4096, block=block))
+        assert [i for i, _ in got] == [i for i, _ in want]
+        assert np.allclose([s for _, s in got], [s for _, s in want], atol=2e-9)
