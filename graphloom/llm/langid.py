@@ -27,7 +27,7 @@ FEATURES = 1 << 16
 AFFIX, GRAM = 5, 4
 #: Documents of each language to learn from, about; they are taken by a hash of their id.
 PER_LANGUAGE = 300
-#: Languages that a model has at most: those of the most documents.
+#: Languages that a model has at most; more are an error. The driver's memory for learning grows with their square.
 LANGUAGES = 50
 #: Words of a training sequence, and of a stretch of one language in it.
 SEQUENCE, STRETCH = 36, 12
@@ -257,11 +257,13 @@ def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFr
 
 
 def sample(docs: DataFrame, *, train: Column | None = None, per_language: int = PER_LANGUAGE) -> list[tuple[str | None, str]]:
-    """About per_language texts of each language, by a hash of doc_id, from rows where `train` holds and lang isn't null; languages beyond LANGUAGES are left out."""
+    """About per_language texts of each language, by a hash of doc_id, from rows where `train` holds and lang isn't null. More than LANGUAGES languages are an error, since documents in one that isn't learned would get a wrong one."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if train is not None:
         rows = rows.where(train)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"labels hold more than {LANGUAGES} languages")
     if not sizes:
         return []
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])

@@ -67,3 +67,13 @@ def test_odd_rows(spark):
     assert L.label(d.limit(0), model, pass_on=["doc_id"]).count() == 0
     assert L.fit([]) is None and L.fit([(None, "en"), ("12", "de")]) is None
     assert {r.lang_pred for r in L.label(d, None, pass_on=["doc_id"]).collect()} == {"und"}
+
+
+def test_no_language_is_left_out_silently(spark, monkeypatch):
+    import pytest
+
+    d = spark.createDataFrame([(i, f"wort{i % 7} satz", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
+    assert {y for _, y in L.sample(d)} == {f"l{k}" for k in range(7)}
+    monkeypatch.setattr(L, "LANGUAGES", 6)
+    with pytest.raises(ValueError):
+        L.sample(d)
