@@ -275,8 +275,8 @@ def ctor_last_wins(spark, d):
 TOPICS = "m AS (SELECT event_type AS topic, list_sort(list(DISTINCT user_id % 50) FILTER (value > 50)) AS producers, list_sort(list(DISTINCT user_id % 50) FILTER (value <= 50)) AS consumers FROM events GROUP BY 1)"
 
 
-def topics(spark, d):
-    who = F.col("user_id") % 50
+def topics(spark, d, user: str = "user_id % 50"):
+    who = F.expr(user)
     return table(spark, d, "events").groupBy(F.col("event_type").alias("topic")).agg(F.array_sort(F.collect_set(F.when(F.col("value") > 50, who))).alias("producers"), F.array_sort(F.collect_set(F.when(F.col("value") <= 50, who))).alias("consumers"))
 
 
@@ -292,6 +292,28 @@ def topic_edges(spark, d):
     return edges.explode_topics(t)
 
 
+EVERY_TOPIC = TOPICS.replace("user_id % 50", "user_id")
+
+
+def topic_users(spark, d, which: str) -> DataFrame:
+    """(topic, user_id) once each, of the events where `which` holds."""
+    return table(spark, d, "events").where(which).where("user_id is not null").select(F.col("event_type").alias("topic"), "user_id").distinct()
+
+
+@query(ORACLES["topic_merge"].replace(TOPICS, EVERY_TOPIC))
+def topic_merge_all(spark, d):
+    """topic_merge of the users themselves."""
+    return topics(spark, d, "user_id").select("topic", F.array_join(F.col("producers").cast("array<string>"), ",").alias("producers"), F.array_join(F.col("consumers").cast("array<string>"), ",").alias("consumers"))
+
+
+@query(ORACLES["topic_edges"].replace(TOPICS, EVERY_TOPIC))
+def topic_edges_all(spark, d):
+    """topic_edges of the users themselves, from distinct rows and not from lists."""
+    user, broker = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("broker")
+    out = topic_users(spark, d, "value > 50").select(user.alias("source"), broker.alias("target"), F.lit("publishes_to").alias("kind"), "topic")
+    return out.unionByName(topic_users(spark, d, "value <= 50").select(broker.alias("source"), user.alias("target"), F.lit("consumes_from").alias("kind"), "topic"))
+
+
 @query("SELECT p_brand AS alias, lower(p_type) AS name, arg_min(p_name, p_partkey) AS entity, bool_or(p_size > 40) AS has_timestamps, count(*) AS merged FROM part GROUP BY 1, 2")
 def table_merge(spark, d):
     return table(spark, d, "part").groupBy(F.col("p_brand").alias("alias"), F.lower("p_type").alias("name")).agg(F.min_by("p_name", "p_partkey").alias("entity"), F.bool_or(F.col("p_size") > 40).alias("has_timestamps"), F.count(F.lit(1)).alias("merged"))

@@ -62,3 +62,13 @@ def test_every_page_is_call_and_endpoint(spark):
         mine = [v for (a, _), v in want.items() if a == c[0]]
         assert status[c[0]] == (len(mine), "unresolvable" if not mine else "resolved" if len(mine) == 1 and mine[0] >= 0.8 else "pending_review")
     assert len(status) == len(rows) and {s for _, s in status.values()} == {"unresolvable", "resolved", "pending_review"}
+
+
+def test_every_user_of_a_topic(spark):
+    d = "/root/testdata/sf0.01"
+    rows = catalogue.table(spark, d, "events").select("event_type", "user_id", "value").collect()
+    want = {("u" + str(r.user_id), r.event_type) for r in rows if r.value is not None and r.value > 50}
+    edges = catalogue.topic_edges_all(spark, d).collect()
+    got = [(r.source, r.topic) for r in edges if r.kind == "publishes_to"]
+    assert len(got) == len(want) and set(got) == want and max(int(s[1:]) for s, _ in got) >= 50
+    assert {("u" + u, r.topic) for r in catalogue.topic_merge_all(spark, d).collect() for u in r.producers.split(",")} == want
