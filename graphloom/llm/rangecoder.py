@@ -1,247 +1,431 @@
 """Adaptive context-mixing range coder for token ids, over many blocks in step.
 
 A block is coded on its own: all models start anew, so blocks can be read in any
-order and a damaged one harms no other. Each id is predicted by three orders:
-
-* order 2: the id that followed the last two ids before, with a confidence;
-* order 1: the same for the last id;
-* order 0: frequencies of the ids that no other order foretold, brought up to
-  date every STEP ids.
-
-The weights of the three are mixed by adaptive counts of which one was right,
-kept for each pair of confidences; what is coded is the order that is right and,
-for order 0, the id. Coder and decoder run the same model code, one id of every
-block at a time, so numpy's overhead is shared by all blocks of a group.
-
-The coder is a range coder with 64-bit low and range that emits 32-bit words.
-Where a range below 2^32 straddles a word's edge it is cut to the edge, so no
-carry ever reaches an emitted word.
+order and a damaged one harms no other. Its ids are cut into STREAMS stretches,
+which are coded side by side and share the block's models. Each id is foretold by
+three orders:
+
+* order 2: two ids that followed the last two ids, each with a count;
+* order 1: two ids that followed the last id, each with a count;
+* order 0: frequencies of the ids that no other order foretold; ids that are new
+  to the block are spelled out.
+
+Each order is a distribution over its ids, and the coded probabilities are those
+of their mixture: sum of weight(order) * p(order, id), so an id that two orders
+foretell gets the mass of both. The weights are kept for each pair of states (the
+counts of order 2 and of order 1) and learned by expectation maximisation: each
+coded id adds to the orders that foretold it in proportion to their mass.
+
+Models stand still for some ids (an epoch) and then learn from all ids of the
+epoch at once. So both ways numpy handles whole epochs where it can: coding needs
+a Python step only for the coder's arithmetic, decoding for each id of a stretch,
+all stretches of a group of blocks at a time.
+
+The coder has a 64-bit low and range and emits 32-bit words; a carry is added to
+the word before and ripples at the end.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-#: Ids of a block at most and at least, blocks coded in step, and ids between two updates of order 0.
-BLOCK, LEAST, LANES, STEP = 16384, 1024, 256, 512
-#: log2 of the slots of order 2 and order 1.
-SLOTS2, SLOTS1 = 14, 13
-#: Weight of a seen id against one that wasn't, in order 0; a block's weights sum up to less than 2^TOTAL.
-SEEN, TOTAL = 28, 19
-#: Confidences are 0 to TOP.
-TOP = 3
-#: Counts of a pair of confidences are halved above this.
-MOST = 2000
-MAGIC = b"GLCM\x01"
-
-_32 = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
+#: Ids of a block at most, stretches of a block at most and least ids of one, blocks coded in step.
+BLOCK, STREAMS, LEAST, GROUP = 65536, 64, 256, 64
+#: log2 of the slots of order 2 and order 1, and of the totals of the mixture and of order 0. A block has fewer ids than half of the last.
+SLOTS2, SLOTS1, MIX, TOTAL0 = 15, 13, 16, 17
+#: Steps of an epoch: a quarter of all before, within these.
+EPOCH = (2, 64)
+#: Ids that the weights of a pair of states remember.
+MEMORY = 600.0
+MAGIC = b"GLCM\x02"
+
+_ID, _PAIR = (1 << 24) - 1, (1 << 48) - 1
+#: Marks of missing candidates: the first and second of order 2, and of order 1. None equals another or an id.
+_MISSING = [(_ID, _ID - 1), (_ID - 2, _ID - 3)]
+_32, _MIX, _TOTAL0 = np.uint64(32), np.uint64(MIX), np.uint64(TOTAL0)
 _FULL = np.uint64(1 << 32)
-_0, _1 = np.uint64(0), np.uint64(1)
+_1 = np.uint64(1)
+
+
+def _states() -> tuple[int, np.ndarray, np.ndarray]:
+    """States of a slot, and for each of them and each outcome (the first id, the second, neither) the next state and what becomes of the ids.
+
+    0 is an empty slot; other states are the levels of the two ids, 1 to 4 and 0
+    (no second id) to 2. What becomes: 0 they stay, 1 they are swapped, 2 the new
+    id is the second, 3 it is the first.
+    """
+    state = lambda a, b: 1 + (a - 1) * 3 + b
+    n = state(4, 2) + 1
+    then, what = np.zeros((n, 3), np.int64), np.zeros((n, 3), np.int64)
+    then[0], what[0] = state(1, 0), 3
+    for a in range(1, 5):
+        for b in range(3):
+            down = a - 1 if a > 2 else a
+            s = state(a, b)
+            then[s, 0] = state(min(4, a + 1), b)
+            if b + 1 > min(2, a):
+                then[s, 1], what[s, 1] = (state(2, 1), 1) if a < 3 else (state(down, 2), 0)
+            else:
+                then[s, 1] = state(down, min(2, b + 1))
+            then[s, 2], what[s, 2] = (state(down, 1), 2) if b < 2 else (state(down, 1), 0)
+    return n, then.reshape(-1), what.reshape(-1)
+
+
+STATES, _THEN, _WHAT = _states()
+#: Rows of the mixture: pairs of states, and for each candidate of order 1 whether it is the first or second of order 2.
+ROWS = STATES * STATES * 9
+#: For each of the 9 patterns and each of the four candidates, the candidate whose interval holds its mass.
+_HOLDER = np.array([[0, 1, {0: 2, 1: 0, 2: 1}[r], {0: 3, 1: 0, 2: 1}[q]] for r in range(3) for q in range(3)])
+
+
+def epochs(steps: int) -> Iterator[tuple[int, int]]:
+    at = 0
+    while at < steps:
+        end = min(steps, at + min(EPOCH[1], max(EPOCH[0], at // 4)))
+        yield at, end
+        at = end
+
+
+class Candidates:
+    """Two ids for each context of one order; contexts are hashed to slots. A slot is its state, the second id and the first id (24 bits each)."""
+
+    def __init__(self, blocks: int, slots: int, missing: tuple[int, int]):
+        self.slot = np.full(blocks << slots, missing[0] | missing[1] << 24, np.int64)
+
+    def learn(self, at: np.ndarray, seen: np.ndarray, first: np.ndarray, second: np.ndarray, x: np.ndarray) -> None:
+        """x followed the contexts of slots `at`, which were `seen`; of several ids of one slot the last counts."""
+        outcome = np.full(len(x), 2, np.int64)
+        outcome[second == x] = 1
+        outcome[first == x] = 0
+        outcome += (seen >> 48) * 3
+        what = _WHAT[outcome]
+        some = np.flatnonzero(what)
+        value = seen & _PAIR
+        w, f, n = what[some], first[some], x[some]
+        value[some] = np.where(w == 1, second[some] | f << 24, np.where(w == 2, f | n << 24, n | second[some] << 24))
+        value |= _THEN[outcome] << 48
+        # numpy assigns in order, so the last of equal slots stays
+        self.slot[at] = value
 
 
 class Models:
     """The models of all blocks of a group."""
 
-    def __init__(self, lanes: int, vocabulary: int):
-        if vocabulary + SEEN * BLOCK >= 1 << TOTAL:
-            raise ValueError(f"a vocabulary of {vocabulary} is too large for blocks of {BLOCK}")
-        self.n, self.vocabulary = lanes, vocabulary
-        # the id foretold (-1: none) and its confidence, times TOP + 1 for order 2
-        self.id2, self.sure2 = np.full(lanes << SLOTS2, -1, np.int32), np.zeros(lanes << SLOTS2, np.int8)
-        self.id1, self.sure1 = np.full(lanes << SLOTS1, -1, np.int32), np.zeros(lanes << SLOTS1, np.int8)
-        # counts of right orders, by pair of confidences: none, 1, 2
-        states = lanes * (TOP + 1) ** 2
-        self.right = np.concatenate([np.full(states, 2, np.uint64), np.ones(2 * states, np.uint64)])
-        self.some = states
-        # weights of ids; the first id of each block has the block's distance added, so that sums are set apart
-        self.weight = np.ones((lanes, vocabulary), np.int32)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
-        # a row for each block; rows are set apart by 2^TOTAL, so the whole is sorted
-        self.upto = np.empty((lanes, vocabulary + 1), np.int32)
-        self.flat = self.upto.reshape(-1)
-        self.base2, self.base1 = np.arange(lanes) << SLOTS2, np.arange(lanes) << SLOTS1
-        self.base0, self.apart = np.arange(lanes) * (vocabulary + 1), np.arange(lanes, dtype=np.int32) << TOTAL
-        self.weight[:, 0] += self.apart
-        self.upto[:, 0] = self.apart
-        self.states = np.arange(lanes) * (TOP + 1) ** 2
-        self.last, self.key2 = np.zeros(lanes, np.int64), self.base2.copy()
-        self.key1 = self.base1.copy()
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Bring order 0 up to date."""
-        for lane, x in self.new:
-            self.weight[lane, x] += SEEN  # a block has one id in each step
-        self.new = []
-        np.cumsum(self.weight, axis=1, out=self.upto[:, 1:])
-        self.total0 = (self.upto[:, -1] - self.apart).astype(np.uint64)
-
-    def predict(self, n: int) -> None:
-        """For the first n blocks: the ids that orders 2 and 1 foretell, and the counts of right orders."""
-        self.at2, self.at1 = self.key2[:n], self.key1[:n]
-        self.c2, self.c1 = self.sure2[self.at2], self.sure1[self.at1]
-        self.guess2, self.guess1 = self.id2[self.at2], self.id1[self.at1]
-        state = self.states[:n] + self.c2
-        state += self.c1
-        self.state = state
-        self.n0, self.n1, self.n2 = self.right[state], self.right[state + self.some], self.right[state + 2 * self.some]
-        self.n21 = self.n2 + self.n1
-        self.total = self.n21 + self.n0
-
-    def learn(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """x: the ids of the first n blocks; whether order 2 and order 1 were right."""
-        four = TOP + 1
-        self.id2[self.at2] = np.where(hit2 | (self.c2 > four), self.guess2, x)
-        self.sure2[self.at2] = _AFTER2[hit2.view(np.int8), self.c2]
-        self.id1[self.at1] = np.where(hit1 | (self.c1 > 1), self.guess1, x)
-        self.sure1[self.at1] = _AFTER1[hit1.view(np.int8), self.c1]
-        self.right[self.state + np.where(hit2, 2 * self.some, np.where(hit1, self.some, 0))] += np.uint64(24)
-        if self.total.max() > MOST:
-            s = self.state[self.total > MOST]
-            s = np.concatenate([s, s + self.some, s + 2 * self.some])
-            self.right[s] = (self.right[s] + np.uint64(1)) >> np.uint64(1)
-        last = self.last[:n]
-        np.multiply(x, 0x9E3779B1, out=self.key1[:n])
-        self.key2[:n] = (((self.key1[:n] + last * 0x2545F491) >> 11) & ((1 << SLOTS2) - 1)) + self.base2[:n]
-        self.key1[:n] = ((self.key1[:n] >> 9) & ((1 << SLOTS1) - 1)) + self.base1[:n]
-        self.last[:n] = x
-
-
-#: Confidence after a miss and after a hit, by that before; those of order 2 are times TOP + 1.
-_AFTER1 = np.array([[max(c - 1, 1) for c in range(TOP + 1)], [min(c + 1, TOP) for c in range(TOP + 1)]], np.int8)
-_AFTER2 = np.repeat(_AFTER1, TOP + 1, axis=1) * np.int8(TOP + 1)
-
-
-class Coder:
-    def __init__(self, lanes: int):
+    def __init__(self, blocks: int, vocabulary: int):
+        if not 0 < vocabulary < _ID - 3:
+            raise ValueError(f"a vocabulary of {vocabulary} isn't within 1 to {_ID - 4}")
+        self.blocks, self.vocabulary = blocks, vocabulary
+        self.order2, self.order1 = Candidates(blocks, SLOTS2, _MISSING[0]), Candidates(blocks, SLOTS1, _MISSING[1])
+        # mass of the two candidates of order 2, the two of order 1, and order 0
+        self.weight = np.tile(np.array([2.0, 1.0, 1.0, 0.5, 3.0]), (blocks * STATES * STATES, 1))
+        self.upto, self.edges2 = np.zeros((len(self.weight), 9, 6), np.uint64), np.zeros((len(self.weight), 9), np.uint64)
+        self.upto[:, :, 5] = 1 << MIX
+        self.edge, self.edges = self.upto.reshape(-1), self.edges2.reshape(-1)
+        self.mix(np.arange(len(self.weight)))
+        # order 0: ids have counts; start and size in 2^TOTAL0, size 0: new to the block
+        self.count = np.zeros((blocks, vocabulary), np.int64)
+        self.start0, self.size0 = np.zeros((blocks, vocabulary), np.int32), np.zeros((blocks, vocabulary), np.int32)
+        self.holder = np.zeros((blocks, 1 << TOTAL0), np.uint16 if vocabulary < 1 << 16 else np.int32)
+        self.known = np.zeros(blocks, np.int64)  # where the interval of new ids starts
+        self.novel, self.spelled = np.ones(blocks), np.ones(blocks)
+
+    def foretell(self, block: np.ndarray, last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+        """Slots of order 2 and order 1, the mixture's row, the four candidates, and the slots' values."""
+        key = last * 0x9E3779B1
+        at1 = ((key >> 16) & ((1 << SLOTS1) - 1)) + (block << SLOTS1)
+        key += before * 0x2545F491
+        at2 = ((key >> 12) & ((1 << SLOTS2) - 1)) + (block << SLOTS2)
+        g2, g1 = self.order2.slot[at2], self.order1.slot[at1]
+        a2, a1 = g2 & _ID, g1 & _ID
+        b2, b1 = (g2 >> 24) & _ID, (g1 >> 24) & _ID
+        row = (g2 >> 48) * STATES
+        row += g1 >> 48
+        same = (a1 == a2).view(np.int8) + ((a1 == b2).view(np.int8) << 1)
+        same *= 3
+        same += (b1 == a2).view(np.int8)
+        same += (b1 == b2).view(np.int8) << 1
+        row *= 9
+        row += same
+        row += block * ROWS
+        return at2, at1, row, [a2, b2, a1, b1], g2, g1
+
+    def mix(self, some: np.ndarray) -> None:
+        """The intervals of some pairs of states from their weights."""
+        w = self.weight[some]
+        # masses are whole numbers; a candidate that has its own interval gets 1 at least
+        mass = (w[:, :4] * (((1 << MIX) - 5) / w.sum(axis=1, keepdims=True))).astype(np.int64) + 1
+        rows = np.zeros((len(w), 9, 4), np.int64)
+        for p in range(9):
+            for k in range(4):
+                rows[:, p, _HOLDER[p, k]] += mass[:, k]
+        upto = np.cumsum(rows, axis=2).astype(np.uint64)
+        self.upto[some, :, 1:5] = upto
+        self.edges2[some] = upto[:, :, 0] | upto[:, :, 1] << np.uint64(16) | upto[:, :, 2] << _32 | upto[:, :, 3] << np.uint64(48)
+
+    def refresh0(self) -> None:
+        """The intervals of order 0 from the counts."""
+        total = 1 << TOTAL0
+        for b in range(self.blocks):
+            seen = np.flatnonzero(self.count[b])
+            c = self.count[b, seen]
+            # a share for new ids, by how many of those spelled lately were new
+            share = min(0.95, self.novel[b] / self.spelled[b])
+            room = max(64, int((total - len(seen)) * (1 - share)))
+            size = 1 + c * min(room, total - len(seen) - 64) // max(1, int(c.sum()))
+            upto = np.cumsum(size)
+            self.start0[b, seen], self.size0[b, seen] = upto - size, size
+            self.known[b] = upto[-1] if len(seen) else 0
+            self.holder[b, : self.known[b]] = np.repeat(seen, size)
+        self.novel, self.spelled = self.novel * 0.5 + 0.1, self.spelled * 0.5 + 0.1
+
+    def learn(self, block: np.ndarray, at2: np.ndarray, at1: np.ndarray, row: np.ndarray, foretold: list[np.ndarray], g2: np.ndarray, g1: np.ndarray, slot: np.ndarray, x: np.ndarray, fresh: np.ndarray) -> None:
+        """Learn from the ids of an epoch. slot: 0 to 3 the candidate, 4 order 0; fresh: places of ids that were new to the block."""
+        self.order2.learn(at2, g2, foretold[0], foretold[1], x)
+        self.order1.learn(at1, g1, foretold[2], foretold[3], x)
+        n = np.bincount(row * 5 + slot, minlength=self.edges.size * 5).reshape(-1, 45)
+        some = np.flatnonzero(n.any(axis=1))
+        n, w = n[some].reshape(-1, 9, 5), self.weight[some]
+        more = np.zeros_like(w)
+        more[:, 4] = n[:, :, 4].sum(axis=1)
+        for p in range(9):
+            held = np.zeros((len(some), 4))
+            for k in range(4):
+                held[:, _HOLDER[p, k]] += w[:, k]
+            for k in range(4):
+                h = _HOLDER[p, k]
+                more[:, k] += n[:, p, h] * w[:, k] / held[:, h]
+        w = w + more
+        w *= np.minimum(1, MEMORY / w.sum(axis=1, keepdims=True))
+        self.weight[some] = w + 0.001
+        spelled = np.flatnonzero(slot == 4)
+        self.count += np.bincount(block[spelled] * self.vocabulary + x[spelled], minlength=self.count.size).reshape(self.count.shape)
+        self.novel += np.bincount(block[fresh], minlength=self.blocks)
+        self.spelled += np.bincount(block[spelled], minlength=self.blocks)
+        self.mix(some)
+
+
+class Encoder:
+    def __init__(self, lanes: int, room: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.pos = np.zeros(lanes, np.int64)
+        self.out = np.zeros((lanes, room), np.int64)  # 32-bit words, and carries not yet passed on
 
-    def narrow(self, lane: np.ndarray | slice, start: np.ndarray, size: np.ndarray, r: np.ndarray) -> None:
-        low = self.low[lane] + r * start
+    def narrow(self, lane: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        was = self.low[lane]
+        low = was + r * start
         rng = r * size
+        over = np.flatnonzero(low < was)
+        if len(over):
+            who = over if isinstance(lane, slice) else lane[over]
+            self.out[who, self.pos[who] - 1] += 1
         small = np.flatnonzero(rng < _FULL)
         if len(small):
             who = small if isinstance(lane, slice) else lane[small]
-            lo, ra = low[small], rng[small]
-            edge = _FULL - (lo & _LOW)
-            ra = np.minimum(ra, edge)
-            self.shift(who, lo)
-            low[small], rng[small] = lo << _32, ra << _32
+            self.emit(who, low[small])
+            low[small] <<= _32
+            rng[small] <<= _32
         self.low[lane], self.range[lane] = low, rng
 
-
-class Encoder(Coder):
-    def __init__(self, lanes: int, room: int):
-        super().__init__(lanes)
-        self.out = np.zeros((lanes, room), np.uint32)
-
-    def shift(self, who: np.ndarray, low: np.ndarray) -> None:
-        self.out[who, self.pos[who]] = (low >> _32).astype(np.uint32)
+    def emit(self, who: np.ndarray, low: np.ndarray) -> None:
+        if self.pos.max() + 2 > self.out.shape[1]:
+            self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
+        self.out[who, self.pos[who]] = (low >> _32).astype(np.int64)
         self.pos[who] += 1
 
     def finish(self) -> list[np.ndarray]:
         every = np.arange(len(self.low))
-        self.shift(every, self.low)
-        self.shift(every, self.low << _32)
-        return [self.out[i, : self.pos[i]] for i in every]
-
-
-class Decoder(Coder):
-    def __init__(self, words: np.ndarray):
-        super().__init__(len(words))
-        self.words = words
-        self.code = (words[:, 0].astype(np.uint64) << _32) | words[:, 1]
-        self.pos += 2
-
-    def shift(self, who: np.ndarray, low: np.ndarray) -> None:
-        self.code[who] = (self.code[who] << _32) | self.words[who, np.minimum(self.pos[who], self.words.shape[1] - 1)]
-        self.pos[who] += 1
-
-
-def encode_group(blocks: list[np.ndarray], vocabulary: int) -> list[np.ndarray]:
-    """The words of each block; blocks fall in length, all but the last are full."""
-    n, lanes = np.array([len(b) for b in blocks]), len(blocks)
-    m, coder = Models(lanes, vocabulary), Encoder(lanes, int(n[0] * 1.25) + 8)
-    ids = np.zeros((int(n[0]), lanes), np.int64)
-    for i, b in enumerate(blocks):
-        ids[: len(b), i] = b
-    for t in range(int(n[0])):
-        live = lanes if t < n[-1] else int((n > t).sum())
-        if t and t % STEP == 0:
-            m.refresh()
-        m.predict(live)
-        x = ids[t, :live]
-        hit2 = m.guess2 == x
-        hit1 = m.guess1 == x
-        start = np.where(hit2, _0, np.where(hit1, m.n2, m.n21))
-        size = np.where(hit2, m.n2, np.where(hit1, m.n1, m.n0))
-        coder.narrow(slice(0, live), start, size, coder.range[:live] // m.total)
-        lane = np.flatnonzero(~(hit2 | hit1))
-        if len(lane):
-            y = x[lane]
-            at = m.base0[lane] + y
-            lo, hi = m.flat[at], m.flat[at + 1]
-            coder.narrow(lane, (lo - m.apart[lane]).astype(np.uint64), (hi - lo).astype(np.uint64), coder.range[lane] // m.total0[lane])
-            m.new.append((lane, y))
-        m.learn(live, x, hit2, hit1)
+        # the least multiple of 2^32 in the range; words beyond the end are read as 0
+        up = self.low + np.uint64(0xFFFFFFFF)
+        over = np.flatnonzero(up < self.low)
+        self.out[over, self.pos[over] - 1] += 1
+        self.emit(every, up)
+        for k in range(self.out.shape[1] - 1, 0, -1):
+            self.out[:, k - 1] += self.out[:, k] >> 32
+        self.out &= 0xFFFFFFFF
+        return [self.out[i, : self.pos[i]].astype(np.uint32) for i in every]
+
+
+class Decoder:
+    """code: the number read, less the low end of the range."""
+
+    def __init__(self, words: list[np.ndarray]):
+        self.words = np.zeros((len(words), max(len(w) for w in words) + 3), np.uint64)
+        for i, w in enumerate(words):
+            self.words[i, : len(w)] = w
+        self.code = self.words[:, 0] << _32 | self.words[:, 1]
+        self.range = np.full(len(words), 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.pos = np.arange(len(words)) * self.words.shape[1] + 2
+        self.last = np.arange(1, len(words) + 1) * self.words.shape[1] - 1
+        self.flat = self.words.reshape(-1)
+
+    def narrow(self, lane: np.ndarray | slice, r: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        code = self.code[lane] - r * start
+        rng = r * size
+        small = np.flatnonzero(rng < _FULL)
+        if len(small):
+            who = small if isinstance(lane, slice) else lane[small]
+            at = self.pos[who]
+            code[small] = code[small] << _32 | self.flat[np.minimum(at, self.last[who])]
+            rng[small] <<= _32
+            self.pos[who] = at + 1
+        self.code[lane], self.range[lane] = code, rng
+
+
+def _grown(steps: int, since: int) -> bool:
+    """Whether order 0 is to be brought up to date."""
+    return steps >= since + max(EPOCH[0], since // 2)
+
+
+def _plan(n: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
+    """Steps, and epochs (first step, end, stretches that have these steps); lengths of stretches fall by at most 1."""
+    least, steps = int(n[-1]), int(n[0])
+    plan = [(a, b, len(n)) for a, b in epochs(least)]
+    return steps, plan + ([(least, steps, int((n > least).sum()))] if steps > least else [])
+
+
+def encode_group(lanes: list[np.ndarray], streams: int, vocabulary: int) -> list[np.ndarray]:
+    """The words of each stretch; every `streams` of them are a block."""
+    n = np.array([len(x) for x in lanes])
+    steps, plan = _plan(n)
+    block = np.arange(len(lanes)) // streams
+    m, coder = Models(int(block[-1]) + 1, vocabulary), Encoder(len(lanes), steps // 3 + 8)
+    ids = np.zeros((steps + 2, len(lanes)), np.int64)  # two zeros before each stretch
+    for i, x in enumerate(lanes):
+        ids[2 : len(x) + 2, i] = x
+    since = 0
+    for a, b, live in plan:
+        if _grown(a, since):
+            m.refresh0()
+            since = a
+        x, last, before = (ids[a + k : b + k, :live].ravel() for k in (2, 1, 0))
+        where = np.tile(block[:live], b - a)
+        at2, at1, row, foretold, g2, g1 = m.foretell(where, last, before)
+        slot = np.full(len(x), 4)
+        for k in (3, 2, 1, 0):
+            slot[foretold[k] == x] = k
+        at = row * 6 + slot
+        start, end = m.edge[at], m.edge[at + 1]
+        spelled = slot == 4
+        here = where * vocabulary + x
+        size0 = m.size0.reshape(-1)[here]
+        start0 = m.start0.reshape(-1)[here].astype(np.uint64)
+        fresh = spelled & (size0 == 0)
+        known = m.known[where].astype(np.uint64)
+        start0 = np.where(fresh, known, start0)
+        size0 = np.where(fresh, np.uint64(1 << TOTAL0) - known, size0.astype(np.uint64))
+        size = end - start
+        for t in range(b - a):
+            i = slice(t * live, (t + 1) * live)
+            coder.narrow(slice(0, live), coder.range[:live] >> _MIX, start[i], size[i])
+            lane = np.flatnonzero(spelled[i])
+            if len(lane):
+                coder.narrow(lane, coder.range[lane] >> _TOTAL0, start0[i][lane], size0[i][lane])
+                lane = np.flatnonzero(fresh[i])
+                if len(lane):
+                    coder.narrow(lane, coder.range[lane] // np.uint64(vocabulary), x[i][lane].astype(np.uint64), _1)
+        m.learn(where, at2, at1, row, foretold, g2, g1, slot, x, np.flatnonzero(fresh))
     return coder.finish()
 
 
-def decode_group(words: list[np.ndarray], n: np.ndarray, vocabulary: int) -> list[np.ndarray]:
-    lanes = len(words)
-    table = np.zeros((lanes, max(2, max(len(w) for w in words))), np.uint32)
-    for i, w in enumerate(words):
-        table[i, : len(w)] = w
-    m, coder = Models(lanes, vocabulary), Decoder(table)
-    ids = np.zeros((int(n[0]), lanes), np.int64)
-    for t in range(int(n[0])):
-        live = lanes if t < n[-1] else int((n > t).sum())
-        if t and t % STEP == 0:
-            m.refresh()
-        m.predict(live)
-        r = coder.range[:live] // m.total
-        target = np.minimum((coder.code[:live] - coder.low[:live]) // r, m.total - _1)
-        hit2, below = target < m.n2, target < m.n21
-        start = np.where(hit2, _0, np.where(below, m.n2, m.n21))
-        size = np.where(hit2, m.n2, np.where(below, m.n1, m.n0))
-        coder.narrow(slice(0, live), start, size, r)
-        x = np.where(hit2, m.guess2, m.guess1).astype(np.int64)
-        lane = np.flatnonzero(~below)
-        if len(lane):
-            first, total = m.apart[lane], m.total0[lane]
-            r = coder.range[lane] // total
-            target = np.minimum((coder.code[lane] - coder.low[lane]) // r, total - _1).astype(np.int32)
-            at = np.searchsorted(m.flat, target + first, side="right") - 1
-            lo = m.flat[at]
-            coder.narrow(lane, (lo - first).astype(np.uint64), (m.flat[at + 1] - lo).astype(np.uint64), r)
-            y = at - m.base0[lane]
-            x[lane] = y
-            m.new.append((lane, y))
-        m.learn(live, x, hit2, m.guess1 == x)
-        ids[t, :live] = x
-    return [ids[: n[i], i].astype(np.uint32) for i in range(lanes)]
+def decode_group(words: list[np.ndarray], n: np.ndarray, streams: int, vocabulary: int) -> list[np.ndarray]:
+    """The ids of each stretch, of the given lengths."""
+    steps, plan = _plan(n)
+    block = np.arange(len(words)) // streams
+    m, coder = Models(int(block[-1]) + 1, vocabulary), Decoder(words)
+    ids = np.zeros((steps + 2, len(words)), np.int64)
+    start0, size0, holder = m.start0.reshape(-1), m.size0.reshape(-1), m.holder.reshape(-1)
+    most_mix, most0, low16 = np.uint64((1 << MIX) - 1), np.uint64((1 << TOTAL0) - 1), np.uint64(0xFFFF)
+    since = 0
+    for a, b, live in plan:
+        if _grown(a, since):
+            m.refresh0()
+            since = a
+        every, where = slice(0, live), block[:live]
+        known = m.known[where].astype(np.uint64)
+        first = np.arange(live)
+        kept = []
+        new = []
+        for t in range(a, b):
+            at2, at1, row, foretold, g2, g1 = m.foretell(where, ids[t + 1, :live], ids[t, :live])
+            r = coder.range[:live] >> _MIX
+            target = np.minimum(coder.code[:live] // r, most_mix)
+            edges = m.edges[row]
+            slot = (target >= (edges & low16)).view(np.int8) + (target >= (edges >> np.uint64(16) & low16)).view(np.int8)
+            slot += (target >= (edges >> _32 & low16)).view(np.int8)
+            slot += (target >= edges >> np.uint64(48)).view(np.int8)
+            at = row * 6
+            at += slot
+            start = m.edge[at]
+            at += 1
+            coder.narrow(every, r, start, m.edge[at] - start)
+            lane = np.flatnonzero(slot == 4)
+            x = np.concatenate([*foretold, foretold[0]])[slot * np.int64(live) + first]
+            if len(lane):
+                r = coder.range[lane] >> _TOTAL0
+                target = np.minimum(coder.code[lane] // r, most0)
+                fresh = target >= known[lane]
+                y = holder[(where[lane] << TOTAL0) + target.astype(np.int64)].astype(np.int64)
+                here = where[lane] * vocabulary + y
+                s, z = start0[here].astype(np.uint64), size0[here].astype(np.uint64)
+                some = np.flatnonzero(fresh)
+                if len(some):
+                    s[some] = known[lane[some]]
+                    z[some] = np.uint64(1 << TOTAL0) - known[lane[some]]
+                coder.narrow(lane, r, s, z)
+                if len(some):
+                    who = lane[some]
+                    r = coder.range[who] // np.uint64(vocabulary)
+                    spelt = np.minimum(coder.code[who] // r, np.uint64(vocabulary - 1))
+                    coder.narrow(who, r, spelt, _1)
+                    y[some] = spelt.astype(np.int64)
+                    new.append((t - a) * live + who)
+                x[lane] = y
+            ids[t + 2, :live] = np.minimum(x, vocabulary - 1)  # only damaged words give more
+            kept.append((at2, at1, row, *foretold, g2, g1, slot))
+        at2, at1, row, *foretold, g2, g1, slot = (np.concatenate(k) for k in zip(*kept))
+        m.learn(np.tile(where, b - a), at2, at1, row, foretold, g2, g1, slot, ids[a + 2 : b + 2, :live].ravel(), np.concatenate(new) if new else np.zeros(0, np.int64))
+    return [ids[2 : n[i] + 2, i] for i in range(len(words))]
+
+
+def _lengths(n: int, lanes: int) -> np.ndarray:
+    """n ids in stretches whose lengths differ by at most 1, longer ones first."""
+    return n // lanes + (np.arange(lanes) < n % lanes)
+
+
+def _crc(ids: np.ndarray, words: list[np.ndarray]) -> int:
+    """crc32 of a block's ids as little-endian u32 and of its words."""
+    return zlib.crc32(b"".join(w.astype("<u4").tobytes() for w in words), zlib.crc32(ids.astype("<u4").tobytes()))
 
 
 def write_file(lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
     """A file image: header, the lengths of its documents, a directory of blocks, and the blocks.
 
-    magic; u32 vocabulary, documents, blocks; u32 length of each document; for
-    each block u32 ids, words and crc32 of its ids as little-endian u32; u32 crc32
-    of all before; then the blocks' words.
+    Ids, below `vocabulary`, are renumbered by the file's alphabet, the ids that
+    occur in it. magic; u32 ids of the alphabet, documents, blocks, stretches of a
+    block, bytes of the packed alphabet; u64 ids; the alphabet (differences of
+    rising ids as u32, packed by zlib); u32 length of each document; for each block
+    u32 crc32 of its ids and words; for each stretch u32 words; u32 crc32
+    of all before; then the words.
     """
-    # a smaller file has shorter blocks rather than fewer: steps cost as much for few blocks as for many
-    size = min(BLOCK, max(LEAST, -(-len(ids) // (LANES * LEAST)) * LEAST))
-    blocks = [ids[i : i + size] for i in range(0, len(ids), size)]
+    if len(ids) and int(ids.max()) >= vocabulary:
+        raise ValueError(f"id {ids.max()} isn't below {vocabulary}")
+    alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    number = np.zeros(int(alphabet[-1]) + 1 if len(ids) else 1, np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    blocks = -(-len(ids) // BLOCK)
+    streams = min(STREAMS, max(1, len(ids) // max(1, blocks * LEAST)))
+    edge = np.concatenate([[0], np.cumsum(_lengths(len(ids), blocks * streams))]) if blocks else np.zeros(1, np.int64)
+    lanes = [number[ids[a:b]] for a, b in zip(edge[:-1], edge[1:])]
     coded: list[np.ndarray] = []
-    for i in range(0, len(blocks), LANES):
-        coded += encode_group(blocks[i : i + LANES], vocabulary)
-    head = np.array([vocabulary, len(lengths), len(blocks)], "<u4").tobytes() + np.asarray(lengths, "<u4").tobytes()
-    head += np.array([(len(b), len(w), zlib.crc32(b.astype("<u4").tobytes())) for b, w in zip(blocks, coded)], "<u4").tobytes()
-    head = MAGIC + head
+    for i in range(0, len(lanes), GROUP * streams):
+        coded += encode_group(lanes[i : i + GROUP * streams], streams, len(alphabet))
+    crc = [_crc(ids[edge[i] : edge[i + streams]], coded[i : i + streams]) for i in range(0, len(lanes), streams)]
+    packed = zlib.compress(np.diff(alphabet, prepend=0).astype("<u4").tobytes(), 9)
+    head = MAGIC + np.array([len(alphabet), len(lengths), blocks, streams, len(packed)], "<u4").tobytes() + np.array([len(ids)], "<u8").tobytes() + packed
+    head += np.asarray(lengths, "<u4").tobytes() + np.array(crc, "<u4").tobytes() + np.array([len(w) for w in coded], "<u4").tobytes()
     return b"".join([head, np.array([zlib.crc32(head)], "<u4").tobytes(), *(w.astype("<u4").tobytes() for w in coded)])
 
 
@@ -250,19 +434,27 @@ def read_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not such a file")
     at = len(MAGIC)
-    vocabulary, docs, count = (int(x) for x in np.frombuffer(data, "<u4", 3, at))
-    lengths = np.frombuffer(data, "<u4", docs, at + 12)
-    at += 12 + 4 * docs
-    directory = np.frombuffer(data, "<u4", 3 * count, at).reshape(count, 3).astype(np.int64)
-    at += 12 * count
-    if np.frombuffer(data, "<u4", 1, at)[0] != zlib.crc32(data[:at]):
+    kinds, docs, blocks, streams, packed = (int(x) for x in np.frombuffer(data, "<u4", 5, at))
+    total = int(np.frombuffer(data, "<u8", 1, at + 20)[0])
+    at += 28 + packed
+    end = at + 4 * (docs + blocks + blocks * streams)
+    if end + 4 > len(data) or np.frombuffer(data, "<u4", 1, end)[0] != zlib.crc32(data[:end]):
         raise ValueError("the header's checksum doesn't match")
-    start = at + 4 + 4 * np.concatenate([[0], np.cumsum(directory[:, 1])])
-    out = []
-    for i in range(0, count, LANES):
-        words = [np.frombuffer(data, "<u4", int(directory[k, 1]), int(start[k])) for k in range(i, min(i + LANES, count))]
-        out += decode_group(words, directory[i : i + LANES, 0], vocabulary)
-    for k, ids in enumerate(out):
-        if zlib.crc32(ids.astype("<u4").tobytes()) != directory[k, 2]:
+    alphabet = np.cumsum(np.frombuffer(zlib.decompress(data[at - packed : at]), "<u4").astype(np.int64)).astype(np.uint32)
+    lengths = np.frombuffer(data, "<u4", docs, at)
+    crc = np.frombuffer(data, "<u4", blocks, at + 4 * docs)
+    size = np.frombuffer(data, "<u4", blocks * streams, at + 4 * (docs + blocks)).astype(np.int64)
+    start = end + 4 + 4 * np.concatenate([[0], np.cumsum(size)])
+    if start[-1] != len(data):
+        raise ValueError("the file has another size than its directory says")
+    n = _lengths(total, blocks * streams) if blocks else np.zeros(0, np.int64)
+    coded = [np.frombuffer(data, "<u4", int(size[k]), int(start[k])) for k in range(len(n))]
+    out: list[np.ndarray] = []
+    for i in range(0, len(n), GROUP * streams):
+        j = i + GROUP * streams
+        out += [alphabet[x] for x in decode_group(coded[i:j], n[i:j], streams, kinds)]
+    for k in range(blocks):
+        i, j = k * streams, (k + 1) * streams
+        if _crc(np.concatenate(out[i:j]), coded[i:j]) != crc[k]:
             raise ValueError(f"the checksum of block {k} doesn't match")
     return lengths, np.concatenate(out) if out else np.zeros(0, np.uint32)

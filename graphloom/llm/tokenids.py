@@ -8,6 +8,7 @@ whole documents, in ascending doc_id order within a part and from part to part.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,58 +19,174 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rangecoder import BLOCK, LANES, read_file, write_file
-from .tokens import SPACED, slices, words
+from .rangecoder import BLOCK, GROUP, read_file, write_file
+from .tokens import SPACED, Words, _table, slices, words
 from .workspace import Workspace, buckets
 
-#: Words whose ids a Python worker keeps.
-CACHE = 300_000
+#: Pieces whose ids a Python worker keeps, about 25 bytes each, and pieces that are encoded in one call.
+CACHE, CALL = 4_000_000, 2000
 _open: dict[str, tuple] = {}
 
+#: Classes of bytes. Letters are ASCII letters and those of U+00C0 to U+027F, which two bytes make; of what is odd, words are taken whole.
+_SPACE, _LETTER, _DIGIT, _MARK, _ODD = range(5)
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = _SPACE
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[ord("'"), ord("<")]] = _ODD
+_LOWER = _table(set(), lower=True)
+
+
+def pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """The pieces of every text, and whether each is an odd word.
+
+    A piece is a run of letters, one digit, or a run of other printable ASCII; a
+    word (between ASCII white space) with anything else in it is one piece, so
+    that nothing has to be known of it: apostrophes (contractions), "<" (added
+    tokens), control characters, characters beyond Latin letters.
+    """
+    w = words(texts, SPACED)
+    kind = _CLASS[w.raw]
+    # times and division signs are no letters, and a small dotted I is two characters
+    two = (w.raw[:-1].astype(np.uint16) << 8 | w.raw[1:]) if len(w.raw) else np.zeros(0, np.uint16)
+    kind[np.flatnonzero((two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0))] = _ODD
+    upto = np.concatenate([[0], np.cumsum(kind == _ODD)])
+    odd_word = upto[w.ends] > upto[w.starts]
+    text = _LOWER[w.raw]
+    inside = np.zeros(len(kind) + 1, np.int8)
+    inside[w.starts[odd_word]] = 1
+    inside[w.ends[odd_word]] -= 1  # where two odd words meet, at the edge of two texts, the second has 1 again
+    odd = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+    text[odd] = w.raw[odd]
+    kind[odd] = _ODD
+    new = np.ones(len(kind) + 1, bool)
+    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    new[w.starts] = True
+    new[w.offsets] = True
+    solid = kind != _SPACE
+    starts = np.flatnonzero(solid & new[:-1])
+    ends = np.flatnonzero(solid & new[1:]) + 1
+    at = np.searchsorted(starts, w.offsets)
+    return Words(w.raw, text, starts, ends, np.diff(at), w.offsets), kind[starts] == _ODD
+
+
+def in_pieces(spec: dict) -> bool:
+    """Whether a tokenizer file encodes pieces() each on their own, and the last id of each ends in the model's suffix: NFC, white space, lower case; letters, single digits, other runs; BPE."""
+    n, p, m = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    steps = [(x.get("type"), (x.get("pattern") or {}).get("Regex")) for x in n.get("normalizers", [])]
+    splits = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space"), x.get("use_regex")) for x in p.get("pretokenizers", [])]
+    return (
+        steps == [("NFC", None), ("Replace", r"\s+"), ("Lowercase", None)]
+        and splits == [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and (m.get("type"), bool(m.get("end_of_word_suffix")), m.get("dropout"), spec.get("post_processor")) == ("BPE", True, None, None)
+        and all("<" in t["content"] for t in spec.get("added_tokens", []))
+    )
+
+
+class Pieces:
+    """Ids of pieces, for one tokenizer: those seen before are kept, in order of their hashes."""
+
+    def __init__(self, tokenizer, suffix: str):
+        self.t = tokenizer
+        self.ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for x, i in tokenizer.get_vocab().items() if x.endswith(suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.start, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def spell(self, w: Words, which: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each) of some pieces."""
+        text = lambda j: w.text[w.starts[j] : w.ends[j]].tobytes().decode()
+        ids: list[np.ndarray] = []
+        n = np.zeros(len(which), np.int64)
+        plain = np.flatnonzero(~odd[which])
+        alone = np.flatnonzero(odd[which]).tolist()
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for at in range(0, len(plain), CALL):
+            some = plain[at : at + CALL]
+            x = np.array(self.t.encode(" ".join([text(j) for j in which[some]]), add_special_tokens=False).ids, np.uint32)
+            stop = np.flatnonzero(self.ends[x]) + 1
+            if len(stop) == len(some) and stop[-1] == len(x):
+                kept.append((some, x))
+                n[some] = np.diff(stop, prepend=0)
+            else:  # not one piece each after all
+                alone += some.tolist()
+        if alone:
+            x = [e.ids for e in self.t.encode_batch_fast([text(which[i]) for i in alone], add_special_tokens=False)]
+            n[alone] = [len(e) for e in x]
+            kept.append((np.array(alone), np.array([i for e in x for i in e], np.uint32)))
+        out = np.zeros(int(n.sum()), np.uint32)
+        start = np.cumsum(n) - n
+        for some, x in kept:
+            out[_spans(start[some], n[some])] = x
+        return out, n
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        w, odd = pieces(texts)
+        if not len(w):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        coded = pa.array(w.hashes()).dictionary_encode()
+        kinds, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        if len(self.hash) > CACHE:
+            self.clear()
+        order = np.argsort(kinds)
+        at = np.searchsorted(self.hash, kinds[order])
+        have = at < len(self.hash)
+        have[have] = self.hash[at[have]] == kinds[order][have]
+        missing = order[~have]
+        if len(missing):
+            one = np.zeros(len(kinds), np.int64)
+            one[place] = np.arange(len(place))  # some place of each kind
+            ids, n = self.spell(w, one[missing], odd)
+            at = np.searchsorted(self.hash, kinds[missing])
+            self.hash = np.insert(self.hash, at, kinds[missing])
+            self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(n) - n)
+            self.n = np.insert(self.n, at, n)
+            self.ids = np.concatenate([self.ids, ids])
+        row = np.empty(len(kinds), np.int64)
+        row[order] = np.searchsorted(self.hash, kinds[order])
+        row = row[place]
+        n = self.n[row]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        return self.ids[_spans(self.start[row], n)], np.diff(upto[w.first()])
+
+
+def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (n[0] of them), start[1], ..."""
+    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+
 
 def encoder(path: str) -> tuple[Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], int]:
-    """(a function from texts to (ids, ids of each text), vocabulary size) of a tokenizers file whose pre-tokenizer splits at white space and drops it.
+    """(a function from texts to (ids, ids of each text), vocabulary size) of a tokenizers file.
 
-    Words between ASCII white space are then encoded on their own, so each word
-    is encoded once and its ids are kept.
+    If the file says that pieces() are encoded each on their own, each is encoded
+    once and its ids are kept; otherwise texts are encoded as they are.
     """
     if path not in _open:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _open[path] = (t, {}, t.get_vocab_size())
-    t, known, size = _open[path]
-
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        w = words(texts, SPACED)
-        kinds, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        if len(known) > CACHE:
-            known.clear()
-        keys = kinds.tolist()
-        new = [i for i, k in enumerate(keys) if k not in known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for i, e in zip(some, t.encode_batch_fast([w.raw[w.starts[j] : w.ends[j]].tobytes().decode() for j in where[some]], add_special_tokens=False)):
-                known[keys[i]] = np.array(e.ids, np.uint32).tobytes()
-        blobs = [known[k] for k in keys]
-        flat = np.frombuffer(b"".join(blobs), np.uint32)
-        n = np.array([len(b) for b in blobs], np.int64) // 4
-        start = np.cumsum(n) - n
-        n_word = n[inverse]
-        total = int(n_word.sum())
-        ids = flat[np.arange(total) - np.repeat(np.cumsum(n_word) - n_word, n_word) + np.repeat(start[inverse], n_word)]
-        upto = np.concatenate([[0], np.cumsum(n_word)])
-        return ids, np.diff(upto[w.first()])
+        spec = json.loads(t.to_str())
+
+        def whole(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            x = [e.ids for e in t.encode_batch_fast([v or "" for v in texts.to_pylist()], add_special_tokens=False)]
+            return np.array([i for e in x for i in e], np.uint32), np.array([len(e) for e in x], np.int64)
 
-    return encode, size
+        _open[path] = (Pieces(t, spec["model"]["end_of_word_suffix"]).encode if in_pieces(spec) else whole, t.get_vocab_size())
+    return _open[path]
 
 
 def write(docs: DataFrame, ws: Workspace, tokenizer: str, *, end: int = 1, name: str = "files") -> DataFrame:
     """Encode every whole text and write files: a table (part, seq, doc_ids, n_ids, data).
 
-    Rows of one doc_id are ordered by their text; null ids come last; a null
-    text has no ids but the end id, which closes every document.
+    Rows of one doc_id are ordered by their text, equal rows are written each;
+    null ids come last. A null or empty text has no ids but the end id, which
+    closes every document. A very long text is encoded whole, in the file that
+    its document starts in. An empty table gives an empty table. Other columns,
+    whatever their names, are not read.
     """
     nb = buckets(ws.spark)
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("doc_ids", T.ArrayType(docs.schema["doc_id"].dataType)), T.StructField("n_ids", T.LongType()), T.StructField("data", T.BinaryType())])
@@ -101,7 +218,7 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, *, end: int = 1, name:
                 lengths.append(n + 1)
                 names.append(x.column("doc_id"))
                 held += len(closed)
-                if held >= BLOCK * LANES:
+                if held >= BLOCK * GROUP:
                     yield flush()
                     ids, lengths, names, held, seq = [], [], [], 0, seq + 1
         if names:
@@ -114,7 +231,11 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, *, end: int = 1, name:
 
 
 def read(files: DataFrame, ws: Workspace) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from files alone. A damaged file raises an error."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from files alone: one row for each row that was written.
+
+    A damaged file raises an error; no files give no rows. Documents of equal
+    doc_id, nulls too, have the places that write() gave them.
+    """
     fields = [T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("doc_id", files.schema["doc_ids"].dataType.elementType), T.StructField("inside", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

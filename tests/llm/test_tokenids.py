@@ -1,9 +1,11 @@
 """Exact round trips, and ids equal to those of whole texts."""
 
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from graphloom.llm import rangecoder as R
 from graphloom.llm import tokenids
@@ -25,14 +27,14 @@ def test_any_ids_round_trip(ids, repeats):
 
 def test_many_blocks(monkeypatch):
     monkeypatch.setattr(R, "BLOCK", 64)
-    monkeypatch.setattr(R, "LEAST", 64)
-    monkeypatch.setattr(R, "LANES", 5)
-    monkeypatch.setattr(R, "STEP", 16)
+    monkeypatch.setattr(R, "LEAST", 8)
+    monkeypatch.setattr(R, "STREAMS", 4)
+    monkeypatch.setattr(R, "GROUP", 5)
     rng = np.random.default_rng(1)
     ids = np.concatenate([rng.integers(0, 50, 700), np.full(300, 7), np.tile([1, 2, 3, 4], 100), rng.integers(0, 49408, 333)]).astype(np.uint32)
     data = R.write_file(np.array([len(ids)]), ids, 49408)
     assert (R.read_file(data)[1] == ids).all()
-    for at in (6, 30, len(data) // 2, len(data) - 3):
+    for at in (6, 20, 40, len(data) // 2, len(data) - 3):
         bad = bytearray(data)
         bad[at] ^= 0x10
         with pytest.raises(ValueError, match="checksum"):
@@ -44,6 +46,43 @@ def test_repetition_is_cheap():
     assert len(R.write_file(np.array([len(ids)]), ids, 49408)) < len(ids) / 4
 
 
+def test_orders_beat_frequencies():
+    """Ids that follow each other cost less than their entropy; ids that don't, hardly more."""
+    rng = np.random.default_rng(5)
+    n, kinds = 200_000, 300
+    after = np.array([rng.permutation(kinds)[:2] for _ in range(kinds)])
+    ids = np.zeros(n, np.uint32)
+    pick, noise, any_id = rng.random(n) < 0.7, rng.random(n) < 0.2, rng.integers(0, kinds, n)
+    for i in range(1, n):
+        ids[i] = any_id[i] if noise[i] else after[ids[i - 1], int(pick[i])]
+    bits = 8 * len(R.write_file(np.array([n]), ids, 1000)) / n
+    best = 0.2 * np.log2(kinds) + 0.8 * (-0.7 * np.log2(0.7) - 0.3 * np.log2(0.3)) + 0.72  # which id, and whether noise
+    assert best - 0.1 < bits < 1.25 * best
+    flat = rng.integers(0, kinds, n).astype(np.uint32)
+    assert 8 * len(R.write_file(np.array([n]), flat, 1000)) / n < 1.06 * np.log2(kinds)
+
+
+def test_no_pieces_without_the_file_saying_so():
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert tokenids.in_pieces(spec)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "a"}]}, {"post_processor": {}}):
+        assert not tokenids.in_pieces(spec | change)
+    assert not tokenids.in_pieces(spec | {"model": spec["model"] | {"end_of_word_suffix": ""}})
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aBz'<|>. ,é×÷İßŒɐ́\x85\xa0\t\n09 漢😀s") | st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=4))
+def test_pieces_equal_whole_texts(texts):
+    t = Tokenizer.from_file(PATH) if not _t else _t[0]
+    _t[:] = [t]
+    ids, n = tokenids.encoder(PATH)[0](pa.array(texts, pa.string()))
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+_t: list = []
+
+
 def run(spark, rows):
     d = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, data string, part int").repartition(3)
     ws = Workspace(spark, "t")
