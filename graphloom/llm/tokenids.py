@@ -106,7 +106,10 @@ class Pieces:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(plain), CALL):
             some = plain[at : at + CALL]
-            x = np.array(self.t.encode(" ".join([text(j) for j in which[some]]), add_special_tokens=False).ids, np.uint32)
+            start, size = w.starts[which[some]], w.ends[which[some]] - w.starts[which[some]] + 1
+            joined = w.text[np.minimum(_spans(start, size), len(w.text) - 1)]
+            joined[np.cumsum(size) - 1] = 0x20
+            x = np.array(self.t.encode_batch_fast([joined.tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
             stop = np.flatnonzero(self.ends[x]) + 1
             if len(stop) == len(some) and stop[-1] == len(x):
                 kept.append((some, x))
