@@ -25,10 +25,10 @@ from .tokens import _table, slices, words
 LETTERS_LOWER = _table({*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}, lower=True)
 FEATURES = 1 << 16
 AFFIX, GRAM = 5, 4
-#: Documents of each language to learn from, about; they are taken by a hash of their id.
-PER_LANGUAGE = 300
-#: Languages that a model has at most; more are an error. The driver's memory for learning grows with their square.
-LANGUAGES = 50
+#: Documents of each language to learn from, about; they are taken by a hash of their id. Beyond IN_ALL documents each language has fewer, but LEAST.
+PER_LANGUAGE, IN_ALL, LEAST = 300, 15_000, 20
+#: Words times languages that are learned from at once, and the least weight of a feature that counts as known.
+AT_ONCE, KNOWN = 4_000_000, 0.02
 #: Words of a training sequence, and of a stretch of one language in it.
 SEQUENCE, STRETCH = 36, 12
 #: Words of a block of the forward-backward pass; blocks of all documents go in step.
@@ -183,27 +183,32 @@ def fit(sample: list[tuple[str | None, str]], *, rounds: int = 80, seed: int = 0
     np.add.at(gold_moves, (label[:, :-1].reshape(-1), label[:, 1:].reshape(-1)), 1)
     m1, v1, m2, v2 = np.zeros_like(theta), np.zeros_like(theta), np.zeros_like(moves), np.zeros_like(moves)
     scale = 1.0 / label.size
+    at_once = max(1, AT_ONCE // (length * k))
     for step in range(1, rounds + 1):
         em = np.column_stack([np.bincount(of, weights=theta[f, c], minlength=n) for c in range(k)]) * root[:, None]
-        e = np.exp(em - em.max(1, keepdims=True))[inverse]
+        own = np.exp(em - em.max(1, keepdims=True))
         p = np.exp(moves)
-        a = np.empty((length, m, k))
-        v = np.full((m, k), 1.0 / k)
-        for t in range(length):
-            v = _normal((v @ p) * e[:, t])
-            a[t] = v
-        b = np.ones((m, k))
         expect, pair = np.zeros((n, k)), np.zeros((k, k))
-        post = np.empty((m, length, k))
-        for t in range(length - 1, -1, -1):
-            post[:, t] = _normal(a[t] * b)
-            if t:
-                x = e[:, t] * b
-                joint = a[t - 1][:, :, None] * p[None] * x[:, None, :]
-                pair += _normal(joint).sum(0)
-                b = _normal(x @ p.T)
-        for c in range(k):
-            expect[:, c] = np.bincount(inverse.reshape(-1), weights=post[:, :, c].reshape(-1), minlength=n)
+        for first_of in range(0, m, at_once):
+            some = inverse[first_of : first_of + at_once]
+            e, many = own[some], len(some)
+            a = np.empty((length, many, k))
+            v = np.full((many, k), 1.0 / k)
+            for t in range(length):
+                v = _normal((v @ p) * e[:, t])
+                a[t] = v
+            b = np.ones((many, k))
+            post = np.empty((many, length, k))
+            for t in range(length - 1, -1, -1):
+                post[:, t] = _normal(a[t] * b)
+                if t:
+                    x = e[:, t] * b
+                    # expected moves: of each sequence a matrix that sums up to 1
+                    whole = ((a[t - 1] @ p) * x).sum(1, keepdims=True)
+                    pair += p * (a[t - 1].T @ (x / whole))
+                    b = _normal(x @ p.T)
+            for c in range(k):
+                expect[:, c] += np.bincount(some.reshape(-1), weights=post[:, :, c].reshape(-1), minlength=n)
         g_word = (expect - gold) * root[:, None] * scale
         g = np.column_stack([np.bincount(f, weights=g_word[of, c], minlength=FEATURES) for c in range(k)]) + 1e-7 * theta
         g2 = (pair - gold_moves) * scale + 1e-5 * moves
@@ -215,30 +220,41 @@ def fit(sample: list[tuple[str | None, str]], *, rounds: int = 80, seed: int = 0
 
 
 def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFrame:
-    """The columns pass_on of every row of docs, with lang_pred, lang_score and words_by_language.
+    """The columns pass_on of every row of docs, with lang_pred, lang_score, words_by_language, lang_clear and lang_familiar.
 
-    lang_pred is `und`, with a score of 0, for null and empty texts, texts
-    without a letter, and without a model. lang_score, from 0 to 1, is the mean
-    probability of the document's language over its words; words_by_language
-    has the expected number of words in each. Whole texts are read; repeated
-    rows are labelled each; docs may have any other columns.
+    lang_pred is `und`, with scores of 0, for null and empty texts, texts without
+    a letter, and without a model; of languages with equal sums it is the first
+    by name. lang_score, from 0 to 1, is the mean probability of the document's
+    language over its words; words_by_language has the expected number of words
+    in each. Two means over the words say whether the text is in any learned
+    language, be it one or several: lang_clear, the probability of the likeliest
+    language of each word by itself, and lang_familiar, the share of its features
+    that were learned. Whole texts are read, however long; repeated rows are
+    labelled each; an empty table gives no rows. docs may have any columns; a
+    column of pass_on with the name of one of these five is an error.
     """
-    out = ["lang_pred", "lang_score", "words_by_language"]
-    schema = T.StructType([*(docs.schema[c] for c in pass_on), T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType()), T.StructField(out[2], T.ArrayType(T.DoubleType()))])
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES x LANGUAGES numbers at most
+    out = ["lang_pred", "lang_score", "words_by_language", "lang_clear", "lang_familiar"]
+    if clash := set(out) & {c.lower() for c in pass_on}:
+        raise ValueError(f"columns {sorted(clash)} are made here; pack yours into a struct")
+    text = "_".join([*pass_on, "text"])  # no name of pass_on
+    types = [T.StringType(), T.DoubleType(), T.ArrayType(T.DoubleType()), T.DoubleType(), T.DoubleType()]
+    schema = T.StructType([*(docs.schema[c] for c in pass_on), *(T.StructField(c, t) for c, t in zip(out, types))])
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 256 kB a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
+        known = np.abs(m.weights).max(1) > KNOWN if m else None
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, text):
                 names, scores, sums = [UND] * part.num_rows, np.zeros(part.num_rows), [[]] * part.num_rows
-                w = words(part.column("_text"), LETTERS_LOWER)
+                clear, familiar = np.zeros(part.num_rows), np.zeros(part.num_rows)
+                w = words(part.column(text), LETTERS_LOWER)
                 if m and len(w):
                     unique, where, inverse = np.unique(w.hashes(), return_index=True, return_inverse=True)
                     f, of = word_features(w.text, w.starts[where], w.ends[where], unique)
                     em = m.emissions(f, of, len(unique))
-                    e = np.exp(em - em.max(1, keepdims=True))[inverse]
-                    p = marginals(e, w.counts, m.moves)
+                    own = np.exp(em - em.max(1, keepdims=True))
+                    p = marginals(own[inverse], w.counts, m.moves)
                     upto = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, 0)])
                     first = w.first()
                     total = upto[first[1:]] - upto[first[:-1]]
@@ -247,27 +263,35 @@ def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFr
                     plain = np.concatenate([[0], np.cumsum((w.text >= 97) & (w.text <= 122))])
                     has = plain[w.offsets[1:]] > plain[w.offsets[:-1]]
                     for i in np.flatnonzero(~has & (w.counts > 0)):  # characters beyond ASCII only: are there letters?
-                        has[i] = any(c.isalpha() for c in part.column("_text")[int(i)].as_py())
+                        has[i] = any(c.isalpha() for c in part.column(text)[int(i)].as_py())
                     names = [m.languages[b] if h else UND for b, h in zip(best, has)]
                     scores = np.where(has, scores, 0.0)
+                    mean = lambda x: np.where(has, np.diff(np.concatenate([[0], np.cumsum(x[inverse])])[first]) / np.maximum(1, w.counts), 0.0)  # noqa: B023, E731
+                    clear = mean(1 / own.sum(1))
+                    familiar = mean(np.bincount(of, weights=known[f], minlength=len(unique)) / np.bincount(of, minlength=len(unique)))
                     sums = [t if h else [] for t, h in zip(np.round(total, 6).tolist(), has)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pass_on), pa.array(names, pa.string()), pa.array(np.round(scores, 9)), pa.array(sums, pa.list_(pa.float64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pass_on), pa.array(names, pa.string()), pa.array(np.round(scores, 9)), pa.array(sums, pa.list_(pa.float64())), pa.array(np.round(clear, 9)), pa.array(np.round(familiar, 9))], names=schema.names)
 
-    return docs.select(*pass_on, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*pass_on, F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
 
 
 def sample(docs: DataFrame, *, train: Column | None = None, per_language: int = PER_LANGUAGE) -> list[tuple[str | None, str]]:
-    """About per_language texts of each language, by a hash of doc_id, from rows where `train` holds and lang isn't null. More than LANGUAGES languages are an error, since documents in one that isn't learned would get a wrong one."""
+    """About per_language texts of each language, by a hash of doc_id, from rows where `train` holds and lang isn't null.
+
+    No language is left out. Where there are more than IN_ALL / per_language, each
+    has IN_ALL / languages documents, LEAST at least. Rows of equal doc_id, lang
+    and text count once.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     if train is not None:
         rows = rows.where(train)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"labels hold more than {LANGUAGES} languages")
-    if not sizes:
+    sizes = rows.groupBy("lang").count()  # one row a language
+    kinds = sizes.count()
+    if not kinds:
         return []
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
+    each = min(per_language, max(LEAST, IN_ALL // kinds))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    got = rows.select("doc_id", "lang", F.col("text").cast("string").alias("text")).where(chance < share[F.col("lang")])
-    got = got.orderBy("doc_id", F.xxhash64("text", "lang")).limit(2 * per_language * len(sizes)).collect()
+    got = rows.join(F.broadcast(sizes), "lang").where(chance < F.lit(float(each)) / F.col("count"))
+    got = got.select("doc_id", "lang", F.col("text").cast("string").alias("text")).distinct()
+    got = got.orderBy("doc_id", F.xxhash64("text", "lang")).limit(2 * each * kinds).collect()
     return [(r.text, r["lang"]) for r in got]

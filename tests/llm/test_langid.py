@@ -69,11 +69,39 @@ def test_odd_rows(spark):
     assert {r.lang_pred for r in L.label(d, None, pass_on=["doc_id"]).collect()} == {"und"}
 
 
-def test_no_language_is_left_out_silently(spark, monkeypatch):
+def test_no_language_is_left_out(spark, monkeypatch):
+    mark = lambda i: chr(97 + i % 70 // 7) + chr(107 + i % 7) + chr(97 + i % 70 // 7)
+    d = spark.createDataFrame([(i, f"wort{mark(i)} {mark(i)}satz teil {mark(i)}", f"l{i % 70:02}") for i in range(1400)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "IN_ALL", 500)
+    some = L.sample(d)
+    assert {y for _, y in some} == {f"l{k:02}" for k in range(70)}
+    monkeypatch.setattr(L, "AT_ONCE", 20_000)  # a few sequences at once
+    model = L.fit(some, rounds=30)
+    got = L.label(d.limit(140), model, pass_on=["doc_id", "lang"]).collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.9
+
+
+def test_parts_are_learned_like_the_whole(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = L.sample(docs)
+    one = L.fit(some, rounds=8)
+    monkeypatch.setattr(L, "AT_ONCE", 4000)
+    two = L.fit(some, rounds=8)
+    assert np.allclose(one.weights, two.weights, atol=1e-4) and np.allclose(one.moves, two.moves, atol=1e-6)
+
+
+def test_unlearned_text_is_neither_clear_nor_familiar(spark):
+    docs, model = model_of(spark)
+    rows = [(1, "это просто русский текст который никто не учил и не знает " * 3), (2, "qxzjk vwbpf ghqxz jkvwb pfghq xzjkv " * 9), (3, "漢字 かな 交じり 文 テスト です 日本語 " * 4)]
+    out = L.label(spark.createDataFrame(rows, "doc_id long, text string"), model, pass_on=["doc_id"]).collect()
+    assert all(r.lang_clear < 0.75 and r.lang_familiar < 0.9 for r in out)
+    own = L.label(docs, model, pass_on=["doc_id"]).where("lang_pred <> 'und'").collect()
+    assert np.mean([r.lang_clear >= 0.75 or r.lang_familiar >= 0.9 for r in own]) > 0.999
+
+
+def test_clashing_names(spark):
     import pytest
 
-    d = spark.createDataFrame([(i, f"wort{i % 7} satz", f"l{i % 7}") for i in range(70)], "doc_id long, text string, lang string")
-    assert {y for _, y in L.sample(d)} == {f"l{k}" for k in range(7)}
-    monkeypatch.setattr(L, "LANGUAGES", 6)
+    d = spark.createDataFrame([(1, "the text", "x")], "doc_id long, text string, lang_pred string")
     with pytest.raises(ValueError):
-        L.sample(d)
+        L.label(d, None, pass_on=["doc_id", "lang_pred"])

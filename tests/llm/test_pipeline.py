@@ -82,6 +82,30 @@ def test_empty(spark):
         assert stage(spark, frame(spark, []), D).count() == 0
 
 
+def test_clashing_names(spark, docs):
+    """Columns with any names pass through unchanged, and change no decision."""
+    more = ["md5", "lang_pred", "lang_score", "words_by_language", "_text", "_key", "_rows", "_id", "row", "rows", "copies", "id", "n", "keep", "rank", "to_id", "hit_md5", "with.dot"]
+    rows = [(*r, *(f"{c}{i}" for c in more)) for i, r in enumerate(dict.fromkeys(docs))]
+    wide = spark.createDataFrame(rows, COLUMNS + "".join(f", `{c}` string" for c in more))
+    slim = frame(spark, [r[:5] for r in rows])
+    for name, stage in P.STAGES:
+        a, b = stage(spark, wide, D), stage(spark, slim, D)
+        if name == "token ids":
+            same(a, b.collect())
+            continue
+        assert a.columns == wide.columns
+        got = [tuple(r) for r in a.collect()]
+        assert set(got) <= set(rows)
+        assert sorted((r[:5] for r in got), key=repr) == sorted((tuple(r) for r in b.collect()), key=repr)
+
+
+def test_language_drops_what_was_not_learned(spark, docs):
+    odd = [(8000, "это просто русский текст который никто не учил и не знает " * 5, None, "src1", 9), (8001, "qxzjk vwbpf ghqxz jkvwb pfghq xzjkv " * 9, None, "src1", 9)]
+    mixed = (8002, " ".join((a[1] or "")[:200] for a in docs[:8] if a[2]), None, "src1", 9)
+    got = {r.doc_id for r in P.keep_language(spark, frame(spark, [*docs, *odd, mixed]), D).collect()}
+    assert 8002 in got and not {8000, 8001} & got
+
+
 def test_run(spark):
     out = P.run(spark, D)
     rows = out.orderBy("start").collect()
