@@ -33,6 +33,8 @@ AT_ONCE, KNOWN = 4_000_000, 0.02
 SEQUENCE, STRETCH = 36, 12
 #: Words of a block of the forward-backward pass; blocks of all documents go in step.
 BLOCK = 256
+#: Bytes of text that are labelled at a time, about.
+AT_A_TIME = 1 << 20
 UND = "und"
 
 
@@ -219,7 +221,7 @@ def fit(sample: list[tuple[str | None, str]], *, rounds: int = 80, seed: int = 0
     return Model(languages, theta.astype(np.float32), np.exp(moves - moves.max()))
 
 
-def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFrame:
+def label(docs: DataFrame, model: Model | None, *, pass_on: list[str], inside: str | None = None) -> DataFrame:
     """The columns pass_on of every row of docs, with lang_pred, lang_score, words_by_language, lang_clear and lang_familiar.
 
     lang_pred is `und`, with scores of 0, for null and empty texts, texts without
@@ -231,7 +233,8 @@ def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFr
     language of each word by itself, and lang_familiar, the share of its features
     that were learned. Whole texts are read, however long; repeated rows are
     labelled each; an empty table gives no rows. docs may have any columns; a
-    column of pass_on with the name of one of these five is an error.
+    column of pass_on with the name of one of these five is an error. inside: a
+    struct column of pass_on whose field `text` is read, so that it travels once.
     """
     out = ["lang_pred", "lang_score", "words_by_language", "lang_clear", "lang_familiar"]
     if clash := set(out) & {c.lower() for c in pass_on}:
@@ -245,7 +248,9 @@ def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFr
         m = sent.value
         known = np.abs(m.weights).max(1) > KNOWN if m else None
         for batch in batches:
-            for part in slices(batch, text):
+            if inside:
+                batch = pa.RecordBatch.from_arrays([*batch.columns, batch.column(inside).field("text")], names=[*pass_on, text])
+            for part in slices(batch, text, AT_A_TIME):
                 names, scores, sums = [UND] * part.num_rows, np.zeros(part.num_rows), [[]] * part.num_rows
                 clear, familiar = np.zeros(part.num_rows), np.zeros(part.num_rows)
                 w = words(part.column(text), LETTERS_LOWER)
@@ -272,7 +277,7 @@ def label(docs: DataFrame, model: Model | None, *, pass_on: list[str]) -> DataFr
                     sums = [t if h else [] for t, h in zip(np.round(total, 6).tolist(), has)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pass_on), pa.array(names, pa.string()), pa.array(np.round(scores, 9)), pa.array(sums, pa.list_(pa.float64())), pa.array(np.round(clear, 9)), pa.array(np.round(familiar, 9))], names=schema.names)
 
-    return docs.select(*pass_on, F.col("text").cast("string").alias(text)).mapInArrow(run, schema)
+    return docs.select(*pass_on, *([] if inside else [F.col("text").cast("string").alias(text)])).mapInArrow(run, schema)
 
 
 def sample(docs: DataFrame, *, train: Column | None = None, per_language: int = PER_LANGUAGE) -> list[tuple[str | None, str]]:

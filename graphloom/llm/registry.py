@@ -115,31 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_feistel_shards": op10_feistel_shards,
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {
-    "op6_entropy_mix": r"""
-WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
-), s AS (
-  SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS nth FROM d GROUP BY source
-), w AS (
-  SELECT source, source_size, 2.0::DOUBLE * source_size AS top, [3.0::DOUBLE, 1.0, 2.0][(nth - 1) % 3 + 1] AS weight FROM s
-), f AS (
-  SELECT *, row_number() OVER (ORDER BY top / weight, source IS NULL, source) AS k FROM w
-), v AS (
-  SELECT *, ((SELECT sum(source_size) FROM f) * 1.5::DOUBLE - coalesce(sum(top) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM f
-), t AS (
-  SELECT source, CAST(source_size AS BIGINT) AS source_size,
-    round(least(top, coalesce(weight * (SELECT arg_min(lvl, k) FROM v WHERE weight * lvl <= top), top)), 6) AS target FROM v
-), r AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, d.source,
-    CASE WHEN t.source_size > 0 THEN round(least(2.0::DOUBLE, t.target / t.source_size), 9) ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size NULLS LAST, d.doc_id NULLS LAST) - 1 AS k
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), c AS (
-  SELECT *, CAST(least(2, floor(rate * (k + 1) + 0.5) - floor(rate * k + 0.5)) AS BIGINT) AS copies FROM r
-)
-SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, source, rate, copies FROM c
-""",
-}
+#: DuckDB SQL for the queries that SQL can express: none hashes, codes, learns or iterates by SQL alone.
+ORACLES: dict[str, str] = {}

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a fresh local folder only where it is unset."""
+    """The cluster's spark.checkpoint.dir; a fresh local folder only where it is unset and all tasks run in the driver's process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -54,15 +56,17 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def ranked(ws: Workspace, df: DataFrame, order: list[str], group: str | None = None, name: str = "ranked") -> tuple[DataFrame, DataFrame]:
+def ranked(ws: Workspace, df: DataFrame, order: list[str], group: str | None = None, name: str = "ranked", weight: str | None = None, modulus: int = 0) -> tuple[DataFrame, DataFrame]:
     """Dense 0-based ranks of all rows in a global order, without one task seeing them all.
 
     Rows are range-partitioned by (group, order...), so that a hot group spans
     many partitions. A row's rank is its place in its partition plus the number
     of rows before that partition, from one small count per partition. Adds
-    `rank`, within `group` if one is given (nulls are a group). Returns (rows,
-    counts: per group its `group_rows`). Equal rows get different ranks; which
-    of two equal rows comes first doesn't matter to any column of df.
+    `rank`, within `group` if one is given (nulls are a group), and with `weight`,
+    a whole number, `before`: the sum of the weights of the group's earlier rows,
+    modulo `modulus`. Returns (rows, counts: per group its `group_rows`). Equal
+    rows get different ranks; which of two equal rows comes first doesn't matter
+    to any column of df.
     """
     spark = ws.spark
     keys = ([group] if group else []) + order
@@ -71,14 +75,20 @@ def ranked(ws: Workspace, df: DataFrame, order: list[str], group: str | None = N
     placed = ws.write(sorted_rows.withColumn("_place", F.monotonically_increasing_id()), name)
     part = F.shiftright("_place", 33).alias("_part")
     g = F.col(group).alias("_group") if group else F.lit("").alias("_group")
-    runs = placed.select(part, g, "_place").groupBy("_part", "_group").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    load = F.col(weight) if weight else F.lit(0)
+    runs = placed.select(part, g, "_place", load.alias("_load")).groupBy("_part", "_group").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"), (F.sum("_load") % modulus if weight else F.lit(0)).alias("_load"))
     # one row per partition and group present in it: no more than partitions, for any one group
     runs = ws.write(runs, name + "_runs")
     earlier = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    before = before.select(F.col("_part").alias("_part2"), F.col("_group").alias("_group2"), "_first", "_before")
+    before = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn("_loads", F.coalesce(F.sum("_load").over(earlier), F.lit(0)))
+    before = before.select(F.col("_part").alias("_part2"), F.col("_group").alias("_group2"), "_first", "_before", "_loads")
     counts = runs.groupBy("_group").agg(F.sum("_n").alias("group_rows"))
     me = placed.withColumn("_part", F.shiftright("_place", 33))
+    if weight:  # a partition's rows of one group, as many as a range partition has at most
+        here = Window.partitionBy("_part", *([group] if group else [])).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        me = me.withColumn("_sum", F.coalesce(F.sum(weight).over(here), F.lit(0)))
     key = F.col(group).eqNullSafe(F.col("_group2")) if group else F.lit(True)
-    out = me.join(before, (F.col("_part") == F.col("_part2")) & key, "left").withColumn("rank", F.col("_place") - F.col("_first") + F.col("_before")).drop("_place", "_part", "_part2", "_group2", "_first", "_before")
-    return out, counts
+    out = me.join(before, (F.col("_part") == F.col("_part2")) & key, "left").withColumn("rank", F.col("_place") - F.col("_first") + F.col("_before"))
+    if weight:
+        out = out.withColumn("before", (F.col("_sum") + F.col("_loads")) % modulus).drop("_sum")
+    return out.drop("_place", "_part", "_part2", "_group2", "_first", "_before", "_loads"), counts

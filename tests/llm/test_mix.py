@@ -1,5 +1,6 @@
 """Targets against the written-out rule, sums near targets, copies bounded."""
 
+import math
 import random
 import re
 
@@ -59,10 +60,53 @@ def test_small(spark):
     check(spark, [(1, "word " * 20000, "big"), (2, "a", "small"), (3, "b c", "tiny")])
 
 
-def test_dual_is_solved(spark):
-    from pyspark.sql import functions as F
-
-    rows = spark.createDataFrame([(10.0, 20.0), (1e9, 1.0), (3.0, 2.9), (1.0, 1e6), (5.0, 5.0)], "m double, t double").select("m", "t", M.dual(F.col("m"), F.col("t")).alias("lam")).collect()
-    import math
-
-    assert all(abs(r.m * math.exp(r.lam) - r.t) < 1e-9 * r.t for r in rows)
+def test_margins_are_optimal(spark):
+    """The rates meet all conditions of the optimum, which is unique; these say nothing of how it was found."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(260):
+        s = rng.choice(["a", "a", "b", "c", None])
+        lang = rng.choice({"a": ["en", "fr"], "b": ["en"], "c": ["fr", "de", None], None: ["en", "de"]}[s])
+        rows.append((i, " ".join("w" for _ in range(rng.choice([0, 2, 7, 30, 120]))), s, lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    ws = Workspace(spark, "t")
+    out = {r.doc_id: r for r in M.mix(d, ws).collect()}
+    told = {r.margin: (r.wanted, r.reached) for r in M.report(ws).collect()}
+    sizes, share, of, reached = {}, {}, {}, {}
+    for i, t, s, lang in rows:
+        n = len(t.split())
+        of[i] = (s, lang or "other languages", f"size class {(len(f'{n:b}') + 1) // 2}")
+        sizes[s] = sizes.get(s, 0) + n
+        for m in of[i][1:]:
+            share[m] = share.get(m, 0) + n
+            reached[m] = reached.get(m, 0) + n * out[i].rate
+    goal = targets(sizes)
+    total = sum(goal.values())
+    wanted = {m: n / sum(sizes.values()) * total for m, n in share.items()}
+    for m in wanted:
+        assert abs(told[m][0] - wanted[m]) < 1e-6 * total and abs(told[m][1] - reached[m]) < 1e-6 * total
+    for s, t in goal.items():  # rates meet the targets of sources exactly
+        assert abs(sum(out[i].size * out[i].rate for i in out if of[i][0] == s) - t) < 1e-6 * t
+    # a margin's multiplier follows from what it misses; with it rates are tilted alike in a whole source
+    mu = {m: (wanted[m] - reached[m]) / (M.RIDGE * total) for m in wanted}
+    for s in goal:
+        mine = {of[i]: out[i].rate for i in out if of[i][0] == s and out[i].size}
+        level = [math.log(r) - mu[c[1]] - mu[c[2]] for c, r in mine.items() if r < 2]
+        assert max(level, default=0) - min(level, default=0) < 1e-4
+        for c, r in mine.items():
+            assert r < 2 or not level or level[0] + mu[c[1]] + mu[c[2]] > math.log(2) - 1e-4
+    assert any(len({out[i].rate for i in out if of[i][0] == s}) > 2 for s in goal)  # documents of one source differ
+    for m in ("en", "fr", "de"):
+        assert abs(reached[m] - wanted[m]) < 0.1 * wanted[m]
+
+
+def test_margins_of_a_language_that_one_source_has(spark):
+    """Sources come first: what a margin can't reach is told."""
+    rows = [(i, "w " * 40, "a" if i % 2 else "b", "en" if i % 2 else "fr") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    ws = Workspace(spark, "t")
+    out = M.mix(d, ws).collect()
+    goal = {r.source: r.target for r in out}
+    assert {s: sum(r.taken for r in out if r.source == s) for s in goal} == {"a": 2400, "b": 1200}
+    told = {r.margin: (r.wanted, r.reached) for r in M.report(ws).collect()}
+    assert told["en"][0] == 1800 and abs(told["en"][1] - 2400) < 1e-3
