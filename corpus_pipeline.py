@@ -34,7 +34,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     share a fate; an empty table stays empty. Without any lang all go.
     """
     model = langid.fit(langid.sample(docs.select("doc_id", "text", "lang")))
-    out = langid.label(whole(docs, F.col("text")), model, pass_on=["row"])
+    out = langid.label(whole(docs), model, pass_on=["row"], inside="row")
     return out.where((F.col("lang_pred") != langid.UND) & ((F.col("lang_clear") >= CLEAR) | (F.col("lang_familiar") >= FAMILIAR))).select("row.*")
 
 
@@ -72,7 +72,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows equal in doc_id and text get the copies of all of them together. No
     document has more than twice its rows. An empty table stays empty.
     """
-    out = mix.mix(docs.select("doc_id", near.text_md5(), "text", "source"), Workspace(spark, "stage-mix"), keys=KEY)
+    out = mix.mix(docs.select("doc_id", near.text_md5(), "text", "source", "lang"), Workspace(spark, "stage-mix"), keys=KEY)
     return by_key(docs, out.groupBy(*KEY).agg(F.sum("copies").cast("long").alias("copies"), F.count(F.lit(1)).alias("rows")))
 
 
