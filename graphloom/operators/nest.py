@@ -1,44 +1,137 @@
-"""Interval operators: nesting by smallest enclosing span, interval anti joins, first handlers."""
+"""Interval operators: nesting by smallest enclosing span, interval anti joins, first handlers.
+
+None pairs all intervals of a key with all points of it. Positions are whole
+numbers. An interval is cut into O(log n) blocks whose sizes are powers of two,
+and the least interval of each block is kept; a point lies in one block of each
+size, so its smallest interval is the least over O(log n) blocks, all found by
+joins on equal values. Positions are first put into cells of a size such that the
+longest interval has about 2^BITS cells; where an interval begins or ends inside
+a cell, points of that cell are compared with it one by one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: log2 of the cells of the longest interval; positions that a bucket of handlers() spans.
+BITS, SPAN = 14, 4096
 
-def smallest_span(nodes: DataFrame, containers: DataFrame, key: str, at: str) -> DataFrame:
-    """(node_id, container_id, span): the container of the node's key with low <= at <= high and the least span, then the least ord; nodes outside all go.
 
-    containers(key, container_id, low, high, ord). The equal key makes it a hash or sort-merge join with the range as a residual;
-    the least is a partial aggregate, so candidate rows never meet in one task.
-    """
-    c = containers.withColumn("span", F.col("high") - F.col("low"))
-    hit = nodes.join(c, key).where((F.col(at) >= F.col("low")) & (F.col(at) <= F.col("high")))
-    best = hit.groupBy("node_id").agg(F.min(F.struct("span", "ord", "container_id")).alias("b"))
+def _keys(key: str | Sequence[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _log2(x: Column) -> Column:
+    """floor(log2(x)) of a positive whole number: one less than its binary digits."""
+    return F.length(F.bin(x)) - 1
+
+
+def _blocks(first: Column, last: Column) -> Column:
+    """Blocks (level, block) of 2^level cells each that make up first to last; none if last is less."""
+    low = lambda s: s["at"]
+    # the largest block that starts here and ends in time: trailing zeros of the start, and what is left
+    zeros = lambda x: F.when(x == 0, F.lit(62)).otherwise(_log2(x.bitwiseAND(-x)))
+    level = lambda s: F.least(zeros(low(s)), _log2(last - low(s) + 1)).cast("int")
+    step = lambda s, _: F.when(low(s) > last, s).otherwise(F.struct((low(s) + F.call_function("shiftleft", F.lit(1).cast("long"), level(s))).alias("at"), F.concat(s["out"], F.array(F.struct(level(s).alias("level"), F.call_function("shiftright", low(s), level(s)).alias("block")))).alias("out")))
+    start = F.struct(first.alias("at"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * BITS + 6)), start, step, lambda s: s["out"])
+
+
+class Cover:
+    """Intervals of keys by blocks and cells. intervals: keys, low, high and `best`, of which the least counts."""
+
+    def __init__(self, intervals: DataFrame, keys: list[str]):
+        self.keys = keys
+        longest = intervals.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
+        self.unit = 1 << max(0, int(longest).bit_length() - BITS)
+        i = intervals.where("low <= high").withColumn("low", F.col("low").cast("long")).withColumn("high", F.col("high").cast("long"))
+        cell = lambda c: F.floor(c / F.lit(self.unit)) if self.unit > 1 else c
+        self.cell = cell
+        inner = _blocks(-cell(-F.col("low")), cell(F.col("high") + 1) - 1)
+        blocks = i.select(*keys, "best", F.explode(inner).alias("b")).select(*keys, "b.level", "b.block", "best")
+        self.blocks = blocks.groupBy(*keys, "level", "block").agg(F.min("best").alias("best"))
+        self.levels = BITS + 2
+        ends = F.array_distinct(F.array(cell(F.col("low")), cell(F.col("high"))))
+        self.ends = i.select(*keys, "low", "high", "best", F.explode(ends).alias("cell")) if self.unit > 1 else None
+
+    def around(self, points: DataFrame, at: str) -> DataFrame:
+        """points with the `best` of every block and partial cell that they lie in, each interval's at least once."""
+        here = self.cell(F.col(at).cast("long"))
+        level = F.explode(F.sequence(F.lit(0), F.lit(self.levels))).alias("level")
+        names = points.columns
+        rows = points.select("*", here.alias("cell"), level).withColumn("block", F.expr("shiftright(cell, level)")).drop("cell")
+        hit = rows.join(self.blocks, [*self.keys, "level", "block"]).select(*names, "best")
+        if self.ends is not None:
+            e = self.ends.select(*[F.col(k).alias(f"_{k}") for k in self.keys], F.col("cell").alias("_cell"), "low", "high", "best")
+            same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in self.keys])
+            part = points.join(e, same & (here == F.col("_cell")) & F.col(at).between(F.col("low"), F.col("high"))).select(*names, "best")
+            hit = hit.unionByName(part)
+        return hit
+
+
+def smallest_span(nodes: DataFrame, containers: DataFrame, key: str | Sequence[str], at: str) -> DataFrame:
+    """(node_id, container_id, span): the container of the node's key with low <= at <= high and the least span, then the least ord; nodes outside all go. containers(key, container_id, low, high, ord)."""
+    keys = _keys(key)
+    c = containers.select(*keys, "low", "high", F.struct((F.col("high") - F.col("low")).alias("span"), "ord", "container_id").alias("best"))
+    hit = Cover(c, keys).around(nodes.select(*keys, "node_id", at), at)
+    best = hit.groupBy("node_id").agg(F.min("best").alias("b"))
     return best.select("node_id", F.col("b.container_id").alias("container_id"), F.col("b.span").alias("span"))
 
 
 def forest(intervals: DataFrame, key: str) -> DataFrame:
-    """(id, parent_id): the smallest other interval of the key that starts strictly before and ends no earlier; null for roots."""
-    a = intervals.select(key, "id", "low", "high")
-    b = intervals.select(key, F.col("id").alias("p_id"), F.col("low").alias("p_low"), F.col("high").alias("p_high"))
-    hit = a.join(b, key).where("p_low < low and p_high >= high")
+    """(id, parent_id): the smallest other interval of the key that starts strictly before and ends no earlier; null for roots.
+
+    Intervals that contain an interval's start are found by blocks, one row each, so
+    the work grows with how deep intervals lie in each other, not with their square.
+    """
+    keys = _keys(key)
+    a = intervals.select(*keys, "id", "low", "high")
+    longest = intervals.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
+    unit = 1 << max(0, int(longest).bit_length() - BITS)
+    first, last = F.floor(F.col("low") / unit), F.floor(F.col("high") / unit)
+    blocks = a.select(*keys, F.col("id").alias("p_id"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.explode(_blocks(first.cast("long"), last.cast("long"))).alias("b")).select(*keys, "p_id", "p_low", "p_high", "b.level", "b.block")
+    rows = a.select("*", first.cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(BITS + 2))).alias("level")).withColumn("block", F.expr("shiftright(cell, level)"))
+    hit = rows.join(blocks, [*keys, "level", "block"]).where("p_low < low and p_high >= high")
     best = hit.groupBy("id").agg(F.min(F.struct((F.col("p_high") - F.col("p_low")).alias("span"), "p_id")).alias("b")).select("id", F.col("b.p_id").alias("parent_id"))
     return a.select("id").join(best, "id", "left")
 
 
-def outside(points: DataFrame, intervals: DataFrame, key: str, at: str) -> DataFrame:
-    """Points in no interval of their key."""
-    i = intervals.select(F.col(key).alias("_k"), F.col("low").alias("_lo"), F.col("high").alias("_hi"))
-    return points.join(i, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_lo")) & (F.col(at) <= F.col("_hi")), "left_anti")
+def outside(points: DataFrame, intervals: DataFrame, key: str | Sequence[str], at: str) -> DataFrame:
+    """Points in no interval of their key. Points have distinct rows, or share their fate."""
+    keys = _keys(key)
+    c = intervals.select(*keys, "low", "high", F.lit(0).alias("best"))
+    inside = Cover(c, keys).around(points.select(*keys, at).distinct(), at).select(*keys, at).distinct()
+    return points.join(inside, [*keys, at], "left_anti").select(*points.columns)
 
 
-def handlers(throws: DataFrame, catches: DataFrame, key: str, nearest: bool) -> DataFrame:
-    """(throw_id, catch_id): of the catches of the same key with a larger position, the nearest, or the first in collection order (ord); null if none."""
-    c = catches.select(key, F.col("at").alias("c_at"), F.col("ord").alias("c_ord"), "catch_id")
-    order = F.struct("c_at", "c_ord", "catch_id") if nearest else F.struct("c_ord", "c_at", "catch_id")
-    hit = throws.join(c, key).where("c_at > at").groupBy("throw_id").agg(F.min(order).alias("b")).select("throw_id", F.col("b.catch_id").alias("catch_id"))
-    return throws.select("throw_id").join(hit, "throw_id", "left")
+def handlers(throws: DataFrame, catches: DataFrame, key: str | Sequence[str], nearest: bool, span: int = SPAN) -> DataFrame:
+    """(throw_id, catch_id) for every row of throws(key, at, throw_id): of the catches(key, at, ord, catch_id) of the same key at a larger position the nearest, or the first in collection order; null if none.
+
+    Both are minima over what comes later, so no throw is paired with more than
+    one catch: buckets of `span` positions each take a running minimum from their
+    end, and what later buckets hold is one row a bucket.
+    """
+    keys = _keys(key)
+    best = F.struct("at", "ord", "catch_id") if nearest else F.struct("ord", "at", "catch_id")
+    bucket = F.floor(F.col("at") / span).alias("bucket")
+    c = catches.select(*keys, "at", bucket, best.alias("best"))
+    kind = c.schema["best"].dataType
+    firsts = c.select(*keys, "bucket", "best").unionByName(throws.select(*keys, bucket, F.lit(None).cast(kind).alias("best"))).groupBy(*keys, "bucket").agg(F.min("best").alias("first"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    rest = firsts.withColumn("rest", F.min("first").over(later)).select(*keys, "bucket", "rest")
+    # inside a bucket, from its end. A catch must be later, so at equal positions throws are looked at first
+    id_type = throws.schema["throw_id"].dataType
+    rows = c.select(*keys, "bucket", "at", F.lit(1).alias("is_catch"), "best", F.lit(None).cast(id_type).alias("throw_id"))
+    rows = rows.unionByName(throws.select(*keys, bucket, "at", F.lit(0).alias("is_catch"), F.lit(None).cast(kind).alias("best"), "throw_id"))
+    back = Window.partitionBy(*keys, "bucket").orderBy(F.desc("at"), "is_catch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("found", F.min("best").over(back)).where("is_catch = 0").select(*keys, "bucket", "throw_id", "found")
+    # rows without a key have no catch, and are kept
+    out = found.join(rest, [*keys, "bucket"], "left")
+    return out.select("throw_id", F.least("found", "rest")["catch_id"].alias("catch_id"))
 
 
 def positions(rows: DataFrame, parent: str, order: list[str]) -> DataFrame:

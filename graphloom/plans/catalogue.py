@@ -366,17 +366,53 @@ def redact_context(spark, d):
     return table(spark, d, "events").select("event_id", F.col("event_type").alias("name"), F.element_at(F.map_values(m), 1).alias("value"))
 
 
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{c}'" for c, p in X.LOG_CATEGORIES) + " ELSE 'debug' END AS category FROM conversations")
-def log_category(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", X.log_category(F.col("text")).alias("category"))
+LOG_SQL = r"""
+SELECT conv_id, turn, CASE
+    WHEN role = 'user' AND regexp_matches(lower(text), 'auth|unauthorized|forbidden') THEN 'security'
+    WHEN role = 'user' THEN 'error'
+    WHEN regexp_matches(lower(text), 'request|incoming|received|req') THEN 'request'
+    WHEN regexp_matches(lower(text), 'response|respond|reply|res') THEN 'response'
+    WHEN regexp_matches(lower(text), 'error|exception|fail|crash') THEN 'error'
+    WHEN regexp_matches(lower(text), 'performance|duration|latency|took|elapsed|ms') THEN 'performance'
+    WHEN regexp_matches(lower(text), 'auth|login|logout|token|jwt|session|permission|role') THEN 'security'
+    WHEN regexp_matches(lower(text), 'start|stop|ready|boot|shutdown|connect|disconnect') THEN 'lifecycle'
+    WHEN regexp_matches(lower(text), 'metric|trace|span|otel') THEN 'performance'
+    ELSE 'general' END AS category
+FROM conversations
+"""
 
 
-STATUS = list(X.ERROR_STATUS)
+@query(LOG_SQL)
+def log_category(spark, d):
+    """Turns of users stand for messages of level error, others for info."""
+    level = F.when(F.col("role") == "user", "error").otherwise("info")
+    return table(spark, d, "conversations").select("conv_id", "turn", X.log_category(F.col("text"), level).alias("category"))
+
+
+STATUS_SQL = """
+WITH n AS (
+  SELECT event_id, (['BadRequestException', 'ValidationError', 'UnauthorizedException', 'HttpException', 'ForbiddenException', 'NotFoundError',
+    'ConflictException', 'UnprocessableEntityException', 'AuthenticationError', 'AuthorizationError', 'InternalServerErrorException',
+    'NotImplementedException', 'ServiceUnavailableException', 'NotFoundException', 'TimeoutError'])[event_id % 15 + 1] AS name
+  FROM events WHERE event_type = 'error'
+)
+SELECT event_id, CASE
+    WHEN name IN ('BadRequestException', 'ValidationError', 'HttpException') THEN 400
+    WHEN name IN ('UnauthorizedException', 'AuthenticationError') THEN 401
+    WHEN name IN ('ForbiddenException', 'AuthorizationError') THEN 403
+    WHEN name IN ('NotFoundException', 'NotFoundError') THEN 404
+    WHEN name = 'ConflictException' THEN 409 WHEN name = 'UnprocessableEntityException' THEN 422
+    WHEN name = 'InternalServerErrorException' THEN 500 WHEN name = 'NotImplementedException' THEN 501
+    WHEN name = 'ServiceUnavailableException' THEN 503 END AS status
+FROM n
+"""
+ERRORS = ["BadRequestException", "ValidationError", "UnauthorizedException", "HttpException", "ForbiddenException", "NotFoundError", "ConflictException", "UnprocessableEntityException", "AuthenticationError", "AuthorizationError", "InternalServerErrorException", "NotImplementedException", "ServiceUnavailableException", "NotFoundException", "TimeoutError"]
 
 
-@query("SELECT event_id, coalesce(CASE ['" + "', '".join([*STATUS, "Other"]) + f"'][event_id % {len(STATUS) + 1} + 1] " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in X.ERROR_STATUS.items()) + " END, 500) AS status FROM events WHERE event_type = 'error'")
+@query(STATUS_SQL)
 def http_status_map(spark, d):
-    name = F.get(F.array(*[F.lit(x) for x in [*STATUS, "Other"]]), (F.col("event_id") % (len(STATUS) + 1)).cast("int"))
+    """Error events stand for throws of classes in turn."""
+    name = F.get(F.array(*[F.lit(x) for x in ERRORS]), (F.col("event_id") % len(ERRORS)).cast("int"))
     return table(spark, d, "events").where("event_type = 'error'").select("event_id", X.error_status(name).alias("status"))
 
 
@@ -617,7 +653,10 @@ class Saved:
         import tempfile
         import uuid
 
-        root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = root or "file://" + tempfile.mkdtemp(prefix="graphloom-")
         self.spark, self.root = spark, f"{root.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:

@@ -1,0 +1 @@
+"""graphloom."""

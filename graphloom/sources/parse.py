@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import ERROR_STATUS
+
 SCHEMA = "service string, path string, language string, ord long, type string, name string, kind string, line int, col int, end_line int, meta map<string,string>"
 
 
@@ -46,7 +48,6 @@ HTTP_RECEIVER = re.compile(r"(?i)(^|\.)(requests|httpx|axios|http|httpclient|cli
 ROUTER = re.compile(r"(?i)(^|\.)(app|router|api|server|fastify|blueprint|bp|r|e|g|v1|v2|mux|group|\w*router)$")
 EVENT_SEND, EVENT_TAKE = {"send", "publish", "emit", "sendtoqueue", "basic_publish", "dispatch", "convertandsend", "writemessages", "apply_async"}, {"subscribe", "consume", "basic_consume", "on", "addlistener", "readmessage"}
 BROKER = re.compile(r"(?i)(producer|consumer|kafka|channel|rabbit|amqp|nats|broker|bus|emitter|events?|writer)")
-STATUS = {"ValueError": 400, "ValidationError": 400, "PermissionError": 403, "KeyError": 404, "NotFoundError": 404, "TimeoutError": 504, "NotImplementedError": 501}
 
 
 def called(callee: str, args: list[str], awaited: bool, line: int, col: int, end: int) -> Iterator[Node]:
@@ -145,7 +146,7 @@ def python_nodes(path: str, text: str) -> list[Node]:
         elif isinstance(x, ast.Raise):
             cls = source(x.exc.func if isinstance(x.exc, ast.Call) else x.exc) if x.exc else ""
             given = re.search(r"status_code\s*=\s*(\d{3})", source(x))
-            node("throw", cls, None, x, status=given[1] if given else str(STATUS.get(cls, 500)))
+            node("throw", cls, None, x, status=given[1] if given else str(ERROR_STATUS["python"].get(cls, 500)))
         inside = x.name if isinstance(x, ast.ClassDef) else "" if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) else owner
         for child in ast.iter_child_nodes(x):
             walk(child, inside, isinstance(x, ast.Await))
@@ -260,7 +261,7 @@ def brace_nodes(language: str, text: str) -> list[Node]:
         node("return", text[m.start(1) : m.end(1)].strip()[:200], None, m.start(), m.end())
     for m in re.finditer(r"\bthrow\s+(?:new\s+)?([\w.]+)|\bpanic\s*\(", code):
         cls = m[1] or "panic"
-        node("throw", cls, None, m.start(), m.end(), status=str({"BadRequestException": 400, "NotFoundException": 404, "UnauthorizedException": 401, "ForbiddenException": 403, "ConflictException": 409}.get(cls, 500)))
+        node("throw", cls, None, m.start(), m.end(), status=str(ERROR_STATUS.get(language, {}).get(cls, 500)))
     for m in re.finditer(r"\b(?:import|use|using)\b[^\n;]*", code):
         node("data", text[m.start() : m.end()][:200], "import", m.start(), m.end())
     for m in re.finditer(r"([A-Za-z_][\w]*(?:(?:\?\.|\.|::)[A-Za-z_]\w*)*)\s*\(", code):

@@ -15,7 +15,10 @@ LANGUAGES = {
 }
 
 #: Folders that are never read.
-IGNORED = ["node_modules", ".git", "dist", "build", "target", "vendor", "__pycache__", ".venv", "venv", ".next", "coverage", ".idea", ".gradle", "bin", "obj", ".pytest_cache", ".mypy_cache", "out"]
+IGNORED = [
+    "node_modules", ".git", ".svn", ".hg", "dist", "build", "out", "target", "bin", "obj", "__pycache__", ".pytest_cache", ".mypy_cache",
+    ".next", ".nuxt", ".output", ".cache", "coverage", ".nyc_output", "vendor", "Pods", ".gradle", ".idea", ".vscode", "DerivedData", ".build",
+]
 
 #: Manifests by priority; the first of a folder names its service's kind.
 MANIFESTS = ["package.json", "pom.xml", "build.gradle", "build.gradle.kts", "go.mod", "Cargo.toml", "pyproject.toml", "requirements.txt", "Pipfile", "Package.swift"]
