@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import kebab
 from graphloom.operators import edges as E
-from graphloom.operators import resolve
+from graphloom.operators import enrich, errors, links, nest, resolve, tree, validate
 from graphloom.sources import parse, scan
 
 
@@ -17,26 +18,50 @@ def nodes(spark: SparkSession, root: str, skip_tests: bool = True) -> DataFrame:
     return parse.with_ids(parse.parse(placed))
 
 
-def nested(all_nodes: DataFrame) -> DataFrame:
-    """nodes with parent_id: the smallest function or endpoint of the file around a node, by span, then function first, then order; flow nodes nest in flow nodes too.
+#: Columns that a position has room for: positions are line * COLUMNS + column.
+COLUMNS = 1 << 12
 
-    One equi join on (service, path) with the range as its residual, and an aggregate of structs.
-    """
-    outer = all_nodes.where("type in ('function', 'endpoint', 'flowControl')").select(F.col("service").alias("s"), F.col("path").alias("p"), F.col("id").alias("c_id"), F.col("line").alias("low"), F.col("col").alias("low_col"), F.col("end_line").alias("high"), (F.col("type") == "endpoint").cast("int").alias("rank"), F.col("type").alias("c_type"), F.col("ord").alias("c_ord"))
+
+def containers(all_nodes: DataFrame, types: list[str]) -> DataFrame:
+    """(node_id, container_id): the smallest node of the types whose lines hold a node's line; functions before endpoints, then in order."""
+    key = ["service", "path"]
+    rank = (F.col("type") == "endpoint").cast("long") * F.lit(1 << 40)
+    outer = all_nodes.where(F.col("type").isin(types)).select(*key, F.col("uid").alias("container_id"), F.col("line").cast("long").alias("low"), F.col("end_line").cast("long").alias("high"), (rank + F.col("ord")).alias("ord"))
     inner = all_nodes.where("type not in ('function', 'endpoint', 'table', 'column', 'diagnostic')")
-    inside = (F.col("line") >= F.col("low")) & (F.col("line") <= F.col("high")) & (F.col("id") != F.col("c_id"))
-    later = (F.col("c_type") != "flowControl") | (F.col("line") > F.col("low")) | ((F.col("line") == F.col("low")) & (F.col("col") > F.col("low_col")))
-    hit = inner.join(outer, (F.col("service") == F.col("s")) & (F.col("path") == F.col("p")) & inside & later)
-    best = hit.groupBy("service", "path", "ord").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("span"), "rank", "c_ord", "c_id")).alias("b")).select("service", "path", "ord", F.col("b.c_id").alias("parent_id"))
-    return all_nodes.join(best, ["service", "path", "ord"], "left")
+    return nest.smallest_span(inner.select(*key, F.col("uid").alias("node_id"), F.col("line").alias("at")), outer, key, "at").select("node_id", "container_id")
+
+
+def with_uid(all_nodes: DataFrame) -> DataFrame:
+    """Nodes with a key of their own: ids are short hashes, which two nodes of a line or service may share."""
+    return all_nodes.withColumn("uid", F.concat_ws("|", "service", "path", F.col("ord").cast("string")))
 
 
-def owners(with_parents: DataFrame) -> DataFrame:
+def nested(all_nodes: DataFrame) -> DataFrame:
+    """nodes with parent_id: the smallest function or endpoint of the file around a node, or the smallest flow node in it that starts before and ends no earlier.
+
+    Nodes that nothing holds are kept, with a null parent; topology() leaves them
+    out, but module data. Functions and endpoints have no parent.
+    """
+    n = with_uid(all_nodes)
+    held = containers(n, ["function", "endpoint"])
+    key = ["service", "path"]
+    at = F.col("line").cast("long") * COLUMNS + F.least(F.col("col"), F.lit(COLUMNS - 2))
+    flow = n.where("type = 'flowControl'").select(*key, F.col("uid").alias("container_id"), (at + 1).alias("low"), (F.col("end_line").cast("long") * COLUMNS + COLUMNS - 1).alias("high"), "ord")
+    inner = n.where("type not in ('function', 'endpoint', 'table', 'column', 'diagnostic')").select(*key, F.col("uid").alias("node_id"), at.alias("at"))
+    inside = nest.smallest_span(inner, flow, key, "at").select("node_id", F.col("container_id").alias("flow_id"))
+    # a flow node counts if it is in the same function: a function may lie between
+    own = held.join(inside, "node_id", "left").join(held.select(F.col("node_id").alias("flow_id"), F.col("container_id").alias("flow_in")), "flow_id", "left")
+    parent = own.select(F.col("node_id").alias("uid"), F.when(F.col("flow_in") == F.col("container_id"), F.col("flow_id")).otherwise(F.col("container_id")).alias("p_uid"))
+    names = n.select(F.col("uid").alias("p_uid"), F.col("id").alias("parent_id"))
+    return n.join(parent, "uid", "left").join(names, "p_uid", "left").drop("p_uid")
+
+
+def owners(all_nodes: DataFrame) -> DataFrame:
     """(service, path, ord, fn_id): the innermost function around each node."""
-    f = with_parents.where("type = 'function'").select("service", "path", F.col("id").alias("fn_id"), F.col("line").alias("low"), F.col("end_line").alias("high"), F.col("ord").alias("f_ord"))
-    hit = with_parents.where("type <> 'function'").join(f, ["service", "path"]).where("line >= low and line <= high")
-    best = hit.groupBy("service", "path", "ord").agg(F.min(F.struct((F.col("high") - F.col("low")).alias("span"), "f_ord", "fn_id")).alias("b"))
-    return best.select("service", "path", "ord", F.col("b.fn_id").alias("fn_id"))
+    n = with_uid(all_nodes)
+    held = containers(n, ["function"])
+    f = n.select(F.col("uid").alias("container_id"), F.col("id").alias("fn_id"))
+    return n.select(F.col("uid").alias("node_id"), "service", "path", "ord").join(held, "node_id").join(f, "container_id").select("service", "path", "ord", "fn_id")
 
 
 def call_edges(all_nodes: DataFrame) -> DataFrame:
@@ -89,3 +114,52 @@ def cross_service(all_nodes: DataFrame) -> DataFrame:
 
 def summary(all_nodes: DataFrame) -> DataFrame:
     return all_nodes.groupBy("service", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def structural_edges(all_nodes: DataFrame) -> DataFrame:
+    """imports and extends edges from the data nodes of files, with `service:` in front of services."""
+    files = all_nodes.groupBy("service", "path").agg(F.min("ord").alias("ord")).select(F.col("path").alias("file"), F.col("service"), "ord")
+    named = lambda c: F.concat(F.lit("service:"), c)
+    modules = all_nodes.where("type = 'data' and kind = 'import'").select("service", F.coalesce(F.col("meta")["module"], F.regexp_extract("name", r"[\"']([^\"']+)[\"']", 1)).alias("module"))
+    into = links.imports(modules.select(named(F.col("service")).alias("service"), "module"), files.select("file", named(F.col("service")).alias("service"), "ord"))
+    f = all_nodes.where("type = 'function'").select("id", "kind", F.regexp_extract("name", r"^(.*)\.", 1).alias("class_name"), F.col("ord"))
+    text = lambda k: F.when(F.coalesce(F.col("meta")[k], F.lit("")) != "", F.col("meta")[k])
+    data = all_nodes.where("type = 'data' and kind <> 'import'").select("id", "name", F.split_part(text("extends"), F.lit(","), F.lit(1)).alias("super_class"), F.split(text("implements"), r"\s*,\s*").alias("implements"), "ord")
+    return into.unionByName(links.inherits(data, f)).select("source", "target", "kind").distinct()
+
+
+def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> dict[str, DataFrame]:
+    """All tables of a repository, as operators.validate takes them, with `tree` (nodes by parent and depth), `diagnostics`, `error_paths` and `progress`."""
+    n = save(nested(nodes(spark, root, skip_tests)), "nodes")
+    found = scan.boundaries(scan.read_files(spark, root))
+    name = F.when(F.col("root") == "", F.lit(root.rstrip("/").rpartition("/")[2])).otherwise(F.substring_index("root", "/", -1))
+    ends = n.where("type = 'endpoint'").groupBy(F.col("service").alias("root")).agg(F.count(F.lit(1)).alias("endpoints"))
+    stack = scan.stacks(scan.read_files(spark, root), found).select(F.col("service").alias("root"), "framework")
+    s = found.join(ends, "root", "left").join(stack, "root", "left")
+    kind = enrich.service_kind(F.coalesce("framework", F.lit("unknown")), F.coalesce("endpoints", F.lit(0)), F.lit(0), F.lit(0))
+    services = save(s.select(F.concat(F.lit("service:"), "root").alias("id"), name.alias("name"), kebab(name).alias("code"), kind.alias("kind"), "framework"), "services")
+    meta = lambda k: F.col("meta")[k]
+    service_id = F.concat(F.lit("service:"), "service").alias("service_id")
+    endpoints = n.where("type = 'endpoint'").select("id", service_id, "name", F.col("kind").alias("method"), meta("path").alias("path"), F.col("path").alias("file"), "line", "end_line", "ord")
+    kinds = F.when(F.col("kind") == "function", "declaration").otherwise(F.col("kind"))
+    functions = n.where("type = 'function'").select("id", service_id, "name", kinds.alias("kind"), F.col("path").alias("file"), "line", "end_line", "ord")
+    inner = n.where("type not in ('function', 'endpoint', 'diagnostic', 'data', 'table', 'column') and parent_id is not null")
+    used = F.when(F.col("type") == "dbProcess", F.concat(F.lit("database:"), "service"))
+    code = inner.select("id", service_id, "type", "parent_id", "name", "kind", used.alias("database_id"), meta("operation").alias("operation"), F.when(F.col("type") == "externalCall", F.col("kind")).alias("method"), meta("path").alias("path"), F.when(F.col("type") == "event", F.col("name")).alias("event_name"), F.when(F.col("type") == "log", F.col("kind")).alias("level"), F.lit(None).cast("int").alias("branches"), F.col("path").alias("file"), "line", "ord", meta("status").cast("int").alias("status"))
+    code = code.withColumn("kind", F.when(F.col("type").isin("log", "event", "externalCall", "dbProcess"), F.lit(None)).otherwise(F.col("kind")))
+    engines = services.select(F.concat(F.lit("database:"), F.substring("id", 9, 1 << 20)).alias("id"), "name", F.lit("unknown").alias("engine"), "code").withColumnRenamed("code", "alias")
+    databases = engines.join(code.select(F.col("database_id").alias("id")).distinct(), "id", "left_semi")
+    brokers = n.where("type = 'event'").select(F.concat(F.lit("topic:"), "name").alias("id"), "name", F.lit("unknown").alias("engine"), F.col("name").alias("alias")).distinct()
+    e = derived_edges(n).unionByName(structural_edges(n)).distinct()
+    operation = F.when(F.col("kind").isin("reads_from", "writes_to"), F.lit("any"))
+    topic = F.when(F.col("kind").isin("publishes_to", "consumes_from"), F.regexp_extract(F.concat_ws(" ", "source", "target"), r"topic:(\S+)", 1))
+    edges = save(e.withColumn("operation", operation).withColumn("topic", topic), "edges")
+    out = {"services": services, "endpoints": save(endpoints, "endpoints"), "functions": save(functions, "functions"), "nodes": save(code, "code"), "edges": edges, "databases": databases, "brokers": brokers}
+    out["diagnostics"] = validate.validate(out, save).unionByName(diagnostics(n, edges).where("rule in ('function.unused', 'file.unreadable')").select("level", "rule", F.lit(None).cast("string").alias("check"), "node", F.col("rule").alias("message")))
+    out["error_paths"] = errors.error_paths(n.where("type in ('throw', 'flowControl')").select("service", F.col("path").alias("file"), "line", "ord", "id", "type", "kind", "name", meta("status").cast("int").alias("status")))
+    out["progress"] = enrich.progress(n)
+    top = n.where("type in ('endpoint', 'function')").select("id", F.lit(None).cast("string").alias("parent_id"), service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
+    rest = inner.select("id", "parent_id", service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
+    both = top.unionByName(rest).dropDuplicates(["id"])
+    out["tree"] = save(tree.roots(both, save).where("depth is not null").drop("root_id"), "tree")
+    return out

@@ -657,8 +657,11 @@ class Saved:
         if not root and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = root or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        self.spark, self.root = spark, f"{root.rstrip('/')}/graphloom/{uuid.uuid4().hex}"
+        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/graphloom/{uuid.uuid4().hex}", 0
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        """Write a table and return it read back. A name may come again; each has its own folder."""
+        self.n += 1
+        path = f"{self.root}/{self.n}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

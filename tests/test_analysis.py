@@ -17,7 +17,7 @@ class Store:
 
     def load(self, user_id):
         if user_id < 0:
-            raise ValueError("bad")
+            raise ValidationError("bad")
         return self.session.query(User).first()
 
 @app.get("/users/{user_id}")
@@ -164,3 +164,48 @@ def test_cross_service(nodes):
 def test_masked():
     assert parse.mask('a("x{") // y{\n/* { */ `{`') == 'a("  ")      \n        ` `'
     assert parse.nodes_of("x.rb", "ruby", "x") == []
+
+
+@pytest.fixture(scope="module")
+def whole(spark, repo):
+    from graphloom.plans.catalogue import Saved
+
+    return analysis.topology(spark, repo, Saved(spark).save)
+
+
+def test_topology(spark, whole, tmp_path):
+    from graphloom.plans.catalogue import Saved
+    from graphloom.sinks import topology
+
+    save, t = Saved(spark).save, whole
+    assert {(r.name, r.kind) for r in t["services"].collect()} == {(s, "backend") for s in ("users", "web", "orders", "stock")}
+    known = {r.id for r in validate_ids(t)}
+    for e in t["edges"].collect():
+        assert e.source in known and (e.target in known or e.kind == "imports")
+    assert not [r.message for r in t["diagnostics"].collect() if r.level == "error"]
+    assert t["progress"].first().endpoints == 4 == t["endpoints"].count()
+    handled = {(r.error_class, r.handled) for r in t["error_paths"].collect()}
+    assert ("NotFoundException", False) in handled and ("ValidationError", True) in handled
+    path = topology.write_topology(t["services"], t["tree"], f"{tmp_path}/t", save, roots=(str(tmp_path),))
+    s, n = topology.read_topology(spark, path, save)
+    assert s.count() == 4 and n.count() == t["tree"].count()
+
+
+def validate_ids(t):
+    from graphloom.operators import validate
+
+    return validate.node_ids(t).collect()
+
+
+def test_command_line(spark, repo, whole, tmp_path, capsys, monkeypatch):
+    from graphloom.__main__ import main
+
+    monkeypatch.setattr(analysis, "topology", lambda *a: whole)
+    monkeypatch.chdir(tmp_path)
+    assert main(["analyze", repo.removeprefix("file://"), "--output", f"{tmp_path}/out"]) == 0
+    assert "services: 4" in capsys.readouterr().out
+    assert main(["inspect", f"{tmp_path}/out"]) == 0 and "endpoints: 4" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["analyze", f"{tmp_path}/nothing"])
+    with pytest.raises(ValueError):
+        main(["analyze", repo.removeprefix("file://"), "--output", "/etc/out"])
