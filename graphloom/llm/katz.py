@@ -51,6 +51,8 @@ END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: Numbers of the unknown word, and of the start as a context.
 UNKNOWN, START = np.uint32(0xFFFFFFFF), np.uint32(0xFFFFFFFE)
 UNIT = 1e9
+#: Bytes of text for each bucket, at most, where the session's shuffle partitions are too few: what a task holds doesn't grow with the corpus.
+BUCKET = 128 << 20
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -139,7 +141,8 @@ def score(docs: DataFrame, ws: Workspace, held_out: Column) -> DataFrame:
     without training rows every token is the unknown word. Other columns aren't read.
     """
     spark = ws.spark
-    nb = buckets(spark)
+    text_bytes = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    nb = max(buckets(spark), -(-text_bytes // BUCKET))
     id_type = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("bucket", T.IntegerType()), T.StructField("chunk", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("number", T.ArrayType(T.LongType()))])
 
@@ -191,6 +194,8 @@ def score(docs: DataFrame, ws: Workspace, held_out: Column) -> DataFrame:
     for r in stats:
         offset[r.bucket + 1] = r.number[1]
     offset = np.cumsum(offset)
+    if offset[-1] >= START:
+        raise ValueError(f"{offset[-1]} kinds of words are more than 32 bits can number")
     of_counts = np.sum([r.number[2:] for r in stats], axis=0) if stats else np.zeros(K + 1)
     uni = Unigrams.of(sum(r.number[0] for r in stats), int(offset[-1]), np.concatenate([[0], of_counts]))
     texts_seen = chunks.where("kind = 'chunk'").select(F.sum(F.element_at("number", 1))).first()[0] or 0

@@ -17,6 +17,24 @@ LOWER = {i: i + 32 for i in range(65, 91)}
 END, START = "</s>", "<s>"
 
 
+K = 5
+
+
+def good_turing(counts):
+    """Katz's discounts d(r), r = 1..K, written out from his paper; absolute discounting where they aren't between 0 and 1."""
+    n = Counter(counts)
+    out = {}
+    if all(n[r] for r in range(1, K + 2)):
+        common = (K + 1) * n[K + 1] / n[1]
+        for r in range(1, K + 1):
+            star = (r + 1) * n[r + 1] / n[r]
+            out[r] = (star / r - common) / (1 - common) if common < 1 else -1
+    if not out or not all(0 < d < 1 for d in out.values()):
+        b = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        out = {r: (r - b) / r for r in range(1, K + 1)}
+    return out
+
+
 class Plain:
     def __init__(self, train):
         self.uni, self.bi = Counter(), defaultdict(Counter)
@@ -26,16 +44,20 @@ class Plain:
             for a, b in zip([START, *w], w):
                 self.bi[a][b] += 1
         self.total = sum(self.uni.values())
-        of = lambda counts: np.array([0, *(sum(c == r for c in counts) for r in range(1, katz.K + 2))])
-        self.one = katz.Unigrams.of(self.total, len(self.uni), of(self.uni.values()))
-        self.d2 = katz.discounts(of([c for x in self.bi.values() for c in x.values()]))
+        self.d1 = good_turing(self.uni.values())
+        self.d2 = good_turing(c for x in self.bi.values() for c in x.values())
+        # what the discounts take from seen words is the unknown word's
+        self.left = sum(c * (1 - self.d1.get(c, 1.0)) for c in self.uni.values()) / self.total if self.total else 0.0
 
     @functools.cache
     def word(self, w):
-        return float(self.one.p(np.array([self.uni[w]]))[0])
+        c = self.uni[w]
+        if self.left <= 0:
+            return (c + 1) / (self.total + len(self.uni) + 1)
+        return self.d1.get(c, 1.0) * c / self.total if c else self.left
 
     def d(self, r):
-        return self.d2[r] if r <= katz.K else 1.0
+        return self.d2.get(r, 1.0)
 
     @functools.cache
     def weight(self, v):
@@ -86,6 +108,11 @@ def test_hot_contexts(spark):
     check(spark, rows)
 
 
+def test_more_buckets_for_more_text(spark, monkeypatch):
+    monkeypatch.setattr(katz, "BUCKET", 500)
+    check(spark, [(i, " ".join(f"w{(i * k) % 89}" for k in range(40))) for i in range(60)])
+
+
 def test_small(spark):
     check(spark, [(1, "a b a b c"), (2, "a b"), (3, None), (4, "B c d")])
     check(spark, [(i, "only held out words") for i in range(40) if held(i)])
