@@ -13,7 +13,11 @@ from graphloom.sources import parse, scan
 
 def nodes(spark: SparkSession, root: str, skip_tests: bool = True) -> DataFrame:
     """Node rows of a repository, each file in its services."""
-    files = scan.read_files(spark, root)
+    return nodes_of(scan.read_files(spark, root), skip_tests)
+
+
+def nodes_of(files: DataFrame, skip_tests: bool = True) -> DataFrame:
+    """Node rows of files(path, size, content)."""
     placed = scan.assign(scan.source_files(files, skip_tests), scan.boundaries(files))
     return parse.with_ids(parse.parse(placed))
 
@@ -130,11 +134,16 @@ def structural_edges(all_nodes: DataFrame) -> DataFrame:
 
 def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> dict[str, DataFrame]:
     """All tables of a repository, as operators.validate takes them, with `tree` (nodes by parent and depth), `diagnostics`, `error_paths` and `progress`."""
-    n = save(nested(nodes(spark, root, skip_tests)), "nodes")
-    found = scan.boundaries(scan.read_files(spark, root))
-    name = F.when(F.col("root") == "", F.lit(root.rstrip("/").rpartition("/")[2])).otherwise(F.substring_index("root", "/", -1))
+    return topology_of(scan.read_files(spark, root), save, root.rstrip("/").rpartition("/")[2], skip_tests)
+
+
+def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: bool = True) -> dict[str, DataFrame]:
+    """topology() of files(path, size, content); title: the name of a service that is the whole repository."""
+    n = save(nested(nodes_of(files, skip_tests)), "nodes")
+    found = scan.boundaries(files)
+    name = F.when(F.col("root") == "", F.lit(title)).otherwise(F.substring_index("root", "/", -1))
     ends = n.where("type = 'endpoint'").groupBy(F.col("service").alias("root")).agg(F.count(F.lit(1)).alias("endpoints"))
-    stack = scan.stacks(scan.read_files(spark, root), found).select(F.col("service").alias("root"), "framework")
+    stack = scan.stacks(files, found).select(F.col("service").alias("root"), "framework")
     s = found.join(ends, "root", "left").join(stack, "root", "left")
     kind = enrich.service_kind(F.coalesce("framework", F.lit("unknown")), F.coalesce("endpoints", F.lit(0)), F.lit(0), F.lit(0))
     services = save(s.select(F.concat(F.lit("service:"), "root").alias("id"), name.alias("name"), kebab(name).alias("code"), kind.alias("kind"), "framework"), "services")
@@ -143,7 +152,7 @@ def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> d
     endpoints = n.where("type = 'endpoint'").select("id", service_id, "name", F.col("kind").alias("method"), meta("path").alias("path"), F.col("path").alias("file"), "line", "end_line", "ord")
     kinds = F.when(F.col("kind") == "function", "declaration").otherwise(F.col("kind"))
     functions = n.where("type = 'function'").select("id", service_id, "name", kinds.alias("kind"), F.col("path").alias("file"), "line", "end_line", "ord")
-    inner = n.where("type not in ('function', 'endpoint', 'diagnostic', 'data', 'table', 'column') and parent_id is not null")
+    inner = n.where("type not in ('function', 'endpoint', 'diagnostic', 'data', 'table', 'column', 'screen', 'component') and parent_id is not null")
     used = F.when(F.col("type") == "dbProcess", F.concat(F.lit("database:"), "service"))
     code = inner.select("id", service_id, "type", "parent_id", "name", "kind", used.alias("database_id"), meta("operation").alias("operation"), F.when(F.col("type") == "externalCall", F.col("kind")).alias("method"), meta("path").alias("path"), F.when(F.col("type") == "event", F.col("name")).alias("event_name"), F.when(F.col("type") == "log", F.col("kind")).alias("level"), F.lit(None).cast("int").alias("branches"), F.col("path").alias("file"), "line", "ord", meta("status").cast("int").alias("status"))
     code = code.withColumn("kind", F.when(F.col("type").isin("log", "event", "externalCall", "dbProcess"), F.lit(None)).otherwise(F.col("kind")))
@@ -158,6 +167,13 @@ def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> d
     out["diagnostics"] = validate.validate(out, save).unionByName(diagnostics(n, edges).where("rule in ('function.unused', 'file.unreadable')").select("level", "rule", F.lit(None).cast("string").alias("check"), "node", F.col("rule").alias("message")))
     out["error_paths"] = errors.error_paths(n.where("type in ('throw', 'flowControl')").select("service", F.col("path").alias("file"), "line", "ord", "id", "type", "kind", "name", meta("status").cast("int").alias("status")))
     out["progress"] = enrich.progress(n)
+    out["screens"] = n.where("type = 'screen'").select("id", service_id, "name", F.col("path").alias("file"), meta("route").alias("route"), F.split(meta("references"), ",").alias("references"))
+    out["components"] = n.where("type = 'component'").select("id", service_id, "name", "kind", "ord")
+    out["screen_components"] = links.components(out["screens"], out["components"])
+    facts = n.where("type in ('table', 'column')")
+    out["tables"] = facts.where("type = 'table'").select("id", F.concat(F.lit("database:"), "service").alias("database_id"), "name", meta("entity").alias("entity_name"))
+    owner = facts.where("type = 'table'").select("service", meta("entity").alias("entity"), F.col("id").alias("table_id"))
+    out["columns"] = facts.where("type = 'column'").withColumn("entity", meta("entity")).join(owner, ["service", "entity"]).select("table_id", "name", F.col("kind").alias("type"), (meta("primaryKey") == "true").alias("primary_key"))
     top = n.where("type in ('endpoint', 'function')").select("id", F.lit(None).cast("string").alias("parent_id"), service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     rest = inner.select("id", "parent_id", service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     both = top.unionByName(rest).dropDuplicates(["id"])

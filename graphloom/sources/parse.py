@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import ERROR_STATUS
+from graphloom.sources import rules
 
 SCHEMA = "service string, path string, language string, ord long, type string, name string, kind string, line int, col int, end_line int, meta map<string,string>"
 
@@ -59,11 +60,12 @@ def called(callee: str, args: list[str], awaited: bool, line: int, col: int, end
     if (receiver and low in LEVELS and LOG_RECEIVER.search(receiver)) or callee in ("print", "println", "fmt.Println", "fmt.Printf", "System.out.println", "System.err.println"):
         level = "error" if ".err." in callee else LEVELS.get(low, "info")
         yield Node("log", callee, level, line, col, end, {"message": (text or first)[:300]})
-    elif receiver and low in DB_OPS and DB_RECEIVER.search(receiver):
-        meta = {"operation": DB_OPS[low], "model": receiver.rpartition(".")[2]}
+    elif receiver and (low in DB_OPS or rules.operation_of(verb)) and DB_RECEIVER.search(receiver):
+        op = DB_OPS.get(low) or rules.operation_of(verb)
+        meta = {"operation": op, "model": receiver.rpartition(".")[2]}
         if text and (m := re.search(r"(?i)\b(?:FROM|INTO|UPDATE|JOIN)\s+[\"`]?(\w+)", text)):
             meta["table"] = m[1].lower()
-        yield Node("dbProcess", callee, DB_OPS[low], line, col, end, meta)
+        yield Node("dbProcess", callee, op, line, col, end, meta)
     elif receiver and BROKER.search(receiver) and low in EVENT_SEND | EVENT_TAKE:
         topic = next((a.strip("\"'`") for a in args if a[:1] in "\"'`"), None) or next((m[1] for a in args if (m := re.search(r"(?i)topics?\"?\s*[:=]\s*\[?[\"'`]([^\"'`]+)", a))), None)
         yield Node("event", topic or callee, "publish" if low in EVENT_SEND else "consume", line, col, end, {"channel": receiver.rpartition(".")[2]})
@@ -182,7 +184,7 @@ def mask(text: str) -> str:
     return re.sub(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.|[^'\\\n])*'", blank, text, flags=re.S)
 
 
-def brace_nodes(language: str, text: str) -> list[Node]:
+def brace_nodes(language: str, text: str, path: str = "") -> list[Node]:
     code = mask(text)
     breaks = [-1] + [i for i, c in enumerate(code) if c == "\n"]
     import bisect
@@ -228,14 +230,20 @@ def brace_nodes(language: str, text: str) -> list[Node]:
         named.append((start, end, name))
         node("function", name, kind, start, end, **{"async": str(bool(re.search(r"\basync\b", m[0]))).lower()})
     prefix = re.search(base, text) if base else None
+    # groups of routes have a prefix, which groups of groups add to
+    groups_of: dict[str, str] = {}
+    for m in re.finditer(r"(\w+)\s*:?=\s*([\w.]+)\.Group\(\s*[\"'`]([^\"'`]*)", text):
+        groups_of[m[1]] = groups_of.get(m[2], "") + "/" + m[3].strip("/")
+    # interfaces of clients have marks like those of endpoints
+    clients = [(m.start(), close.get(code.find("{", m.end()), m.end())) for m in re.finditer(r"@FeignClient\b[^{]*?\binterface\s+\w+", text)]
     for how, pattern in routes:
         for m in re.finditer(pattern, text):
-            if code[m.start()] != text[m.start()]:
-                continue  # in a comment
+            if code[m.start()] != text[m.start()] or any(a <= m.start() <= b for a, b in clients):
+                continue  # in a comment, or of a client
             if how == "call":
-                if not ROUTER.search(m[1]):
+                if not ROUTER.search(m[1]) and m[1] not in groups_of:
                     continue
-                verb, path = m[2].upper(), m[3]
+                verb, path = m[2].upper(), groups_of.get(m[1], "") + "/" + m[3]
             elif how == "handle":
                 verb, path = "GET", m[1]
             elif how == "axum":
@@ -258,7 +266,7 @@ def brace_nodes(language: str, text: str) -> list[Node]:
         end = close.get(brace, after) if brace >= 0 and not code[after + 1 : brace].strip(" \n\t)") or language == "go" and brace >= 0 else after
         node("flowControl", kind, kind, m.start(), end, condition=text[open_at + 1 : after][:200] if open_at is not None else "")
     for m in re.finditer(r"\breturn\b([^;\n}]*)", code):
-        node("return", text[m.start(1) : m.end(1)].strip()[:200], None, m.start(), m.end())
+        node("return", text[m.start(1) : m.end(1)].strip()[:200], None, m.start(), m.end(), **rules.answer(text[max(0, m.start() - 200) : m.end(1)].rpartition("\n")[2]))
     for m in re.finditer(r"\bthrow\s+(?:new\s+)?([\w.]+)|\bpanic\s*\(", code):
         cls = m[1] or "panic"
         node("throw", cls, None, m.start(), m.end(), status=str(ERROR_STATUS.get(language, {}).get(cls, 500)))
@@ -282,14 +290,52 @@ def brace_nodes(language: str, text: str) -> list[Node]:
                 last = i + 1
         line, col = place(m.start())
         out.extend(called(callee, args, code[: m.start()].rstrip().endswith("await"), line, col, place(end)[0]))
+    for r in rules.RULES:
+        if language in r.languages:
+            for m in r.pattern.finditer(text):
+                at = m.start() + len(m[0]) - len(m[0].lstrip())
+                if code[at] == text[at]:
+                    end = close.get(code.find("{", m.end()), m.end()) if r.block else m.end()
+                    out.extend(_by_rule(r, m, language, text, at, end, place))
+    if language in ("typescript", "javascript") and rules.FRONTEND.search("/" + path):
+        for type_, name, kind, start, end, facts in rules.screens(path, code, text, close):
+            node(type_, name, kind, start, end, **facts)
     out.sort(key=lambda n: (n.line, n.col))
     return out
 
 
+def _by_rule(r: rules.Rule, m: re.Match, language: str, text: str, at: int, end: int, place) -> Iterator[Node]:
+    g = {k: v for k, v in m.groupdict().items() if v is not None}
+    name = g.get("name") or g.get("name2") or ""
+    (line, col), last = place(at), place(end)[0]
+    if r.type == "feign":
+        base = re.search(r"\burl\s*=\s*\"([^\"]*)\"", g["args"]) or re.search(r"(?:name|value)\s*=\s*\"([^\"]*)\"", g["args"]) or re.search(r"\"([^\"]*)\"", g["args"])
+        for k in re.finditer(MAPPING, text[m.end() : end]):
+            verb = "GET" if k[1] == "Request" else k[1].upper()
+            where = place(m.end() + k.start())
+            yield Node("externalCall", f"{verb} {k[2] or '/'}", verb, *where, where[0], {"baseUrl": base[1] if base else "", "path": k[2] or "/", "client": name})
+    elif r.type == "route":
+        url = re.search(r"(?:url|path)\s*:\s*[\"'`]([^\"'`]*)", g["body"])
+        for verb in re.findall(r"[\"'`](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)[\"'`]", g["body"]) or ["GET"]:
+            if url:
+                yield Node("endpoint", f"{verb} {url[1]}", verb, line, col, last, {"path": url[1], "params": ",".join(re.findall(r"[:{](\w+)", url[1]))})
+    elif r.type == "entity":
+        body = text[m.end() : end]
+        found = rules.columns(language, body, m.end())
+        if language == "go" and "gorm" not in body:
+            return
+        given = re.search(r"[\"'](\w+)[\"']", g.get("args", ""))
+        yield Node("table", given[1] if given else name.lower() + "s" if language == "go" else name.lower(), "table", line, col, last, {"entity": name, "hasTimestamps": str(bool(re.search(r"(?i)created_?at|gorm\.Model", body))).lower(), "hasSoftDelete": str(bool(re.search(r"(?i)deleted_?at|gorm\.Model", body))).lower()})
+        for column, kind, where, facts in found:
+            yield Node("column", column, kind, *place(where), place(where)[0], {"entity": name, **facts})
+    else:
+        yield Node(r.type, name, r.kind or g.get("kind"), line, col, last, dict(r.meta))
+
+
 def nodes_of(path: str, language: str, text: str) -> list[Node]:
     """All nodes of a file; one of type diagnostic if it can't be read."""
     try:
-        return python_nodes(path, text) if language == "python" else brace_nodes(language, text) if language in LANGUAGE else []
+        return python_nodes(path, text) if language == "python" else brace_nodes(language, text, path) if language in LANGUAGE else []
     except (SyntaxError, ValueError, RecursionError) as e:
         return [Node("diagnostic", f"{type(e).__name__}: {e}"[:300], "warning", int(getattr(e, "lineno", None) or 1), 0, 1)]
 
