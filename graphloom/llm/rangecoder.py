@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -38,6 +39,8 @@ BLOCK, STREAMS, LEAST, GROUP = 65536, 64, 256, 64
 SLOTS2, SLOTS1, MIX, TOTAL0 = 15, 13, 16, 17
 #: Steps of an epoch: a quarter of all before, within these.
 EPOCH = (2, 64)
+#: Steps that are encoded at once.
+PART = 8
 #: Ids that the weights of a pair of states remember.
 MEMORY = 600.0
 MAGIC = b"GLCM\x02"
@@ -48,6 +51,7 @@ _MISSING = [(_ID, _ID - 1), (_ID - 2, _ID - 3)]
 _32, _MIX, _TOTAL0 = np.uint64(32), np.uint64(MIX), np.uint64(TOTAL0)
 _FULL = np.uint64(1 << 32)
 _1 = np.uint64(1)
+_NO = np.zeros(0, np.int64)
 
 
 def _states() -> tuple[int, np.ndarray, np.ndarray]:
@@ -111,6 +115,22 @@ class Candidates:
         self.slot[at] = value
 
 
+@dataclass
+class Seen:
+    """Ids of some stretches with what foretold them. slot: 0 to 3 the candidate that was right, 4 order 0; fresh: places of ids that were new to their block."""
+
+    block: np.ndarray
+    at2: np.ndarray
+    at1: np.ndarray
+    row: np.ndarray
+    foretold: list[np.ndarray]
+    g2: np.ndarray
+    g1: np.ndarray
+    slot: np.ndarray
+    x: np.ndarray
+    fresh: np.ndarray
+
+
 class Models:
     """The models of all blocks of a group."""
 
@@ -181,11 +201,12 @@ class Models:
             self.holder[b, : self.known[b]] = np.repeat(seen, size)
         self.novel, self.spelled = self.novel * 0.5 + 0.1, self.spelled * 0.5 + 0.1
 
-    def learn(self, block: np.ndarray, at2: np.ndarray, at1: np.ndarray, row: np.ndarray, foretold: list[np.ndarray], g2: np.ndarray, g1: np.ndarray, slot: np.ndarray, x: np.ndarray, fresh: np.ndarray) -> None:
-        """Learn from the ids of an epoch. slot: 0 to 3 the candidate, 4 order 0; fresh: places of ids that were new to the block."""
-        self.order2.learn(at2, g2, foretold[0], foretold[1], x)
-        self.order1.learn(at1, g1, foretold[2], foretold[3], x)
-        n = np.bincount(row * 5 + slot, minlength=self.edges.size * 5).reshape(-1, 45)
+    def learn(self, seen: list[Seen]) -> None:
+        """Learn from the ids of an epoch, in parts that fit a processor's cache."""
+        for p in seen:
+            self.order2.learn(p.at2, p.g2, p.foretold[0], p.foretold[1], p.x)
+            self.order1.learn(p.at1, p.g1, p.foretold[2], p.foretold[3], p.x)
+        n = np.bincount(np.concatenate([p.row * 5 + p.slot for p in seen]), minlength=self.edges.size * 5).reshape(-1, 45)
         some = np.flatnonzero(n.any(axis=1))
         n, w = n[some].reshape(-1, 9, 5), self.weight[some]
         more = np.zeros_like(w)
@@ -200,10 +221,12 @@ class Models:
         w = w + more
         w *= np.minimum(1, MEMORY / w.sum(axis=1, keepdims=True))
         self.weight[some] = w + 0.001
-        spelled = np.flatnonzero(slot == 4)
-        self.count += np.bincount(block[spelled] * self.vocabulary + x[spelled], minlength=self.count.size).reshape(self.count.shape)
-        self.novel += np.bincount(block[fresh], minlength=self.blocks)
-        self.spelled += np.bincount(block[spelled], minlength=self.blocks)
+        spelled = [np.flatnonzero(p.slot == 4) for p in seen]
+        block = np.concatenate([p.block[k] for p, k in zip(seen, spelled)])
+        x = np.concatenate([p.x[k] for p, k in zip(seen, spelled)])
+        self.count += np.bincount(block * self.vocabulary + x, minlength=self.count.size).reshape(self.count.shape)
+        self.novel += np.bincount(np.concatenate([p.block[p.fresh] for p in seen]), minlength=self.blocks)
+        self.spelled += np.bincount(block, minlength=self.blocks)
         self.mix(some)
 
 
@@ -300,33 +323,37 @@ def encode_group(lanes: list[np.ndarray], streams: int, vocabulary: int) -> list
         if _grown(a, since):
             m.refresh0()
             since = a
-        x, last, before = (ids[a + k : b + k, :live].ravel() for k in (2, 1, 0))
-        where = np.tile(block[:live], b - a)
-        at2, at1, row, foretold, g2, g1 = m.foretell(where, last, before)
-        slot = np.full(len(x), 4)
-        for k in (3, 2, 1, 0):
-            slot[foretold[k] == x] = k
-        at = row * 6 + slot
-        start, end = m.edge[at], m.edge[at + 1]
-        spelled = slot == 4
-        here = where * vocabulary + x
-        size0 = m.size0.reshape(-1)[here]
-        start0 = m.start0.reshape(-1)[here].astype(np.uint64)
-        fresh = spelled & (size0 == 0)
-        known = m.known[where].astype(np.uint64)
-        start0 = np.where(fresh, known, start0)
-        size0 = np.where(fresh, np.uint64(1 << TOTAL0) - known, size0.astype(np.uint64))
-        size = end - start
-        for t in range(b - a):
-            i = slice(t * live, (t + 1) * live)
-            coder.narrow(slice(0, live), coder.range[:live] >> _MIX, start[i], size[i])
-            lane = np.flatnonzero(spelled[i])
-            if len(lane):
-                coder.narrow(lane, coder.range[lane] >> _TOTAL0, start0[i][lane], size0[i][lane])
-                lane = np.flatnonzero(fresh[i])
+        seen = []
+        for c in range(a, b, PART):
+            d = min(b, c + PART)
+            x, last, before = (ids[c + k : d + k, :live].ravel() for k in (2, 1, 0))
+            where = np.tile(block[:live], d - c)
+            at2, at1, row, foretold, g2, g1 = m.foretell(where, last, before)
+            slot = np.full(len(x), 4, np.int8)
+            for k in (3, 2, 1, 0):
+                slot[foretold[k] == x] = k
+            at = row * 6 + slot
+            start, end = m.edge[at], m.edge[at + 1]
+            spelled = slot == 4
+            here = where * vocabulary + x
+            size0 = m.size0.reshape(-1)[here]
+            start0 = m.start0.reshape(-1)[here].astype(np.uint64)
+            fresh = spelled & (size0 == 0)
+            known = m.known[where].astype(np.uint64)
+            start0 = np.where(fresh, known, start0)
+            size0 = np.where(fresh, np.uint64(1 << TOTAL0) - known, size0.astype(np.uint64))
+            size = end - start
+            for t in range(d - c):
+                i = slice(t * live, (t + 1) * live)
+                coder.narrow(slice(0, live), coder.range[:live] >> _MIX, start[i], size[i])
+                lane = np.flatnonzero(spelled[i])
                 if len(lane):
-                    coder.narrow(lane, coder.range[lane] // np.uint64(vocabulary), x[i][lane].astype(np.uint64), _1)
-        m.learn(where, at2, at1, row, foretold, g2, g1, slot, x, np.flatnonzero(fresh))
+                    coder.narrow(lane, coder.range[lane] >> _TOTAL0, start0[i][lane], size0[i][lane])
+                    lane = np.flatnonzero(fresh[i])
+                    if len(lane):
+                        coder.narrow(lane, coder.range[lane] // np.uint64(vocabulary), x[i][lane].astype(np.uint64), _1)
+            seen.append(Seen(where, at2, at1, row, foretold, g2, g1, slot, x, np.flatnonzero(fresh)))
+        m.learn(seen)
     return coder.finish()
 
 
@@ -346,8 +373,7 @@ def decode_group(words: list[np.ndarray], n: np.ndarray, streams: int, vocabular
         every, where = slice(0, live), block[:live]
         known = m.known[where].astype(np.uint64)
         first = np.arange(live)
-        kept = []
-        new = []
+        seen = []
         for t in range(a, b):
             at2, at1, row, foretold, g2, g1 = m.foretell(where, ids[t + 1, :live], ids[t, :live])
             r = coder.range[:live] >> _MIX
@@ -362,6 +388,7 @@ def decode_group(words: list[np.ndarray], n: np.ndarray, streams: int, vocabular
             at += 1
             coder.narrow(every, r, start, m.edge[at] - start)
             lane = np.flatnonzero(slot == 4)
+            new = _NO
             x = np.concatenate([*foretold, foretold[0]])[slot * np.int64(live) + first]
             if len(lane):
                 r = coder.range[lane] >> _TOTAL0
@@ -381,12 +408,12 @@ def decode_group(words: list[np.ndarray], n: np.ndarray, streams: int, vocabular
                     spelt = np.minimum(coder.code[who] // r, np.uint64(vocabulary - 1))
                     coder.narrow(who, r, spelt, _1)
                     y[some] = spelt.astype(np.int64)
-                    new.append((t - a) * live + who)
+                    new = who
                 x[lane] = y
-            ids[t + 2, :live] = np.minimum(x, vocabulary - 1)  # only damaged words give more
-            kept.append((at2, at1, row, *foretold, g2, g1, slot))
-        at2, at1, row, *foretold, g2, g1, slot = (np.concatenate(k) for k in zip(*kept))
-        m.learn(np.tile(where, b - a), at2, at1, row, foretold, g2, g1, slot, ids[a + 2 : b + 2, :live].ravel(), np.concatenate(new) if new else np.zeros(0, np.int64))
+            x = np.minimum(x, vocabulary - 1)  # only damaged words give more
+            ids[t + 2, :live] = x
+            seen.append(Seen(where, at2, at1, row, foretold, g2, g1, slot, x, new))
+        m.learn(seen)
     return [ids[2 : n[i] + 2, i] for i in range(len(words))]
 
 
