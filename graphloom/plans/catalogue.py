@@ -98,10 +98,12 @@ def class_coupling(spark, d):
     return edges.coupling(call_edges(spark, d), functions(spark, d).select("id", F.col("cls").alias("grp"), "cls"), "class", True)
 
 
-@query("SELECT 'p' || p_partkey AS id, CASE WHEN regexp_matches(p_type, '(?i)(steel|tin)') THEN 'info' ELSE 'warning' END AS level FROM part WHERE NOT regexp_matches(p_brand, '[13]$') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+@query("SELECT 'p' || p_partkey AS id, CASE WHEN regexp_matches(p_type, '(?i)(steel|tin)') THEN 'info' ELSE 'warning' END AS level FROM part WHERE NOT regexp_matches(p_brand, '[13]$') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'A' AND l_tax > 0.07))")
 def unused_functions(spark, d):
     parts = table(spark, d, "part").select(tag("p", "p_partkey").alias("id"), "p_type", "p_brand")
-    called = table(spark, d, "lineitem").where("l_quantity > 45").select(tag("p", "l_partkey").alias("target"))
+    # a line is a call if its flag and tax say so, as an edge's kind would
+    calls = F.bool_or((F.col("l_returnflag") == "A") & (F.col("l_tax") > 0.07))
+    called = table(spark, d, "lineitem").groupBy("l_partkey").agg(calls.alias("called")).where("called").select(tag("p", "l_partkey").alias("target"))
     return edges.unused(parts, called, F.col("p_brand").rlike("[13]$"), F.col("p_type").rlike("(?i)(steel|tin)"))
 
 
@@ -120,9 +122,13 @@ NATIONS = "e AS (SELECT c_nationkey AS source, s_nationkey AS target, l_returnfl
 
 
 def nation_edges(spark, d):
-    f = functions(spark, d).select("id", "nation")
-    e = call_edges(spark, d)
-    return e.join(f.select(F.col("id").alias("source"), F.col("nation").alias("a")), "source").join(f.select(F.col("id").alias("target"), F.col("nation").alias("b")), "target").select(F.col("a").alias("source"), F.col("b").alias("target"), "kind", "ord")
+    """Calls between nations: joins are on numbers, and only what is needed is read."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_returnflag").alias("kind"))
+    order = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    caller = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("source"))
+    called = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("target"))
+    j = line.join(order.join(caller, "o_custkey"), "l_orderkey").join(called, "l_suppkey")
+    return j.select("source", "target", "kind", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
 
 
 @query(f"WITH {NATIONS}, r AS (SELECT *, row_number() OVER (PARTITION BY source, target, kind ORDER BY ord) AS nth FROM e) SELECT CASE WHEN source = target THEN 'self_loop' ELSE 'duplicate' END AS rule, kind, count(*) AS n FROM r WHERE source = target OR nth > 1 GROUP BY 1, 2")
@@ -272,43 +278,24 @@ def ctor_last_wins(spark, d):
     return part.join(ctor, F.col("p_brand") == F.col("cls")).where("p_partkey <> id").select(F.col("p_partkey").alias("source"), F.col("id").alias("target"))
 
 
-TOPICS = "m AS (SELECT event_type AS topic, list_sort(list(DISTINCT user_id % 50) FILTER (value > 50)) AS producers, list_sort(list(DISTINCT user_id % 50) FILTER (value <= 50)) AS consumers FROM events GROUP BY 1)"
+TOPICS = "m AS (SELECT event_type AS topic, list_sort(list(DISTINCT user_id) FILTER (value > 50)) AS producers, list_sort(list(DISTINCT user_id) FILTER (value <= 50)) AS consumers FROM events GROUP BY 1)"
 
 
-def topics(spark, d, user: str = "user_id % 50"):
-    who = F.expr(user)
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("topic")).agg(F.array_sort(F.collect_set(F.when(F.col("value") > 50, who))).alias("producers"), F.array_sort(F.collect_set(F.when(F.col("value") <= 50, who))).alias("consumers"))
+def topic_users(spark, d, which: str) -> DataFrame:
+    """(topic, user_id) once each, of the events where `which` holds."""
+    return table(spark, d, "events").where(which).where("user_id is not null").select(F.col("event_type").alias("topic"), "user_id").distinct()
 
 
 @query(f"WITH {TOPICS} SELECT topic, array_to_string(producers, ',') AS producers, array_to_string(consumers, ',') AS consumers FROM m")
 def topic_merge(spark, d):
-    return topics(spark, d).select("topic", F.array_join(F.col("producers").cast("array<string>"), ",").alias("producers"), F.array_join(F.col("consumers").cast("array<string>"), ",").alias("consumers"))
+    """A topic's producers and consumers as lists, for output; topic_edges has them as rows."""
+    who = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("user_id")))).cast("array<string>"), ",")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("topic")).agg(who(F.col("value") > 50).alias("producers"), who(F.col("value") <= 50).alias("consumers"))
 
 
 @query(f"WITH {TOPICS} SELECT 'u' || unnest(producers) AS source, 'broker' AS target, 'publishes_to' AS kind, topic FROM m UNION ALL SELECT 'broker', 'u' || unnest(consumers), 'consumes_from', topic FROM m")
 def topic_edges(spark, d):
-    name = lambda c: F.transform(c, lambda x: F.concat(F.lit("u"), x.cast("string")))
-    t = topics(spark, d).select("topic", F.lit("broker").alias("broker"), name("producers").alias("producers"), name("consumers").alias("consumers"))
-    return edges.explode_topics(t)
-
-
-EVERY_TOPIC = TOPICS.replace("user_id % 50", "user_id")
-
-
-def topic_users(spark, d, which: str) -> DataFrame:
-    """(topic, user_id) once each, of the events where `which` holds."""
-    return table(spark, d, "events").where(which).where("user_id is not null").select(F.col("event_type").alias("topic"), "user_id").distinct()
-
-
-@query(ORACLES["topic_merge"].replace(TOPICS, EVERY_TOPIC))
-def topic_merge_all(spark, d):
-    """topic_merge of the users themselves."""
-    return topics(spark, d, "user_id").select("topic", F.array_join(F.col("producers").cast("array<string>"), ",").alias("producers"), F.array_join(F.col("consumers").cast("array<string>"), ",").alias("consumers"))
-
-
-@query(ORACLES["topic_edges"].replace(TOPICS, EVERY_TOPIC))
-def topic_edges_all(spark, d):
-    """topic_edges of the users themselves, from distinct rows and not from lists."""
+    """From distinct rows and not from lists, which grow with their topic."""
     user, broker = F.concat(F.lit("u"), F.col("user_id").cast("string")), F.lit("broker")
     out = topic_users(spark, d, "value > 50").select(user.alias("source"), broker.alias("target"), F.lit("publishes_to").alias("kind"), "topic")
     return out.unionByName(topic_users(spark, d, "value <= 50").select(broker.alias("source"), user.alias("target"), F.lit("consumes_from").alias("kind"), "topic"))
@@ -444,44 +431,32 @@ def json_shape(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(F.array_sort(F.json_object_keys("props")), ",").alias("fields"), F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-CANDIDATES = "p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS service, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/[0-9]+', '/:param', 'g') AS path, page_id % 3 AS n_params, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, html FROM pages), found AS (SELECT c.page_id AS call_id, e.page_id AS endpoint_id, least(100, 60 + CASE WHEN c.n_params = e.n_params THEN 20 ELSE 0 END + CASE WHEN contains(c.html, e.service) THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM p c JOIN p e ON c.method = e.method AND c.path = e.path AND c.service <> e.service WHERE c.page_id % 5 = 0 AND e.page_id % 5 <> 0)"
+CANDIDATES = "p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1) AS service, regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/[0-9]+', '/:param', 'g') AS path, page_id % 3 AS n_params, CASE WHEN page_id % 2 = 0 THEN 'GET' ELSE 'POST' END AS method, html FROM pages), found AS (SELECT c.page_id AS call_id, e.page_id AS endpoint_id, least(100, 60 + CASE WHEN c.n_params = e.n_params THEN 20 ELSE 0 END + CASE WHEN contains(c.html, e.service) THEN 20 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM p c JOIN p e ON c.method = e.method AND c.path = e.path AND c.service <> e.service)"
 
 
 def pages(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]+)", 1).alias("service"), F.regexp_replace(X.url_path(F.col("url")), "/[0-9]+", "/:param").alias("path"), (F.col("page_id") % 3).alias("n_params"), F.when(F.col("page_id") % 2 == 0, "GET").otherwise("POST").alias("method"), "html")
 
 
-def page_calls(spark, d):
+def page_groups(spark, d):
+    """Every page is a call, and an endpoint for the pages of other hosts."""
     p = pages(spark, d)
-    calls = p.where("page_id % 5 = 0").withColumnRenamed("page_id", "call_id")
-    return calls, resolve.candidates(calls, p.where("page_id % 5 <> 0").withColumnRenamed("page_id", "id"), F.col("html").contains(F.col("target_service")))
+    named = F.col("html").contains(F.col("target_service"))
+    return p, resolve.candidate_groups(p.withColumnRenamed("page_id", "id"), p.withColumnRenamed("page_id", "id"), named)
 
 
-@query(f"WITH {CANDIDATES} SELECT call_id, endpoint_id, confidence FROM found")
+@query(f"WITH {CANDIDATES}, s AS (SELECT call_id, confidence, service FROM found JOIN p ON endpoint_id = page_id) SELECT call_id, service AS target_service, count(*) AS n, max(confidence) AS best FROM s GROUP BY 1, 2")
 def resolve_candidates(spark, d):
-    return page_calls(spark, d)[1].select("call_id", "endpoint_id", "confidence")
+    """JN-14: candidates of each call by service, counted; pairs of calls and endpoints aren't listed."""
+    return page_groups(spark, d)[1].select(F.col("id").alias("call_id"), "target_service", "n", "best")
 
 
-@query(f"WITH {CANDIDATES}, n AS (SELECT call_id, count(*) AS n, max(confidence) AS best FROM found GROUP BY 1) SELECT p.page_id AS call_id, coalesce(n, 0) AS n_candidates, CASE WHEN n IS NULL THEN 'unresolvable' WHEN n = 1 AND best >= 0.8 THEN 'resolved' ELSE 'pending_review' END AS status FROM p LEFT JOIN n ON p.page_id = n.call_id WHERE p.page_id % 5 = 0")
+@query(f"WITH {CANDIDATES}, n AS (SELECT call_id, count(*) AS n, max(confidence) AS best FROM found GROUP BY 1) SELECT p.page_id AS call_id, coalesce(n, 0) AS n_candidates, CASE WHEN n IS NULL THEN 'unresolvable' WHEN n = 1 AND best >= 0.95 THEN 'resolved' ELSE 'pending_review' END AS status FROM p LEFT JOIN n ON p.page_id = n.call_id")
 def resolve_status(spark, d):
-    calls, found = page_calls(spark, d)
-    return resolve.status(calls, found, 0.8)
-
-
-#: Every page is a call, and an endpoint for the pages of other hosts.
-EVERY_CANDIDATE = CANDIDATES.replace(" WHERE c.page_id % 5 = 0 AND e.page_id % 5 <> 0", "")
-
-
-@query(ORACLES["resolve_candidates"].replace(CANDIDATES, EVERY_CANDIDATE))
-def resolve_candidates_all(spark, d):
-    """resolve_candidates between all pages: as many rows as there are pairs."""
-    return resolve.all_candidates(pages(spark, d)).select("call_id", "endpoint_id", "confidence")
-
-
-@query(ORACLES["resolve_status"].replace(CANDIDATES, EVERY_CANDIDATE).replace(" WHERE p.page_id % 5 = 0", ""))
-def resolve_status_all(spark, d):
-    """resolve_status of all pages, without listing pairs."""
-    return resolve.all_status(pages(spark, d), 0.8)
+    """RS-2 without an oracle."""
+    p, groups = page_groups(spark, d)
+    calls = p.select(F.col("page_id").alias("id"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("endpoint_id"))
+    return resolve.resolution(calls, groups).select(F.col("id").alias("call_id"), "n_candidates", "status")
 
 
 @query("SELECT d.doc_id AS call_id, CASE WHEN l.toxic = 1 THEN 'unresolvable' WHEN l.quality = 1 THEN 'resolved' WHEN l.quality = 0 THEN 'skipped' ELSE 'pending_review' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -492,8 +467,8 @@ def apply_decisions(spark, d):
 
 @query(f"WITH {NATIONS} SELECT source AS service, target, count(DISTINCT kind) AS kinds, array_to_string(list_sort(list(DISTINCT kind)), ',') AS via FROM e WHERE source <> target GROUP BY 1, 2")
 def resolved_deps(spark, d):
-    via = F.array_sort(F.collect_set("kind"))
-    return nation_edges(spark, d).where("source <> target").groupBy(F.col("source").alias("service"), "target").agg(F.countDistinct("kind").alias("kinds"), F.array_join(via, ",").alias("via"))
+    via = nation_edges(spark, d).where("source <> target").groupBy(F.col("source").alias("service"), "target").agg(F.array_sort(F.collect_set("kind")).alias("via"))
+    return via.select("service", "target", F.size("via").cast("long").alias("kinds"), F.array_join("via", ",").alias("via"))
 
 
 @query("SELECT c_custkey AS id, c_name AS name, count(*) OVER () AS total FROM customer WHERE contains(lower(c_name), '1') AND c_mktsegment = 'BUILDING' ORDER BY id LIMIT 20 OFFSET 10")
@@ -514,11 +489,7 @@ def eco_delete(spark, d):
     return count(table(spark, d, "nation").where("n_nationkey <> 3"), "service").unionByName(count(table(spark, d, "customer").where("c_nationkey <> 3"), "database")).unionByName(count(nation_edges(spark, d).where("source <> 3 and target <> 3"), "edge"))
 
 
-STEPS = "g AS (SELECT DISTINCT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS target FROM lineitem WHERE l_quantity > 49), e AS (SELECT source, target FROM g WHERE target IS NOT NULL AND source <> target)"
-
-
-#: The same over every line.
-EVERY_STEP = STEPS.replace(" WHERE l_quantity > 49", "")
+STEPS = "g AS (SELECT DISTINCT l_suppkey AS source, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS target FROM lineitem), e AS (SELECT source, target FROM g WHERE target IS NOT NULL AND source <> target)"
 
 
 def supplier_steps(lines: DataFrame) -> DataFrame:
@@ -527,30 +498,9 @@ def supplier_steps(lines: DataFrame) -> DataFrame:
     return lines.select(F.col("l_suppkey").alias("source"), F.lead("l_suppkey").over(w).alias("target")).where("target is not null and source <> target").distinct()
 
 
-def large_lines(spark, d):
-    return table(spark, d, "lineitem").where("l_quantity > 49")
-
-
-@query(f"WITH RECURSIVE {STEPS}, r(root, node) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey <= 20 UNION SELECT r.root, e.target FROM r JOIN e ON r.node = e.source) SELECT root, bool_or(s_acctbal < 0) AS can_throw, count(*) AS reached, count(DISTINCT s_nationkey) FILTER (s_acctbal < 0) AS statuses FROM r JOIN supplier ON node = s_suppkey GROUP BY 1")
+@query(f"WITH RECURSIVE {STEPS}, r(root, node) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.root, e.target FROM r JOIN e ON r.node = e.source) SELECT root, bool_or(s_acctbal < 0) AS can_throw, count(*) AS reached, count(DISTINCT s_nationkey) FILTER (s_acctbal < 0) AS statuses FROM r JOIN supplier ON node = s_suppkey GROUP BY 1")
 def reach_can_throw(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    folder = Saved(spark)
-    near = closure.reach(s.where("s_suppkey <= 20").select(F.col("s_suppkey").alias("id")), folder.save(supplier_steps(large_lines(spark, d)), "edges"), folder.save)
-    bad = F.col("s_acctbal") < 0
-    return near.join(s, F.col("node") == F.col("s_suppkey")).groupBy("root").agg(F.bool_or(bad).alias("can_throw"), F.count(F.lit(1)).alias("reached"), F.countDistinct(F.when(bad, F.col("s_nationkey"))).alias("statuses"))
-
-
-@query(f"WITH {STEPS}, a AS (SELECT source AS root, target AS node FROM e), b AS (SELECT DISTINCT a.root, e.target AS node FROM a JOIN e ON a.node = e.source WHERE e.target <> a.root AND (a.root, e.target) NOT IN (SELECT root, node FROM a)), u AS (SELECT root, node, 1 AS depth FROM a UNION ALL SELECT root, node, 2 FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS line FROM u) SELECT root, node, depth, CAST(line AS INTEGER) AS line FROM k WHERE line <= 30")
-def flow_summary(spark, d):
-    folder = Saved(spark)
-    e = folder.save(supplier_steps(large_lines(spark, d)), "edges")
-    near = closure.reach(e.select(F.col("source").alias("id")).distinct(), e, folder.save, most=2).where("depth > 0")
-    return resolve.top(near, "root", ["depth", "node"], 30).select("root", "node", "depth", F.col("rank").alias("line"))
-
-
-@query(ORACLES["reach_can_throw"].replace(STEPS, EVERY_STEP).replace(" WHERE s_suppkey <= 20", ""))
-def reach_can_throw_all(spark, d):
-    """reach_can_throw from every supplier, over the steps of every line."""
+    """GR-3, GR-4 from every supplier, over the steps of every line: the dense part of the graph is merged first."""
     return reached(table(spark, d, "supplier"), supplier_steps(table(spark, d, "lineitem")), Saved(spark).save)
 
 
@@ -566,9 +516,9 @@ def reached(s: DataFrame, steps: DataFrame, save) -> DataFrame:
     return s.join(found, F.col("part") == F.col("root")).select(F.col("s_suppkey").alias("root"), "can_throw", "reached", "statuses")
 
 
-@query(ORACLES["flow_summary"].replace(STEPS, EVERY_STEP))
-def flow_summary_all(spark, d):
-    """flow_summary over the steps of every line."""
+@query(f"WITH {STEPS}, a AS (SELECT source AS root, target AS node FROM e), b AS (SELECT DISTINCT a.root, e.target AS node FROM a JOIN e ON a.node = e.source WHERE e.target <> a.root AND (a.root, e.target) NOT IN (SELECT root, node FROM a)), u AS (SELECT root, node, 1 AS depth FROM a UNION ALL SELECT root, node, 2 FROM b), k AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS line FROM u) SELECT root, node, depth, CAST(line AS INTEGER) AS line FROM k WHERE line <= 30")
+def flow_summary(spark, d):
+    """GR-6, TK-2 over the steps of every line."""
     folder = Saved(spark)
     return summary(folder.save(supplier_steps(table(spark, d, "lineitem")), "edges"), folder.save)
 

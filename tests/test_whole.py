@@ -46,7 +46,7 @@ def test_summary_follows_where_lines_are_left(spark):
 def test_no_supplier_is_left_out(spark):
     d = "/root/testdata/sf0.01"
     every = {r[0] for r in catalogue.table(spark, d, "supplier").select("s_suppkey").collect()}
-    assert {r.root for r in catalogue.reach_can_throw_all(spark, d).collect()} == every and max(every) > 20
+    assert {r.root for r in catalogue.reach_can_throw(spark, d).collect()} == every and max(every) > 20
 
 
 def test_every_page_is_call_and_endpoint(spark):
@@ -68,7 +68,7 @@ def test_every_user_of_a_topic(spark):
     d = "/root/testdata/sf0.01"
     rows = catalogue.table(spark, d, "events").select("event_type", "user_id", "value").collect()
     want = {("u" + str(r.user_id), r.event_type) for r in rows if r.value is not None and r.value > 50}
-    edges = catalogue.topic_edges_all(spark, d).collect()
+    edges = catalogue.topic_edges(spark, d).collect()
     got = [(r.source, r.topic) for r in edges if r.kind == "publishes_to"]
     assert len(got) == len(want) and set(got) == want and max(int(s[1:]) for s, _ in got) >= 50
-    assert {("u" + u, r.topic) for r in catalogue.topic_merge_all(spark, d).collect() for u in r.producers.split(",")} == want
+    assert {("u" + u, r.topic) for r in catalogue.topic_merge(spark, d).collect() for u in r.producers.split(",")} == want
