@@ -42,7 +42,8 @@ def candidate_groups(calls: DataFrame, endpoints: DataFrame, named: Column) -> D
     hit = calls.join(groups, ["method", "path"]).where("service <> target_service")
     same = F.element_at("by_params", F.col("n_params"))
     score = F.lit(BASE) + F.when(same.isNotNull(), SAME_PARAMS).otherwise(0) + F.when(named, NAMED).otherwise(0)
-    return hit.select(*calls.columns, "target_service", "n", (F.least(F.lit(100), score) / 100.0).alias("best"), F.coalesce(same, F.col("first")).alias("endpoint_id"))
+    own = [c for c in calls.columns if c != "endpoint_id"]
+    return hit.select(*own, "target_service", "n", (F.least(F.lit(100), score) / 100.0).alias("best"), F.coalesce(same, F.col("first")).alias("endpoint_id"))
 
 
 def resolution(calls: DataFrame, groups: DataFrame, oracle: DataFrame | None = None, certain: float = CERTAIN) -> DataFrame:

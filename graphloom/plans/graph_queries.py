@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import errors, links, resources, tree, validate
+from graphloom.operators import enrich, errors, links, resources, tree, validate
 from graphloom.plans import stand_in as S
 from graphloom.plans.catalogue import Saved, query
 from graphloom.sinks import topology
@@ -384,3 +384,56 @@ def resource_sizes(spark, d):
     t = S.topology(spark, d)
     n = t["functions"].groupBy(F.replace("service_id", F.lit("service:"), F.lit("database:")).alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return t["databases"].join(n, "id", "left").select("id", X.database_category(F.coalesce("engine", F.lit(""))).alias("category"), (F.lit(26) + 2 * F.coalesce("n", F.lit(0))).alias("size"))
+
+
+@query(f"WITH {S.SQL} SELECT count(DISTINCT file) AS files, count(*) FILTER (WHERE type = 'endpoint') AS endpoints, count(*) FILTER (WHERE type = 'function') AS functions, count(*) FILTER (WHERE type = 'dbProcess') AS db_operations, count(*) FILTER (WHERE type = 'event') AS events, count(*) FILTER (WHERE type = 'externalCall') AS external_calls FROM nodes")
+def progress_counts(spark, d):
+    """AG-12."""
+    return enrich.progress(S.nodes(spark, d).select(F.lit("s").alias("service"), F.col("file").alias("path"), "type"))
+
+
+@query(f"WITH {S.SQL} {BELOW} SELECT root_id AS id, count(*) FILTER (WHERE type = 'dbProcess') AS db_operations, count(*) FILTER (WHERE type = 'externalCall') AS external_calls, count(*) FILTER (WHERE type IN ('dbProcess', 'externalCall')) > 0 AS has_io FROM below GROUP BY 1")
+def endpoint_io(spark, d):
+    """AG-23, AG-20: operations and external calls in the tree of each endpoint."""
+    n = S.nodes(spark, d)
+    below = tree.descendants(n.select("id", "parent_id"), Saved(spark).save).where(F.col("ancestor").startswith("endpoint:"))
+    return enrich.has_io(below, n)
+
+
+@query(f"WITH {S.SQL} SELECT id, level FROM nodes WHERE type = 'log' AND level IN ('info', 'log', 'warn', 'error', 'fatal')")
+def logs_at_least(spark, d):
+    """PF-8, AG-10."""
+    return enrich.at_least(S.nodes(spark, d).where("type = 'log'").select("id", "level"), "info")
+
+
+TEXT_SQL = f"""
+WITH {S.SQL} {BELOW}, placed AS (SELECT b.*, CASE WHEN b.parent_id = b.root_id THEN [struct_pack(o := b.ord, i := b.id)] ELSE [struct_pack(o := p.ord, i := p.id), struct_pack(o := b.ord, i := b.id)] END AS pos
+  FROM below b LEFT JOIN nodes p ON p.id = b.parent_id),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY root_id ORDER BY pos) AS n FROM placed)
+SELECT root_id AS root, string_agg(CASE WHEN len(pos) = 2 THEN '  ' ELSE '' END || type || ' ' || coalesce(kind, ''), chr(10) ORDER BY n) AS text FROM numbered WHERE n <= 30 GROUP BY 1
+"""
+
+
+@query(TEXT_SQL)
+def flow_texts(spark, d):
+    """GR-7, UD-4, TK-2: the first 30 nodes of each endpoint in pre-order."""
+    t = S.topology(spark, d)
+    rows = t["nodes"].select("id", "parent_id", "ord", "type", F.col("kind").alias("name"))
+    tops = t["endpoints"].select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("ord"), F.lit("endpoint").alias("type"), F.lit(None).cast("string").alias("name"))
+    return enrich.flow_text(rows.unionByName(tops), Saved(spark).save)
+
+
+RESOLVED_SQL = """
+WITH c AS (SELECT 'call:' || o_orderkey AS id, o_custkey % 40 AS service, 'e:' || (o_orderkey % 900) AS endpoint_id FROM orders WHERE o_orderstatus = 'F'),
+e AS (SELECT 'e:' || p_partkey AS id, p_partkey % 40 AS service FROM part)
+SELECT c.service, e.service AS target, string_agg(DISTINCT c.id, ',' ORDER BY c.id) AS via FROM c JOIN e ON c.endpoint_id = e.id WHERE c.service <> e.service GROUP BY 1, 2
+"""
+
+
+@query(RESOLVED_SQL)
+def resolved_dependencies(spark, d):
+    """JN-26: finished orders stand for resolved calls, parts for endpoints."""
+    o = S._read(spark, d, "orders").where("o_orderstatus = 'F'")
+    calls = o.select(S.tag("call:", "o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("service"), F.concat(F.lit("e:"), (F.col("o_orderkey") % 900).cast("string")).alias("endpoint_id"))
+    ends = S._read(spark, d, "part").select(S.tag("e:", "p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("service"))
+    return resources.resolved_dependencies(calls, ends).withColumn("via", F.array_join("via", ","))
