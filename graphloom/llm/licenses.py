@@ -22,7 +22,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, buckets
 
 N = 5
 BANDS = 6
@@ -136,6 +136,8 @@ def scan(docs: DataFrame, ws: Workspace, texts: dict[str, list[str]] | None = No
     hashed = docs.select("doc_id", cut.alias("x")).where(F.arrays_overlap("x.s", F.lit(holders).cast("array<bigint>")))
     # the few documents left; further steps read them from here and make nothing twice
     hashed = ws.write(hashed.select("doc_id", "x.w", "x.s", F.monotonically_increasing_id().alias("row")), "holders")
+    # small tables are read by few tasks; windows are the work, so rows are dealt out again
+    hashed = hashed.repartition(buckets(spark), "row")
 
     def starts(size: int) -> Column:
         step = stride(size)

@@ -1,4 +1,4 @@
-"""Base columns against brute force; the ratio's verdicts on trusted and junk text."""
+"""Base columns and scores against brute force; the ratio's verdicts on trusted and junk text."""
 
 import re
 from collections import Counter
@@ -25,6 +25,41 @@ def brute(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(hit), failed
 
 
+def plain_features(text):
+    """Hashed runs of 4 bytes; digits are 0 and white space is one kind."""
+    raw = [0x30 if 0x30 <= b <= 0x39 else 0x20 if b == 0x20 or 9 <= b <= 13 else b for b in (text or "").encode()]
+    out = []
+    for i in range(len(raw) - 3):
+        h = raw[i]
+        for b in raw[i + 1 : i + 4]:
+            h = (h * 0x01000193 & 0xFFFFFFFF) ^ b
+        h ^= h >> 15
+        h = h * 0x85EBCA6B & 0xFFFFFFFF
+        out.append(h >> 16)
+    return out
+
+
+def test_scores(spark):
+    rows = [(r.doc_id, r.text[:3000]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(None, "no id at all"), (9000, None), (9001, ""), (9002, "abc"), (9003, "12 34\t56\n78"), (rows[3][0], rows[3][1])]
+    trusted = {i for i, _ in rows if i is not None and i % 3 == 0}
+    all_, good = Counter(), Counter()
+    for i, t in rows:
+        f = Counter(plain_features(t))
+        all_ += f
+        if i in trusted:
+            good += f
+    size, n, m = 1 << 16, sum(all_.values()), sum(good.values())
+    p = lambda k: (all_[k] + 1) / (n + size)
+    ratio = lambda k: np.log((good[k] + size * p(k)) / (m + size)) - np.log(p(k))
+    want = sorted((repr(i), round(sum(map(ratio, f)) / len(f), 6) if (f := plain_features(t)) else 0.0) for i, t in rows)
+    got = rate(spark, rows, trusted, threshold=-0.1)
+    have = sorted((repr(r.doc_id), r.score) for r in got)
+    assert [a for a, _ in have] == [a for a, _ in want]
+    assert all(abs(x - y) < 2e-6 for (_, x), (_, y) in zip(have, want))
+    assert all(r.kept == (not r.base_failed and r.score >= -0.1) for r in got)
+
+
 def rate(spark, rows, trusted=(), **kw):
     d = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, n_words long, feature string")
     t = spark.createDataFrame([(i,) for i in trusted], "doc_id long")

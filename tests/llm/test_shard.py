@@ -1,8 +1,11 @@
 """A bijection with gapless slots, against a plain Feistel network."""
 
+import math
+import struct
 import zlib
 
 import pytest
+import xxhash
 from graphloom.llm import shard as S
 from graphloom.llm.workspace import Workspace
 from pyspark.sql import functions as F
@@ -13,6 +16,42 @@ def run(spark, rows, **kw):
     return S.shard(d, Workspace(spark, "t"), **kw).collect()
 
 
+def plain(x, n, key, rounds=6):
+    """The network with whole numbers and a hash of bytes, walking until the value is below n."""
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def mix(half, i):
+        h = 42
+        for kind, v in (("<q", half), ("<i", i), ("<i", key)):
+            h = xxhash.xxh64_intdigest(struct.pack(kind, v), seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    while True:
+        left, right = x // b, x % b
+        for i in range(rounds):
+            if i % 2 == 0:
+                left = (left + mix(right, i) % a) % a
+            else:
+                right = (right + mix(left, i) % b) % b
+        x = left * b + right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("n", [2, 5, 101, 1000])
+def test_against_plain_network(spark, n):
+    got = {r.id: r.p for r in spark.range(n).select("id", S.permute(F.col("id"), n, 20240229).alias("p")).collect()}
+    assert got == {x: plain(x, n, 20240229) for x in range(n)}
+
+
+def test_places_follow_from_numbers(spark):
+    out = run(spark, [(i, f"t{i}") for i in range(137)], shards=5)
+    for r in out:
+        to = plain(r.row_number, 137, 20240229)
+        assert (r.shard, r.slot) == (to % 5, to // 5) and r.row_number == r.doc_id
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 100, 1000, 4099])
 def test_permutation(spark, n):
     out = [r.p for r in spark.range(n).select(S.permute(F.col("id"), n, 5).alias("p")).collect()]
