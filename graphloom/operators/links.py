@@ -80,3 +80,30 @@ def components(screens: DataFrame, found: DataFrame) -> DataFrame:
 def caller_service(containers: DataFrame) -> DataFrame:
     """(file, service): the first service that has a function or endpoint in a file, of containers(file, service, ord)."""
     return containers.groupBy("file").agg(F.min(F.struct("ord", "service")).alias("f")).select("file", F.col("f.service").alias("service"))
+
+
+def neighbours(edges: DataFrame, things: DataFrame) -> DataFrame:
+    """(source, id, name, kind): services and databases, things(id, name), that each source has an edge to."""
+    return edges.select("source", F.col("target").alias("id"), "kind").distinct().join(things.select("id", "name"), "id").select("source", "id", "name", "kind")
+
+
+def drawn_dependencies(services: DataFrame, dependencies: DataFrame, databases: DataFrame, brokers: DataFrame) -> DataFrame:
+    """(service, target, target_kind) of dependencies(service, target), as database, else broker. A service without any has one row with a null target, which stands for all resources: they aren't listed for each service."""
+    kinds = databases.select(F.col("id").alias("target"), F.lit("database").alias("target_kind")).unionByName(brokers.select(F.col("id").alias("target"), F.lit("broker").alias("target_kind")))
+    first = kinds.groupBy("target").agg(F.max("target_kind").alias("target_kind"))  # a database before a broker, by name
+    hit = dependencies.select("service", "target").distinct().join(first, "target")
+    return services.select(F.col("id").alias("service")).join(hit, "service", "left").select("service", "target", "target_kind")
+
+
+def handlers_of(routes: DataFrame, functions: DataFrame) -> DataFrame:
+    """(id, handler): of routes(id, resolved_to, arguments array) what they are resolved to, else the first of functions(id, name, ord) that the last dotted argument ends in, by its last part."""
+    dotted = F.filter("arguments", lambda a: a.contains("."))
+    last = F.substring_index(F.element_at(dotted, -1), ".", -1)
+    r = routes.withColumn("tail", F.when(F.col("resolved_to").isNull() & (F.size(dotted) > 0), last))
+    f = functions.groupBy(F.substring_index("name", ".", -1).alias("tail")).agg(F.min(F.struct("ord", "id"))["id"].alias("f_id"))
+    return r.join(f, "tail", "left").select("id", F.coalesce("resolved_to", "f_id").alias("handler"))
+
+
+def owner_of(endpoints: DataFrame, services: DataFrame) -> DataFrame:
+    """(id, service, name): the service of each endpoint."""
+    return endpoints.select("id", F.col("service_id").alias("service")).join(services.select(F.col("id").alias("service"), "name"), "service").select("id", "service", "name")

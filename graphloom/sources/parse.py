@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -332,9 +332,15 @@ def _by_rule(r: rules.Rule, m: re.Match, language: str, text: str, at: int, end:
         yield Node(r.type, name, r.kind or g.get("kind"), line, col, last, dict(r.meta))
 
 
+#: Parsers of other languages, or in place of those here: functions of a path and a text.
+PARSERS: dict[str, Callable[[str, str], list[Node]]] = {}
+
+
 def nodes_of(path: str, language: str, text: str) -> list[Node]:
     """All nodes of a file; one of type diagnostic if it can't be read."""
     try:
+        if language in PARSERS:
+            return PARSERS[language](path, text)
         return python_nodes(path, text) if language == "python" else brace_nodes(language, text, path) if language in LANGUAGE else []
     except (SyntaxError, ValueError, RecursionError) as e:
         return [Node("diagnostic", f"{type(e).__name__}: {e}"[:300], "warning", int(getattr(e, "lineno", None) or 1), 0, 1)]

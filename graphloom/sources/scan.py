@@ -39,8 +39,12 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(relative.alias("path"), F.col("length").alias("size"), "content")
 
 
-def source_files(files: DataFrame, skip_tests: bool = True) -> DataFrame:
-    """(path, extension, language, size, text) of source files: known languages, no ignored folders, no declarations, bundles or minified code, and no tests."""
+#: Extensions of markup in code, which an analysis of services alone leaves out.
+FRONTEND = [".tsx", ".jsx"]
+
+
+def source_files(files: DataFrame, skip_tests: bool = True, extensions: list[str] | None = None, frontend: bool = True) -> DataFrame:
+    """(path, extension, language, size, text) of source files: known languages, or of these only the given extensions; no ignored folders, no declarations, bundles or minified code, and no tests. Spark's reader doesn't follow links to folders."""
     path = F.col("path")
     ext = F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1))
     language = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
@@ -48,6 +52,10 @@ def source_files(files: DataFrame, skip_tests: bool = True) -> DataFrame:
     out = out.where(~path.rlike(r"\.(d\.ts|min\.js|bundle\.js)$")).where(~F.arrays_overlap(F.split(path, "/"), F.lit(IGNORED)))
     if skip_tests:
         out = out.where(~is_test(path))
+    if extensions is not None:
+        out = out.where(F.col("extension").isin(extensions))
+    if not frontend:
+        out = out.where(~F.col("extension").isin(FRONTEND))
     return out.select("path", "extension", "language", "size", F.decode("content", "UTF-8").alias("text"))
 
 

@@ -56,6 +56,37 @@ def test_resources(spark):
     assert [rows(x) for x in s3] == [{("s2",)}, {("d2", None)}, {("s2", "d2")}]
 
 
+def test_views(spark):
+    e = spark.createDataFrame([("s1", "d1", "sync"), ("s1", "d1", "sync"), ("s1", "x", "sync")], "source string, target string, kind string")
+    t = spark.createDataFrame([("d1", "main"), ("s1", "web")], "id string, name string")
+    assert rows(links.neighbours(e, t)) == {("s1", "d1", "main", "sync")}
+    deps = spark.createDataFrame([("s1", "d1"), ("s1", "b1"), ("s1", "gone")], "service string, target string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert rows(links.drawn_dependencies(ids("s1", "s2"), deps, ids("d1"), ids("b1", "d1"))) == {("s1", "d1", "database"), ("s1", "b1", "broker"), ("s2", None, None)}
+    r = spark.createDataFrame([("r1", "f9", []), ("r2", None, ["'/x'", "mw", "ctl.find"]), ("r3", None, ["'/x'"]), ("r4", None, ["a.b"])], "id string, resolved_to string, arguments array<string>")
+    f = spark.createDataFrame([("f2", "Ctl.find", 2), ("f1", "Other.find", 1)], "id string, name string, ord int")
+    assert rows(links.handlers_of(r, f)) == {("r1", "f9"), ("r2", "f1"), ("r3", None), ("r4", None)}
+    assert rows(links.owner_of(spark.createDataFrame([("e1", "s1")], "id string, service_id string"), t)) == {("e1", "s1", "web")}
+
+
+def test_sources(spark, tmp_path, monkeypatch):
+    import pytest
+    from graphloom.sources import adapters, parse, scan
+
+    assert adapters.prepare({"kind": "local", "path": str(tmp_path)}) == f"file://{tmp_path}" and adapters.prepare({"kind": "local", "path": "s3a://b/x"}) == "s3a://b/x"
+    with pytest.raises(FileNotFoundError):
+        adapters.prepare({"kind": "local", "path": f"{tmp_path}/none"})
+    with pytest.raises(ValueError):
+        adapters.prepare({"kind": "github"})
+    monkeypatch.setitem(adapters.ADAPTERS, "given", lambda s: s["where"])
+    assert adapters.prepare({"kind": "given", "where": "file:///x"}) == "file:///x"
+    d = spark.createDataFrame([(p, 1, bytearray(b"x")) for p in ("a.ts", "b.tsx", "c.py", ".output/d.ts", "Pods/e.swift", "f.d.ts")], "path string, size long, content binary")
+    got = lambda **k: {r.path for r in scan.source_files(d, **k).collect()}
+    assert got() == {"a.ts", "b.tsx", "c.py"} and got(frontend=False) == {"a.ts", "c.py"} and got(extensions=[".py"]) == {"c.py"}
+    monkeypatch.setitem(parse.PARSERS, "cobol", lambda path, text: [parse.Node("function", text, None, 1, 0, 1)])
+    assert [n.name for n in parse.nodes_of("x", "cobol", "MAIN")] == ["MAIN"]
+
+
 def test_global_handlers(spark):
     f = spark.createDataFrame([("1", ["Catch(HttpException)"], ["e", "host"], "res.status(418)"), ("2", [], ["err", "req", "res", "next"], None), ("3", None, ["req", "res"], None), ("4", [], ["x", "req", "res", "next"], None)], "id string, decorators array<string>, params array<string>, raw string")
     assert rows(errors.global_handlers(f)) == {("1", 418), ("2", 500)}
