@@ -188,16 +188,16 @@ def matches(index: DataFrame, items: DataFrame, keys: list[str], *, window: int
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, queries = sent.value
+            asked = [(q, *np.unique(q.phrases, return_inverse=True)) for q in queries]
             for batch in batches:
                 for row in range(batch.num_rows):
                     seg = Segment(*(batch.column(c)[row].as_py() for c in ("n_words", "terms", "freqs", "postings")))
                     docs = len(seg.n_words)
                     spans: list[np.ndarray] = []
                     hit_pairs, near_pairs = [], []
-                    for q in queries:
+                    for q, vocabulary, where in asked:
                         if not len(seg):
                             continue
-                        vocabulary, where = np.unique(q.phrases, return_inverse=True)
                         here = seg.find(vocabulary)[where.reshape(q.phrases.shape)]
                         live = np.flatnonzero((here >= 0).all(1))
                         if not len(live):

@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Ids of a block at most, stretches of a block at most and least ids of one, blocks coded in step.
-BLOCK, STREAMS, LEAST, GROUP = 65536, 64, 256, 64
+BLOCK, STREAMS, LEAST, GROUP = 65536, 64, 256, 128
 #: log2 of the slots of order 2 and order 1, and of the totals of the mixture and of order 0. A block has fewer ids than half of the last.
 SLOTS2, SLOTS1, MIX, TOTAL0 = 15, 13, 16, 17
 #: Steps of an epoch: a quarter of all before, within these.
