@@ -163,9 +163,10 @@ def validation_summary(spark, d):
     return schema_rules(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rule").alias("rules"))
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def stub_endpoints(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    # orders of one status stand for edges that leave an endpoint
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
 
 
 @query("SELECT conv_id, arg_max(role, turn) AS last_role, count(*) AS turns FROM conversations GROUP BY 1 HAVING arg_max(role, turn) <> 'assistant'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators import links, validate
 from graphloom.plans import analysis
 from graphloom.plans.catalogue import Saved, query
 
@@ -159,15 +160,14 @@ def example_screens(spark, d):
     """FE-1, FE-4, JN-17 from files."""
     t = analysis.topology_of(files(spark).where("path like 'web/%'"), Saved(spark).save)
     s, c = t["screens"], t["components"].unionByName(t["screens"].select("id", "service_id", "name", F.lit("screen").alias("kind"), F.lit(0).cast("long").alias("ord")))
-    from graphloom.operators import links
-
     hit = links.components(s, c)
     return hit.join(s.select(F.col("id").alias("screen"), F.col("name").alias("s_name"), "route"), "screen").join(c.select(F.col("id").alias("component"), F.col("name").alias("c_name")), "component").select(F.col("s_name").alias("screen"), "route", F.col("c_name").alias("component")).where("screen <> component")
 
 
-@query(values("level, rule, n", ("warning", "file.unreadable", 0)).replace("SELECT * FROM", "SELECT level, rule, n FROM") + " WHERE n > 0 UNION ALL SELECT 'error', 'none', 0 WHERE false")
-def example_errors(spark, d):
-    """VL-1 to VL-24 over the whole shop: nothing that is an error, and all files can be read."""
-    t = analysis.topology_of(files(spark), Saved(spark).save)
-    bad = t["diagnostics"].where("level = 'error' or rule = 'file.unreadable'")
-    return bad.groupBy("level", "rule").agg(F.count(F.lit(1)).cast("int").alias("n"))
+@query(values("service, path", ("stock", "/v1/stock/:sku")))
+def example_stubs(spark, d):
+    """VL-21 from files: the route whose handler is named by an argument only."""
+    n = _nodes(spark)
+    ends = n.where("type = 'endpoint'").select("id", "service", F.col("kind").alias("method"), F.col("meta")["path"].alias("path"))
+    found = validate.stubs(ends, analysis.derived_edges(n))
+    return ends.join(found.select(F.col("node").alias("id")), "id").select("service", "path")
