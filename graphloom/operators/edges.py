@@ -39,8 +39,7 @@ def coupling(edges: DataFrame, functions: DataFrame, group: str, inside_too: boo
     """
     a = functions.select(F.col("id").alias("source"), F.col("grp").alias("s_grp"), F.col("cls").alias("s_cls"))
     b = functions.select(F.col("id").alias("target"), F.col("grp").alias("t_grp"), F.col("cls").alias("t_cls"))
-    # equal calls tell the same: they are put together before the joins
-    pairs = edges.select("source", "target").distinct().join(a, "source").join(b, "target").where("s_grp <> t_grp" if not inside_too else "s_cls <> t_cls")
+    pairs = edges.select("source", "target").join(a, "source").join(b, "target").where("s_grp <> t_grp" if not inside_too else "s_cls <> t_cls")
     # each call counts at both of its ends; both counts come from one pass and one table of distinct (group, end, class)
     ends = F.array(F.struct(F.col("s_grp").alias("g"), F.lit(1).alias("out"), F.col("t_cls").alias("cls")), F.struct(F.col("t_grp").alias("g"), F.lit(0).alias("out"), F.col("s_cls").alias("cls")))
     seen = pairs.select(F.explode(ends).alias("e")).select("e.g", "e.out", "e.cls").distinct()
