@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import align as _align
 from . import decontaminate as _decontaminate
 from . import katz as _katz
 from . import langid as _langid
@@ -102,6 +103,16 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Align the tokens of two public tokenizers in all documents."""
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    out = _align.align(_docs(spark, sf_dir), Workspace(spark, "op12"), lambda: _align.byte_coder(a), lambda: _align.piece_coder(b), keys=["doc_id"], groups=lambda df: df.withColumn("groups", digest)).docs
+    return out.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_license_windows": op2_license_windows,
@@ -113,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_positional_index": op8_positional_index,
     "op9_likelihood_ratio": op9_likelihood_ratio,
     "op10_feistel_shards": op10_feistel_shards,
+    "op12_token_alignment": op12_token_alignment,
 }
 
 #: DuckDB SQL for the queries that SQL can express: none hashes, codes, learns or iterates by SQL alone.
