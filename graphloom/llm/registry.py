@@ -18,6 +18,8 @@ from . import quality as _quality
 from . import shard as _shard
 from . import tokenids as _tokenids
 from . import toxicity as _toxicity
+from . import vectors as _vectors
+from . import warc as _warc
 from .workspace import Workspace
 
 #: Mean log ratio per feature that a document needs. Trusted text is about 0 or above; symbols, tables and repeats are at -0.2 and less.
@@ -103,6 +105,12 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages as WARC records, compressed with a dictionary each archive, and read them back."""
+    archives = _warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), Workspace(spark, "op11"))
+    return _warc.read(archives).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Align the tokens of two public tokenizers in all documents."""
     import public_tokenizers
@@ -113,6 +121,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("groups", "groups_sha256")
 
 
+def op13_yinyang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code all embeddings in 4 parts, with 256 entries each and 4 rounds."""
+    out = _vectors.quantise(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), Workspace(spark, "op13"))
+    return out.codes.select("vec_id", "code", "error", "label_error", F.lit(out.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_backoff": op1_katz_backoff,
     "op2_license_windows": op2_license_windows,
@@ -124,8 +138,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_positional_index": op8_positional_index,
     "op9_likelihood_ratio": op9_likelihood_ratio,
     "op10_feistel_shards": op10_feistel_shards,
+    "op11_warc_dictionary": op11_warc_dictionary,
     "op12_token_alignment": op12_token_alignment,
+    "op13_yinyang_codes": op13_yinyang_codes,
 }
 
-#: DuckDB SQL for the queries that SQL can express: none hashes, codes, learns or iterates by SQL alone.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express: the others hash, code, learn or iterate.
+ORACLES: dict[str, str] = {
+    # what the archives must say when read back
+    "op11_warc_dictionary": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        g AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS payload_digest, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes < 1000 OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN payload_bytes >= 1000 AND top <> page_id THEN top END AS refers_to
+        FROM g
+    """,
+}

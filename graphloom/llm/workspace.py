@@ -56,6 +56,23 @@ def buckets(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def with_keyed(ws: Workspace, rows: DataFrame, facts: DataFrame, key: str, total: int, share: int = 1000) -> DataFrame:
+    """rows, left-joined with facts(key, n, ...) of which each key has one; nulls are a key; n is how many rows have it.
+
+    Keys with more than one row in `share` are fewer than `share`: their facts are
+    sent to all tasks. The others' rows and facts meet by a shuffle in which no key
+    has more than that part of all rows.
+    """
+    facts = ws.write(facts.withColumnRenamed(key, "_key"), "facts")
+    hot = F.col("n") > total / share
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    often = facts.where(hot).drop("n").withColumn("_often", F.lit(True))
+    rest = facts.where(~hot).drop("n")
+    found = rows.join(F.broadcast(often), same, "left")
+    plain = found.where("_often is null").select(*rows.columns).join(rest, same, "left").drop("_key")
+    return found.where("_often").drop("_key", "_often").unionByName(plain)
+
+
 def ranked(ws: Workspace, df: DataFrame, order: list[str], group: str | None = None, name: str = "ranked", weight: str | None = None, modulus: int = 0) -> tuple[DataFrame, DataFrame]:
     """Dense 0-based ranks of all rows in a global order, without one task seeing them all.
 
