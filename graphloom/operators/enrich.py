@@ -119,10 +119,9 @@ def logs_and_telemetry(nodes: DataFrame) -> DataFrame:
 
 def flow_text(nodes: DataFrame, save, most: int = 30) -> DataFrame:
     """(root, text): the first `most` nodes below each root in pre-order, indented by depth. nodes(id, parent_id, ord, type, name)."""
-    p = tree.paths(nodes, save).where(F.size("path") > 1)
-    p = p.withColumn("root", F.element_at("path", 1)["id"])
-    p = p.withColumn("_n", F.row_number().over(Window.partitionBy("root").orderBy("path"))).where(F.col("_n") <= most)
-    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 2), "type", F.lit(" "), F.coalesce("name", F.lit("")))
+    p = tree.tour(nodes, save).where(F.col("position").between(1, most))
+    line = F.concat(F.repeat(F.lit("  "), F.col("depth") - 1), "type", F.lit(" "), F.coalesce("name", F.lit("")))
+    p = p.withColumnRenamed("root_id", "root").withColumnRenamed("position", "_n")
     return p.groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 

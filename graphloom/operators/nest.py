@@ -1,110 +1,158 @@
 """Interval operators: nesting by smallest enclosing span, interval anti joins, first handlers.
 
-None pairs all intervals of a key with all points of it. Positions are whole
-numbers. An interval is cut into O(log n) blocks whose sizes are powers of two,
-and the least interval of each block is kept; a point lies in one block of each
-size, so its smallest interval is the least over O(log n) blocks, all found by
-joins on equal values. Positions are first put into cells of a size such that the
-longest interval has about 2^BITS cells; where an interval begins or ends inside
-a cell, points of that cell are compared with it one by one.
+None pairs all intervals of a key with all points of it. Intervals and points are
+sorted by where they begin, over range partitions, and each partition is swept once:
+what is open is kept as the few intervals that may still be the best for a later
+one. Where a key goes on from one partition to the next, only intervals that are
+open there matter; they are looked up in blocks of 1, 2, 4, ... partitions, so an
+interval or point has at most log2 of the partitions rows, however deep it lies.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: log2 of the cells of the longest interval; positions that a bucket of handlers() spans.
-BITS, SPAN = 14, 4096
+from graphloom.saved import Saved
+
+#: Positions that a bucket of handlers() spans.
+SPAN = 4096
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _log2(x: Column) -> Column:
-    """floor(log2(x)) of a positive whole number: one less than its binary digits."""
-    return F.length(F.bin(x)) - 1
-
-
-def _blocks(first: Column, last: Column) -> Column:
-    """Blocks (level, block) of 2^level cells each that make up first to last; none if last is less."""
-    low = lambda s: s["at"]
-    # the largest block that starts here and ends in time: trailing zeros of the start, and what is left
-    zeros = lambda x: F.when(x == 0, F.lit(62)).otherwise(_log2(x.bitwiseAND(-x)))
-    level = lambda s: F.least(zeros(low(s)), _log2(last - low(s) + 1)).cast("int")
-    step = lambda s, _: F.when(low(s) > last, s).otherwise(F.struct((low(s) + F.call_function("shiftleft", F.lit(1).cast("long"), level(s))).alias("at"), F.concat(s["out"], F.array(F.struct(level(s).alias("level"), F.call_function("shiftright", low(s), level(s)).alias("block")))).alias("out")))
-    start = F.struct(first.alias("at"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(2 * BITS + 6)), start, step, lambda s: s["out"])
-
-
-class Cover:
-    """Intervals of keys by blocks and cells. intervals: keys, low, high and `best`, of which the least counts."""
-
-    def __init__(self, intervals: DataFrame, keys: list[str]):
-        self.keys = keys
-        longest = intervals.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
-        self.unit = 1 << max(0, int(longest).bit_length() - BITS)
-        i = intervals.where("low <= high").withColumn("low", F.col("low").cast("long")).withColumn("high", F.col("high").cast("long"))
-        cell = lambda c: F.floor(c / F.lit(self.unit)) if self.unit > 1 else c
-        self.cell = cell
-        inner = _blocks(-cell(-F.col("low")), cell(F.col("high") + 1) - 1)
-        blocks = i.select(*keys, "best", F.explode(inner).alias("b")).select(*keys, "b.level", "b.block", "best")
-        self.blocks = blocks.groupBy(*keys, "level", "block").agg(F.min("best").alias("best"))
-        self.levels = BITS + 2
-        ends = F.array_distinct(F.array(cell(F.col("low")), cell(F.col("high"))))
-        self.ends = i.select(*keys, "low", "high", "best", F.explode(ends).alias("cell")) if self.unit > 1 else None
-
-    def around(self, points: DataFrame, at: str) -> DataFrame:
-        """points with the `best` of every block and partial cell that they lie in, each interval's at least once."""
-        here = self.cell(F.col(at).cast("long"))
-        level = F.explode(F.sequence(F.lit(0), F.lit(self.levels))).alias("level")
-        names = points.columns
-        rows = points.select("*", here.alias("cell"), level).withColumn("block", F.expr("shiftright(cell, level)")).drop("cell")
-        hit = rows.join(self.blocks, [*self.keys, "level", "block"]).select(*names, "best")
-        if self.ends is not None:
-            e = self.ends.select(*[F.col(k).alias(f"_{k}") for k in self.keys], F.col("cell").alias("_cell"), "low", "high", "best")
-            same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in self.keys])
-            part = points.join(e, same & (here == F.col("_cell")) & F.col(at).between(F.col("low"), F.col("high"))).select(*names, "best")
-            hit = hit.unionByName(part)
-        return hit
-
-
-def smallest_span(nodes: DataFrame, containers: DataFrame, key: str | Sequence[str], at: str) -> DataFrame:
+def sweep(rows: pa.Table, keys: list[str]) -> list[int | None]:
+    """For each row that asks, the row of the best interval that began before it in `rows`, has its key and ends no earlier; None without one or for intervals. rows(keys, high, asks, best), sorted by keys and position."""
+    n = rows.num_rows
+    new = np.zeros(n, bool)
+    for k in keys:
+        c = rows.column(k).combine_chunks()
+        new[1:] |= np.asarray(pa.compute.not_equal(c.slice(1), c.slice(0, n - 1)))
+    best = rows.column("best").combine_chunks()
+    parts = best.flatten() if pa.types.is_struct(best.type) else [best]
+    names = [f"f{i}" for i in range(len(parts))]
+    order = pa.compute.sort_indices(pa.table(parts, names=names), sort_keys=[(x, "ascending") for x in names])
+    rank = np.empty(n, np.int64)
+    rank[order.to_numpy()] = np.arange(n)
+    row_of = order.to_numpy()
+    asks, high = rows.column("asks").to_pylist(), rows.column("high").to_pylist()
+    rank = rank.tolist()
+    out: list[int | None] = [None] * n
+    ends: list[int] = []  # ascending, and the best that ends there or later, ascending too
+    ranks: list[int] = []
+    for i, starts in enumerate(new.tolist()):
+        if starts:
+            ends, ranks = [], []
+        at = bisect_left(ends, high[i])
+        if asks[i]:
+            if at < len(ends):
+                out[i] = int(row_of[ranks[at]])
+            continue
+        if at < len(ends) and ranks[at] <= rank[i]:
+            continue  # one that ends no earlier is better
+        stop = at + (at < len(ends) and ends[at] == high[i])
+        while at and ranks[at - 1] >= rank[i]:
+            at -= 1
+        ends[at:stop], ranks[at:stop] = [high[i]], [rank[i]]
+    return out
+
+
+def around(containers: DataFrame, points: DataFrame, keys: list[str], strictly: bool, save=None) -> DataFrame:
+    """(point_id, best): for points(keys, point_id, low, high) the least `best` of containers(keys, low, high, best) of equal keys that begin no later (strictly: earlier) and end no earlier. Points in none have no row, nor have those with a null key or end.
+
+    Rows are linear in intervals and points; where one key spans many partitions,
+    what is open at their edges has up to log2(partitions) rows.
+    """
+    spark = containers.sparkSession
+    save = save or Saved(spark).save
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pos = lambda c: F.col(c).cast("long")
+    best_type, id_type = containers.schema["best"].dataType, points.schema["point_id"].dataType
+    c = containers.select(*keys, pos("low").alias("pos"), pos("high").alias("high"), F.lit(False).alias("asks"), "best", F.lit(None).cast(id_type).alias("point_id")).where("pos <= high")
+    q = points.select(*keys, pos("low").alias("pos"), pos("high").alias("high"), F.lit(True).alias("asks"), F.lit(None).cast(best_type).alias("best"), "point_id")
+    some = c.unionByName(q).where(" and ".join(f"`{k}` is not null" for k in keys) + " and pos is not null and high is not null")
+    # of equal positions, points come first if containers must begin earlier; a range never parts equal positions
+    turn = F.col("asks").desc() if strictly else F.col("asks").asc()
+    placed = some.repartitionByRange(parts, *keys, "pos").sortWithinPartitions(*keys, "pos", turn)
+    schema = T.StructType([*placed.schema.fields, T.StructField("found", best_type), T.StructField("part", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.taskcontext import TaskContext
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        found = t.column("best").combine_chunks().take(pa.array(sweep(t, keys), pa.int64()))
+        part = pa.repeat(pa.scalar(TaskContext.get().partitionId(), pa.int32()), t.num_rows)
+        yield from t.append_column("found", found).append_column("part", part).to_batches(max_chunksize=1 << 16)
+
+    swept = save(placed.mapInArrow(run, schema), "swept")
+    near = swept.where("asks and found is not null").select("point_id", F.col("found").alias("best"))
+    key = F.struct(*keys)
+    # one row a partition: its first key, its last key and where that begins last
+    edge = swept.groupBy("part").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("key"), "pos")).alias("end"))
+    w = Window.orderBy("part")
+    edge = edge.select("part", "first", F.col("end.key").alias("last"), F.col("end.pos").alias("top"), F.lag("end.key").over(w).alias("had"), F.lead("first").over(w).alias("next"))
+    edge = save(edge.withColumn("comes", F.coalesce(F.col("first") == F.col("had"), F.lit(False))).withColumn("goes", F.coalesce(F.col("last") == F.col("next"), F.lit(False))), "edges")
+    if edge.where("comes").isEmpty():
+        return near.groupBy("point_id").agg(F.min("best").alias("best"))
+    levels = parts.bit_length()
+    at = swept.join(F.broadcast(edge), "part")
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    open_ = at.where((~F.col("asks")) & F.col("goes") & (key == F.col("last")) & (F.col("high") >= F.col("top")))
+    open_ = open_.select(*keys, "high", "best", "point_id", F.lit(0).alias("turn"), "part", level).withColumn("block", F.expr("shiftright(part, level)"))
+    # the partitions before one are a block for each bit of its number
+    ask = at.where(F.col("asks") & F.col("comes") & (key == F.col("first"))).select(*keys, "high", "best", "point_id", F.lit(1).alias("turn"), "part", level)
+    ask = ask.withColumn("block", F.expr("shiftright(part, level)")).where("block % 2 = 1").withColumn("block", F.col("block") - 1)
+    group = ["level", "block", *keys]
+    both = open_.unionByName(ask).select(*group, "high", "turn", "best", "point_id")
+    order = [*group, F.col("high").desc(), "turn"]
+    both = save(both.repartitionByRange(parts, *group, F.col("high").desc()).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "looked")
+    both = both.withColumn("_part", F.shiftright("_at", 33))
+    # the least so far: in the partition, and in those before it, one row a partition and group
+    so_far = Window.partitionBy("_part", *group).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("here", F.min("best").over(so_far)).where("turn = 1").select("_part", *group, "point_id", "here")
+    sums = both.where("turn = 0").groupBy("_part", *group).agg(F.min("best").alias("least"))
+    spans = both.select("_part", *group).distinct().join(sums, ["_part", *group], "left")
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = spans.select("_part", *group, F.min("least").over(earlier).alias("carry"))
+    far = here.join(carry, ["_part", *group]).select("point_id", F.least("here", "carry").alias("best")).where("best is not null")
+    return near.unionByName(far).groupBy("point_id").agg(F.min("best").alias("best"))
+
+
+def smallest_span(nodes: DataFrame, containers: DataFrame, key: str | Sequence[str], at: str, save=None) -> DataFrame:
     """(node_id, container_id, span): the container of the node's key with low <= at <= high and the least span, then the least ord; nodes outside all go. containers(key, container_id, low, high, ord)."""
     keys = _keys(key)
     c = containers.select(*keys, "low", "high", F.struct((F.col("high") - F.col("low")).alias("span"), "ord", "container_id").alias("best"))
-    hit = Cover(c, keys).around(nodes.select(*keys, "node_id", at), at)
-    best = hit.groupBy("node_id").agg(F.min("best").alias("b"))
-    return best.select("node_id", F.col("b.container_id").alias("container_id"), F.col("b.span").alias("span"))
+    best = around(c, nodes.select(*keys, F.col("node_id").alias("point_id"), F.col(at).alias("low"), F.col(at).alias("high")), keys, False, save)
+    return best.select(F.col("point_id").alias("node_id"), F.col("best.container_id").alias("container_id"), F.col("best.span").alias("span"))
 
 
-def forest(intervals: DataFrame, key: str) -> DataFrame:
-    """(id, parent_id): the smallest other interval of the key that starts strictly before and ends no earlier; null for roots.
-
-    Intervals that contain an interval's start are found by blocks, one row each, so
-    the work grows with how deep intervals lie in each other, not with their square.
-    """
+def forest(intervals: DataFrame, key: str | Sequence[str], save=None) -> DataFrame:
+    """(id, parent_id): the smallest other interval of the key that starts strictly before and ends no earlier; null for roots. Intervals may cross."""
     keys = _keys(key)
     a = intervals.select(*keys, "id", "low", "high")
-    longest = intervals.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
-    unit = 1 << max(0, int(longest).bit_length() - BITS)
-    first, last = F.floor(F.col("low") / unit), F.floor(F.col("high") / unit)
-    blocks = a.select(*keys, F.col("id").alias("p_id"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.explode(_blocks(first.cast("long"), last.cast("long"))).alias("b")).select(*keys, "p_id", "p_low", "p_high", "b.level", "b.block")
-    rows = a.select("*", first.cast("long").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(BITS + 2))).alias("level")).withColumn("block", F.expr("shiftright(cell, level)"))
-    hit = rows.join(blocks, [*keys, "level", "block"]).where("p_low < low and p_high >= high")
-    best = hit.groupBy("id").agg(F.min(F.struct((F.col("p_high") - F.col("p_low")).alias("span"), "p_id")).alias("b")).select("id", F.col("b.p_id").alias("parent_id"))
+    c = a.select(*keys, "low", "high", F.struct((F.col("high") - F.col("low")).alias("span"), "id").alias("best"))
+    best = around(c, a.withColumnRenamed("id", "point_id"), keys, True, save).select(F.col("point_id").alias("id"), F.col("best.id").alias("parent_id"))
     return a.select("id").join(best, "id", "left")
 
 
-def outside(points: DataFrame, intervals: DataFrame, key: str | Sequence[str], at: str) -> DataFrame:
+def outside(points: DataFrame, intervals: DataFrame, key: str | Sequence[str], at: str, save=None) -> DataFrame:
     """Points in no interval of their key. Points have distinct rows, or share their fate."""
     keys = _keys(key)
     c = intervals.select(*keys, "low", "high", F.lit(0).alias("best"))
-    inside = Cover(c, keys).around(points.select(*keys, at).distinct(), at).select(*keys, at).distinct()
+    one = points.select(*keys, at).distinct()
+    inside = around(c, one.select(*keys, F.struct(*keys, at).alias("point_id"), F.col(at).alias("low"), F.col(at).alias("high")), keys, False, save).select("point_id.*")
     return points.join(inside, [*keys, at], "left_anti").select(*points.columns)
 
 

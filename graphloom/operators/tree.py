@@ -1,8 +1,10 @@
-"""Trees of nodes by parent: roots, descendants, leaves."""
+"""Trees of nodes by parent: roots, pre-order numbers and subtree sums, descendants, leaves."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,15 +30,20 @@ def roots(nodes: DataFrame, save, most: int = 40) -> DataFrame:
     return nodes.join(found, "id", "left")
 
 
-def descendants(nodes: DataFrame, save, most: int = 100) -> DataFrame:
-    """(ancestor, id, depth) of all pairs of a node and a node below it, one level of the tree a round."""
+def descendants(nodes: DataFrame, save) -> DataFrame:
+    """(ancestor, id, depth) of all pairs of a node and a node below it, one level of the tree a round, however deep.
+
+    These are as many rows as the nodes' depths add up to: tour() answers most
+    questions with one row a node.
+    """
     edge = nodes.where("parent_id is not null").select(F.col("parent_id").alias("ancestor"), "id")
     out = level = save(edge.withColumn("depth", F.lit(1)), "below_1")
-    for depth in range(2, most):
+    depth = 1
+    while not level.isEmpty():
+        depth += 1
+        # on a cycle, a node's walk ends where it would meet the node again
         step = level.select("ancestor", F.col("id").alias("_p")).join(edge.select(F.col("ancestor").alias("_p"), "id"), "_p").where("ancestor <> id")
         level = save(step.select("ancestor", "id", F.lit(depth).alias("depth")), f"below_{depth}")
-        if level.isEmpty():
-            break
         out = out.unionByName(level)
     return out
 
@@ -46,15 +53,67 @@ def leaves(nodes: DataFrame, never: Column) -> DataFrame:
     return nodes.where(~never).join(nodes.where("parent_id is not null").select(F.col("parent_id").alias("id")), "id", "left_anti")
 
 
-def paths(nodes: DataFrame, save, most: int = 100) -> DataFrame:
-    """nodes with `path`, an array that puts parents before their children and children in the order of `ord`: sorting by it is pre-order."""
-    step = lambda n: F.struct(F.col(f"{n}ord").alias("ord"), F.col(f"{n}id").alias("id"))
-    at = save(nodes.where("parent_id is null").select("id", F.array(step("")).alias("path")), "path_0")
-    out = at
-    child = nodes.where("parent_id is not null").select(F.col("id").alias("c_id"), F.col("ord").alias("c_ord"), F.col("parent_id").alias("id"))
-    for k in range(1, most):
-        at = save(at.join(child, "id").select(F.col("c_id").alias("id"), F.concat("path", F.array(step("c_"))).alias("path")), f"path_{k}")
-        if at.isEmpty():
-            break
-        out = out.unionByName(at)
-    return nodes.join(out, "id", "left")
+def tour(nodes: DataFrame, save, sums: Sequence[str] = ()) -> DataFrame:
+    """nodes(id, parent_id, ord, ...) with root_id, depth, pre, last, position, and for each column of sums its total over the node and all below it.
+
+    pre numbers the nodes of the forest from 0: roots by (ord, id), each followed by
+    its tree, children by (ord, id) too. What is below a node has the numbers from
+    pre + 1 to last; position is pre less the root's. A parent that is no node counts
+    as none; nodes of a cycle, and below it, have nulls. Ids must be distinct and not
+    null, else an error is raised. Summed columns are whole numbers, null counts 0.
+
+    The walk round the forest is a linked list with an element where it enters a node
+    and one where it leaves an inner node. Each round lets every element look twice as
+    far, so a list of n elements takes log2(n) rounds of one join on distinct numbers,
+    however deep or wide trees are. Siblings find each other by their place in a range
+    partitioned order: no task gets all children of a node.
+    """
+    spark = nodes.sparkSession
+    own = nodes.select("id", "parent_id", "ord", *[F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(f"_s_{c}") for c in sums])
+    bad = own.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
+    if not bad.isEmpty():
+        raise ValueError("ids that are null or repeated")
+    known = own.select(F.col("id").alias("parent_id")).withColumn("_is", F.lit(True))
+    kin = own.join(known, "parent_id", "left").withColumn("parent_id", F.when(F.col("_is"), F.col("parent_id"))).drop("_is")
+    order = [F.col("parent_id").asc_nulls_first(), F.col("ord").asc_nulls_first(), F.col("id").asc()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = save(kin.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "tour_sorted")
+    # a dense number: the place in the partition and the rows of those before; one row a partition here
+    part = F.shiftright("_at", 33)
+    size = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("parent_id").isNull(), 1)).alias("_roots"))
+    before = size.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    total, roots_ = size.agg(F.sum("_n"), F.sum("_roots")).first()
+    rows = placed.join(F.broadcast(before), part == F.col("_part")).withColumn("v", F.col("_at") - F.shiftleft("_part", 33) + F.col("_before")).drop("_at", "_part", "_before")
+    rows = save(rows, "tour_numbered")
+    kids = rows.where("parent_id is not null").groupBy(F.col("parent_id").alias("id")).agg(F.min("v").alias("_first"), F.max("v").alias("_last"))
+    inner = save(rows.select("id", "v").join(kids, "id").select("v", "_first", "_last"), "tour_inner")
+    above = inner.select(F.col("_last").alias("v"), (F.col("v") * 2 + 1).alias("_up"))
+    # where the walk goes on after a node: to the next sibling, or out of the parent
+    out = F.when(F.col("v") == (roots_ or 0) - 1, F.lit(None)).otherwise(F.coalesce("_up", F.col("v") * 2 + 2))
+    x = rows.join(inner, "v", "left").join(above, "v", "left").withColumn("_out", out)
+    values = [f"_s_{c}" for c in sums]
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    is_inner = F.col("_first").isNotNull()
+    is_root = F.col("parent_id").isNull().cast("long")
+    enter = x.select((F.col("v") * 2).alias("e"), F.when(is_inner, F.col("_first") * 2).otherwise(F.col("_out")).alias("next"), one.alias("n"), is_inner.cast("long").alias("open"), is_root.alias("tops"), *values)
+    leave = x.where(is_inner).select((F.col("v") * 2 + 1).alias("e"), F.col("_out").alias("next"), zero.alias("n"), F.lit(-1).cast("long").alias("open"), zero.alias("tops"), *[zero.alias(c) for c in values])
+    at = save(enter.unionByName(leave), "tour_0")
+    add = ["n", "open", "tops", *values]
+    for k in range(1, (2 * (total or 0)).bit_length() + 1):
+        far = at.select(F.col("e").alias("next"), F.col("next").alias("_next"), *[F.col(c).alias(f"_{c}") for c in add])
+        # sums go round and round on a cycle, which never ends: they may be of any size, and are left out below
+        plus = [F.try_add(F.col(c), F.coalesce(f"_{c}", zero)).alias(c) for c in add]
+        at = save(at.join(far, "next", "left").select("e", F.col("_next").alias("next"), *plus), f"tour_{k}")
+    at = at.where("next is null")
+    first = at.where("e = 0").select("n").first()
+    counted = first.n if first else 0
+    on, off = F.col("e") % 2 == 0, F.col("e") % 2 == 1
+    pick = lambda c, which: F.max(F.when(which, F.col(c)))
+    ends = at.groupBy(F.floor(F.col("e") / 2).alias("v")).agg(*[pick(c, on).alias(c) for c in add], *[pick(c, off).alias(f"_{c}") for c in ("n", *values)])
+    got = rows.select("id", "v", *[F.col(c).alias(f"{c}_own") for c in values]).join(ends, "v")
+    pre = F.lit(counted) - F.col("n")
+    got = got.select("id", (F.lit(roots_ or 0) - F.col("tops") - F.when(F.col("open") == 0, 0).otherwise(1)).alias("_root"), (-F.col("open")).cast("int").alias("depth"), pre.alias("pre"), F.coalesce(pre + F.col("n") - F.col("_n") - 1, pre).alias("last"), *[F.coalesce(F.col(c) - F.col(f"_{c}"), F.col(f"{c}_own")).alias(f"total_{c[3:]}") for c in values])
+    got = save(got, "tour_found")
+    tops = got.where("depth = 0").select("_root", F.col("id").alias("root_id"), F.col("pre").alias("_pre"))
+    found = got.join(tops, "_root").withColumn("position", F.col("pre") - F.col("_pre")).drop("_root", "_pre")
+    return nodes.join(found, "id", "left")

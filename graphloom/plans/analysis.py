@@ -22,8 +22,8 @@ def nodes_of(files: DataFrame, skip_tests: bool = True) -> DataFrame:
     return parse.with_ids(parse.parse(placed))
 
 
-#: Columns that a position has room for: positions are line * COLUMNS + column.
-COLUMNS = 1 << 12
+#: Columns that a position has room for, all that a number of columns can be: positions are line * COLUMNS + column.
+COLUMNS = 1 << 31
 
 
 def containers(all_nodes: DataFrame, types: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import closure, edges, nest, resolve
+from graphloom.saved import Saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,8 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
     def put(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLES[f.__name__] = sql
@@ -225,12 +228,6 @@ def error_flow_nearest(spark, d):
     return flows(spark, d, True)
 
 
-@query("SELECT user_id, 1 + count(*) FILTER (event_type IN ('click', 'view', 'error')) AS cyclomatic, coalesce(bool_or(event_type = 'purchase'), false) AS performs_io, count(*) AS nodes FROM events GROUP BY 1")
-def function_metrics(spark, d):
-    flow = F.col("event_type").isin("click", "view", "error")
-    return table(spark, d, "events").groupBy("user_id").agg((F.lit(1) + F.count_if(flow)).alias("cyclomatic"), F.coalesce(F.bool_or(F.col("event_type") == "purchase"), F.lit(False)).alias("performs_io"), F.count(F.lit(1)).alias("nodes"))
-
-
 @query("SELECT count(*) AS endpoints_total, count(*) FILTER (event_type = 'error') AS throws_total, count(*) FILTER (event_type = 'purchase') AS db_total, count(*) FILTER (value > 50) AS with_logs, count(DISTINCT user_id) AS services, count(DISTINCT CASE WHEN event_type = 'signup' THEN user_id END) AS traced_services, 0 AS db_with_spans, 0 AS screens FROM events")
 def coverage(spark, d):
     e = table(spark, d, "events")
@@ -595,24 +592,3 @@ def flatten_graph(spark, d):
     o = row(table(spark, d, "orders"), tag("c", "o_custkey"), tag("o", "o_orderkey"), "order")
     line = F.concat(F.lit("l"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
     return c.unionByName(o).unionByName(row(table(spark, d, "lineitem"), tag("o", "l_orderkey"), line, "line"))
-
-
-class Saved:
-    """Tables of one run, in the shared folder."""
-
-    def __init__(self, spark: SparkSession):
-        import tempfile
-        import uuid
-
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = root or "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        self.spark, self.root, self.n = spark, f"{root.rstrip('/')}/graphloom/{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write a table and return it read back. A name may come again; each has its own folder."""
-        self.n += 1
-        path = f"{self.root}/{self.n}-{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
