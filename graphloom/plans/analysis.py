@@ -176,6 +176,6 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     out["columns"] = facts.where("type = 'column'").withColumn("entity", meta("entity")).join(owner, ["service", "entity"]).select("table_id", "name", F.col("kind").alias("type"), (meta("primaryKey") == "true").alias("primary_key"))
     top = n.where("type in ('endpoint', 'function')").select("id", F.lit(None).cast("string").alias("parent_id"), service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     rest = inner.select("id", "parent_id", service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
-    both = top.unionByName(rest).dropDuplicates(["id"])
+    both = top.unionByName(rest)
     out["tree"] = save(tree.roots(both, save).where("depth is not null").drop("root_id"), "tree")
     return out

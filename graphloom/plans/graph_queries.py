@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import enrich, errors, links, resources, tree, validate
+from graphloom.operators import enrich, errors, links, resources, scc, tree, validate
 from graphloom.plans import stand_in as S
-from graphloom.plans.catalogue import Saved, query
+from graphloom.plans.catalogue import STEPS, query, supplier_steps
+from graphloom.saved import Saved
 from graphloom.sinks import topology
 
 FIELD_SQL = f"""
@@ -424,16 +426,94 @@ def flow_texts(spark, d):
 
 
 RESOLVED_SQL = """
-WITH c AS (SELECT 'call:' || o_orderkey AS id, o_custkey % 40 AS service, 'e:' || (o_orderkey % 900) AS endpoint_id FROM orders WHERE o_orderstatus = 'F'),
-e AS (SELECT 'e:' || p_partkey AS id, p_partkey % 40 AS service FROM part)
+WITH c AS (SELECT 'call:' || l_orderkey || '.' || l_linenumber AS id, 'customer:' || o_custkey AS service, 'e:' || l_suppkey AS endpoint_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linestatus = 'F'),
+e AS (SELECT 'e:' || s_suppkey AS id, 'nation:' || s_nationkey AS service FROM supplier)
 SELECT c.service, e.service AS target, string_agg(DISTINCT c.id, ',' ORDER BY c.id) AS via FROM c JOIN e ON c.endpoint_id = e.id WHERE c.service <> e.service GROUP BY 1, 2
 """
 
 
 @query(RESOLVED_SQL)
 def resolved_dependencies(spark, d):
-    """JN-26: finished orders stand for resolved calls, parts for endpoints."""
-    o = S._read(spark, d, "orders").where("o_orderstatus = 'F'")
-    calls = o.select(S.tag("call:", "o_orderkey").alias("id"), (F.col("o_custkey") % 40).alias("service"), F.concat(F.lit("e:"), (F.col("o_orderkey") % 900).cast("string")).alias("endpoint_id"))
-    ends = S._read(spark, d, "part").select(S.tag("e:", "p_partkey").alias("id"), (F.col("p_partkey") % 40).alias("service"))
+    """JN-26: lines that are done stand for resolved calls of their customers, suppliers for endpoints of their nations."""
+    line = S._read(spark, d, "lineitem").where("l_linestatus = 'F'").join(S._read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    key = F.concat(F.lit("call:"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    calls = line.select(key.alias("id"), S.tag("customer:", "o_custkey").alias("service"), S.tag("e:", "l_suppkey").alias("endpoint_id"))
+    ends = S._read(spark, d, "supplier").select(S.tag("e:", "s_suppkey").alias("id"), S.tag("nation:", "s_nationkey").alias("service"))
     return resources.resolved_dependencies(calls, ends).withColumn("via", F.array_join("via", ","))
+
+
+# Orders in a customer's sequence: a step leads from each order to the next, and back again if both have one priority. Runs
+# of equal priority are then the strongly connected components, and an order reaches its run and all later ones.
+RUN_SQL = """
+steps AS (SELECT o_orderkey AS id, o_custkey AS cust, o_orderpriority <> lag(o_orderpriority) OVER w AS fresh, o_orderstatus = 'P' AS throws,
+    CASE WHEN o_totalprice > 100000 THEN CAST(floor(o_totalprice / 4000) AS BIGINT) END AS status, row_number() OVER w AS n
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+runs AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY cust ORDER BY n), 0) AS run FROM steps)
+"""
+
+
+def order_steps(spark, d):
+    """(edges between orders, orders with whether they throw and their status)."""
+    o = S._read(spark, d, "orders")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    step = o.select(F.col("o_orderkey").alias("source"), F.lead("o_orderkey").over(w).alias("target"), (F.col("o_orderpriority") == F.lead("o_orderpriority").over(w)).alias("both")).where("target is not null")
+    edges = step.select("source", "target").unionByName(step.where("both").select(F.col("target").alias("source"), F.col("source").alias("target")))
+    status = F.when(F.col("o_totalprice") > 100000, F.floor(F.col("o_totalprice") / 4000))
+    return edges, o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "P").alias("throws"), status.alias("status"))
+
+
+@query(f"WITH {RUN_SQL} SELECT id AS node, min(id) OVER (PARTITION BY cust, run) AS part FROM runs")
+def strong_components(spark, d):
+    """GR-3: components of a graph that has very many."""
+    edges, nodes = order_steps(spark, d)
+    return scc.strong(nodes.select("id"), edges, Saved(spark).save)
+
+
+@query(f"""
+WITH {RUN_SQL} SELECT a.id, coalesce(bool_or(b.throws), false) AS can_throw, coalesce(string_agg(DISTINCT b.status, ',' ORDER BY b.status), '') AS statuses
+FROM runs a JOIN runs b ON a.cust = b.cust AND b.run >= a.run GROUP BY 1
+""")
+def later_statuses(spark, d):
+    """GR-3, GR-4, GR-5: whether anything that an order reaches throws, and the statuses of all it reaches."""
+    edges, nodes = order_steps(spark, d)
+    return scc.statuses(nodes, edges, Saved(spark).save).withColumn("statuses", F.array_join(F.col("statuses").cast("array<string>"), ","))
+
+
+@query(f"""
+WITH RECURSIVE {STEPS}, r(root, node) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.root, e.target FROM r JOIN e ON r.node = e.source)
+SELECT root AS id, bool_or(s_acctbal < 0) AS can_throw, coalesce(string_agg(DISTINCT s_nationkey, ',' ORDER BY s_nationkey) FILTER (s_acctbal < 0), '') AS statuses FROM r JOIN supplier ON node = s_suppkey GROUP BY 1
+""")
+def reach_statuses(spark, d):
+    """GR-4: the statuses themselves, of every supplier along the steps of all lines; nations of suppliers in debt stand for statuses."""
+    bad = F.col("s_acctbal") < 0
+    nodes = S._read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), bad.alias("throws"), F.when(bad, F.col("s_nationkey")).alias("status"))
+    folder = Saved(spark)
+    edges = folder.save(supplier_steps(S._read(spark, d, "lineitem")), "steps")
+    return scc.statuses(nodes, edges, folder.save).withColumn("statuses", F.array_join(F.col("statuses").cast("array<string>"), ","))
+
+
+# A forest of numbers: customers, their orders by date, and the orders' lines.
+FOREST_SQL = """
+lines AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+tree AS (SELECT 'c' || c_custkey AS id, NULL AS parent_id, c_custkey AS a, -1 AS b, -1 AS c, 'customer' AS flag FROM customer
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, o_custkey, o_orderkey, -1, 'order' FROM orders
+  UNION ALL SELECT 'o' || l_orderkey || '.' || l_linenumber, 'o' || l_orderkey, o_custkey, l_orderkey, l_linenumber, flag FROM lines JOIN orders ON l_orderkey = o_orderkey),
+numbered AS (SELECT *, row_number() OVER (ORDER BY a, b, c) - 1 AS pre FROM tree),
+ranges AS (SELECT id, CASE WHEN b < 0 THEN 0 WHEN c < 0 THEN 1 ELSE 2 END AS depth, pre,
+  CASE WHEN c >= 0 THEN pre WHEN b >= 0 THEN max(pre) OVER (PARTITION BY a, b) ELSE max(pre) OVER (PARTITION BY a) END AS last,
+  CASE WHEN c >= 0 THEN (flag = 'R')::INT WHEN b >= 0 THEN sum((flag = 'R')::INT) OVER (PARTITION BY a, b) ELSE sum((flag = 'R')::INT) OVER (PARTITION BY a) END AS total FROM numbered)
+SELECT id, depth, pre, last, CAST(total AS BIGINT) AS total_decides FROM ranges
+"""
+
+
+@query(f"WITH {FOREST_SQL}")
+def subtree_ranges(spark, d):
+    """GR-1, SO-1, AG-5: numbers in pre-order and sums over what is below, for customers, orders and lines."""
+    c, o = S._read(spark, d, "customer"), S._read(spark, d, "orders")
+    line = S._read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
+    none = F.lit(0).cast("int").alias("decides")
+    rows = c.select(S.tag("c", "c_custkey").alias("id"), F.lit(None).cast("string").alias("parent_id"), F.col("c_custkey").alias("ord"), none)
+    rows = rows.unionByName(o.select(S.tag("o", "o_orderkey").alias("id"), S.tag("c", "o_custkey").alias("parent_id"), F.col("o_orderkey").alias("ord"), none))
+    key = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
+    rows = rows.unionByName(line.select(F.concat(key, F.lit("."), F.col("l_linenumber").cast("string")).alias("id"), key.alias("parent_id"), F.col("l_linenumber").cast("long").alias("ord"), (F.col("flag") == "R").cast("int").alias("decides")))
+    return tree.tour(rows, Saved(spark).save, ["decides"]).select("id", "depth", "pre", "last", "total_decides")

@@ -83,15 +83,15 @@ def write_topology(services: DataFrame, nodes: DataFrame, path: str, save, *, ro
     return path
 
 
-def read_topology(spark: SparkSession, path: str, save, most: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(services, nodes) of documents, which may be wrapped as {"topology": ...}. Nodes get parent_id, depth and ord, a level of the tree a step."""
+def read_topology(spark: SparkSession, path: str, save) -> tuple[DataFrame, DataFrame]:
+    """(services, nodes) of documents, which may be wrapped as {"topology": ...}. Nodes get parent_id, depth and ord, a level of the tree a step, however deep."""
     text = spark.read.text(path).where(F.trim("value") != "")
     body = F.coalesce(F.get_json_object("value", "$.topology"), F.col("value"))
     d = save(text.select(F.from_json(body, SERVICE).alias("s")).select("s.*"), "documents")
     tops = d.select(F.col("id").alias("service_id"), F.explode(F.array(F.col("endpoints"), F.col("functions"))).alias("items"))
     level = tops.withColumn("parent_id", F.lit(None).cast("string"))
-    out = None
-    for depth in range(most):
+    out, depth = None, 0
+    while True:
         parsed = level.select("service_id", "parent_id", F.posexplode(F.from_json("items", "array<string>")).alias("ord", "item"))
         parsed = parsed.select("service_id", "parent_id", F.col("ord").cast("long").alias("ord"), F.from_json("item", NODE).alias("n"))
         rows = parsed.select("service_id", "parent_id", F.lit(depth).alias("depth"), "ord", "n.id", "n.type", "n.name", "n.kind", "n.line", F.col("n.endLine").alias("end_line"), "n.metadata", "n.raw", "n.children")
@@ -100,6 +100,7 @@ def read_topology(spark: SparkSession, path: str, save, most: int = 100) -> tupl
         level = rows.where("children is not null and children <> '[]'").select("service_id", F.col("id").alias("parent_id"), F.col("children").alias("items"))
         if level.isEmpty():
             break
+        depth += 1
     return d.select("id", "name", "code", "kind"), out.drop("children")
 
 

@@ -347,7 +347,7 @@ def nodes_of(path: str, language: str, text: str) -> list[Node]:
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Node rows of files(service, path, language, text). ord is the order of a file's nodes; ids are made of path, line and name."""
+    """Node rows of files(service, path, language, text). ord is the order of a file's nodes; with_ids() adds ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -358,6 +358,6 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def with_ids(nodes: DataFrame) -> DataFrame:
-    from graphloom.functions.text import make_id
-
-    return nodes.withColumn("id", F.concat(F.col("type"), F.lit(":"), F.element_at(F.split(make_id("n", F.col("path"), F.col("line"), F.col("name")), ":"), 2)))
+    """nodes with ids of their own: 96 bits of a hash of service, path and order in the file, which no two nodes share."""
+    key = F.concat_ws("\n", F.coalesce("service", F.lit("")), "path", F.col("ord").cast("string"))
+    return nodes.withColumn("id", F.concat("type", F.lit(":"), F.left(F.sha1(key), F.lit(24))))
