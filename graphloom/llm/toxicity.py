@@ -1,9 +1,10 @@
 """Compression-distance classification of toxic text with two zstandard dictionaries.
 
 One dictionary is trained on ordinary text, one on toxic text. Every window (a
-run of `window` words of a text, framed by delimiter bytes) is compressed with
+run of `window` words of a text, each after delimiter bytes) is compressed with
 both, and the difference of the two lengths is its distance: it is high where
-the toxic dictionary knows more of the window than the ordinary one. For every
+the toxic dictionary knows more of the window than the ordinary one. A window has
+no delimiter at its end, so a word with another ending still matches up to it. For every
 window length, thresholds are calibrated on ordinary text, one for each of the
 rates EPS at which its windows exceed them; lengths with few windows take in
 those of the nearest lengths.
@@ -64,7 +65,7 @@ def _split(text: str) -> list[bytes]:
 
 
 def _windows(ws: list[bytes], n: int) -> list[bytes]:
-    return [FRAME + FRAME.join(ws[i : i + n]) + FRAME for i in range(len(ws) - n + 1)] or ([FRAME + FRAME.join(ws) + FRAME] if ws else [])
+    return [FRAME + FRAME.join(ws[i : i + n]) for i in range(len(ws) - n + 1)] or ([FRAME + FRAME.join(ws)] if ws else [])
 
 
 @dataclass
@@ -180,11 +181,11 @@ def fit(sample: list[tuple[str | None, int]], window: int = 1, seed: int = 0) ->
         if seen[w] <= 20:
             train.append(w)
     train = [train[i] for i in rng.permutation(len(train))[:100_000]]
-    marked = [FRAME + FRAME.join(d[i : i + window]) + FRAME for d in toxic for i in range(max(1, len(d) - window + 1)) if marks.intersection(d[i : i + window])]
+    marked = [FRAME + FRAME.join(d[i : i + window]) for d in toxic for i in range(max(1, len(d) - window + 1)) if marks.intersection(d[i : i + window])]
     a, b = _dictionary(ORDINARY_BYTES, train), _dictionary(TOXIC_BYTES, marked or [w for d in toxic for w in _windows(d, window)])
     meter = Meter(a, b)
     known = {w: meter.distance(w) for w in {w for d, _ in texts for w in _windows(d, window)}}
-    length = lambda w: min(LONGEST, max(0, len(w) - 2 * len(FRAME)))
+    length = lambda w: min(LONGEST, max(0, len(w) - len(FRAME)))
     th = _thresholds(np.array([length(w) for w in ordinary]), np.array([known[w] for w in ordinary]))
     number = {w: i for i, w in enumerate(known)}
     level = np.array([int((known[w] >= th[:, length(w)]).sum()) for w in number])
@@ -278,8 +279,8 @@ def score(docs: DataFrame, model: Model | None, *, keys: list[str] | None = None
                     for i, (x, y) in enumerate(zip(kinds.tolist(), one.tolist())):
                         v = cache.get(x)
                         if v is None:
-                            window = FRAME + FRAME.join(w.text[w.starts[j] : w.ends[j]].tobytes() for j in range(at[y], end[y])) + FRAME
-                            v = cache[x] = meter.above(window, m.thresholds[:, min(LONGEST, len(window) - 2 * len(FRAME))])
+                            window = FRAME + FRAME.join(w.text[w.starts[j] : w.ends[j]].tobytes() for j in range(at[y], end[y]))
+                            v = cache[x] = meter.above(window, m.thresholds[:, min(LONGEST, len(window) - len(FRAME))])
                         found[i] = v
                     level = found[place]
                     n = np.bincount(doc[at], minlength=many)

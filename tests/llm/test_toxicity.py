@@ -71,10 +71,10 @@ def plain_score(model, text):
     ws = [w.encode() for w in re.findall(r"[^\x00-\x60\x7B-\x7F]+", low)]
     k = model.window
     windows = [ws[i : i + k] for i in range(max(1, len(ws) - k + 1))] if ws else []
-    framed = [X.FRAME + X.FRAME.join(w) + X.FRAME for w in windows]
+    framed = [X.FRAME + X.FRAME.join(w) for w in windows]
     a, b = X._compressor(model.ordinary), X._compressor(model.toxic)
     distance = {f: len(a.compress(f)) - len(b.compress(f)) for f in set(framed)}
-    limits = lambda f: model.thresholds[:, min(X.LONGEST, len(f) - 2 * len(X.FRAME))]
+    limits = lambda f: model.thresholds[:, min(X.LONGEST, len(f) - len(X.FRAME))]
     starts = list(range(0, max(1, len(framed) - X.STRETCH + X.STRETCH // 2), X.STRETCH // 2)) or [0]
     starts = sorted({min(s, max(0, len(framed) - X.STRETCH)) for s in starts})
     best = -math.inf
@@ -118,3 +118,21 @@ def test_beats_word_list(learned):
     mine = f1({i: plain_score(model, texts[i]) >= 0.5 for i in held})
     print("F1 of the model", mine, "of the word list", rule)
     assert mine > rule + 0.05
+
+
+def test_other_endings(learned):
+    """Held-out toxic texts whose marking words all have another ending are mostly still found, at 1% false alarms."""
+    docs, labels, learn, model = learned
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.join(labels.select("doc_id"), "doc_id", "left_semi").collect()}
+    split = {i: set(X._split(t)) for i, t in texts.items()}
+    t_docs, p_docs = [split[i] for i in learn if truth[i] and i in split], [split[i] for i in learn if not truth[i] and i in split]
+    a, b = (X.Counter(w for d in ds for w in d) for ds in (t_docs, p_docs))
+    marks = {w.decode() for w, c in a.items() if c >= 3 and c / len(t_docs) > 8 * (b[w] + 0.5) / len(p_docs)}
+    held = [i for i in split if i not in set(learn)]
+    plain = sorted((plain_score(model, texts[i]) for i in held if not truth[i]), reverse=True)
+    limit = plain[len(plain) // 100]
+    change = lambda f, t: re.sub(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lambda m: f(m[0]) if m[0].lower() in marks else m[0], t)
+    found = {n: np.mean([plain_score(model, change(f, texts[i])) > limit for i in held if truth[i]]) for n, f in (("as it is", lambda w: w), ("s", lambda w: w + "s"), ("shorter", lambda w: w[:-1]))}
+    print(found)
+    assert found["as it is"] >= 0.85 and found["s"] >= 0.6 and found["shorter"] >= 0.6
