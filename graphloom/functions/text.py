@@ -42,8 +42,9 @@ def join_http_paths(*parts: Column) -> Column:
 
 
 def path_params(path: Column) -> Column:
-    """Names of :x parameters, in order."""
-    return F.regexp_extract_all(path, F.lit(r":([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    """Names of :x, {x}, <x> and <type:x> parameters, in order."""
+    found = F.regexp_extract_all(path, F.lit(r"(<(?:[^<>:]*:)?[A-Za-z_][A-Za-z0-9_]*>|\{[A-Za-z_][A-Za-z0-9_]*[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    return F.transform(found, lambda x: F.regexp_extract(F.regexp_replace(x, r"^<[^<>:]*:", ""), r"([A-Za-z_][A-Za-z0-9_]*)", 1))
 
 
 def kebab(name: Column) -> Column:
@@ -66,6 +67,11 @@ def sanitize(text: Column, most: int = 300) -> Column:
     return F.left(F.trim(x), F.lit(most))
 
 
+def sanitize_all(texts: Column, most: int = 300) -> Column:
+    """sanitize() of each text of an array."""
+    return F.transform(texts, lambda x: sanitize(x, most))
+
+
 #: Keys whose values are hidden.
 SECRET_KEY = r"(?i)token|secret|password|passwd|authorization|auth|apikey|api_key|credential|private"
 
@@ -220,7 +226,8 @@ def clamp_score(score: Column) -> Column:
 def sections(markdown: Column) -> Column:
     """A map from titles of `## ` headings to what follows each; of equal titles the last stays, and text before the first is left out."""
     parts = F.slice(F.split(F.concat(F.lit("\n"), markdown), r"\n##\s+"), 2, 1 << 30)
-    entry = lambda p: F.struct(F.trim(F.split_part(p, F.lit("\n"), F.lit(1))).alias("key"), F.trim(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("value"))
+    bare = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
+    entry = lambda p: F.struct(bare(F.split_part(p, F.lit("\n"), F.lit(1))).alias("key"), bare(F.regexp_replace(p, r"^[^\n]*\n?", "")).alias("value"))
     pairs = F.transform(parts, entry)
     last = F.filter(pairs, lambda x, i: F.size(F.filter(F.slice(pairs, i + 2, F.lit(1 << 30)), lambda y: y["key"] == x["key"])) == 0)
     return F.map_from_entries(last)

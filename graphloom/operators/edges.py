@@ -40,7 +40,8 @@ def coupling(edges: DataFrame, functions: DataFrame, group: str, inside_too: boo
     a = functions.select(F.col("id").alias("source"), F.col("grp").alias("s_grp"), F.col("cls").alias("s_cls"))
     b = functions.select(F.col("id").alias("target"), F.col("grp").alias("t_grp"), F.col("cls").alias("t_cls"))
     pairs = edges.select("source", "target").join(a, "source").join(b, "target").where("s_grp <> t_grp" if not inside_too else "s_cls <> t_cls")
-    # each call counts at both of its ends; both counts come from one pass and one table of distinct (group, end, class)
+    # many calls are between the same two classes: these are told apart once, then each pair counts at both of its ends
+    pairs = pairs.select("s_grp", "s_cls", "t_grp", "t_cls").distinct()
     ends = F.array(F.struct(F.col("s_grp").alias("g"), F.lit(1).alias("out"), F.col("t_cls").alias("cls")), F.struct(F.col("t_grp").alias("g"), F.lit(0).alias("out"), F.col("s_cls").alias("cls")))
     seen = pairs.select(F.explode(ends).alias("e")).select("e.g", "e.out", "e.cls").distinct()
     counts = seen.groupBy(F.col("g").alias(group)).agg(F.sum("out").alias("ce"), (F.count(F.lit(1)) - F.sum("out")).alias("ca"))
@@ -58,16 +59,3 @@ def unused(functions: DataFrame, edges: DataFrame, entry_point: Column, utility:
 def dangling(edges: DataFrame, nodes: DataFrame, end: str) -> DataFrame:
     """Edges whose `end` is no node."""
     return edges.join(nodes.select(F.col("id").alias(end)), end, "left_anti")
-
-
-def repeated(edges: DataFrame, order: str = "ord") -> DataFrame:
-    """Every repeat of an edge after the first."""
-    w = Window.partitionBy("source", "target", "kind").orderBy(order)
-    return edges.withColumn("nth", F.row_number().over(w)).where("nth > 1")
-
-
-def explode_topics(topics: DataFrame) -> DataFrame:
-    """publishes_to edges from producers to the broker, consumes_from edges from the broker to consumers."""
-    out = topics.select(F.explode("producers").alias("source"), F.col("broker").alias("target"), F.lit("publishes_to").alias("kind"), "topic")
-    into = topics.select(F.col("broker").alias("source"), F.explode("consumers").alias("target"), F.lit("consumes_from").alias("kind"), "topic")
-    return out.unionByName(into)

@@ -85,42 +85,6 @@ def candidates(calls: DataFrame, endpoints: DataFrame, bonus: Column) -> DataFra
     return hit.withColumn("confidence", F.least(F.lit(100), score) / 100.0)
 
 
-def other_services(pages: DataFrame) -> DataFrame:
-    """A row for each page and other service that has endpoints of its method and path: their least id and number of parameters, and how many they are. named: the html names that service."""
-    groups = pages.groupBy("method", "path", F.col("service").alias("target_service")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("page_id", "n_params")).alias("e"))
-    hit = pages.withColumnRenamed("page_id", "call_id").join(groups, ["method", "path"]).where("service <> target_service")
-    return hit.select("call_id", "method", "path", "n_params", "target_service", "n", F.col("e.n_params").alias("e_params"), F.col("html").contains(F.col("target_service")).alias("named"))
-
-
-def confidence(named: Column) -> Column:
-    score = F.lit(60) + F.when(F.col("n_params") == F.col("e_params"), 20).otherwise(0) + F.when(named, 20).otherwise(0)
-    return F.least(F.lit(100), score) / 100.0
-
-
-def all_candidates(pages: DataFrame) -> DataFrame:
-    """candidates() with every page as a call and as an endpoint. The html is searched once for each service, not for each pair, and goes no further."""
-    e = pages.select(F.col("page_id").alias("endpoint_id"), F.col("service").alias("target_service"), "method", "path", F.col("n_params").alias("e_params"))
-    hit = other_services(pages).drop("e_params").join(e, ["method", "path", "target_service"])
-    return hit.withColumn("confidence", confidence(F.col("named")))
-
-
-def all_status(pages: DataFrame, certain: float) -> DataFrame:
-    """status() of all_candidates(), which need only be counted: a confidence matters where there is just one."""
-    one = other_services(pages).withColumn("best", confidence(F.col("named")))
-    n = one.groupBy("call_id").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
-    out = pages.select(F.col("page_id").alias("call_id")).join(n, "call_id", "left")
-    what = F.when(F.col("n").isNull(), "unresolvable").when((F.col("n") == 1) & (F.col("best") >= certain), "resolved").otherwise("pending_review")
-    return out.select("call_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"), what.alias("status"))
-
-
-def status(calls: DataFrame, found: DataFrame, certain: float) -> DataFrame:
-    """(call_id, n_candidates, status): unresolvable without candidates, resolved with one of at least `certain`, else pending_review."""
-    n = found.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.max("confidence").alias("best"))
-    out = calls.select("call_id").join(n, "call_id", "left")
-    what = F.when(F.col("n").isNull(), "unresolvable").when((F.col("n") == 1) & (F.col("best") >= certain), "resolved").otherwise("pending_review")
-    return out.select("call_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_candidates"), what.alias("status"))
-
-
 def top(found: DataFrame, key: str, order: list, k: int) -> DataFrame:
     """The first k rows of each key, with their rank."""
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= k)

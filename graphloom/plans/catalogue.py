@@ -42,23 +42,33 @@ def tag(prefix: str, c: str):
     return F.concat(F.lit(prefix), F.col(c).cast("string"))
 
 
-def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    """A call from the order's customer to each line's supplier; the return flag is its kind."""
+def call_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """A call from the order's customer to each line's supplier, by their numbers; the return flag is its kind."""
     line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
     order = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     j = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.select(tag("c", "o_custkey").alias("source"), tag("s", "l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return j.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("kind"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
+
+
+def named(e: DataFrame) -> DataFrame:
+    """Numbers as ids, once what is shuffled has been."""
+    return e.withColumns({"source": tag("c", "source"), "target": tag("s", "target")})
 
 
 EDGES = "edges AS (SELECT 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
 def functions(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(tag("c", "c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.concat(F.col("c_mktsegment"), F.lit("@"), F.col("c_nationkey").cast("string")).alias("cls"))
-    s = table(spark, d, "supplier").select(tag("s", "s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.concat(F.lit("Supplier"), (F.col("s_suppkey") % 7).cast("string"), F.lit("@"), F.col("s_nationkey").cast("string")).alias("cls"))
+    """Customers by their numbers and suppliers by negative ones, as in called()."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.concat(F.col("c_mktsegment"), F.lit("@"), F.col("c_nationkey").cast("string")).alias("cls"))
+    s = table(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("id"), F.col("s_nationkey").alias("nation"), F.concat(F.lit("Supplier"), (F.col("s_suppkey") % 7).cast("string"), F.lit("@"), F.col("s_nationkey").cast("string")).alias("cls"))
     return c.unionByName(s)
 
 
+def called(spark: SparkSession, d: str) -> DataFrame:
+    return call_numbers(spark, d).select("source", (-F.col("target") - 1).alias("target"))
+
+
 FUNCTIONS = "functions AS (SELECT 'c' || c_custkey AS id, c_nationkey AS nation, c_mktsegment || '@' || c_nationkey AS cls FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey, 'Supplier' || (s_suppkey % 7) || '@' || s_nationkey FROM supplier)"
 
 
@@ -72,18 +82,18 @@ TIMED = "timed AS (SELECT *, epoch_us(ts) AS t FROM events)"
 
 @query(f"WITH {EDGES} SELECT source, target, kind, min(ord) AS ord FROM edges GROUP BY 1, 2, 3")
 def edge_dedup(spark, d):
-    return edges.dedup(call_edges(spark, d))
+    return named(edges.dedup(call_numbers(spark, d)))
 
 
 @query(f"WITH {EDGES}, n AS (SELECT 's' || s_suppkey AS id FROM supplier), g AS (SELECT n.id, count(e.target) AS degree FROM n LEFT JOIN edges e ON e.target = n.id GROUP BY 1) SELECT id, degree, max(degree) OVER () AS max_degree FROM g")
 def in_degree(spark, d):
-    return edges.in_degree(table(spark, d, "supplier").select(tag("s", "s_suppkey").alias("id")), call_edges(spark, d))
+    return edges.in_degree(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), call_numbers(spark, d)).withColumn("id", tag("s", "id"))
 
 
 @query(f"WITH {EDGES} SELECT CASE kind WHEN 'A' THEN 'async' WHEN 'R' THEN 'data' ELSE 'sync' END AS class, count(*) AS n FROM edges GROUP BY 1")
 def eco_links_class(spark, d):
     kind = F.when(F.col("kind") == "A", "async").when(F.col("kind") == "R", "data").otherwise("sync")
-    return call_edges(spark, d).groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return call_numbers(spark, d).groupBy(kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
 COUPLING = """, p AS (SELECT DISTINCT a.{g} AS s_grp, a.cls AS s_cls, b.{g} AS t_grp, b.cls AS t_cls FROM edges e JOIN functions a ON e.source = a.id JOIN functions b ON e.target = b.id),
@@ -93,12 +103,12 @@ SELECT f.g AS {n}, coalesce(ca, 0) AS ca, coalesce(ce, 0) AS ce, CASE WHEN coale
 
 @query(f"WITH {EDGES}, {FUNCTIONS}" + COUPLING.format(g="nation", w="s_grp <> t_grp", n="service"))
 def service_coupling(spark, d):
-    return edges.coupling(call_edges(spark, d), functions(spark, d).withColumnRenamed("nation", "grp"), "service", False)
+    return edges.coupling(called(spark, d), functions(spark, d).withColumnRenamed("nation", "grp"), "service", False)
 
 
 @query(f"WITH {EDGES}, {FUNCTIONS}" + COUPLING.format(g="cls", w="s_cls <> t_cls", n="class"))
 def class_coupling(spark, d):
-    return edges.coupling(call_edges(spark, d), functions(spark, d).select("id", F.col("cls").alias("grp"), "cls"), "class", True)
+    return edges.coupling(called(spark, d), functions(spark, d).select("id", F.col("cls").alias("grp"), "cls"), "class", True)
 
 
 @query("SELECT 'p' || p_partkey AS id, CASE WHEN regexp_matches(p_type, '(?i)(steel|tin)') THEN 'info' ELSE 'warning' END AS level FROM part WHERE NOT regexp_matches(p_brand, '[13]$') AND p_partkey NOT IN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'A' AND l_tax > 0.07))")
@@ -117,8 +127,8 @@ def unused_locals(spark, d):
 
 @query(f"WITH {EDGES} SELECT DISTINCT source, target, kind FROM edges WHERE source NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 0)")
 def dangling_edges(spark, d):
-    known = table(spark, d, "customer").where("c_acctbal > 0").select(tag("c", "c_custkey").alias("id"))
-    return edges.dangling(call_edges(spark, d), known, "source").select("source", "target", "kind").distinct()
+    known = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return named(edges.dangling(call_numbers(spark, d), known, "source").select("source", "target", "kind").distinct())
 
 
 NATIONS = "e AS (SELECT c_nationkey AS source, s_nationkey AS target, l_returnflag AS kind, l_orderkey * 10 + l_linenumber AS ord FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"

@@ -65,7 +65,7 @@ SELECT "check", level, rule, node, count(*) AS n FROM found GROUP BY ALL
 @query(EDGE_SQL)
 def validate_edges(spark, d):
     """VL-15 to VL-20, counted by source."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes", "edges")
     found = validate.edge_rules(t["edges"], validate.node_ids(t))
     return found.groupBy("check", "level", "rule", "node").agg(F.count(F.lit(1)).alias("n"))
 
@@ -99,7 +99,7 @@ UNION ALL SELECT 'VL-24', id, 1 FROM below b WHERE type = 'flowControl' AND kind
 @query(FLOW_SQL)
 def validate_flow(spark, d):
     """VL-22 to VL-24."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     found = validate.flow_rules(t["endpoints"], t["nodes"], Saved(spark).save)
     return found.groupBy("check", "node").agg(F.count(F.lit(1)).alias("n"))
 
@@ -113,7 +113,7 @@ SELECT id, root_id, CASE WHEN parent_id = root_id THEN 1 ELSE 2 END AS depth FRO
 @query(ROOT_SQL)
 def subtree_roots(spark, d):
     """GR-1: the endpoint above every code node, and how far."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     every = t["nodes"].select("id", "parent_id").unionByName(t["endpoints"].select("id", F.lit(None).cast("string").alias("parent_id")))
     return tree.roots(every, Saved(spark).save).where("parent_id is not null").select("id", "root_id", "depth")
 
@@ -154,7 +154,7 @@ CALLS = "calls AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'calls
 
 
 def _reached(spark, d):
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     calls = t["edges"].where("kind = 'calls' and target like 'function:%'").select("source", "target")
     return errors.reached(t["endpoints"], calls, Saved(spark).save), t["nodes"]
 
@@ -225,7 +225,7 @@ SELECT e.id, 5 AS lines, 1 + count(*) FILTER (WHERE b.type = 'flowControl' AND b
 @query(METRIC_SQL)
 def function_metrics(spark, d):
     """AG-5, AG-6, JN-20 with all nodes below: endpoints stand for functions."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     below = tree.descendants(t["nodes"].select("id", "parent_id"), Saved(spark).save)
     nodes = t["nodes"].select("id", "parent_id", "type", "kind", F.col("ord").alias("line"), (F.col("ord") + 1).alias("end_line"), ((F.col("type") == "call") & (F.col("status") == 400)).alias("awaited"))
     f = t["endpoints"].select("id", F.lit(10).alias("line"), F.lit(15).alias("end_line"))
@@ -273,7 +273,7 @@ UNION ALL SELECT DISTINCT service, b.id, 'broker', 'async', false FROM n JOIN br
 @query(DEPENDENCY_SQL)
 def service_dependencies(spark, d):
     """JN-5, JN-6, JN-27 over all nodes below endpoints."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     every = t["nodes"].select("id", "parent_id").unionByName(t["endpoints"].select("id", F.lit(None).cast("string").alias("parent_id")))
     root = tree.roots(every, Saved(spark).save).select("id", "root_id")
     n = t["nodes"].join(root, "id").join(t["endpoints"].select(F.col("id").alias("root_id"), F.col("service_id").alias("service")), "root_id")
@@ -397,7 +397,7 @@ def progress_counts(spark, d):
 @query(f"WITH {S.SQL} {BELOW} SELECT root_id AS id, count(*) FILTER (WHERE type = 'dbProcess') AS db_operations, count(*) FILTER (WHERE type = 'externalCall') AS external_calls, count(*) FILTER (WHERE type IN ('dbProcess', 'externalCall')) > 0 AS has_io FROM below GROUP BY 1")
 def endpoint_io(spark, d):
     """AG-23, AG-20: operations and external calls in the tree of each endpoint."""
-    n = S.nodes(spark, d)
+    n = S.saved(spark, d, "nodes")["nodes"]
     below = tree.descendants(n.select("id", "parent_id"), Saved(spark).save).where(F.col("ancestor").startswith("endpoint:"))
     return enrich.has_io(below, n)
 
@@ -419,7 +419,7 @@ SELECT root_id AS root, string_agg(CASE WHEN len(pos) = 2 THEN '  ' ELSE '' END
 @query(TEXT_SQL)
 def flow_texts(spark, d):
     """GR-7, UD-4, TK-2: the first 30 nodes of each endpoint in pre-order."""
-    t = S.topology(spark, d)
+    t = S.saved(spark, d, "nodes")
     rows = t["nodes"].select("id", "parent_id", "ord", "type", F.col("kind").alias("name"))
     tops = t["endpoints"].select("id", F.lit(None).cast("string").alias("parent_id"), F.lit(0).cast("long").alias("ord"), F.lit("endpoint").alias("type"), F.lit(None).cast("string").alias("name"))
     return enrich.flow_text(rows.unionByName(tops), Saved(spark).save)

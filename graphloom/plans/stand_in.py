@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.saved import Saved
+
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -86,6 +88,12 @@ def topology(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {"services": services(spark, d), "endpoints": endpoints(spark, d), "functions": functions(spark, d), "nodes": nodes(spark, d), "edges": edges(spark, d), "databases": database, "brokers": broker, "screens": screen}
 
 
+def saved(spark: SparkSession, d: str, *names: str) -> dict[str, DataFrame]:
+    """The topology, with the tables that a query reads more than once written and read back."""
+    folder, t = Saved(spark), topology(spark, d)
+    return t | {n: folder.save(t[n], n) for n in names}
+
+
 #: The same tables as common table expressions.
 SQL = """
 services AS (SELECT 'service:' || n_nationkey AS id, CASE WHEN n_nationkey <> 7 THEN n_name END AS name, CASE WHEN n_nationkey < 20 THEN lower(n_name) END AS code,

@@ -2,6 +2,7 @@
 
 from graphloom.operators import resolve
 from graphloom.plans import catalogue
+from pyspark.sql import functions as F
 
 
 def saver(spark):
@@ -54,13 +55,23 @@ def test_every_page_is_call_and_endpoint(spark):
     rows = [(k, hosts[k % 7 % 3], paths[k % 5 % 3], k % 3, "GET" if k % 2 else "POST", f"see {hosts[k % 3]}") for k in range(40)]
     rows += [(100, "a.com", "/one", 1, "GET", "b.com"), (101, "b.com", "/one", 1, "GET", ""), (102, "c.com", "/two", 0, "GET", ""), (103, "a.com", "/two", 1, "GET", ""), (104, "a.com", "/alone", 0, "GET", "")]
     pages = spark.createDataFrame(rows, "page_id long, service string, path string, n_params long, method string, html string")
-    want = {(c[0], e[0]): (60 + 20 * (c[3] == e[3]) + 20 * (e[1] in c[5])) / 100 for c in rows for e in rows if c[1] != e[1] and c[2] == e[2] and c[4] == e[4]}
-    found = resolve.all_candidates(pages).collect()
-    assert len(found) == len(want) and {(r.call_id, r.endpoint_id): r.confidence for r in found} == want
-    status = {r.call_id: (r.n_candidates, r.status) for r in resolve.all_status(pages, 0.8).collect()}
+    score = lambda c, e: (60 + 20 * (c[3] == e[3]) + 20 * (e[1] in c[5])) / 100
+    want = {}
+    for c in rows:
+        for e in rows:
+            if c[1] != e[1] and c[2] == e[2] and c[4] == e[4]:
+                n, best = want.get((c[0], e[1]), (0, 0))
+                want[(c[0], e[1])] = (n + 1, max(best, score(c, e)))
+    p = pages.withColumnRenamed("page_id", "id")
+    groups = resolve.candidate_groups(p, p, F.col("html").contains(F.col("target_service")))
+    found = groups.collect()
+    assert len(found) == len(want) and {(r.id, r.target_service): (r.n, r.best) for r in found} == want
+    calls = p.select("id", F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("endpoint_id"))
+    status = {r.id: (r.n_candidates, r.status) for r in resolve.resolution(calls, groups, certain=0.8).collect()}
     for c in rows:
         mine = [v for (a, _), v in want.items() if a == c[0]]
-        assert status[c[0]] == (len(mine), "unresolvable" if not mine else "resolved" if len(mine) == 1 and mine[0] >= 0.8 else "pending_review")
+        n = sum(k for k, _ in mine)
+        assert status[c[0]] == (n, "unresolvable" if not n else "resolved" if n == 1 and mine[0][1] >= 0.8 else "pending_review")
     assert len(status) == len(rows) and {s for _, s in status.values()} == {"unresolvable", "resolved", "pending_review"}
 
 
