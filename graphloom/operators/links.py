@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import tree
 from .resolve import last_wins
 
 #: Types that no constructor has, in lower case.
@@ -104,6 +105,32 @@ def handlers_of(routes: DataFrame, functions: DataFrame) -> DataFrame:
     return r.join(f, "tail", "left").select("id", F.coalesce("resolved_to", "f_id").alias("handler"))
 
 
+def endpoint_handlers(endpoints: DataFrame, functions: DataFrame) -> DataFrame:
+    """(id, handler): for endpoints(id, service, name) the first of functions(id, service, name, path, ord) of the service that has the endpoint's name or ends in its last part; endpoints without one have no row."""
+    tail = F.substring_index("name", ".", -1).alias("tail")
+    f = functions.groupBy("service", tail).agg(F.min(F.struct("path", "ord", "id"))["id"].alias("handler"))
+    return endpoints.select("id", "service", tail).join(f, ["service", "tail"]).select("id", "handler")
+
+
+#: Children that make an endpoint's body one of its own.
+BODY = ["flowControl", "return", "throw", "dbProcess", "externalCall"]
+
+
+def with_bodies(inner: DataFrame, handlers: DataFrame, save) -> DataFrame:
+    """inner(id, parent_id, type, ...), nodes below endpoints and functions: an endpoint of handlers(id, handler) without a body of its own gets copies of all that is below its handler, in place of what it has. Copies have the endpoint's id before their own."""
+    own = inner.where(F.col("type").isin(BODY)).select(F.col("parent_id").alias("id"))
+    bare = save(handlers.join(own, "id", "left_anti"), "bare")
+    tops = inner.select(F.col("parent_id").alias("id")).distinct().join(inner.select("id"), "id", "left_anti").withColumn("parent_id", F.lit(None).cast("string"))
+    roots = save(tree.roots(inner.select("id", "parent_id").unionByName(tops), save).where("parent_id is not null").select("id", "root_id"), "roots")
+    body = inner.join(roots, "id").join(bare.select(F.col("id").alias("_endpoint"), F.col("handler").alias("root_id")), "root_id")
+    named = lambda c: F.concat("_endpoint", F.lit("/"), c)
+    copies = body.withColumn("parent_id", F.when(F.col("parent_id") == F.col("root_id"), F.col("_endpoint")).otherwise(named(F.col("parent_id")))).withColumn("id", named(F.col("id"))).select(*inner.columns)
+    # an endpoint whose handler has nothing below keeps what it has
+    filled = body.select(F.col("_endpoint").alias("root_id")).distinct()
+    kept = inner.join(roots.join(filled, "root_id", "left_semi").select("id"), "id", "left_anti")
+    return kept.select(*inner.columns).unionByName(copies)
+
+
 def owner_of(endpoints: DataFrame, services: DataFrame) -> DataFrame:
     """(id, service, name): the service of each endpoint."""
     return endpoints.select("id", F.col("service_id").alias("service")).join(services.select(F.col("id").alias("service"), "name"), "service").select("id", "service", "name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import kebab
 from graphloom.operators import edges as E
-from graphloom.operators import enrich, errors, links, nest, resolve, tree, validate
+from graphloom.operators import enrich, errors, links, nest, resolve, resources, tree, validate
 from graphloom.sources import parse, scan
 
 
@@ -80,14 +80,31 @@ def call_edges(all_nodes: DataFrame) -> DataFrame:
     return E.dedup(found.select("source", F.col("resolved_to").alias("target"), F.lit("calls").alias("kind"), F.lit(0).alias("ord"))).drop("ord")
 
 
+def handlers(all_nodes: DataFrame) -> DataFrame:
+    """(id, handler): the function of the service that each endpoint is served by."""
+    return links.endpoint_handlers(all_nodes.where("type = 'endpoint'"), all_nodes.where("type = 'function'"))
+
+
+WRITES = ["create", "createMany", "update", "updateMany", "upsert", "delete", "deleteMany"]
+
+
+def edge_facts(all_nodes: DataFrame) -> DataFrame:
+    """(source, target, kind, operation, topic) of edges to databases and topics: the sorted distinct operations, and the topic."""
+    own = owners(all_nodes)
+    db = all_nodes.where("type = 'dbProcess'").join(own, ["service", "path", "ord"])
+    db = db.groupBy(F.col("fn_id").alias("source"), F.concat(F.lit("database:"), "service").alias("target"), F.when(F.col("kind").isin(WRITES), "writes_to").otherwise("reads_from").alias("kind"))
+    db = db.agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("operation")).withColumn("operation", F.when(F.col("operation") != "", F.col("operation")))
+    ev = all_nodes.where("type = 'event'")
+    service, topic, out = F.concat(F.lit("service:"), "service"), F.concat(F.lit("topic:"), "name"), F.col("kind") == "publish"
+    ev = ev.select(F.when(out, service).otherwise(topic).alias("source"), F.when(out, topic).otherwise(service).alias("target"), F.when(out, "publishes_to").otherwise("consumes_from").alias("kind"), F.lit(None).cast("string").alias("operation"), F.col("name").alias("topic")).distinct()
+    return db.withColumn("topic", F.lit(None).cast("string")).unionByName(ev)
+
+
 def derived_edges(all_nodes: DataFrame) -> DataFrame:
     """calls, endpoint handlers, database reads and writes, and events, without repeats."""
     own = owners(all_nodes)
-    f = all_nodes.where("type = 'function'").select(F.col("service").alias("s"), F.col("path").alias("p"), F.col("id").alias("f_id"), F.substring_index("name", ".", -1).alias("last"), F.col("ord").alias("f_ord"))
-    ep = all_nodes.where("type = 'endpoint'")
-    handler = ep.join(f, (F.col("service") == F.col("s")) & (F.col("path") == F.col("p")) & (F.substring_index("name", ".", -1) == F.col("last")))
-    handled = handler.groupBy("id").agg(F.min(F.struct("f_ord", "f_id")).alias("b")).select(F.col("id").alias("source"), F.col("b.f_id").alias("target"), F.lit("calls").alias("kind"))
-    writes = F.col("kind").isin("create", "createMany", "update", "updateMany", "upsert", "delete", "deleteMany")
+    handled = handlers(all_nodes).select(F.col("id").alias("source"), F.col("handler").alias("target"), F.lit("calls").alias("kind"))
+    writes = F.col("kind").isin(WRITES)
     db = all_nodes.where("type = 'dbProcess'").join(own, ["service", "path", "ord"]).select(F.col("fn_id").alias("source"), F.concat(F.lit("database:"), "service").alias("target"), F.when(writes, "writes_to").otherwise("reads_from").alias("kind"))
     ev = all_nodes.where("type = 'event'").select(F.col("service"), F.concat(F.lit("topic:"), "name").alias("topic"), F.col("kind").alias("role"))
     events = ev.select(F.when(F.col("role") == "publish", F.concat(F.lit("service:"), "service")).otherwise(F.col("topic")).alias("source"), F.when(F.col("role") == "publish", F.col("topic")).otherwise(F.concat(F.lit("service:"), "service")).alias("target"), F.when(F.col("role") == "publish", "publishes_to").otherwise("consumes_from").alias("kind"))
@@ -107,13 +124,14 @@ def diagnostics(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cross_service(all_nodes: DataFrame) -> DataFrame:
-    """External calls with endpoints of other services of their method and path, with a confidence."""
+    """External calls with the best endpoint of each other service that has their method and path, and its confidence."""
     from graphloom.functions.text import normalize_http_path
 
     calls = all_nodes.where("type = 'externalCall'").select(F.col("id").alias("call_id"), "service", F.col("kind").alias("method"), normalize_http_path(F.col("meta")["path"]).alias("path"), F.col("meta")["baseUrl"].alias("base"))
     n = lambda p: F.size(F.regexp_extract_all(p, F.lit(":param"), F.lit(0)))
     ends = all_nodes.where("type = 'endpoint'").select("id", "service", F.col("kind").alias("method"), normalize_http_path(F.col("meta")["path"]).alias("path"))
-    return resolve.candidates(calls.withColumn("n_params", n(F.col("path"))), ends.withColumn("n_params", n(F.col("path"))), F.col("base").contains(F.substring_index("target_service", "/", -1)))
+    groups = resolve.candidate_groups(calls.withColumn("n_params", n(F.col("path"))), ends.withColumn("n_params", n(F.col("path"))), F.col("base").contains(F.substring_index("target_service", "/", -1)))
+    return groups.withColumnRenamed("best", "confidence")
 
 
 def summary(all_nodes: DataFrame) -> DataFrame:
@@ -139,12 +157,12 @@ def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> d
 
 def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: bool = True) -> dict[str, DataFrame]:
     """topology() of files(path, size, content); title: the name of a service that is the whole repository."""
-    n = save(nested(nodes_of(files, skip_tests)), "nodes")
+    n = save(nested(save(nodes_of(files, skip_tests), "parsed")), "nodes")
     found = scan.boundaries(files)
     name = F.when(F.col("root") == "", F.lit(title)).otherwise(F.substring_index("root", "/", -1))
     ends = n.where("type = 'endpoint'").groupBy(F.col("service").alias("root")).agg(F.count(F.lit(1)).alias("endpoints"))
-    stack = scan.stacks(files, found).select(F.col("service").alias("root"), "framework")
-    s = found.join(ends, "root", "left").join(stack, "root", "left")
+    stack = save(scan.stacks(files, found).select(F.col("service").alias("root"), "framework", "hints"), "stacks")
+    s = found.join(ends, "root", "left").join(stack.drop("hints"), "root", "left")
     kind = enrich.service_kind(F.coalesce("framework", F.lit("unknown")), F.coalesce("endpoints", F.lit(0)), F.lit(0), F.lit(0))
     services = save(s.select(F.concat(F.lit("service:"), "root").alias("id"), name.alias("name"), kebab(name).alias("code"), kind.alias("kind"), "framework"), "services")
     meta = lambda k: F.col("meta")[k]
@@ -153,16 +171,23 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     kinds = F.when(F.col("kind") == "function", "declaration").otherwise(F.col("kind"))
     functions = n.where("type = 'function'").select("id", service_id, "name", kinds.alias("kind"), F.col("path").alias("file"), "line", "end_line", "ord")
     inner = n.where("type not in ('function', 'endpoint', 'diagnostic', 'data', 'table', 'column', 'screen', 'component') and parent_id is not null")
+    handler = save(handlers(n), "handlers")
+    inner = save(links.with_bodies(inner, handler, save), "inner")
+    endpoints = endpoints.join(handler.withColumnRenamed("handler", "handler_fn_id"), "id", "left")
+    # how many nodes hang below a node of flow control
+    below = inner.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("branches"))
     used = F.when(F.col("type") == "dbProcess", F.concat(F.lit("database:"), "service"))
-    code = inner.select("id", service_id, "type", "parent_id", "name", "kind", used.alias("database_id"), meta("operation").alias("operation"), F.when(F.col("type") == "externalCall", F.col("kind")).alias("method"), meta("path").alias("path"), F.when(F.col("type") == "event", F.col("name")).alias("event_name"), F.when(F.col("type") == "log", F.col("kind")).alias("level"), F.lit(None).cast("int").alias("branches"), F.col("path").alias("file"), "line", "ord", meta("status").cast("int").alias("status"))
+    code = inner.select("id", service_id, "type", "parent_id", "name", "kind", used.alias("database_id"), meta("operation").alias("operation"), F.when(F.col("type") == "externalCall", F.col("kind")).alias("method"), meta("path").alias("path"), F.when(F.col("type") == "event", F.col("name")).alias("event_name"), F.when(F.col("type") == "log", F.col("kind")).alias("level"), F.col("path").alias("file"), "line", "ord", meta("status").cast("int").alias("status"))
     code = code.withColumn("kind", F.when(F.col("type").isin("log", "event", "externalCall", "dbProcess"), F.lit(None)).otherwise(F.col("kind")))
-    engines = services.select(F.concat(F.lit("database:"), F.substring("id", 9, 1 << 20)).alias("id"), "name", F.lit("unknown").alias("engine"), "code").withColumnRenamed("code", "alias")
+    code = code.join(below, "id", "left").withColumn("branches", F.when(F.col("type") == "flowControl", F.coalesce("branches", F.lit(0))))
+    # the engine that a service's manifests name, if it is one
+    named = F.filter("hints", lambda h: h["kind"] == "database")
+    engine = stack.select(F.concat(F.lit("service:"), "root").alias("id"), F.when(F.size(named) == 1, named[0]["engine"]).alias("engine"))
+    engines = services.join(engine, "id", "left").select(F.concat(F.lit("database:"), F.substring("id", 9, 1 << 20)).alias("id"), "name", F.coalesce("engine", F.lit("unknown")).alias("engine"), F.col("code").alias("alias"))
     databases = engines.join(code.select(F.col("database_id").alias("id")).distinct(), "id", "left_semi")
     brokers = n.where("type = 'event'").select(F.concat(F.lit("topic:"), "name").alias("id"), "name", F.lit("unknown").alias("engine"), F.col("name").alias("alias")).distinct()
     e = derived_edges(n).unionByName(structural_edges(n)).distinct()
-    operation = F.when(F.col("kind").isin("reads_from", "writes_to"), F.lit("any"))
-    topic = F.when(F.col("kind").isin("publishes_to", "consumes_from"), F.regexp_extract(F.concat_ws(" ", "source", "target"), r"topic:(\S+)", 1))
-    edges = save(e.withColumn("operation", operation).withColumn("topic", topic), "edges")
+    edges = save(e.join(edge_facts(n), ["source", "target", "kind"], "left"), "edges")
     out = {"services": services, "endpoints": save(endpoints, "endpoints"), "functions": save(functions, "functions"), "nodes": save(code, "code"), "edges": edges, "databases": databases, "brokers": brokers}
     out["diagnostics"] = validate.validate(out, save).unionByName(diagnostics(n, edges).where("rule in ('function.unused', 'file.unreadable')").select("level", "rule", F.lit(None).cast("string").alias("check"), "node", F.col("rule").alias("message")))
     out["error_paths"] = errors.error_paths(n.where("type in ('throw', 'flowControl')").select("service", F.col("path").alias("file"), "line", "ord", "id", "type", "kind", "name", meta("status").cast("int").alias("status")))
@@ -171,9 +196,22 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     out["components"] = n.where("type = 'component'").select("id", service_id, "name", "kind", "ord")
     out["screen_components"] = links.components(out["screens"], out["components"])
     facts = n.where("type in ('table', 'column')")
-    out["tables"] = facts.where("type = 'table'").select("id", F.concat(F.lit("database:"), "service").alias("database_id"), "name", meta("entity").alias("entity_name"))
-    owner = facts.where("type = 'table'").select("service", meta("entity").alias("entity"), F.col("id").alias("table_id"))
-    out["columns"] = facts.where("type = 'column'").withColumn("entity", meta("entity")).join(owner, ["service", "entity"]).select("table_id", "name", F.col("kind").alias("type"), (meta("primaryKey") == "true").alias("primary_key"))
+    flag = lambda k: F.coalesce(meta(k) == "true", F.lit(False)).alias
+    place = F.concat_ws("|", "path", F.lpad(F.col("ord").cast("string"), 9, "0")).alias("ord")
+    t = facts.where("type = 'table'").select("id", F.concat(F.lit("database:"), "service").alias("alias"), "name", meta("entity").alias("entity_name"), flag("hasTimestamps")("has_timestamps"), flag("hasSoftDelete")("has_soft_delete"), place)
+    first = t.groupBy("alias", F.lower("name").alias("key")).agg(F.min_by("id", "ord").alias("id"))
+    tables = save(resources.merge_tables(t).join(first, ["alias", "key"]), "tables")
+    out["tables"] = tables.select("id", F.col("alias").alias("database_id"), "name", "entity_name", "has_timestamps", "has_soft_delete")
+    owner = t.select("alias", F.col("entity_name").alias("entity"), F.lower("name").alias("table")).distinct()
+    c = facts.where("type = 'column'").select(F.concat(F.lit("database:"), "service").alias("alias"), meta("entity").alias("entity"), "name", F.col("kind").alias("type"), (meta("primaryKey") == "true").alias("primary_key"), F.lit("declared").alias("source_kind"), place)
+    merged = resources.merge_columns(c.join(owner, ["alias", "entity"]))
+    out["columns"] = merged.join(tables.select("alias", "key", F.col("id").alias("table_id")), ["alias", "key"]).select("table_id", "name", "type", "primary_key")
+    # what services depend on: databases and topics that they use, and services whose endpoints they call
+    uses = n.where("type in ('dbProcess', 'event')").select(F.concat(F.lit("service:"), "service").alias("service"), "type", used.alias("database_id"), F.when(F.col("type") == "event", F.col("name")).alias("channel"))
+    none = services.select(F.col("id").alias("service"), F.lit(None).cast("string").alias("target")).where("false")
+    calls = cross_service(n).where(F.col("confidence") >= resolve.CERTAIN).select(F.concat(F.lit("service:"), "service").alias("service"), F.concat(F.lit("service:"), "target_service").alias("target")).distinct()
+    known = resources.dependencies(uses, brokers.select("id", "alias"), none)
+    out["dependencies"] = save(known.unionByName(calls.select("service", "target", F.lit("service").alias("target_kind"), F.lit("sync").alias("call_kind"), F.lit(True).alias("critical"))), "dependencies")
     top = n.where("type in ('endpoint', 'function')").select("id", F.lit(None).cast("string").alias("parent_id"), service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     rest = inner.select("id", "parent_id", service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     both = top.unionByName(rest)

@@ -7,10 +7,9 @@ the customer of its number, and a page of a web application.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import links
 from graphloom.plans import analysis
 from graphloom.plans.catalogue import query, table
 from graphloom.saved import Saved
@@ -46,6 +45,8 @@ PAGE = '''import React from "react";
 export default function S%1$sPage() {
   return <Stock%1$sList onClick={pick} />;
 }
+'''
+PART = '''import React from "react";
 export const Stock%1$sList = ({ items }) => {
   return <ul>{items}</ul>;
 };
@@ -64,6 +65,104 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     calls = s.join(home, "s_suppkey")
     rows = rows.unionByName(calls.select(F.concat(F.lit("svc"), text("s_nationkey"), F.lit("/s"), text("s_suppkey"), F.lit(".py")).alias("path"), F.format_string(SUPPLIER, text("s_suppkey"), text("home")).alias("text")))
     rows = rows.unionByName(s.select(F.concat(F.lit("web/src/pages/S"), text("s_suppkey"), F.lit("Page.tsx")).alias("path"), F.format_string(PAGE, text("s_suppkey")).alias("text")))
+    rows = rows.unionByName(s.select(F.concat(F.lit("web/src/components/Stock"), text("s_suppkey"), F.lit("List.tsx")).alias("path"), F.format_string(PART, text("s_suppkey")).alias("text")))
     rows = rows.unionByName(n.select(F.concat(F.lit("svc"), text("n_nationkey"), F.lit("/requirements.txt")).alias("path"), F.lit("fastapi\nsqlalchemy\npsycopg2\n").alias("text")))
     rows = rows.unionByName(n.limit(1).select(F.lit("web/package.json").alias("path"), F.lit('{"dependencies": {"react": "18"}}').alias("text")))
     return rows.select("path", F.octet_length("text").cast("long").alias("size"), F.encode("text", "UTF-8").alias("content"))
+
+
+def nodes(spark: SparkSession, d: str, folder: Saved | None = None) -> DataFrame:
+    """Parsed once, as a table."""
+    return (folder or Saved(spark)).save(analysis.nodes_of(files(spark, d)), "parsed")
+
+
+def topology(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return analysis.topology_of(files(spark, d), Saved(spark).save)
+
+
+OWN = "c AS (SELECT *, 'svc' || c_nationkey AS service, 'serve_' || c_custkey AS serve, 'load_' || c_custkey AS load, '/customers/' || c_custkey || '/{item}' AS path, 'topic.' || lower(c_mktsegment) AS topic, CASE WHEN c_acctbal > 3000 THEN 'ValidationError' ELSE 'PermissionDenied' END AS error FROM customer)"
+
+
+@query(f"WITH {OWN} SELECT service, CASE WHEN c_acctbal > 5000 THEN 'POST' ELSE 'GET' END AS method, path FROM c")
+def source_endpoints(spark, d):
+    """EP-6 from files."""
+    return nodes(spark, d).where("type = 'endpoint'").select("service", F.col("kind").alias("method"), F.col("meta")["path"].alias("path"))
+
+
+@query(f"WITH {OWN} SELECT DISTINCT topic, service, 'publish' AS role FROM c")
+def source_topics(spark, d):
+    """EV-3 from files."""
+    return nodes(spark, d).where("type = 'event'").select(F.col("name").alias("topic"), "service", F.col("kind").alias("role")).distinct()
+
+
+@query(f"WITH {OWN}, k AS (SELECT unnest(['id', 'name']) AS name) SELECT service, 'Customer' || c_custkey AS entity, k.name, k.name = 'id' AS key FROM c, k")
+def source_columns(spark, d):
+    """DB-5, DB-6 from files."""
+    return nodes(spark, d).where("type = 'column'").select("service", F.col("meta")["entity"].alias("entity"), "name", (F.col("meta")["primaryKey"] == "true").alias("key"))
+
+
+@query(f"WITH {OWN} SELECT service, error, CASE error WHEN 'ValidationError' THEN 400 ELSE 403 END AS status, count(*) AS n FROM c GROUP BY ALL")
+def source_throws(spark, d):
+    """FL-2, FL-3, FL-7 from files."""
+    t = nodes(spark, d).where("type = 'throw'").select("service", F.col("name").alias("error"), F.col("meta")["status"].cast("int").alias("status"))
+    return t.groupBy("service", "error", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {OWN} SELECT service, 'call' AS type, load AS name, 'try' AS parent FROM c UNION ALL SELECT service, 'event', topic, load FROM c
+UNION ALL SELECT service, 'throw', error, 'if' FROM c UNION ALL SELECT service, 'flowControl', 'if', serve FROM c UNION ALL SELECT service, 'return', 'None', 'catch' FROM c
+""")
+def source_nesting(spark, d):
+    """JN-1, JN-2 from files: nodes with what holds them, every repeat too."""
+    folder = Saved(spark)
+    n = folder.save(analysis.nested(nodes(spark, d, folder)), "nested")
+    up = n.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    hit = n.join(up, "parent_id").where("type in ('event', 'throw') or (type = 'call' and name like 'load%') or (type = 'flowControl' and kind = 'if') or (type = 'return' and name = 'None')")
+    return hit.select("service", "type", "name", "parent")
+
+
+@query(f"""
+WITH {OWN} SELECT 'endpoint ' || serve AS source, serve AS target, 'calls' AS kind FROM c UNION ALL SELECT serve, load, 'calls' FROM c UNION ALL SELECT load, 'database:' || service, 'reads_from' FROM c
+UNION ALL SELECT DISTINCT 'service:' || service, 'topic:' || topic, 'publishes_to' FROM c
+""")
+def source_edges(spark, d):
+    """JN-3, JN-5, JN-6, JN-10 from files."""
+    n = nodes(spark, d)
+    label = F.when(F.col("type") == "endpoint", F.concat(F.lit("endpoint "), "name")).otherwise(F.col("name"))
+    names = n.where("type in ('endpoint', 'function')").select("id", label.alias("label"))
+    named = lambda c: names.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label"))
+    out = analysis.derived_edges(n).join(named("source"), "source", "left").join(named("target"), "target", "left")
+    return out.select(F.coalesce("source_label", "source").alias("source"), F.coalesce("target_label", "target").alias("target"), "kind")
+
+
+@query("SELECT 'svc' || s_nationkey AS caller, '/customers/' || s_suppkey || '/:param' AS path, 'svc' || c_nationkey AS target, CAST(1.0 AS DOUBLE) AS confidence FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey AND c_acctbal <= 5000")
+def source_resolution(spark, d):
+    """HC-3, JN-14, RS-1: calls to endpoints of the services that their addresses name."""
+    out = analysis.cross_service(nodes(spark, d))
+    return out.select(F.col("service").alias("caller"), "path", F.col("target_service").alias("target"), "confidence")
+
+
+@query("SELECT 'ask_' || s_suppkey AS name FROM supplier JOIN customer ON s_suppkey = c_custkey UNION ALL SELECT 'S' || s_suppkey || 'Page' FROM supplier UNION ALL SELECT 'Stock' || s_suppkey || 'List' FROM supplier")
+def source_unused(spark, d):
+    """JN-23, PF-2 from files: functions that nothing calls and no decorator marks."""
+    n = nodes(spark, d)
+    found = analysis.diagnostics(n, analysis.derived_edges(n)).where("rule = 'function.unused'").select(F.col("node").alias("id"))
+    return n.join(found, "id").select("name")
+
+
+@query("SELECT 'S' || s_suppkey || 'Page' AS screen, '/s' || s_suppkey AS route, 'Stock' || s_suppkey || 'List' AS component FROM supplier")
+def source_screens(spark, d):
+    """FE-1, FE-4, JN-17 from files."""
+    t = analysis.topology_of(files(spark, d).where("path like 'web/%'"), Saved(spark).save)
+    s, c = t["screens"].select(F.col("id").alias("screen"), F.col("name").alias("s_name"), "route"), t["components"].select(F.col("id").alias("component"), F.col("name").alias("c_name"))
+    return t["screen_components"].join(s, "screen").join(c, "component").select(F.col("s_name").alias("screen"), "route", F.col("c_name").alias("component"))
+
+
+@query(f"""
+WITH {OWN}, calls AS (SELECT DISTINCT s_nationkey, c_nationkey FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey AND c_acctbal <= 5000)
+SELECT DISTINCT 'service:' || service AS service, 'database:' || service AS target, 'database' AS target_kind FROM c UNION ALL SELECT DISTINCT 'service:' || service, 'topic:' || topic, 'broker' FROM c
+UNION ALL SELECT 'service:svc' || s_nationkey, 'service:svc' || c_nationkey, 'service' FROM calls
+""")
+def source_dependencies(spark, d):
+    """JN-26, JN-27 in a whole topology: databases and topics that services use, and services that they call."""
+    return topology(spark, d)["dependencies"].select("service", "target", "target_kind")

@@ -256,7 +256,9 @@ def brace_nodes(language: str, text: str, path: str = "") -> list[Node]:
                 verb = given[1] if given else "GET" if verb in ("ALL", "REQUEST") else verb
             path = "/" + "/".join(p for p in path.split("/") if p)
             after = next((f for f in named if f[0] >= m.start()), None) if how == "mark" else None
-            node("endpoint", after[2] if after else f"{verb} {path}", verb, m.start(), after[1] if after else close.get(text.find("(", m.start()), m.end()), path=path, params=",".join(re.findall(r"[:{](\w+)", path)))
+            # a route is named after the function that its last argument names
+            given = re.search(r"(?:^|,)\s*((?:\w+\.)*\w+)\s*$", text[m.end() : close.get(text.find("(", m.start()), m.end())]) if how == "call" else None
+            node("endpoint", after[2] if after else given[1] if given else f"{verb} {path}", verb, m.start(), after[1] if after else close.get(text.find("(", m.start()), m.end()), path=path, params=",".join(re.findall(r"[:{](\w+)", path)))
     for m in FLOW.finditer(code):
         kind = {"when": "switch", "select": "switch", "match": "switch"}.get(m[1], m[1])
         paren = re.match(r"\s*\(", code[m.end() :])
@@ -336,11 +338,12 @@ def _by_rule(r: rules.Rule, m: re.Match, language: str, text: str, at: int, end:
 PARSERS: dict[str, Callable[[str, str], list[Node]]] = {}
 
 
-def nodes_of(path: str, language: str, text: str) -> list[Node]:
+def nodes_of(path: str, language: str, text: str, parsers: dict[str, Callable[[str, str], list[Node]]] | None = None) -> list[Node]:
     """All nodes of a file; one of type diagnostic if it can't be read."""
+    own = PARSERS if parsers is None else parsers
     try:
-        if language in PARSERS:
-            return PARSERS[language](path, text)
+        if language in own:
+            return own[language](path, text)
         return python_nodes(path, text) if language == "python" else brace_nodes(language, text, path) if language in LANGUAGE else []
     except (SyntaxError, ValueError, RecursionError) as e:
         return [Node("diagnostic", f"{type(e).__name__}: {e}"[:300], "warning", int(getattr(e, "lineno", None) or 1), 0, 1)]
@@ -349,9 +352,11 @@ def nodes_of(path: str, language: str, text: str) -> list[Node]:
 def parse(files: DataFrame) -> DataFrame:
     """Node rows of files(service, path, language, text). ord is the order of a file's nodes; with_ids() adds ids."""
 
+    parsers = dict(PARSERS)  # tasks import this module anew: what was registered goes with the function
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(f.service, f.path, f.language, k, n.type, n.name, n.kind, n.line, n.col, n.end_line, n.meta) for f in batch.itertuples() for k, n in enumerate(nodes_of(f.path, f.language, f.text or ""))]
+            rows = [(f.service, f.path, f.language, k, n.type, n.name, n.kind, n.line, n.col, n.end_line, n.meta) for f in batch.itertuples() for k, n in enumerate(nodes_of(f.path, f.language, f.text or "", parsers))]
             yield pd.DataFrame(rows, columns=["service", "path", "language", "ord", "type", "name", "kind", "line", "col", "end_line", "meta"])
 
     return files.select("service", "path", "language", "text").mapInPandas(run, SCHEMA)

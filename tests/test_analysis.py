@@ -209,3 +209,48 @@ def test_command_line(spark, repo, whole, tmp_path, capsys, monkeypatch):
         main(["analyze", f"{tmp_path}/nothing"])
     with pytest.raises(ValueError):
         main(["analyze", repo.removeprefix("file://"), "--output", "/etc/out"])
+
+
+MORE = {
+    "web/package.json": '{"dependencies": {"express": "4", "pg": "8"}}',
+    "web/src/math.ts": """
+export function sum(req, res) {
+  if (req.x) { }
+  return add(x, y) + add(y, x) + add(x, x);
+}
+export function add(a, b) { return a + b; }
+""",
+    "web/src/routes.ts": """
+import { sum } from "./math";
+app.get("/sum", auth, sum);
+app.post("/own", (req, res) => { return res.json(sum(1)); });
+""",
+    "web/src/long.ts": "export function wide() { " + "x(1); " * 2000 + "if (deep) { y(2); } return 3; }",
+}
+
+
+def test_handlers_repeats_and_long_lines(spark):
+    """A route takes its handler's body; calls of one line are nodes each; columns beyond 4096 nest rightly; VL-23 can fire."""
+    from graphloom.saved import Saved
+
+    files = spark.createDataFrame([(p, len(t), bytearray(t.encode())) for p, t in MORE.items()], "path string, size long, content binary")
+    t = analysis.topology_of(files, Saved(spark).save)
+    names = {r.id: r.name for r in t["functions"].collect()}
+    ends = {r.path: r for r in t["endpoints"].collect()}
+    assert names[ends["/sum"].handler_fn_id] == "sum"
+    tree = t["tree"].collect()
+    ids = [r.id for r in tree]
+    assert len(ids) == len(set(ids))
+    own = lambda top: [r for r in tree if r.parent_id == top]
+    assert [r.name for r in own(ends["/sum"].id) if r.type == "call"] == ["add"] * 3
+    assert [r.type for r in own(ends["/sum"].id) if r.type in ("flowControl", "return")] == ["flowControl", "return"]
+    assert "return" in {r.type for r in own(ends["/own"].id)}
+    found = [(r.check, r.rule, r.node) for r in t["diagnostics"].collect()]
+    assert not [f for f in found if f[0] == "VL-21" and f[2] == ends["/sum"].id]
+    assert not [f for f in found if f[1] == "function.unused" and names.get(f[2]) == "sum"]
+    assert [f for f in found if f[0] == "VL-23"]  # the empty branch
+    deep = next(r for r in tree if r.name == "y")
+    by_id = {r.id: r for r in tree}
+    assert by_id[deep.parent_id].type == "flowControl" and len([r for r in tree if r.name == "x"]) == 2000
+    assert [r.engine for r in t["databases"].collect()] in ([], ["postgres"])
+    assert t["dependencies"].count() >= 0

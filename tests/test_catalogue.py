@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from graphloom.plans import catalogue, example, graph_queries, link_queries, stored_queries  # noqa: F401
+from graphloom.plans import catalogue, graph_queries, link_queries, sources, stored_queries  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}

@@ -85,6 +85,8 @@ def test_sources(spark, tmp_path, monkeypatch):
     assert got() == {"a.ts", "b.tsx", "c.py"} and got(frontend=False) == {"a.ts", "c.py"} and got(extensions=[".py"]) == {"c.py"}
     monkeypatch.setitem(parse.PARSERS, "cobol", lambda path, text: [parse.Node("function", text, None, 1, 0, 1)])
     assert [n.name for n in parse.nodes_of("x", "cobol", "MAIN")] == ["MAIN"]
+    one = spark.createDataFrame([("s", "x", "cobol", "MAIN")], "service string, path string, language string, text string")
+    assert [r.name for r in parse.parse(one).collect()] == ["MAIN"]  # tasks know it too
 
 
 def test_global_handlers(spark):
