@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.operators import increment
+from graphloom.operators import increment, mergeable
 from graphloom.plans import stand_in as S
-from graphloom.plans.catalogue import query
+from graphloom.plans.catalogue import ORACLES, functions, query
 from graphloom.saved import Saved
+from graphloom.sinks import layout
 from graphloom.sinks.store import Pages, Store
 from graphloom.streaming import sessions
 
@@ -123,3 +124,37 @@ def session_outcomes(spark, d):
     return got.where("session_id <> 'end'").select("session_id", F.unix_seconds("at").alias("at"), "outcome")
 
 
+
+
+@query(ORACLES["service_coupling"])
+def merged_coupling(spark, d):
+    """AG-7, ST-7: coupling of three stored topologies, lines by return flag, from their bitmaps alone."""
+    folder = Saved(spark)
+    f = functions(spark, d).withColumnRenamed("nation", "grp")
+    numbers = mergeable.dense(f, "cls", folder.save)
+    line = S._read(spark, d, "lineitem").join(S._read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    stored = []
+    for flag in ("A", "N", "R"):
+        calls = line.where(F.col("l_returnflag") == flag).select(F.col("o_custkey").alias("source"), (-F.col("l_suppkey") - 1).alias("target"))
+        stored.append(folder.save(mergeable.coupling_maps(calls, f, numbers, False), flag))
+    return mergeable.coupling(mergeable.merged(*stored), f, "service")
+
+
+@query("SELECT l_suppkey AS target, count(DISTINCT o_custkey) AS connection_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def merged_connections(spark, d):
+    """AG-13, ST-7: how many customers each supplier is connected with, from stored halves."""
+    folder = Saved(spark)
+    line = S._read(spark, d, "lineitem").join(S._read(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("service")), "l_orderkey")
+    numbers = mergeable.dense(line, "service", folder.save)
+    halves = [folder.save(mergeable.connections(line.where(c).withColumnRenamed("l_suppkey", "target"), numbers), "half") for c in ("l_linestatus = 'F'", "l_linestatus <> 'F'")]
+    return mergeable.connection_counts(mergeable.merged(*halves))
+
+
+@query()
+def force_layout(spark, d):
+    """GR-10: parts placed by force, linked where an order has them next to each other and both lines are returned; no SQL can say it, tests hold forces against all pairs."""
+    line = S._read(spark, d, "lineitem").where("l_returnflag = 'R'")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    links = line.select(F.col("l_partkey").alias("source"), F.lead("l_partkey").over(w).alias("target")).where("target is not null")
+    save = Saved(spark).save
+    return layout.layout(S._read(spark, d, "part").select(F.col("p_partkey").alias("id")), save(links, "links"), save, rounds=3)
