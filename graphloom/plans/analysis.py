@@ -16,9 +16,9 @@ def nodes(spark: SparkSession, root: str, skip_tests: bool = True) -> DataFrame:
     return nodes_of(scan.read_files(spark, root), skip_tests)
 
 
-def nodes_of(files: DataFrame, skip_tests: bool = True) -> DataFrame:
+def nodes_of(files: DataFrame, skip_tests: bool = True, frontend: bool = True) -> DataFrame:
     """Node rows of files(path, size, content)."""
-    placed = scan.assign(scan.source_files(files, skip_tests), scan.boundaries(files))
+    placed = scan.assign(scan.source_files(files, skip_tests, frontend=frontend), scan.boundaries(files))
     return parse.with_ids(parse.parse(placed))
 
 
@@ -68,15 +68,20 @@ def owners(all_nodes: DataFrame) -> DataFrame:
     return n.select(F.col("uid").alias("node_id"), "service", "path", "ord").join(held, "node_id").join(f, "container_id").select("service", "path", "ord", "fn_id")
 
 
-def call_edges(all_nodes: DataFrame) -> DataFrame:
-    """calls edges from functions to functions: by whole name (the last of equal names), then this.m and self.m in the own class, then by method name (the first)."""
+def resolved_calls(all_nodes: DataFrame) -> DataFrame:
+    """(id, source, resolved_to) of calls inside functions whose callee is known: by whole name (the last of equal names), then this.m and self.m in the own class, then by method name (the first)."""
     f = all_nodes.where("type = 'function'").select("id", "name", F.col("line").alias("ord"), F.substring_index("name", ".", -1).alias("method"))
     calls = all_nodes.where("type = 'call'").join(owners(all_nodes), ["service", "path", "ord"]).join(f.select(F.col("id").alias("fn_id"), F.col("name").alias("fn_name")), "fn_id")
     own = F.regexp_extract("fn_name", r"^(.*)\.", 1)
     bare = F.regexp_replace("name", r"^(this|self)\.", "")
-    calls = calls.select(F.col("fn_id").alias("source"), F.col("name").alias("callee"), F.when(F.col("name").rlike(r"^(this|self)\.\w+$"), F.concat(own, F.lit("."), bare)).alias("member"), F.when(F.size(F.split("name", r"\.")) >= 3, F.substring_index("name", ".", -1)).alias("method"))
+    calls = calls.select("id", F.col("fn_id").alias("source"), F.col("name").alias("callee"), F.when(F.col("name").rlike(r"^(this|self)\.\w+$"), F.concat(own, F.lit("."), bare)).alias("member"), F.when(F.size(F.split("name", r"\.")) >= 3, F.substring_index("name", ".", -1)).alias("method"))
     found = resolve.by_priority(calls, [(resolve.last_wins(f, "name"), "callee", "name", "name"), (resolve.last_wins(f, "name"), "member", "name", "member"), (resolve.first_wins(f, "method"), "method", "method", "method")])
-    found = found.where("resolved_to is not null and resolved_to <> source")
+    return found.where("resolved_to is not null").select("id", "source", "resolved_to")
+
+
+def call_edges(all_nodes: DataFrame) -> DataFrame:
+    """calls edges from functions to other functions, once each."""
+    found = resolved_calls(all_nodes).where("resolved_to <> source")
     return E.dedup(found.select("source", F.col("resolved_to").alias("target"), F.lit("calls").alias("kind"), F.lit(0).alias("ord"))).drop("ord")
 
 
@@ -150,14 +155,14 @@ def structural_edges(all_nodes: DataFrame) -> DataFrame:
     return into.unionByName(links.inherits(data, f)).select("source", "target", "kind").distinct()
 
 
-def topology(spark: SparkSession, root: str, save, skip_tests: bool = True) -> dict[str, DataFrame]:
+def topology(spark: SparkSession, root: str, save, skip_tests: bool = True, frontend: bool = True) -> dict[str, DataFrame]:
     """All tables of a repository, as operators.validate takes them, with `tree` (nodes by parent and depth), `diagnostics`, `error_paths` and `progress`."""
-    return topology_of(scan.read_files(spark, root), save, root.rstrip("/").rpartition("/")[2], skip_tests)
+    return topology_of(scan.read_files(spark, root), save, root.rstrip("/").rpartition("/")[2], skip_tests, frontend)
 
 
-def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: bool = True) -> dict[str, DataFrame]:
+def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: bool = True, frontend: bool = True) -> dict[str, DataFrame]:
     """topology() of files(path, size, content); title: the name of a service that is the whole repository."""
-    n = save(nested(save(nodes_of(files, skip_tests), "parsed")), "nodes")
+    n = save(nested(save(nodes_of(files, skip_tests, frontend), "parsed")), "nodes")
     found = scan.boundaries(files)
     name = F.when(F.col("root") == "", F.lit(title)).otherwise(F.substring_index("root", "/", -1))
     ends = n.where("type = 'endpoint'").groupBy(F.col("service").alias("root")).agg(F.count(F.lit(1)).alias("endpoints"))
@@ -180,6 +185,7 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     code = inner.select("id", service_id, "type", "parent_id", "name", "kind", used.alias("database_id"), meta("operation").alias("operation"), F.when(F.col("type") == "externalCall", F.col("kind")).alias("method"), meta("path").alias("path"), F.when(F.col("type") == "event", F.col("name")).alias("event_name"), F.when(F.col("type") == "log", F.col("kind")).alias("level"), F.col("path").alias("file"), "line", "ord", meta("status").cast("int").alias("status"))
     code = code.withColumn("kind", F.when(F.col("type").isin("log", "event", "externalCall", "dbProcess"), F.lit(None)).otherwise(F.col("kind")))
     code = code.join(below, "id", "left").withColumn("branches", F.when(F.col("type") == "flowControl", F.coalesce("branches", F.lit(0))))
+    code = code.join(resolved_calls(n).select("id", "resolved_to"), "id", "left")
     # the engine that a service's manifests name, if it is one
     named = F.filter("hints", lambda h: h["kind"] == "database")
     engine = stack.select(F.concat(F.lit("service:"), "root").alias("id"), F.when(F.size(named) == 1, named[0]["engine"]).alias("engine"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import enrich, errors, links, resolve, resources
+from graphloom.operators import enrich, errors, links, resolve, resources, validate
 from graphloom.plans import stand_in as S
 from graphloom.plans.catalogue import query
-from graphloom.sinks import catalog
+from graphloom.sinks import catalog, documents
 
 
 def _read(spark, d, name):
@@ -320,3 +320,42 @@ def sanitize_texts(spark, d):
     """SF-9: the array form."""
     items = F.array("text", F.concat("lang", F.lit("\n"), "source"), F.concat(F.lit(" "), F.col("doc_id").cast("string"), F.lit(" ")))
     return _read(spark, d, "documents").select("doc_id", F.array_join(X.sanitize_all(items, 40), "|").alias("prompts"))
+
+
+@query("""
+WITH n AS (SELECT CASE WHEN value <= 90 THEN 'n' || event_id END AS id, CASE event_type WHEN 'view' THEN 'telemetry' ELSE 'data' END AS type, CASE WHEN value < 30 THEN 'span' WHEN value < 60 THEN 'metric' ELSE 'odd' END AS kind FROM events)
+SELECT 'VL-8' AS "check", 'error' AS level, 'id' AS rule, NULL AS node FROM n WHERE id IS NULL
+UNION ALL SELECT 'VL-13', 'warning', 'metadata.kind', id FROM n WHERE id IS NOT NULL AND type = 'telemetry' AND kind = 'odd'
+UNION ALL SELECT 'VL-25', 'warning', 'name', 's' || s_suppkey FROM supplier WHERE s_nationkey % 5 < 2
+""")
+def validate_ids(spark, d):
+    """VL-8, VL-13, VL-25: nodes without ids, telemetry of unknown kinds, functions with short names."""
+    value = F.col("value")
+    kind = F.when(value < 30, "span").when(value < 60, "metric").otherwise("odd")
+    n = _read(spark, d, "events").select(F.when(value <= 90, S.tag("n", "event_id")).alias("id"), F.when(F.col("event_type") == "view", "telemetry").otherwise("data").alias("type"), kind.alias("kind"))
+    for c in ("database_id", "operation", "method", "path", "event_name", "level"):
+        n = n.withColumn(c, F.lit(None).cast("string"))
+    f = _read(spark, d, "supplier").select(S.tag("s", "s_suppkey").alias("id"), F.left("s_name", (1 + F.col("s_nationkey") % 5)).alias("name"))
+    return validate.fields({"nodes": n}).unionByName(validate.short_names(f)).drop("message")
+
+
+@query(f"""
+WITH {S.SQL}, r AS (SELECT o_custkey, string_agg(DISTINCT '| ' || st || ' | ' || ty || ' |', chr(10) ORDER BY '| ' || st || ' | ' || ty || ' |') AS t
+  FROM (SELECT o_custkey, CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 404 ELSE 500 END AS st, CASE o_orderstatus WHEN 'F' THEN 'return' ELSE 'throw' END AS ty FROM orders) GROUP BY 1)
+SELECT id, '# ' || coalesce(method, '?') || ' ' || coalesce(path, '?')
+  || CASE WHEN path IS NOT NULL THEN chr(10) || chr(10) || '## Parameters' || chr(10) || chr(10) || '| Name | In |' || chr(10) || '|---|---|' || chr(10) || '| key | path |' || chr(10) || '| page | query |' ELSE '' END
+  || coalesce(chr(10) || chr(10) || '## Responses' || chr(10) || chr(10) || '| Status | By |' || chr(10) || '|---|---|' || chr(10) || t, '')
+  || CASE WHEN ord % 2 = 0 THEN chr(10) || chr(10) || '## Flow' || chr(10) || chr(10) || '```' || chr(10) || 'return ' || name || chr(10) || '```' ELSE '' END AS markdown
+FROM endpoints e LEFT JOIN r ON r.o_custkey = e.ord
+""")
+def endpoint_documents(spark, d):
+    """AG-26, SNK-11: pages of endpoints with parameters, answers and flow; orders stand for answers."""
+    e = S.endpoints(spark, d)
+    o = _read(spark, d, "orders")
+    status = F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 404).otherwise(500)
+    answers = o.select(S.tag("endpoint:", "o_custkey").alias("endpoint"), status.alias("status"), F.when(F.col("o_orderstatus") == "F", "return").otherwise("throw").alias("type")).distinct()
+    none = e.where("false").select(F.col("id").alias("endpoint"), F.lit("").alias("table"), F.array(F.lit("")).alias("operations"))
+    both = F.array(F.struct(F.lit(0).alias("ord"), F.lit("key").alias("name"), F.lit("path").alias("place")), F.struct(F.lit(1).alias("ord"), F.lit("page").alias("name"), F.lit("query").alias("place")))
+    given = e.where("path is not null").select(F.col("id").alias("endpoint"), F.explode(both).alias("p")).select("endpoint", "p.*")
+    flows = e.where("ord % 2 = 0").select(F.col("id").alias("root"), F.concat(F.lit("return "), "name").alias("text"))
+    return documents.endpoint_pages(e, answers, none, given, flows)

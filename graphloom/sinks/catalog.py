@@ -25,6 +25,11 @@ def page(rows: DataFrame, order: list[str], limit: int = PAGE, offset: int = 0)
     return rows.orderBy(*order).offset(offset).limit(limit), rows.count()
 
 
+def get(stored: DataFrame, id_: str) -> DataFrame:
+    """The stored row of an id; a Store reads its bucket alone for it."""
+    return stored.where(F.col("id") == id_)
+
+
 def save(stored: DataFrame, row: DataFrame) -> DataFrame:
     """stored with a row; one of the same id keeps the time it was made and gets a new time of change."""
     was = stored.select("id", F.col("created_at").alias("_made"))

@@ -14,16 +14,22 @@ def table(header: list[str], rows: Column) -> Column:
     return F.concat_ws("\n", head, F.array_join(F.transform(rows, line), "\n"))
 
 
-def endpoint_pages(endpoints: DataFrame, responses: DataFrame, uses: DataFrame) -> DataFrame:
-    """(id, markdown) of endpoints(id, method, path), with responses(endpoint, status, type) by status and uses(endpoint, table, operations) by table."""
+def endpoint_pages(endpoints: DataFrame, responses: DataFrame, uses: DataFrame, parameters: DataFrame | None = None, flows: DataFrame | None = None) -> DataFrame:
+    """(id, markdown) of endpoints(id, method, path), with parameters(endpoint, ord, name, place) in order, responses(endpoint, status, type) by status, uses(endpoint, table, operations) by table, and the text of flows(root, text)."""
     r = responses.groupBy(F.col("endpoint").alias("id")).agg(F.array_sort(F.collect_list(F.struct("status", "type"))).alias("r"))
     u = uses.groupBy(F.col("endpoint").alias("id")).agg(F.array_sort(F.collect_list(F.struct("table", "operations"))).alias("u"))
     x = endpoints.join(r, "id", "left").join(u, "id", "left")
+    none = F.array().cast("array<struct<ord:int,name:string,place:string>>")
+    p = parameters.groupBy(F.col("endpoint").alias("id")).agg(F.array_sort(F.collect_list(F.struct("ord", "name", "place"))).alias("p")) if parameters is not None else None
+    x = x.join(p, "id", "left") if p is not None else x.withColumn("p", none)
+    x = x.join(flows.select(F.col("root").alias("id"), F.col("text").alias("flow")), "id", "left") if flows is not None else x.withColumn("flow", F.lit(None).cast("string"))
+    given = F.transform("p", lambda s: F.array(s["name"], s["place"]))
+    flow = F.when(F.coalesce("flow", F.lit("")) != "", F.concat(F.lit("\n## Flow\n\n```\n"), "flow", F.lit("\n```")))
     answers = F.transform("r", lambda s: F.array(s["status"].cast("string"), s["type"]))
     tables = F.transform("u", lambda s: F.array(s["table"], F.array_join(s["operations"], ", ")))
     title = F.concat(F.lit("# "), F.coalesce("method", F.lit("?")), F.lit(" "), F.coalesce("path", F.lit("?")))
     part = lambda name, header, rows: F.when(F.size(rows) > 0, F.concat(F.lit(f"\n## {name}\n\n"), table(header, rows)))
-    return x.select("id", F.concat_ws("\n", title, part("Responses", ["Status", "By"], answers), part("Data", ["Table", "Operations"], tables)).alias("markdown"))
+    return x.select("id", F.concat_ws("\n", title, part("Parameters", ["Name", "In"], given), part("Responses", ["Status", "By"], answers), part("Data", ["Table", "Operations"], tables), flow).alias("markdown"))
 
 
 def service_pages(services: DataFrame, endpoints: DataFrame, dependencies: DataFrame) -> DataFrame:

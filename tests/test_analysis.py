@@ -205,6 +205,12 @@ def test_command_line(spark, repo, whole, tmp_path, capsys, monkeypatch):
     assert main(["analyze", repo.removeprefix("file://"), "--output", f"{tmp_path}/out"]) == 0
     assert "services: 4" in capsys.readouterr().out
     assert main(["inspect", f"{tmp_path}/out"]) == 0 and "endpoints: 4" in capsys.readouterr().out
+    said = lambda *a: (main(list(a)), capsys.readouterr().out.strip().splitlines()[-1])[1]
+    first = said("enrich", f"{tmp_path}/out", "--dry-run")
+    n = int(first.split()[2])
+    assert n > 4 and first == f"to describe: {n} of {n}"
+    assert said("enrich", f"{tmp_path}/out") == f"described: {n} of {n}"
+    assert said("enrich", f"{tmp_path}/out") == f"described: 0 of {n}"  # nothing has changed
     with pytest.raises(SystemExit):
         main(["analyze", f"{tmp_path}/nothing"])
     with pytest.raises(ValueError):
@@ -253,4 +259,7 @@ def test_handlers_repeats_and_long_lines(spark):
     by_id = {r.id: r for r in tree}
     assert by_id[deep.parent_id].type == "flowControl" and len([r for r in tree if r.name == "x"]) == 2000
     assert [r.engine for r in t["databases"].collect()] in ([], ["postgres"])
-    assert t["dependencies"].count() >= 0
+    from graphloom.sinks import topology
+
+    resolves = topology.flatten(t)[1].where("kind = 'RESOLVES'").collect()
+    assert len([r for r in resolves if names[r.target] == "add"]) == 3
