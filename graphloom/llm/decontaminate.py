@@ -284,7 +284,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, ws: Workspace, *, keys: lis
     Words are runs of ASCII letters and digits and characters beyond ASCII, A-Z
     lower-cased. Null and empty texts have no words and no hits; repeated rows
     are answered each; an empty table on either side gives no rows, or no hits.
-    Columns of docs other than text and keys are not read.
+    A very long text is indexed and searched whole. Of items of equal words each
+    is found. Columns of docs other than text and keys are not read.
     """
     keys = keys or ["doc_id"]
     index = build_index(docs, ws, keys)

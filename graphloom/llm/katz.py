@@ -138,7 +138,9 @@ def score(docs: DataFrame, ws: Workspace, held_out: Column) -> DataFrame:
     Learns from the rows where held_out is false or null, scores all. base_score
     is that of add-one unigrams. Null and empty texts are one token, the end;
     repeated rows count and are scored each; an empty table gives no rows;
-    without training rows every token is the unknown word. Other columns aren't read.
+    without training rows every token is the unknown word. A very long text is
+    scored whole, its tokens dealt over chunks. Ties of words by hash can't be told
+    apart (see tokens.py). Other columns aren't read.
     """
     spark = ws.spark
     text_bytes = docs.select(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0

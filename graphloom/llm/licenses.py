@@ -118,7 +118,8 @@ def scan(docs: DataFrame, ws: Workspace, texts: dict[str, list[str]] | None = No
     word is where the matching window starts in the row's words (the first of
     equal ones), n_words how long it is. Null and empty texts and those of fewer
     than N words match nothing; repeated rows match each; an empty table gives
-    no rows. Other columns of docs are not read.
+    no rows. A very long text is read whole, all its windows are candidates. Other
+    columns of docs are not read.
     """
     spark = docs.sparkSession
     t = templates(spark, texts).cache()

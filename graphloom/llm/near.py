@@ -208,8 +208,8 @@ def join(docs: DataFrame, ws: Workspace, *, n: int = N, similar: float = SIMILAR
     included. A class is what links connect; class_id is its least doc_id, and
     keep marks one row of each class, the one of the least (doc_id, md5). Null
     and empty texts are linked with nothing, each a class of its own; repeated
-    rows are copies; null ids come last. An empty table gives no rows. Other
-    columns aren't read.
+    rows are copies; null ids come last. An empty table gives no rows. Very long
+    texts are compared by all their n-grams. Other columns aren't read.
     """
     signed = sign(docs, ws, n=n, bands=plan(similar, rows, recall), rows=rows)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5", "row")

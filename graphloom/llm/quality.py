@@ -174,8 +174,9 @@ def rate(docs: DataFrame, log_ratio: np.ndarray, *, keys: list[str] | None = Non
 
     base_failed: fewer than 10 words, or more than a fifth of the words inside
     repeated runs of 5. score is 0 for a text without words. kept: the base rules
-    hold and score >= threshold; there is no chance in it. Null is an empty text;
-    repeated rows are rated each; other columns aren't read.
+    hold and score >= threshold, so a score at the threshold passes; there is no
+    chance in it. Null is an empty text; a very long text is rated whole; repeated
+    rows are rated each; an empty table gives no rows; other columns aren't read.
     """
     keys = keys or ["doc_id"]
     schema = T.StructType([*(docs.schema[k] for k in keys), *(T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), T.StructField("base_failed", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])

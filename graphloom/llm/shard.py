@@ -63,7 +63,8 @@ def shard(docs: DataFrame, ws: Workspace, *, shards: int = 24, key: int = 202402
     depends on neither partitioning nor file order. size is the text's UTF-8
     bytes plus 8; a null text has none, and crc32 0. Repeated rows get places
     each on their own; a null doc_id comes last; an empty table gives an empty
-    result. Other columns of docs are not read.
+    result. Of very long texts only size and crc32 are moved. Other columns of docs
+    are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
