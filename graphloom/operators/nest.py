@@ -101,11 +101,14 @@ def around(containers: DataFrame, points: DataFrame, keys: list[str], strictly:
     key = F.struct(*keys)
     # one row a partition: its first key, its last key and where that begins last
     edge = swept.groupBy("part").agg(F.min(key).alias("first"), F.max(F.struct(key.alias("key"), "pos")).alias("end"))
-    w = Window.orderBy("part")
-    edge = edge.select("part", "first", F.col("end.key").alias("last"), F.col("end.pos").alias("top"), F.lag("end.key").over(w).alias("had"), F.lead("first").over(w).alias("next"))
-    edge = save(edge.withColumn("comes", F.coalesce(F.col("first") == F.col("had"), F.lit(False))).withColumn("goes", F.coalesce(F.col("last") == F.col("next"), F.lit(False))), "edges")
-    if edge.where("comes").isEmpty():
+    at_edge = sorted(edge.collect(), key=lambda r: r.part)
+    comes = [k > 0 and r.first == at_edge[k - 1].end.key for k, r in enumerate(at_edge)]
+    if not any(comes):
         return near.groupBy("point_id").agg(F.min("best").alias("best"))
+    kind = edge.schema["first"].dataType
+    fields = [("part", T.IntegerType()), ("first", kind), ("last", kind), ("top", T.LongType()), ("comes", T.BooleanType()), ("goes", T.BooleanType())]
+    told = [(r.part, r.first, r.end.key, r.end.pos, c, g) for r, c, g in zip(at_edge, comes, [*comes[1:], False])]
+    edge = spark.createDataFrame(told, T.StructType([T.StructField(n, t) for n, t in fields]))
     levels = parts.bit_length()
     at = swept.join(F.broadcast(edge), "part")
     level = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
