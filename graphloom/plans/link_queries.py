@@ -141,8 +141,8 @@ def resolved_call_edges(spark, d):
 
 
 @query(f"""
-WITH {CALL_LINES}, decisions AS (SELECT DISTINCT 'call:' || l_orderkey || '.' || l_linenumber || '.' || l_suppkey || '.' || l_partkey AS id,
-  CASE WHEN l_quantity > 40 THEN 'unresolvable' WHEN l_quantity > 20 THEN 'endpoint:' || l_suppkey END AS decision FROM lineitem)
+WITH {CALL_LINES}, decisions AS (SELECT 'call:' || l_orderkey || '.' || l_linenumber || '.' || l_suppkey || '.' || l_partkey AS id,
+  max(CASE WHEN l_quantity > 40 THEN 'unresolvable' WHEN l_quantity > 20 THEN 'endpoint:' || l_suppkey END) AS decision FROM lineitem GROUP BY 1)
 SELECT c.id, CASE WHEN status = 'pending_review' AND decision = 'unresolvable' THEN 'unresolvable' WHEN status = 'pending_review' AND decision IS NOT NULL THEN 'resolved' ELSE status END AS status,
   CASE WHEN status = 'pending_review' AND decision <> 'unresolvable' THEN decision ELSE endpoint_id END AS endpoint_id FROM calls c JOIN decisions d ON c.id = d.id
 """)
@@ -152,7 +152,8 @@ def decided_calls(spark, d):
     part = lambda c: F.col(c).cast("string")
     key = F.concat(F.lit("call:"), F.concat_ws(".", part("l_orderkey"), part("l_linenumber"), part("l_suppkey"), part("l_partkey")))
     said = F.when(F.col("l_quantity") > 40, "unresolvable").when(F.col("l_quantity") > 20, S.tag("endpoint:", "l_suppkey"))
-    return catalog.decide(_calls(spark, d), line.select(key.alias("call_id"), said.alias("decision")).distinct()).select("id", "status", "endpoint_id")
+    decisions = line.groupBy(key.alias("call_id")).agg(F.max(said).alias("decision"))  # one of each call, some lines being repeated
+    return catalog.decide(_calls(spark, d), decisions).select("id", "status", "endpoint_id")
 
 
 @query("""
