@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import enrich, errors, links, resolve, resources, validate
+from graphloom.operators import bodies, enrich, errors, links, resolve, resources, tree, validate
 from graphloom.plans import stand_in as S
 from graphloom.plans.catalogue import query
+from graphloom.saved import Saved
 from graphloom.sinks import catalog, documents
 
 
@@ -360,3 +361,75 @@ def endpoint_documents(spark, d):
     given = e.where("path is not null").select(F.col("id").alias("endpoint"), F.explode(both).alias("p")).select("endpoint", "p.*")
     flows = e.where("ord % 2 = 0").select(F.col("id").alias("root"), F.concat(F.lit("return "), "name").alias("text"))
     return documents.endpoint_pages(e, answers, none, given, flows)
+
+
+LOOP_SQL = """
+l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(l_linestatus) AS state, min(l_tax) AS tax, min(l_discount) AS discount FROM lineitem GROUP BY ALL),
+n AS (SELECT l_orderkey AS parent, l_linenumber AS ord, CASE WHEN flag = 'R' AND tax < 0.05 THEN 'flowControl' WHEN tax > 0.07 THEN 'return' WHEN tax > 0.06 THEN 'throw' WHEN discount > 0.08 THEN 'log' ELSE 'call' END AS type,
+  CASE WHEN state = 'F' THEN 'for_of' ELSE 'if' END AS kind, discount < 0.03 AS resolved FROM l),
+s AS (SELECT *, (type = 'flowControl' AND kind = 'for_of') AS loop FROM n WHERE type <> 'log'),
+b AS (SELECT *, loop OR type IN ('return', 'throw') OR (type = 'call' AND resolved) AS bound FROM s)
+"""
+
+
+@query(f"""
+WITH {LOOP_SQL}, body AS (SELECT h.parent, h.ord AS header, x.ord FROM b h JOIN b x ON h.parent = x.parent AND x.ord < h.ord AND NOT x.bound WHERE h.loop
+  AND NOT EXISTS (SELECT 1 FROM b m WHERE m.parent = h.parent AND m.ord > x.ord AND m.ord < h.ord AND m.bound))
+SELECT parent || '.' || header AS header, parent || '.' || ord AS id, CAST(row_number() OVER (PARTITION BY parent, header ORDER BY ord) AS INTEGER) AS position FROM body
+""")
+def loop_bodies(spark, d):
+    """WN-2: lines of an order are siblings; loops take what is before them, back to a loop, return, throw or resolved call."""
+    line = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_returnflag", "l_linestatus", "l_tax", "l_discount")])
+    tax, off = F.col("l_tax"), F.col("l_discount")
+    kind = F.when((F.col("l_returnflag") == "R") & (tax < 0.05), "flowControl").when(tax > 0.07, "return").when(tax > 0.06, "throw").when(off > 0.08, "log").otherwise("call")
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    n = line.select(key.alias("id"), F.col("l_orderkey").cast("string").alias("parent_id"), F.col("l_linenumber").alias("ord"), kind.alias("type"), F.when(F.col("l_linestatus") == "F", "for_of").otherwise("if").alias("kind"), F.when(off < 0.03, F.lit("f")).alias("resolved_to"))
+    return bodies.loop_bodies(n)
+
+
+@query("""
+SELECT l_partkey AS part, arg_max(l_suppkey, (l_discount, -l_orderkey * 10 - l_linenumber, l_suppkey)) AS supplier, max(l_discount) AS confidence FROM lineitem GROUP BY 1
+""")
+def best_candidates(spark, d):
+    """AG-15: of each part the line of the highest discount, the first of equal ones."""
+    line = _read(spark, d, "lineitem")
+    # lines that are repeated differ in their supplier at most, of which the largest is taken
+    c = line.groupBy(F.col("l_partkey").alias("part"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_discount").alias("confidence")).agg(F.max("l_suppkey").alias("supplier"))
+    return bodies.best(c, "part").select("part", "supplier", "confidence")
+
+
+@query("""
+SELECT 'p' || p_partkey AS id, p_name AS name FROM part WHERE p_size < 20 AND p_retailprice < 1800
+  AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'A' AND l_quantity > 45)
+""")
+def unused_variables(spark, d):
+    """JN-24: small parts are local data, dear ones are in no function; lines of many returned pieces use them."""
+    p = _read(spark, d, "part")
+    data = p.select(S.tag("p", "p_partkey").alias("id"), S.tag("f", "p_partkey").alias("parent_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 20, "local").otherwise("module").alias("scope"))
+    line = _read(spark, d, "lineitem").where("l_quantity > 45")
+    uses = line.select(S.tag("p", "l_partkey").alias("source"), F.when(F.col("l_returnflag") == "A", "uses").otherwise("calls").alias("kind"))
+    return bodies.unused_locals(data, p.where("p_retailprice < 1800").select(S.tag("f", "p_partkey").alias("id")), uses)
+
+
+@query(f"""
+WITH {S.SQL}, below AS (SELECT n.*, CASE WHEN n.parent_id LIKE 'endpoint:%' THEN n.parent_id ELSE p.parent_id END AS root_id FROM nodes n LEFT JOIN nodes p ON n.parent_id = p.id)
+SELECT e.service_id AS service, count(*) FILTER (WHERE type = 'dbProcess') AS db_calls, count(*) FILTER (WHERE type = 'externalCall') AS external_calls FROM below b JOIN endpoints e ON e.id = b.root_id GROUP BY 1
+""")
+def service_io(spark, d):
+    """AG-20: operations and external calls in the trees of each service."""
+    t = S.saved(spark, d, "nodes")
+    every = t["nodes"].select("id", "parent_id").unionByName(t["endpoints"].select("id", F.lit(None).cast("string").alias("parent_id")))
+    root = tree.roots(every, Saved(spark).save).select("id", "root_id")
+    own = t["nodes"].select("id", "type").join(root, "id").join(t["endpoints"].select(F.col("id").alias("root_id"), F.col("service_id").alias("service")), "root_id")
+    return enrich.io_counts(own)
+
+
+@query("""
+WITH f AS (SELECT s_suppkey, '/src/' || (['Utils', 'helper', 'shared', 'Common', 'lib', 'utility', 'core'])[s_nationkey % 7 + 1] || '/f' || s_suppkey || '.ts' AS path FROM supplier)
+SELECT s_suppkey, regexp_matches(path, '(?i)/(utils?|helpers?|shared|common|lib)/') AS utility FROM f
+""")
+def utility_paths(spark, d):
+    """PF-3."""
+    folders = F.array(*[F.lit(x) for x in ("Utils", "helper", "shared", "Common", "lib", "utility", "core")])
+    path = F.concat(F.lit("/src/"), F.get(folders, F.col("s_nationkey") % 7), F.lit("/f"), F.col("s_suppkey").cast("string"), F.lit(".ts"))
+    return _read(spark, d, "supplier").select("s_suppkey", bodies.is_utility(path).alias("utility"))
