@@ -50,6 +50,27 @@ def return_shape(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda k: (k != "") & ~k.isin("return", "const", "let", "var", "if", "else", "new", "await", "async", "function")))
 
 
+#: Words that are no field of a returned object.
+RESERVED = ["return", "true", "false", "null", "undefined", "new", "this"]
+
+
+def return_fields(returns: DataFrame, variables: DataFrame) -> DataFrame:
+    """(fn_id, position, name, type): fields of the object that each function returns, in order, from returns(fn_id, ord, value) and local variables(fn_id, ord, name, type).
+
+    Of a function's returns the first whose text is an object with fields counts. A
+    line `name: value` or `name` is a field, the first of equal names; its type is
+    that of the local variable of its name, the last of equal ones, else `unknown`.
+    """
+    whole = returns.where(F.ltrim("value").startswith("{") & F.col("value").contains("}"))
+    line = whole.select("fn_id", "ord", F.posexplode(F.split("value", "\n")).alias("position", "line"))
+    bare = F.regexp_replace(F.regexp_replace("line", r"^\s+|\s+$", ""), r"\s*,$", "")
+    line = line.withColumn("name", F.regexp_extract(bare, r"^(\w+)\s*(?::|$)", 1)).where((F.col("name") != "") & ~F.col("name").isin(RESERVED))
+    first = line.groupBy("fn_id").agg(F.min("ord").alias("ord"))
+    fields = line.join(first, ["fn_id", "ord"]).groupBy("fn_id", "name").agg(F.min("position").alias("position"))
+    known = variables.where(F.coalesce("type", F.lit("")) != "").groupBy("fn_id", "name").agg(F.max_by("type", "ord").alias("type"))
+    return fields.join(known, ["fn_id", "name"], "left").select("fn_id", "position", "name", F.coalesce("type", F.lit("unknown")).alias("type"))
+
+
 def protocol(framework: Column) -> Column:
     return F.when(framework.rlike("(?i)graphql|apollo"), "graphql").when(framework.rlike("(?i)grpc"), "grpc").otherwise("rest")
 

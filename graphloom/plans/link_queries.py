@@ -433,3 +433,19 @@ def utility_paths(spark, d):
     folders = F.array(*[F.lit(x) for x in ("Utils", "helper", "shared", "Common", "lib", "utility", "core")])
     path = F.concat(F.lit("/src/"), F.get(folders, F.col("s_nationkey") % 7), F.lit("/f"), F.col("s_suppkey").cast("string"), F.lit(".ts"))
     return _read(spark, d, "supplier").select("s_suppkey", bodies.is_utility(path).alias("utility"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, min(l_suppkey) AS supp FROM lineitem GROUP BY ALL),
+f AS (SELECT l_orderkey, arg_min(flag, l_linenumber) AS flag, arg_min(supp, l_linenumber) AS supp FROM l WHERE flag <> 'N' GROUP BY 1),
+fields AS (SELECT l_orderkey AS fn_id, 1 AS position, 'supp' || (supp % 5) AS name FROM f UNION ALL SELECT l_orderkey, 2, 'flag' || flag FROM f)
+SELECT fn_id, position, name, CASE WHEN name = 'supp' || (o_custkey % 5) THEN 'Type' || o_orderstatus ELSE 'unknown' END AS type FROM fields JOIN orders ON fn_id = o_orderkey
+""")
+def return_fields(spark, d):
+    """SF-17: lines are returns of their orders, some of objects; an order has one typed variable."""
+    line = _read(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"), F.min("l_suppkey").alias("supp"))
+    text = F.concat(F.lit("{\n  supp"), (F.col("supp") % 5).cast("string"), F.lit(": row.supp,\n  flag"), "flag", F.lit(",\n  return: 1,\n  a + b\n}"))
+    returns = line.select(F.col("l_orderkey").alias("fn_id"), F.col("l_linenumber").alias("ord"), F.when(F.col("flag") == "N", "{ open").otherwise(text).alias("value"))
+    o = _read(spark, d, "orders")
+    variables = o.select(F.col("o_orderkey").alias("fn_id"), F.lit(1).alias("ord"), F.concat(F.lit("supp"), (F.col("o_custkey") % 5).cast("string")).alias("name"), F.concat(F.lit("Type"), "o_orderstatus").alias("type"))
+    return enrich.return_fields(returns, variables)

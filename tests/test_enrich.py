@@ -70,3 +70,10 @@ def test_hooks(spark):
     items = spark.createDataFrame([("i", "Makes things. And more.")], "id string, text string")
     assert enrich.describe(items).first().description == "Makes things." and enrich.describe(items, lambda d: d.select("id", F.lit("m").alias("description"))).first().description == "m"
     assert {(r.id, r.batch) for r in enrich.batches(n, "type", ["id"], 1).collect()} == {("e", 0), ("a", 0), ("b", 0), ("c", 0)}
+
+
+def test_return_fields(spark):
+    t = spark.createDataFrame
+    returns = t([("f", 1, "value"), ("f", 2, "{}"), ("f", 3, "{\n  id: user.id,\n  name ,\n  id: 2,\n  return: x\n  total + 1\n}"), ("f", 4, "{\n other\n}"), ("g", 1, "{ a: 1"), ("h", 1, None)], "fn_id string, ord int, value string")
+    variables = t([("f", 1, "name", "string"), ("f", 2, "name", "Name"), ("f", 3, "id", ""), ("g", 1, "id", "x")], "fn_id string, ord int, name string, type string")
+    assert sorted(map(tuple, enrich.return_fields(returns, variables).collect())) == [("f", 1, "id", "unknown"), ("f", 2, "name", "Name")]
