@@ -15,16 +15,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .rangecoder import BLOCK, GROUP, read_file, write_file
-from .tokens import SPACED, Words, _table, slices, words
+from .tokens import Words, _table, mix64, slices, text_buffer
 from .workspace import Workspace, buckets
 
-#: Pieces whose ids a Python worker keeps, about 25 bytes each, and pieces that are encoded in one call.
+#: Pieces whose ids a Python worker keeps, about 50 bytes each, and pieces that are encoded in one call.
 CACHE, CALL = 4_000_000, 2000
+#: Bits of the number of ids of a piece.
+_N = 31
 _open: dict[str, tuple] = {}
 
 #: Classes of bytes. Letters are ASCII letters and those of U+00C0 to U+027F, which two bytes make; of what is odd, words are taken whole.
@@ -35,7 +38,7 @@ _CLASS[0x21:0x7F] = _MARK
 _CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), *range(0xC3, 0xCA)]] = _LETTER
 _CLASS[0x30:0x3A] = _DIGIT
 _CLASS[[ord("'"), ord("<")]] = _ODD
-_LOWER = _table(set(), lower=True)
+_CLASS, _LOWER = _CLASS.tobytes(), _table(set(), lower=True).tobytes()
 
 
 def pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -46,29 +49,63 @@ def pieces(texts: pa.Array) -> tuple[Words, np.ndarray]:
     that nothing has to be known of it: apostrophes (contractions), "<" (added
     tokens), control characters, characters beyond Latin letters.
     """
-    w = words(texts, SPACED)
-    kind = _CLASS[w.raw]
+    raw, offsets = text_buffer(texts)
+    data = raw.tobytes()
+    kind = np.frombuffer(bytearray(data.translate(_CLASS)), np.uint8)
+    text = np.frombuffer(bytearray(data.translate(_LOWER)), np.uint8)
     # times and division signs are no letters, and a small dotted I is two characters
-    two = (w.raw[:-1].astype(np.uint16) << 8 | w.raw[1:]) if len(w.raw) else np.zeros(0, np.uint16)
-    kind[np.flatnonzero((two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0))] = _ODD
-    upto = np.concatenate([[0], np.cumsum(kind == _ODD)])
-    odd_word = upto[w.ends] > upto[w.starts]
-    text = _LOWER[w.raw]
-    inside = np.zeros(len(kind) + 1, np.int8)
-    inside[w.starts[odd_word]] = 1
-    inside[w.ends[odd_word]] -= 1  # where two odd words meet, at the edge of two texts, the second has 1 again
-    odd = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
-    text[odd] = w.raw[odd]
-    kind[odd] = _ODD
-    new = np.ones(len(kind) + 1, bool)
-    new[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
-    new[w.starts] = True
-    new[w.offsets] = True
+    lead = np.flatnonzero((raw[:-1] == 0xC3) | (raw[:-1] == 0xC4))
+    two = raw[lead].astype(np.uint16) << 8 | raw[lead + 1]
+    kind[lead[(two == 0xC397) | (two == 0xC3B7) | (two == 0xC4B0)]] = _ODD
     solid = kind != _SPACE
+    new = np.ones(len(kind) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=new[1:-1])
+    odd = np.flatnonzero(kind == _ODD)
+    if len(odd):
+        edge = np.ones(len(kind) + 1, bool)  # words start and end, and white space in between
+        np.not_equal(solid[1:], solid[:-1], out=edge[1:-1])
+        edge[offsets] = True
+        edge = np.flatnonzero(edge)
+        word = np.unique(np.searchsorted(edge, odd, side="right"))
+        start, end = edge[word - 1], edge[word]
+        inside = _spans(start, end - start)
+        text[inside] = raw[inside]
+        kind[inside] = _ODD
+        new[inside] = False
+        new[start] = new[end] = True
+    new[:-1] |= kind == _DIGIT
+    new[offsets] = True
     starts = np.flatnonzero(solid & new[:-1])
     ends = np.flatnonzero(solid & new[1:]) + 1
-    at = np.searchsorted(starts, w.offsets)
-    return Words(w.raw, text, starts, ends, np.diff(at), w.offsets), kind[starts] == _ODD
+    at = np.searchsorted(starts, offsets)
+    return Words(raw, text, starts, ends, np.diff(at), offsets), kind[starts] == _ODD
+
+
+def keys(w: Words) -> np.ndarray:
+    """A number of each piece, not 0: up to 7 bytes are their own, others are hashed."""
+    size = w.ends - w.starts
+    padded = np.zeros(len(w.text) + 16, np.uint8)
+    padded[: len(w.text)] = w.text
+    # 8 bytes from any place
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+    key = eight[w.starts]
+    short = size < 8
+    key &= _BELOW.take(size, mode="clip")
+    key |= np.where(short, size, 0).astype(np.uint64) << np.uint64(56)
+    key = mix64(key)
+    for n, which in ((16, (size > 7) & (size <= 16)), (size.max(initial=0), size > 16)):
+        which = np.flatnonzero(which)
+        if n == 16:
+            # two overlapping runs of 8
+            k = mix64(key[which] + size[which].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            key[which] = mix64(k ^ eight[w.ends[which] - 8] * np.uint64(0x9E6C63D0876A9A35))
+        else:
+            key[which] = [xxhash.xxh3_64_intdigest(w.text[a:b].tobytes()) for a, b in zip(w.starts[which].tolist(), w.ends[which].tolist())]
+    return np.maximum(key, np.uint64(1))
+
+
+#: Masks of the first 0 to 8 bytes.
+_BELOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def in_pieces(spec: dict) -> bool:
@@ -85,7 +122,7 @@ def in_pieces(spec: dict) -> bool:
 
 
 class Pieces:
-    """Ids of pieces, for one tokenizer: those seen before are kept, in order of their hashes."""
+    """Ids of pieces, for one tokenizer: those seen before are kept, in a hash table with open addresses."""
 
     def __init__(self, tokenizer, suffix: str):
         self.t = tokenizer
@@ -94,7 +131,35 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.start, self.n, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.ids, self.n_ids, self.kinds = np.zeros(1 << 16, np.uint32), 0, 0
+        self.key, self.value = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Where each key is in the table, or the free place where it may go."""
+        mask = len(self.key) - 1
+        at = (key & np.uint64(mask)).view(np.int64)
+        found = self.key.take(at)
+        todo = np.flatnonzero((found != key) & (found != 0))
+        while len(todo):
+            at[todo] = there = at[todo] + 1 & mask
+            found = self.key[there]
+            todo = todo[(found != key[todo]) & (found != 0)]
+        return at
+
+    def put(self, key: np.ndarray, value: np.ndarray) -> None:
+        """Add different keys that the table lacks."""
+        self.kinds += len(key)
+        if 2 * self.kinds > len(self.key):
+            old = np.flatnonzero(self.key)
+            key, value = np.concatenate([self.key[old], key]), np.concatenate([self.value[old], value])
+            room = 1 << int(4 * self.kinds - 1).bit_length()
+            self.key, self.value = np.zeros(room, np.uint64), np.zeros(room, np.int64)
+        while len(key):
+            at = self.find(key)
+            self.key[at] = key  # of several keys for one free place the last one gets it
+            mine = self.key[at] == key
+            self.value[at[mine]] = value[mine]
+            key, value = key[~mine], value[~mine]
 
     def spell(self, w: Words, which: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each) of some pieces."""
@@ -130,30 +195,24 @@ class Pieces:
         w, odd = pieces(texts)
         if not len(w):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        coded = pa.array(w.hashes()).dictionary_encode()
-        kinds, place = coded.dictionary.to_numpy(), coded.indices.to_numpy()
-        if len(self.hash) > CACHE:
+        key = keys(w)
+        if self.kinds > CACHE:
             self.clear()
-        order = np.argsort(kinds)
-        at = np.searchsorted(self.hash, kinds[order])
-        have = at < len(self.hash)
-        have[have] = self.hash[at[have]] == kinds[order][have]
-        missing = order[~have]
+        at = self.find(key)
+        missing = np.flatnonzero(self.key[at] == 0)
         if len(missing):
-            one = np.zeros(len(kinds), np.int64)
-            one[place] = np.arange(len(place))  # some place of each kind
-            ids, n = self.spell(w, one[missing], odd)
-            at = np.searchsorted(self.hash, kinds[missing])
-            self.hash = np.insert(self.hash, at, kinds[missing])
-            self.start = np.insert(self.start, at, len(self.ids) + np.cumsum(n) - n)
-            self.n = np.insert(self.n, at, n)
-            self.ids = np.concatenate([self.ids, ids])
-        row = np.empty(len(kinds), np.int64)
-        row[order] = np.searchsorted(self.hash, kinds[order])
-        row = row[place]
-        n = self.n[row]
+            kinds, one = np.unique(key[missing], return_index=True)
+            ids, n = self.spell(w, missing[one], odd)
+            start, self.n_ids = self.n_ids, self.n_ids + len(ids)
+            if self.n_ids > len(self.ids):
+                self.ids = np.concatenate([self.ids[:start], np.zeros(2 * self.n_ids - start, np.uint32)])
+            self.ids[start : self.n_ids] = ids
+            self.put(kinds, (start + np.cumsum(n) - n << _N) + n)
+            at = self.find(key)
+        value = self.value.take(at)
+        n = value & (1 << _N) - 1
         upto = np.concatenate([[0], np.cumsum(n)])
-        return self.ids[_spans(self.start[row], n)], np.diff(upto[w.first()])
+        return self.ids.take(_spans(value >> _N, n)), np.diff(upto[w.first()])
 
 
 def _spans(start: np.ndarray, n: np.ndarray) -> np.ndarray:

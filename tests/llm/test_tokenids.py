@@ -62,6 +62,40 @@ def test_orders_beat_frequencies():
     assert 8 * len(R.write_file(np.array([n]), flat, 1000)) / n < 1.06 * np.log2(kinds)
 
 
+def test_known_ids_are_narrowed_to_in_one_go(monkeypatch):
+    """A step is one narrowing of all stretches, and one more only for ids that are new to a block."""
+    whole, some = [], []
+    narrow = R.Encoder.narrow
+    monkeypatch.setattr(R.Encoder, "narrow", lambda self, lane, *a: (whole if isinstance(lane, slice) else some).append(1) or narrow(self, lane, *a))
+    ids = np.random.default_rng(2).integers(0, 20, 1 << 16).astype(np.uint32)
+    lengths, back = R.read_file(R.write_file(np.array([len(ids)]), ids, 20))
+    assert (back == ids).all()
+    assert len(whole) == len(ids) // R.STREAMS and len(some) <= 4
+
+
+def test_stretches_of_any_size():
+    """One stretch of a block is many times as long in words as the others, whose ids are foretold."""
+    ids = np.zeros(1 << 16, np.uint32)
+    ids[3000:4500] = np.random.default_rng(3).permutation(1 << 20)[:1500]
+    assert (R.read_file(R.write_file(np.array([len(ids)]), ids, 1 << 20))[1] == ids).all()
+
+
+def test_kept_pieces(monkeypatch):
+    """Ids stay right while kept pieces grow in number, and after they are forgotten; different pieces have different keys."""
+    monkeypatch.setattr(tokenids, "CACHE", 100_000)
+    t = Tokenizer.from_file(PATH)
+    kept = tokenids.Pieces(t, "</w>")
+    rng = np.random.default_rng(4)
+    for n in range(3):
+        texts = [" ".join("".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(1, 24, 20_000)) for _ in range(3)]
+        texts += ["1" * 50, "don't " + "x" * 7 + " " + "x" * 8 + " " + "x" * 16 + " " + "x" * 17]
+        ids, counts = kept.encode(pa.array(texts))
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        w = tokenids.pieces(pa.array(texts))[0]
+        assert len(np.unique(tokenids.keys(w))) == len({w.word(i) for i in range(len(w))})
+
+
 def test_no_pieces_without_the_file_saying_so():
     spec = json.loads(Tokenizer.from_file(PATH).to_str())
     assert tokenids.in_pieces(spec)
