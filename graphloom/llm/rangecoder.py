@@ -328,7 +328,7 @@ class Encoder:
         self.out[self.at[up < self.low] - 1] += 1
         self.emit(self.lanes, up)
         # no carry leaves a stretch: its first word never overflows
-        while len(over := np.flatnonzero(self.out >> 16)):
+        while len(over := np.flatnonzero(self.out > 0xFFFF)):
             self.out[over] &= 0xFFFF
             self.out[over - 1] += 1
         used = self.at - self.lanes * self.room
@@ -382,20 +382,29 @@ def _plan(n: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
     return steps, plan + ([(least, steps, int((n > least).sum()))] if steps > least else [])
 
 
+def _turned(x: np.ndarray, out: np.ndarray) -> None:
+    """out = x.T, some rows of out at a time, which a processor's cache holds."""
+    for i in range(0, len(out), 64):
+        out[i : i + 64] = x[:, i : i + 64].T
+
+
 def _columns(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Stretches that stand one after the other as columns; lengths as in _plan()."""
     steps, long = int(n[0]), int((n == n[0]).sum())
     out = np.zeros((steps, _apart(len(n))), np.int32)[:, : len(n)]
-    out[:, :long] = x[: steps * long].reshape(long, steps).T
-    if long < len(n):
-        out[:-1, long:] = x[steps * long :].reshape(len(n) - long, steps - 1).T
+    for i in range(0, long, 64):
+        j = min(long, i + 64)
+        out[:, i:j] = x[i * steps : j * steps].reshape(j - i, steps).T
+    for i in range(long, len(n), 64):
+        j, at = min(len(n), i + 64), steps * long - long * (steps - 1)
+        out[:-1, i:j] = x[at + i * (steps - 1) : at + j * (steps - 1)].reshape(j - i, steps - 1).T
     return out
 
 
 def encode_group(x: np.ndarray, n: np.ndarray, streams: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """The words of all stretches, which stand in x one after the other, and how many each has; every `streams` of them are a block."""
     steps, plan = _plan(n)
-    m, coder = Models(np.arange(len(n)) // streams, vocabulary, False), Encoder(len(n), steps // 2 + 64)
+    m, coder = Models(np.arange(len(n)) // streams, vocabulary, False), Encoder(len(n), 3 * steps // 4 + 16)
     ids = _columns(x, n)
     place0 = m.place0.reshape(-1)
     last, before = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
@@ -486,7 +495,10 @@ def decode_group(words: np.ndarray, size: np.ndarray, n: np.ndarray, streams: in
             last, before = x, last
         m.learn()
     long = int((n == steps).sum())
-    return np.concatenate([ids[:, :long].T.ravel(), ids[:-1, long:].T.ravel()])
+    out = np.zeros(int(n.sum()), np.int32)
+    _turned(ids[:, :long], out[: long * steps].reshape(long, steps))
+    _turned(ids[:-1, long:], out[long * steps :].reshape(len(n) - long, steps - 1))
+    return out
 
 
 def _lengths(n: int, lanes: int) -> np.ndarray:
