@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .workspace import Workspace
 
 #: Bytes of text in a batch; a longer text is a batch of its own.
 BATCH = 8 << 20
+#: Bytes of a batch's distinct segments that are encoded and joined at once; a longer segment is a part of its own.
+PART = 256 << 10
 #: Memory of one DuckDB connection; beyond it DuckDB spills to the task's own folder.
 MEMORY = "300MB"
 #: Segments that are joined for one call of a tokenizer.
@@ -47,9 +50,15 @@ class Coder:
     encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
     token: list[bytes]
 
+    @cached_property
     def sizes(self) -> np.ndarray:
         return np.array([len(x) for x in self.token], np.int64)
 
+    @cached_property
+    def spelling(self) -> np.ndarray:
+        """The bytes of all ids in a line."""
+        return np.frombuffer(b"".join(self.token), np.uint8)
+
 
 _open: dict[str, Coder] = {}
 
@@ -151,9 +160,9 @@ def spelt(names: pa.Array, flat: np.ndarray, n: np.ndarray, coder: Coder) -> np.
     """Whether the bytes of each segment's tokens are the segment."""
     raw, offsets = text_buffer(names)
     edge = np.concatenate([[0], np.cumsum(n)])
-    size = coder.sizes()
+    size = coder.sizes
     ends = np.concatenate([[0], np.cumsum(size[flat])])[edge]
-    table, start = np.frombuffer(b"".join(coder.token), np.uint8), np.cumsum(size) - size
+    table, start = coder.spelling, np.cumsum(size) - size
     if (np.diff(ends) == np.diff(offsets)).all():
         wrong = np.concatenate([[0], np.cumsum(table[_spans(start[flat], size[flat])] != raw)])[offsets]
         return np.diff(wrong) == 0
@@ -178,77 +187,130 @@ _SQL = {
     "cuts": "SELECT a.e FROM a JOIN b ON a.e = b.e",
     "a_groups": "SELECT a.seg, a.s, a.id, coalesce(sum((c.e IS NOT NULL)::INT) OVER (ORDER BY a.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM a LEFT JOIN cuts c ON a.e = c.e",
     "b_groups": "SELECT b.seg, b.s, b.id, coalesce(sum((c.e IS NOT NULL)::INT) OVER (ORDER BY b.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS g FROM b LEFT JOIN cuts c ON b.e = c.e",
-    "pairs": "SELECT a, b, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY a, b) - 1 AS no FROM links JOIN (SELECT seg, count(*) AS n FROM occurs GROUP BY seg) USING (seg) GROUP BY a, b",
+    "pairs": "SELECT a, b, sum(n)::BIGINT AS n, row_number() OVER (ORDER BY a, b) - 1 AS no FROM links JOIN occurs USING (seg) GROUP BY a, b",
     "seg_pairs": "SELECT seg, no FROM links JOIN pairs USING (a, b)",
 }
 
 
 @dataclass(frozen=True)
 class Batch:
-    """docs: n_a, n_b, n_groups, n_links, groups of each text; pairs: a, b, n, no, one row a linked pair; segs: segments of each text, in order; links and nos: how many links each segment has, and the pairs' numbers."""
+    """counts: n_a, n_b, n_groups, n_links of each text; names: the groups of each segment; seg, edge: segments of all texts in order, and where each text's begin; pairs: a, b, n, no, one row a linked pair; links and nos: how many links each segment has, and the pairs' numbers."""
 
-    docs: pa.Table
+    counts: dict[str, np.ndarray]
+    names: pa.Array
+    seg: np.ndarray
+    edge: np.ndarray
     pairs: pa.Table
-    segs: list[bytes]
     links: np.ndarray
     nos: np.ndarray
 
-
-def batch(texts: pa.Array, a: Coder, b: Coder) -> Batch:
-    """Align a run of texts."""
+    def rows(self, x: int, y: int) -> pa.Table:
+        """n_a, n_b, n_groups, n_links, groups, segs (little-endian 32-bit numbers) of the texts from x to y."""
+        seg = self.seg[self.edge[x] : self.edge[y]]
+        groups = joined(self.names.take(pa.array(seg)), np.diff(self.edge[x : y + 1]), ";")
+        segs = [self.seg[s:e].tobytes() for s, e in zip(self.edge[x:y], self.edge[x + 1 : y + 1])]
+        return pa.table({c: v[x:y] for c, v in self.counts.items()} | {"groups": groups, "segs": pa.array(segs, pa.binary())})
+
+    @property
+    def docs(self) -> pa.Table:
+        return self.rows(0, len(self.edge) - 1).drop_columns("segs")
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """Texts from x to y that have about BATCH bytes of groups."""
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(self.names).to_numpy()[self.seg] + 1)])[self.edge]
+        x = 0
+        while x < len(size) - 1:
+            y = max(x + 1, int(np.searchsorted(size, size[x] + BATCH, side="right")) - 1)
+            yield x, y
+            x = y
+
+
+def aligned(tables: dict[str, pa.Table]) -> tuple[pa.Table, pa.Table, dict[str, pa.Table]]:
+    """(pairs, the segments' links as numbers of pairs, the groups of both) of a part: a, b have tokens, occurs how often a segment is there."""
     import duckdb
 
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
+    try:
+        for name, t in tables.items():
+            con.register(f"_{name}", t)
+            con.execute(f"CREATE TEMP TABLE {name} AS SELECT * FROM _{name}")
+        for name, sql in _SQL.items():
+            con.execute(f"CREATE TEMP TABLE {name} AS {sql}")
+        ask = lambda q: con.sql(q).to_arrow_table()
+        return ask("SELECT a, b, n FROM pairs ORDER BY no"), ask("SELECT seg, no FROM seg_pairs ORDER BY seg"), {x: ask(f"SELECT id, g, seg FROM {x}_groups ORDER BY s") for x in "ab"}
+    finally:
+        con.close()
+
+
+def batch(texts: pa.Array, a: Coder, b: Coder) -> Batch:
+    """Align a run of texts. Its distinct segments are encoded and joined in parts, so that memory grows with a part and not with all of them."""
     texts = pc.fill_null(texts, "")
     with_text = pc.greater(pc.binary_length(texts), 0)
     where = np.flatnonzero(with_text.to_numpy(zero_copy_only=False))
     coded, n = segments(texts.filter(with_text))
-    names = coded.dictionary
-    seg = coded.indices.to_numpy().astype(np.int64)
-    words = names.to_pylist()
-    coded_as = {"a": (a, *a.encode(words)), "b": (b, *b.encode(words))}
+    seg = coded.indices.to_numpy()
+    parts = [x.column("text").combine_chunks() for x in slices(pa.table({"text": coded.dictionary}), most=PART)]
     # a text has tokens only if those of both tokenizers spell it
-    good = np.ones(len(words), bool)
-    for coder, flat, m in coded_as.values():
-        good &= spelt(names, flat, m, coder)
+    coded_as: list[dict[str, tuple[np.ndarray, np.ndarray]]] = []
+    good = [np.ones(0, bool)]
+    for names in parts:
+        words = names.to_pylist()
+        coded_as.append({})
+        good.append(np.ones(len(words), bool))
+        for name, coder in (("a", a), ("b", b)):
+            flat, m = coder.encode(words)
+            good[-1] &= spelt(names, flat, m, coder)
+            coded_as[-1][name] = flat.astype(np.int32), m.astype(np.int32)
+        del words
+    good = np.concatenate(good)
     doc = np.repeat(where, n)
     lost = np.zeros(len(texts), bool)
     lost[doc[~good[seg]]] = True
     doc, seg = doc[~lost[doc]], seg[~lost[doc]]
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY})
-    try:
-        tables = {"occurs": pa.table({"seg": seg})}
-        for name, (coder, flat, m) in coded_as.items():
-            of, size = np.repeat(np.arange(len(words)), m), coder.sizes()
-            flat, of = flat[good[of]], of[good[of]]
+    occurs = np.bincount(seg, minlength=len(good))
+    count = {c: [np.zeros(0, np.int64)] for c in ("n_a", "n_b", "n_groups", "n_links")}
+    text, pairs, nos = [pa.array([], pa.large_string())], [], [np.zeros(0, np.int32)]
+    first = at = 0  # of this part's segments, of its pairs
+    for names, tokens in zip(parts, coded_as):
+        k = len(names)
+        often = occurs[first : first + k]
+        first += k
+        used = np.flatnonzero(often)
+        tables = {"occurs": pa.table({"seg": used, "n": often[used]})}
+        for name, coder in (("a", a), ("b", b)):
+            flat, m = tokens.pop(name)
+            of, size = np.repeat(np.arange(k), m), coder.sizes
+            flat, of = flat[often[of] > 0], of[often[of] > 0]
             end = np.cumsum(size[flat])
             tables[name] = pa.table({"seg": of, "id": flat, "s": end - size[flat], "e": end})
-        for name, t in tables.items():
-            con.register(f"_{name}", t)
-            con.execute(f"CREATE TEMP TABLE {name} AS SELECT * FROM _{name}")
-        for name, sql in _SQL.items():
-            con.execute(f"CREATE TEMP TABLE {name} AS {sql}")
-        ask = lambda q: con.sql(q).to_arrow_table()
-        pairs, links = ask("SELECT a, b, n, no FROM pairs ORDER BY no"), ask("SELECT seg, no FROM seg_pairs ORDER BY seg")
-        groups = {x: ask(f"SELECT id, g, seg FROM {x}_groups ORDER BY s") for x in "ab"}
-    finally:
-        con.close()
-    k = len(words)
-    link_seg = links.column("seg").to_numpy()
-    count = {x: np.bincount(t.column("seg").to_numpy(), minlength=k) for x, t in groups.items()} | {"links": np.bincount(link_seg, minlength=k)}
-    # groups are numbered along the line of segments, so those of a segment are a run
-    g = groups["a"].column("g").to_numpy()
-    in_group = {x: np.bincount(t.column("g").to_numpy(), minlength=int(g.max(initial=-1)) + 1) for x, t in groups.items()}
-    both = [joined(t.column("id").combine_chunks().cast(pa.large_string()), in_group[x], ",") for x, t in groups.items()]
-    seg_of = np.zeros(len(in_group["a"]), np.int64)
-    seg_of[g] = groups["a"].column("seg").to_numpy()
-    count["groups"] = np.bincount(seg_of, minlength=k)
-    seg_text = joined(pc.binary_join_element_wise(*both, pa.scalar("|", pa.large_string())), count["groups"], ";")
-    per_doc = np.bincount(doc, minlength=len(texts))
-    edge = np.concatenate([[0], np.cumsum(per_doc)])
+        own, links, groups = aligned(tables)
+        pairs.append(own)
+        nos.append((links.column("no").to_numpy() + at).astype(np.int32))
+        at += own.num_rows
+        # groups are numbered along the line of segments, so those of a segment are a run
+        g = groups["a"].column("g").to_numpy()
+        in_group = {x: np.bincount(t.column("g").to_numpy(), minlength=int(g.max(initial=-1)) + 1) for x, t in groups.items()}
+        both = [joined(t.column("id").combine_chunks().cast(pa.large_string()), in_group[x], ",") for x, t in groups.items()]
+        seg_of = np.zeros(len(in_group["a"]), np.int64)
+        seg_of[g] = groups["a"].column("seg").to_numpy()
+        many = {f"n_{x}": t.column("seg").to_numpy() for x, t in groups.items()} | {"n_groups": seg_of, "n_links": links.column("seg").to_numpy()}
+        for c, x in many.items():
+            count[c].append(np.bincount(x, minlength=k))
+        text.append(joined(pc.binary_join_element_wise(*both, pa.scalar("|", pa.large_string())), count["n_groups"][-1], ";"))
+    count = {c: np.concatenate(x) for c, x in count.items()}
+    merged, no = summed(pairs)
+    edge = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(texts)))])
     total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x[seg])])[edge])
-    docs = {f"n_{c}": total(count[c]) for c in ("a", "b", "groups", "links")} | {"groups": joined(seg_text.take(pa.array(seg)), per_doc, ";")}
-    segs = seg.astype("<i4")
-    return Batch(pa.table(docs), pairs, [segs[x:y].tobytes() for x, y in zip(edge[:-1], edge[1:])], count["links"], links.column("no").to_numpy())
+    return Batch({c: total(x) for c, x in count.items()}, pa.concat_arrays(text), seg.astype("<i4"), edge, merged, count["n_links"], no[np.concatenate(nos)])
+
+
+def summed(parts: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+    """(a, b, n, no: the pairs of all parts, numbered; the number of each part's pairs, in order)."""
+    t = pa.concat_tables(parts) if parts else pa.table({x: pa.array([], pa.int64()) for x in "abn"})
+    found, no = np.unique(t.column("a").to_numpy().astype(np.int64) << 32 | t.column("b").to_numpy(), return_inverse=True)
+    n = np.zeros(len(found), np.int64)
+    np.add.at(n, no, t.column("n").to_numpy())
+    return pa.table({"a": found >> 32, "b": found & 0xFFFFFFFF, "n": n, "no": np.arange(len(found))}), no.astype(np.int32)
 
 
 @dataclass(frozen=True)
@@ -288,10 +350,13 @@ def align(docs: DataFrame, ws: Workspace, coder_a: Callable[[], Coder], coder_b:
 
         for t in gathered(batches):
             x = batch(t.column("text").combine_chunks(), a, b)
-            yield rows("doc", t.num_rows, segs=pa.array(x.segs, pa.binary()), **{c: x.docs.column(c).combine_chunks() for c in x.docs.column_names}, **{f.name: t.column(f.name).combine_chunks() for f in key_fields})
+            for start, end in x.runs():
+                some = x.rows(start, end)
+                yield rows("doc", end - start, **{c: some.column(c).combine_chunks() for c in some.column_names}, **{f.name: t.column(f.name).slice(start, end - start).combine_chunks() for f in key_fields})
             yield rows("pair", x.pairs.num_rows, **{c: x.pairs.column(c).combine_chunks() for c in ("a", "b", "n", "no")})
             yield rows("link", 2, segs=pa.array([v.astype("<i4").tobytes() for v in (x.links, x.nos)], pa.binary()), no=pa.array([0, 1]))
             seq += 1
+            pa.default_memory_pool().release_unused()  # else a worker, which lives on, keeps it
 
     text = F.col("text").cast("string").alias("text")
     done = docs.select(*[F.col(f"`{k}`").alias(f.name) for k, f in zip(keys, key_fields)], text).mapInArrow(run, schema)

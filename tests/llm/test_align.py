@@ -98,6 +98,52 @@ def test_batches_equal_whole_texts(texts):
     assert {(x["a"], x["b"]): x["n"] for x in got.pairs.to_pylist()} == count
 
 
+@settings(max_examples=50, deadline=None)
+@given(TEXTS, st.integers(1, 40))
+def test_parts_equal_whole_texts(texts, most):
+    old, A.PART = A.PART, most
+    try:
+        test_batches_equal_whole_texts.hypothesis.inner_test(texts)
+    finally:
+        A.PART = old
+
+
+def test_memory_grows_with_parts(monkeypatch):
+    """Neither a tokenizer nor DuckDB gets all distinct segments of a batch at once, and rows are handed on in runs."""
+    import duckdb
+
+    texts = [" ".join(f"w{i * 7919 + k:x}q" for k in range(2000)) for i in range(100)]
+    most = {}
+
+    def seen(what, n):
+        most[what] = max(most.get(what, 0), n)
+
+    def watched(name, coder):
+        return A.Coder(lambda x: (seen(name, sum(map(len, x))), coder.encode(x))[1], coder.token)
+
+    class Connection:
+        def __init__(self, con):
+            self.con = con
+
+        def __getattr__(self, name):
+            return getattr(self.con, name)
+
+        def register(self, name, t):
+            seen(name, t.num_rows)
+            return self.con.register(name, t)
+
+    connect = duckdb.connect
+    monkeypatch.setattr(duckdb, "connect", lambda *a, **k: Connection(connect(*a, **k)))
+    got = A.batch(pa.array(texts), watched("a", A.byte_coder(BYTES)), watched("b", A.piece_coder(PIECES)))
+    assert sum(map(len, texts)) > 1_400_000
+    assert max(most["a"], most["b"]) <= 300_000
+    assert max(most["_a"], most["_b"]) <= 300_000
+    monkeypatch.setattr(A, "BATCH", 200_000)
+    runs = list(got.runs())
+    assert [x for r in runs for x in range(*r)] == list(range(100)) and len(runs) > 10
+    assert pa.concat_tables([got.rows(*r) for r in runs]).drop_columns("segs").to_pylist() == got.docs.to_pylist()
+
+
 def run(spark, rows, **more):
     d = spark.createDataFrame([(*r, "x", 5) for r in rows], "doc_id long, text string, a string, part int").repartition(3)
     out = A.align(d, Workspace(spark, "t"), lambda: A.byte_coder(BYTES), lambda: A.piece_coder(PIECES), keys=["doc_id"], **more)
