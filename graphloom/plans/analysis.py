@@ -16,10 +16,10 @@ def nodes(spark: SparkSession, root: str, skip_tests: bool = True) -> DataFrame:
     return nodes_of(scan.read_files(spark, root), skip_tests)
 
 
-def nodes_of(files: DataFrame, skip_tests: bool = True, frontend: bool = True) -> DataFrame:
-    """Node rows of files(path, size, content)."""
+def nodes_of(files: DataFrame, skip_tests: bool = True, frontend: bool = True, types: list[str] | None = None) -> DataFrame:
+    """Node rows of files(path, size, content), or of these only those of the given types."""
     placed = scan.assign(scan.source_files(files, skip_tests, frontend=frontend), scan.boundaries(files))
-    return parse.with_ids(parse.parse(placed))
+    return parse.with_ids(parse.parse(placed, types))
 
 
 #: Columns that a position has room for, all that a number of columns can be: positions are line * COLUMNS + column.

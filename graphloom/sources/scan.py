@@ -71,10 +71,14 @@ def boundaries(files: DataFrame) -> DataFrame:
 
 
 def assign(files: DataFrame, found: DataFrame) -> DataFrame:
-    """files with service, one row for every boundary around a file: nested boundaries each have it. An equi join of each folder above a file."""
+    """files with service, one row for every boundary around a file: nested boundaries each have it. An equi join of each folder above a file.
+
+    Boundaries, a short row for each folder with a manifest, are sent to the files, so
+    that texts aren't shuffled, and no task gets all files of a service.
+    """
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    return files.withColumn("service", F.explode(above)).join(found.select(F.col("root").alias("service"), "manifest"), "service")
+    return files.withColumn("service", F.explode(above)).join(F.broadcast(found.select(F.col("root").alias("service"), "manifest")), "service")
 
 
 #: Marks of frameworks in manifests, the first that matches; and of databases and brokers, all that match.
