@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import kebab
 from graphloom.operators import edges as E
 from graphloom.operators import enrich, errors, links, nest, resolve, resources, tree, validate
+from graphloom.saved import Saved
 from graphloom.sources import parse, scan
 
 
@@ -60,29 +61,60 @@ def nested(all_nodes: DataFrame) -> DataFrame:
     return n.join(parent, "uid", "left").join(names, "p_uid", "left").drop("p_uid")
 
 
-def owners(all_nodes: DataFrame) -> DataFrame:
-    """(service, path, ord, fn_id): the innermost function around each node."""
-    n = with_uid(all_nodes)
-    held = containers(n, ["function"])
-    f = n.select(F.col("uid").alias("container_id"), F.col("id").alias("fn_id"))
-    return n.select(F.col("uid").alias("node_id"), "service", "path", "ord").join(held, "node_id").join(f, "container_id").select("service", "path", "ord", "fn_id")
+def owners(all_nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(service, path, ord, fn_id): the innermost function around each node, or around each of the rows `of` (service, path, ord, line), some of the nodes.
+
+    One sort of these and the functions by file and line; what is found is the function's id itself, so no join follows.
+    """
+    key = ["service", "path"]
+    if of is None:
+        of = all_nodes.where("type not in ('function', 'endpoint', 'table', 'column', 'diagnostic')")
+    f = all_nodes.where("type = 'function'").select(*key, F.col("id").alias("container_id"), F.col("line").cast("long").alias("low"), F.col("end_line").cast("long").alias("high"), "ord")
+    at = of.select(*key, F.struct(*key, "ord").alias("node_id"), "line")
+    return nest.smallest_span(at, f, key, "line", once=True).select("node_id.*", F.col("container_id").alias("fn_id"))
 
 
-def resolved_calls(all_nodes: DataFrame) -> DataFrame:
-    """(id, source, resolved_to) of calls inside functions whose callee is known: by whole name (the last of equal names), then this.m and self.m in the own class, then by method name (the first)."""
+def _called(all_nodes: DataFrame) -> DataFrame:
+    """Calls (id, service, path, ord, line, bare, by_name, by_method) that may have a callee: their names, or the last parts of long ones, are functions' (by_name, by_method: these functions' ids), or bare is the name of a method of their own class."""
     f = all_nodes.where("type = 'function'").select("id", "name", F.col("line").alias("ord"), F.substring_index("name", ".", -1).alias("method"))
-    calls = all_nodes.where("type = 'call'").join(owners(all_nodes), ["service", "path", "ord"]).join(f.select(F.col("id").alias("fn_id"), F.col("name").alias("fn_name")), "fn_id")
-    own = F.regexp_extract("fn_name", r"^(.*)\.", 1)
-    bare = F.regexp_replace("name", r"^(this|self)\.", "")
-    calls = calls.select("id", F.col("fn_id").alias("source"), F.col("name").alias("callee"), F.when(F.col("name").rlike(r"^(this|self)\.\w+$"), F.concat(own, F.lit("."), bare)).alias("member"), F.when(F.size(F.split("name", r"\.")) >= 3, F.substring_index("name", ".", -1)).alias("method"))
-    found = resolve.by_priority(calls, [(resolve.last_wins(f, "name"), "callee", "name", "name"), (resolve.last_wins(f, "name"), "member", "name", "member"), (resolve.first_wins(f, "method"), "method", "method", "method")])
-    return found.where("resolved_to is not null").select("id", "source", "resolved_to")
+    calls = all_nodes.where("type = 'call'").select("id", "service", "path", "ord", "line", F.col("name").alias("callee"))
+    calls = calls.withColumn("method", F.when(F.size(F.split("callee", r"\.")) >= 3, F.substring_index("callee", ".", -1)))
+    calls = calls.withColumn("bare", F.when(F.col("callee").rlike(r"^(this|self)\.\w+$"), F.regexp_replace("callee", r"^(this|self)\.", "")))
+    named = resolve.last_wins(f, "name").select(F.col("name").alias("callee"), F.col("id").alias("by_name"))
+    tails = resolve.first_wins(f, "method").select("method", F.col("id").alias("by_method"))
+    found = calls.join(named, "callee", "left").join(tails, "method", "left")
+    return found.where("by_name is not null or by_method is not null or bare is not null").drop("callee", "method")
+
+
+def _resolved(all_nodes: DataFrame, calls: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, source, resolved_to) of _called() calls and their owners."""
+    f = all_nodes.where("type = 'function'").select("id", "name", F.col("line").alias("ord"))
+    found = calls.join(own, ["service", "path", "ord"]).select("id", F.col("fn_id").alias("source"), "bare", "by_name", "by_method")
+    # few calls name a method of their own class: the class is only looked up for these
+    inside = found.where("bare is not null").join(f.select(F.col("id").alias("source"), F.regexp_extract("name", r"^(.*)\.", 1).alias("own")), "source")
+    members = resolve.last_wins(f, "name").select(F.col("name").alias("member"), F.col("id").alias("by_member"))
+    inside = inside.withColumn("member", F.concat("own", F.lit("."), "bare")).join(members, "member", "left")
+    known = found.where("bare is null").select("id", "source", F.coalesce("by_name", "by_method").alias("resolved_to"))
+    return known.unionByName(inside.select("id", "source", F.coalesce("by_name", "by_member", "by_method").alias("resolved_to"))).where("resolved_to is not null")
+
+
+def resolved_calls(all_nodes: DataFrame) -> DataFrame:
+    """(id, source, resolved_to) of calls inside functions whose callee is known: by whole name (the last of equal names), then this.m and self.m in the own class, then by method name (the first).
+
+    Names are looked up first: most calls are of no function here, and needn't be placed.
+    """
+    calls = Saved(all_nodes.sparkSession).save(_called(all_nodes), "called")
+    return _resolved(all_nodes, calls, owners(all_nodes, calls))
+
+
+def _call_edges(resolved: DataFrame) -> DataFrame:
+    found = resolved.where("resolved_to <> source")
+    return E.dedup(found.select("source", F.col("resolved_to").alias("target"), F.lit("calls").alias("kind"), F.lit(0).alias("ord"))).drop("ord")
 
 
 def call_edges(all_nodes: DataFrame) -> DataFrame:
     """calls edges from functions to other functions, once each."""
-    found = resolved_calls(all_nodes).where("resolved_to <> source")
-    return E.dedup(found.select("source", F.col("resolved_to").alias("target"), F.lit("calls").alias("kind"), F.lit(0).alias("ord"))).drop("ord")
+    return _call_edges(resolved_calls(all_nodes))
 
 
 def handlers(all_nodes: DataFrame) -> DataFrame:
@@ -95,8 +127,8 @@ WRITES = ["create", "createMany", "update", "updateMany", "upsert", "delete", "d
 
 def edge_facts(all_nodes: DataFrame) -> DataFrame:
     """(source, target, kind, operation, topic) of edges to databases and topics: the sorted distinct operations, and the topic."""
-    own = owners(all_nodes)
-    db = all_nodes.where("type = 'dbProcess'").join(own, ["service", "path", "ord"])
+    db = all_nodes.where("type = 'dbProcess'")
+    db = db.join(owners(all_nodes, db), ["service", "path", "ord"])
     db = db.groupBy(F.col("fn_id").alias("source"), F.concat(F.lit("database:"), "service").alias("target"), F.when(F.col("kind").isin(WRITES), "writes_to").otherwise("reads_from").alias("kind"))
     db = db.agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("operation")).withColumn("operation", F.when(F.col("operation") != "", F.col("operation")))
     ev = all_nodes.where("type = 'event'")
@@ -107,13 +139,22 @@ def edge_facts(all_nodes: DataFrame) -> DataFrame:
 
 def derived_edges(all_nodes: DataFrame) -> DataFrame:
     """calls, endpoint handlers, database reads and writes, and events, without repeats."""
-    own = owners(all_nodes)
+    calls = Saved(all_nodes.sparkSession).save(_called(all_nodes), "called")
+    db = all_nodes.where("type = 'dbProcess'").select("service", "path", "ord", "line", "kind")
+    # calls and database operations are placed in functions at once; nodes of a file have different ord
+    place = ["service", "path", "ord"]
+    own = owners(all_nodes, calls.select(*place, "line").unionByName(db.select(*place, "line")))
+    called = _call_edges(_resolved(all_nodes, calls, own))
     handled = handlers(all_nodes).select(F.col("id").alias("source"), F.col("handler").alias("target"), F.lit("calls").alias("kind"))
     writes = F.col("kind").isin(WRITES)
-    db = all_nodes.where("type = 'dbProcess'").join(own, ["service", "path", "ord"]).select(F.col("fn_id").alias("source"), F.concat(F.lit("database:"), "service").alias("target"), F.when(writes, "writes_to").otherwise("reads_from").alias("kind"))
+    used = db.join(own, place).select(F.col("fn_id").alias("source"), F.concat(F.lit("database:"), "service").alias("target"), F.when(writes, "writes_to").otherwise("reads_from").alias("kind"))
     ev = all_nodes.where("type = 'event'").select(F.col("service"), F.concat(F.lit("topic:"), "name").alias("topic"), F.col("kind").alias("role"))
     events = ev.select(F.when(F.col("role") == "publish", F.concat(F.lit("service:"), "service")).otherwise(F.col("topic")).alias("source"), F.when(F.col("role") == "publish", F.col("topic")).otherwise(F.concat(F.lit("service:"), "service")).alias("target"), F.when(F.col("role") == "publish", "publishes_to").otherwise("consumes_from").alias("kind"))
-    return call_edges(all_nodes).unionByName(handled).unionByName(db).unionByName(events).distinct()
+    return called.unionByName(handled).unionByName(used).unionByName(events).distinct()
+
+
+#: Types of nodes that derived_edges() reads.
+EDGE_TYPES = ["function", "endpoint", "call", "dbProcess", "event"]
 
 
 def diagnostics(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -139,6 +180,26 @@ def cross_service(all_nodes: DataFrame) -> DataFrame:
     return groups.withColumnRenamed("best", "confidence")
 
 
+def brokers_of(all_nodes: DataFrame) -> DataFrame:
+    """(id, name, engine, alias) of the topics of events."""
+    return all_nodes.where("type = 'event'").select(F.concat(F.lit("topic:"), "name").alias("id"), "name", F.lit("unknown").alias("engine"), F.col("name").alias("alias")).distinct()
+
+
+#: Types of nodes that dependencies() reads.
+DEPENDENCY_TYPES = ["dbProcess", "event", "externalCall", "endpoint"]
+
+
+def dependencies(all_nodes: DataFrame) -> DataFrame:
+    """(service, target, target_kind, call_kind, critical): databases and topics that services use, and services whose endpoints they call."""
+    service = F.concat(F.lit("service:"), "service").alias("service")
+    used = F.when(F.col("type") == "dbProcess", F.concat(F.lit("database:"), "service")).alias("database_id")
+    uses = all_nodes.where("type in ('dbProcess', 'event')").select(service, "type", used, F.when(F.col("type") == "event", F.col("name")).alias("channel")).distinct()
+    none = uses.select("service", F.lit(None).cast("string").alias("target")).where("false")
+    calls = cross_service(all_nodes).where(F.col("confidence") >= resolve.CERTAIN).select(service, F.concat(F.lit("service:"), "target_service").alias("target")).distinct()
+    known = resources.dependencies(uses, brokers_of(all_nodes).select("id", "alias"), none)
+    return known.unionByName(calls.select("service", "target", F.lit("service").alias("target_kind"), F.lit("sync").alias("call_kind"), F.lit(True).alias("critical")))
+
+
 def summary(all_nodes: DataFrame) -> DataFrame:
     return all_nodes.groupBy("service", "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -191,7 +252,7 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     engine = stack.select(F.concat(F.lit("service:"), "root").alias("id"), F.when(F.size(named) == 1, named[0]["engine"]).alias("engine"))
     engines = services.join(engine, "id", "left").select(F.concat(F.lit("database:"), F.substring("id", 9, 1 << 20)).alias("id"), "name", F.coalesce("engine", F.lit("unknown")).alias("engine"), F.col("code").alias("alias"))
     databases = engines.join(code.select(F.col("database_id").alias("id")).distinct(), "id", "left_semi")
-    brokers = n.where("type = 'event'").select(F.concat(F.lit("topic:"), "name").alias("id"), "name", F.lit("unknown").alias("engine"), F.col("name").alias("alias")).distinct()
+    brokers = brokers_of(n)
     e = derived_edges(n).unionByName(structural_edges(n)).distinct()
     edges = save(e.join(edge_facts(n), ["source", "target", "kind"], "left"), "edges")
     out = {"services": services, "endpoints": save(endpoints, "endpoints"), "functions": save(functions, "functions"), "nodes": save(code, "code"), "edges": edges, "databases": databases, "brokers": brokers}
@@ -212,12 +273,7 @@ def topology_of(files: DataFrame, save, title: str = "repository", skip_tests: b
     c = facts.where("type = 'column'").select(F.concat(F.lit("database:"), "service").alias("alias"), meta("entity").alias("entity"), "name", F.col("kind").alias("type"), (meta("primaryKey") == "true").alias("primary_key"), F.lit("declared").alias("source_kind"), place)
     merged = resources.merge_columns(c.join(owner, ["alias", "entity"]))
     out["columns"] = merged.join(tables.select("alias", "key", F.col("id").alias("table_id")), ["alias", "key"]).select("table_id", "name", "type", "primary_key")
-    # what services depend on: databases and topics that they use, and services whose endpoints they call
-    uses = n.where("type in ('dbProcess', 'event')").select(F.concat(F.lit("service:"), "service").alias("service"), "type", used.alias("database_id"), F.when(F.col("type") == "event", F.col("name")).alias("channel"))
-    none = services.select(F.col("id").alias("service"), F.lit(None).cast("string").alias("target")).where("false")
-    calls = cross_service(n).where(F.col("confidence") >= resolve.CERTAIN).select(F.concat(F.lit("service:"), "service").alias("service"), F.concat(F.lit("service:"), "target_service").alias("target")).distinct()
-    known = resources.dependencies(uses, brokers.select("id", "alias"), none)
-    out["dependencies"] = save(known.unionByName(calls.select("service", "target", F.lit("service").alias("target_kind"), F.lit("sync").alias("call_kind"), F.lit(True).alias("critical"))), "dependencies")
+    out["dependencies"] = save(dependencies(n), "dependencies")
     top = n.where("type in ('endpoint', 'function')").select("id", F.lit(None).cast("string").alias("parent_id"), service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     rest = inner.select("id", "parent_id", service_id, "ord", "type", "name", "kind", "line", "end_line", F.col("meta").alias("metadata"))
     both = top.unionByName(rest)

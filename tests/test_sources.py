@@ -35,3 +35,28 @@ def test_source_of_expressions():
         trees += [x for x in ast.walk(ast.parse(f.read_text())) if isinstance(x, (ast.expr, ast.Raise)) and not isinstance(x, ast.Starred)]
     for x in trees:
         assert parse.source(x) == ast.unparse(x)
+
+
+def written(monkeypatch, run):
+    """The names of the tables that run() writes."""
+    from graphloom.saved import Saved
+
+    names, save = [], Saved.save
+    monkeypatch.setattr(Saved, "save", lambda self, df, name: (names.append(name), save(self, df, name))[1])
+    run()
+    return names
+
+
+def test_edges_place_calls_and_operations_by_one_sweep(spark, monkeypatch):
+    assert written(monkeypatch, lambda: sources.source_edges(spark, D)).count("swept") == 1
+
+
+def test_points_of_keys_over_many_partitions(spark):
+    from graphloom.operators import nest
+
+    # a file of 400 nested functions with points in each, over several partitions, and small ones
+    big = [("big", k, k, 1000 - k, k) for k in range(400)]
+    containers = spark.createDataFrame(big + [(f"s{k}", 10_000 + k, 0, 5, 0) for k in range(50)], "k string, container_id long, low long, high long, ord long")
+    points = spark.createDataFrame([("big", k, k) for k in range(0, 1100, 3)] + [(f"s{k}", 10_000 + k, k % 9) for k in range(50)], "k string, node_id long, at long")
+    one, two = (sorted(nest.smallest_span(points, containers, "k", "at", once=once).collect()) for once in (True, False))
+    assert one == two and len(one) > 300
