@@ -58,12 +58,22 @@ def used_columns(operations: DataFrame) -> DataFrame:
 
 
 def link_columns(fields: DataFrame, columns: DataFrame) -> DataFrame:
-    """(op_id, target, kind): fields(op_id, table_id, field) to columns(id, table_id, name) of the same name in any case; an operation of which no field is a column is linked with its table."""
-    c = columns.select("table_id", F.lower("name").alias("key"), F.col("id").alias("column_id"))
-    hit = fields.withColumn("key", F.lower("field")).join(c, ["table_id", "key"], "left")
-    some = hit.where("column_id is not null").select("op_id", F.col("column_id").alias("target"), F.lit("column").alias("kind")).distinct()
-    none = hit.groupBy("op_id", "table_id").agg(F.count("column_id").alias("n")).where("n = 0").select("op_id", F.col("table_id").alias("target"), F.lit("table").alias("kind"))
-    return some.unionByName(none.join(some.select("op_id"), "op_id", "left_anti"))
+    """(op_id, target, kind): fields(op_id, table_id, field) to columns(id, table_id, name) of the same name in any case; an operation of which no field is a column is linked with its table.
+
+    Fields and columns are made distinct before they meet, and what has no column is
+    told by names alone: links themselves, which may be many more than both, aren't
+    shuffled, but those of columns that have several names or tables.
+    """
+    f = fields.select("op_id", "table_id", F.lower("field").alias("key")).distinct()
+    c = columns.select("table_id", F.lower("name").alias("key"), F.col("id").alias("column_id")).where("table_id is not null and key is not null and column_id is not null").distinct()
+    often = c.groupBy("column_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("column_id")
+    link = lambda some: f.join(some, ["table_id", "key"]).select("op_id", F.col("column_id").alias("target"), F.lit("column").alias("kind"))
+    names = c.select("table_id", "key").distinct().withColumn("_is", F.lit(True))
+    # tables of an operation, and whether a field of any of them is a column
+    known = f.join(names, ["table_id", "key"], "left").groupBy("op_id", "table_id").agg(F.bool_or(F.col("_is").isNotNull()).alias("_is"))
+    some = known.where("_is").select("op_id")
+    none = known.where("not _is").join(some, "op_id", "left_anti").select("op_id", F.col("table_id").alias("target"), F.lit("table").alias("kind"))
+    return link(c.join(often, "column_id", "left_anti")).unionByName(link(c.join(often, "column_id", "left_semi")).distinct()).unionByName(none)
 
 
 def column_nodes(columns: DataFrame) -> DataFrame:
