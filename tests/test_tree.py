@@ -70,3 +70,16 @@ def test_pairs_below_a_depth_of_100(spark):
     want = {(a, b, b - a) for a in range(130) for b in range(a + 1, 130)}
     want |= {(a, b, d) for a, b, d in [(200, 201, 1), (200, 202, 2), (201, 202, 1), (201, 200, 2), (202, 200, 1), (202, 201, 2)]}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_levels_and_list_agree(spark):
+    r = random.Random(7)
+    rows = [(f"n{i}", f"n{r.randrange(max(1, i // 3))}" if i > 9 and r.random() < 0.97 else r.choice([None, "gone"]), r.choice([0, 1, None]), r.choice([None, 1, 5]), i) for i in range(400)]
+    rows += [("n500", "n501", 0, 1, 1), ("n501", "n500", 0, 1, 1), ("n502", "n500", 0, 1, 1)]
+    df = spark.createDataFrame([(*x, "x") for x in rows], SCHEMA).repartition(5)
+    for levels in (12, 0):
+        folder = Saved(spark)
+        d = tree.tour(df, folder.save, ["a", "b"], levels)
+        assert {x.id: (x.root_id, x.depth, x.pre, x.last, x.position, x.total_a, x.total_b) for x in d.collect()} == walk(rows)
+        names = [p.rpartition("/")[2] for _, p in folder.paths]
+        assert sum(x.rpartition("-")[2].startswith("tour_") for x in names) <= 12, names  # rounds leave no tables
