@@ -27,13 +27,17 @@ def nodes_of(files: DataFrame, skip_tests: bool = True, frontend: bool = True, t
 COLUMNS = 1 << 31
 
 
+#: Types of nodes that nothing holds.
+FREE = ["function", "endpoint", "table", "column", "diagnostic"]
+
+
 def containers(all_nodes: DataFrame, types: list[str]) -> DataFrame:
-    """(node_id, container_id): the smallest node of the types whose lines hold a node's line; functions before endpoints, then in order."""
+    """(node_id, container): the uid of a node, and uid and id of the smallest node of the types whose lines hold its line; functions before endpoints, then in order."""
     key = ["service", "path"]
     rank = (F.col("type") == "endpoint").cast("long") * F.lit(1 << 40)
-    outer = all_nodes.where(F.col("type").isin(types)).select(*key, F.col("uid").alias("container_id"), F.col("line").cast("long").alias("low"), F.col("end_line").cast("long").alias("high"), (rank + F.col("ord")).alias("ord"))
-    inner = all_nodes.where("type not in ('function', 'endpoint', 'table', 'column', 'diagnostic')")
-    return nest.smallest_span(inner.select(*key, F.col("uid").alias("node_id"), F.col("line").alias("at")), outer, key, "at").select("node_id", "container_id")
+    outer = all_nodes.where(F.col("type").isin(types)).select(*key, F.struct("uid", "id").alias("container_id"), F.col("line").cast("long").alias("low"), F.col("end_line").cast("long").alias("high"), (rank + F.col("ord")).alias("ord"))
+    inner = all_nodes.where(~F.col("type").isin(FREE))
+    return nest.smallest_span(inner.select(*key, F.col("uid").alias("node_id"), F.col("line").alias("at")), outer, key, "at", once=True).select("node_id", F.col("container_id").alias("container"))
 
 
 def with_uid(all_nodes: DataFrame) -> DataFrame:
@@ -51,14 +55,16 @@ def nested(all_nodes: DataFrame) -> DataFrame:
     held = containers(n, ["function", "endpoint"])
     key = ["service", "path"]
     at = F.col("line").cast("long") * COLUMNS + F.least(F.col("col"), F.lit(COLUMNS - 2))
-    flow = n.where("type = 'flowControl'").select(*key, F.col("uid").alias("container_id"), (at + 1).alias("low"), (F.col("end_line").cast("long") * COLUMNS + COLUMNS - 1).alias("high"), "ord")
-    inner = n.where("type not in ('function', 'endpoint', 'table', 'column', 'diagnostic')").select(*key, F.col("uid").alias("node_id"), at.alias("at"))
-    inside = nest.smallest_span(inner, flow, key, "at").select("node_id", F.col("container_id").alias("flow_id"))
+    flow = n.where("type = 'flowControl'").select(*key, F.struct("uid", "id").alias("container_id"), (at + 1).alias("low"), (F.col("end_line").cast("long") * COLUMNS + COLUMNS - 1).alias("high"), "ord")
+    inner = n.where(~F.col("type").isin(FREE)).select(*key, F.col("uid").alias("node_id"), at.alias("at"))
+    inside = nest.smallest_span(inner, flow, key, "at", once=True).select("node_id", F.col("container_id").alias("flow"))
     # a flow node counts if it is in the same function: a function may lie between
-    own = held.join(inside, "node_id", "left").join(held.select(F.col("node_id").alias("flow_id"), F.col("container_id").alias("flow_in")), "flow_id", "left")
-    parent = own.select(F.col("node_id").alias("uid"), F.when(F.col("flow_in") == F.col("container_id"), F.col("flow_id")).otherwise(F.col("container_id")).alias("p_uid"))
-    names = n.select(F.col("uid").alias("p_uid"), F.col("id").alias("parent_id"))
-    return n.join(parent, "uid", "left").join(names, "p_uid", "left").drop("p_uid")
+    flows = n.where("type = 'flowControl'").select(F.col("uid").alias("node_id"))
+    around = held.join(flows, "node_id", "left_semi").select(F.col("node_id").alias("flow_id"), F.col("container.uid").alias("flow_in"))
+    inside = inside.withColumn("flow_id", F.col("flow.uid")).join(around, "flow_id").select("node_id", F.col("flow.id").alias("flow_id"), "flow_in")
+    own = held.join(inside, "node_id", "left")
+    parent = own.select(F.col("node_id").alias("uid"), F.when(F.col("flow_in") == F.col("container.uid"), F.col("flow_id")).otherwise(F.col("container.id")).alias("parent_id"))
+    return n.join(parent, "uid", "left")
 
 
 def owners(all_nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:

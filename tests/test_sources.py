@@ -64,3 +64,14 @@ def test_points_of_keys_over_many_partitions(spark):
     points = spark.createDataFrame([("big", k, k) for k in range(0, 1100, 3)] + [(f"s{k}", 10_000 + k, k % 9) for k in range(50)], "k string, node_id long, at long")
     one, two = (sorted(nest.smallest_span(points, containers, "k", "at", once=once).collect()) for once in (True, False))
     assert one == two and len(one) > 300
+
+
+def test_nesting_puts_only_split_files_together(spark, monkeypatch):
+    from graphloom.operators import nest
+    from graphloom.saved import Saved
+
+    asked, around = [], nest.around
+    monkeypatch.setattr(nest, "around", lambda *a: (asked.append(a[5]), around(*a))[1])
+    got = analysis.nested(Saved(spark).save(analysis.nodes_of(sources.files(spark, D).where("path like 'svc1/%'")), "parsed"))
+    assert asked == [True, True]  # each node asks once
+    assert got.where("type = 'throw' and parent_id like 'flowControl:%'").count() == got.where("type = 'throw'").count() > 0
