@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -34,7 +33,7 @@ def expiry_column(at: Column, session: int = SESSION, sweep: int = SWEEP) -> Col
 
 
 class Sessions(StatefulProcessor):
-    """State of one session: events that wait for the watermark, and when it was opened."""
+    """State of one session: events that wait for the watermark, when it was opened, and its one timer. Each call of the state is a message to the JVM, so each is read once a visit and written if it changed."""
 
     def __init__(self, session: int = SESSION, sweep: int = SWEEP):
         self.session, self.sweep = session, sweep
@@ -42,19 +41,19 @@ class Sessions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "at long, kind string")
-        self.opened = handle.getValueState("opened", "at long")
+        self.opened = handle.getValueState("opened", "at long, timer long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        new = [(int(t), k) for x in rows for t, k in zip(x["at"].astype("datetime64[ms]").astype("int64"), x["kind"])]
-        self.waiting.appendList(new)
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802
+        yield from self._settle(key, [(r["ms"], r["kind"]) for r in rows], timerValues.getCurrentWatermarkInMs(), False)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield from self._settle(key, timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+        yield from self._settle(key, [], timerValues.getCurrentWatermarkInMs(), True)
 
-    def _settle(self, key, passed: int) -> Iterator[pd.DataFrame]:
-        events = sorted((e[0], {"open": 0}.get(e[1], 1), e[1]) for e in self.waiting.get()) if self.waiting.exists() else []
-        opened = self.opened.get()[0] if self.opened.exists() else None
+    def _settle(self, key, new: list[tuple[int, str]], passed: int, expired: bool) -> Iterator[Row]:
+        held = self.opened.get()  # there is one as long as anything is kept, for its timer
+        opened, timer = held or (None, None)
+        waited = [(e[0], e[1]) for e in self.waiting.get()] if held else []
+        events = sorted((at, {"open": 0}.get(kind, 1), kind) for at, kind in [*waited, *new])
         out = []
 
         def swept(until: int) -> None:
@@ -75,15 +74,25 @@ class Sessions(StatefulProcessor):
                 opened = None
         swept(passed)
         later = [e for e in events if e[0] > passed]
-        self.waiting.put([(e[0], e[2]) for e in later]) if later else self.waiting.clear()
-        self.opened.update((opened,)) if opened is not None else self.opened.clear()
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        if len(later) == len(events):
+            if new:
+                self.waiting.appendList(new)
+        elif later:
+            self.waiting.put([(e[0], e[2]) for e in later])
+        elif waited:
+            self.waiting.clear()
         ahead = [e[0] for e in later] + ([expiry(opened, self.session, self.sweep)] if opened is not None else [])
-        if ahead:
-            self.handle.registerTimer(min(ahead))
-        if out:
-            yield pd.DataFrame({"session_id": key[0], "at": pd.to_datetime([t for t, _ in out], unit="ms"), "outcome": [o for _, o in out]})
+        due = min(ahead, default=None)
+        if timer is not None and timer != due and not (expired and timer <= passed):
+            self.handle.deleteTimer(timer)
+        if due is not None and (due != timer or expired):
+            self.handle.registerTimer(due)
+        if due is None:
+            if held:
+                self.opened.clear()
+        elif not held or (opened, due) != tuple(held):
+            self.opened.update((opened, due))
+        yield from (Row(session_id=key[0], ms=at, outcome=outcome) for at, outcome in out)
 
     def close(self) -> None:
         pass
@@ -95,5 +104,6 @@ def outcomes(events: DataFrame, delay: str = "0 seconds", session: int = SESSION
     Events later than `delay` behind the newest are dropped, as the watermark says.
     Needs the RocksDB state store.
     """
-    keyed = events.select("session_id", "at", "kind").withWatermark("at", delay).groupBy("session_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=Sessions(session, sweep), outputStructType=OUTCOMES, outputMode="Append", timeMode="EventTime")
+    keyed = events.select("session_id", "at", F.unix_millis("at").alias("ms"), "kind").withWatermark("at", delay).groupBy("session_id")
+    out = keyed.transformWithState(statefulProcessor=Sessions(session, sweep), outputStructType="session_id string, ms long, outcome string", outputMode="Append", timeMode="EventTime")
+    return out.select("session_id", F.timestamp_millis("ms").alias("at"), "outcome")
